@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from weftlake.llm import ngram_join
+from weftlake.llm import lang_id, line_dedup, ngram_join
 
-QUERIES = {"op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join}
+QUERIES = {
+    "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
+    "op8_language_id": lang_id.op8_language_id,
+}
 SQL = {"op3_ngram_jaccard_join": ngram_join.SQL}
