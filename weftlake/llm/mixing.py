@@ -52,10 +52,10 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return s.select("source", "source_no", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), F.col("cap")).alias("target"))
 
 
-def mix_blocks(docs: DataFrame, seed: int = 0, keep_text: bool = False) -> tuple[DataFrame, DataFrame, Scratch]:
+def mix_blocks(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame, Scratch]:
     """(documents, uses): every row of docs(doc_id, text, source, ...) with its place, and the pieces the mix takes.
 
-    documents: doc_id, source_no, size, source_size, target, offset: the row's first word in its
+    documents: doc_id, order (a hash of the row), source_no, size, source_size, target, offset: the row's first word in its
     source's stream. uses: source_no, offset, size (of the document), turn, shard, slot, first, last: in that turn through the
     source the output slot takes the words first..last-1 of the document. Each source's stream of words is
     packed into blocks of BLOCK words (the last one is shorter). The output is a row of slots, cut into
@@ -77,7 +77,7 @@ def mix_blocks(docs: DataFrame, seed: int = 0, keep_text: bool = False) -> tuple
     starts = small(scratch.keep(starts.select(F.col("source_no").alias("s"), F.col("bucket").alias("k"), F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("start")), "starts"))
     within = W.Window.partitionBy("source_no", "bucket").orderBy("order", "doc_id", "size").rowsBetween(W.Window.unboundedPreceding, -1)
     placed = placed.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    documents = placed.join(starts, (F.col("source_no") == F.col("s")) & (F.col("bucket") == F.col("k"))).select("doc_id", "source_no", "size", "source_size", "target", (F.col("start") + F.col("inside")).alias("offset"))
+    documents = placed.join(starts, (F.col("source_no") == F.col("s")) & (F.col("bucket") == F.col("k"))).select("doc_id", "order", "source_no", "size", "source_size", "target", (F.col("start") + F.col("inside")).alias("offset"))
     documents = scratch.keep(documents, "documents")
 
     # slots: how many each source gets, and which
@@ -133,5 +133,28 @@ def mixture(docs: DataFrame, seed: int = 0) -> DataFrame:
     return joined.select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
 
 
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the mix as rows of documents. A document appears once for each turn in which words of it
+    are taken: whole, or with the taken words only, joined by spaces (n_chars follows). One that the mix does not draw goes.
+    """
+    seed = 0
+    documents, uses, scratch = mix_blocks(docs, seed)
+    turns = uses.groupBy("source_no", "offset", "size", "turn").agg(F.sum(F.col("last") - F.col("first")).alias("got"), F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
+    turns = turns.select(F.col("source_no").alias("s"), F.col("offset").alias("o"), F.when(F.col("got") < F.col("size"), F.col("spans")).alias("spans"))
+    places = documents.where("size > 0").select(F.col("doc_id").alias("__id"), F.col("order").alias("__order"), "source_no", "offset")
+    takes = places.join(turns, (F.col("source_no") == F.col("s")) & (F.col("offset") == F.col("o"))).groupBy("__id", "__order").agg(F.collect_list(F.struct("spans")).alias("__takes"))
+    takes = scratch.keep(takes, "takes")
+    rows = docs.withColumn("__hash", F.xxhash64("doc_id", "text", F.lit(seed)))
+    rows = rows.join(takes, rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__order")))
+    rows = rows.dropDuplicates(["__id", "__order"]).withColumn("__take", F.explode("__takes"))
+    all_words = F.regexp_extract_all("text", F.lit(f"[^{_SPACE}]+"), F.lit(0))
+    part = F.array_join(F.flatten(F.transform(F.col("__take.spans"), lambda x: F.slice(all_words, (x["first"] + 1).cast("int"), (x["last"] - x["first"]).cast("int")))), " ")
+    whole = F.col("__take.spans").isNull()
+    text = F.when(whole, F.col("text")).otherwise(part)
+    return rows.withColumn("__text", text).select(
+        *[F.col("__text").alias(c) if c == "text" else F.when(whole, F.col(c)).otherwise(F.length("__text")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    )
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from weftlake.llm import lang_id, line_dedup, mixing, ngram_join
+from weftlake.llm import lang_id, line_dedup, mixing, ngram_join, pieces
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op8_language_id": lang_id.op8_language_id,
+    "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 SQL = {"op3_ngram_jaccard_join": ngram_join.SQL}
