@@ -13,6 +13,8 @@ from weftlake.llm.common import Scratch, chunks, components, mix, shingles, smal
 #: Counters in each of the two rows of the frequency sketch: its size does not grow with the corpus.
 SKETCH = 1 << 17
 PARTS = 16
+#: Rounds after the first star: all but the last meet a member of a token's main component and one outside, the last holds all remaining pairs.
+ROUNDS = 2
 
 
 def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,8 +93,8 @@ def ngram_groups(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
 
     Steps: equal sets collapse to their smallest doc_id; the rarest tokens of each set are joined;
     one round links every member of a token's group to the group's best connected set, which joins
-    groups of copies at linear cost; a second holds only pairs from different components against each
-    other. Each pair is verified once, on whole texts.
+    groups of copies at linear cost; the next links strays to varying members of the group; the
+    last holds all remaining pairs from different components against each other. Each pair is verified once, on whole texts.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
@@ -107,8 +109,8 @@ def ngram_groups(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
     ranked = scratch.keep(shared.join(rank, "id"), "ranked")
     centres = scratch.keep(ranked.groupBy("token").agg(F.max(F.struct("degree", "id", "n", "pos")).alias("c")).select("token", F.col("c.id").alias("b"), F.col("c.n").alias("nb"), F.col("c.pos").alias("pb")), "centres")
     likely = (F.col("n") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("n") * num)
-    most = F.least("pos", "pb") + 1 + F.least(F.col("n") - F.col("pos"), F.col("nb") - F.col("pb")) - 1
-    fits = (num + den) * most >= num * (F.col("n") + F.col("nb"))
+    # of a linked pair, the first common token leaves room for the overlap that the threshold needs in both suffixes
+    fits = (num + den) * F.least(F.col("n") - F.col("pos"), F.col("nb") - F.col("pb")) >= num * (F.col("n") + F.col("nb"))
     star = ranked.join(centres, "token").where((F.col("id") != F.col("b")) & likely & fits).select(F.col("id").alias("a"), "b").distinct()
     star = scratch.keep(star, "star")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
@@ -120,23 +122,27 @@ def ngram_groups(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
             out += [np.unique(h[upto[i] : upto[i + 1]]) for i in range(len(upto) - 1)]
         return out
 
-    links = scratch.keep(verify(scratch, star, texts, tokenise, num, den), "links0")
-    parts = components(scratch, links, "near")
-    rest = shared.join(parts, "id", "left").select("token", "id", "n", "pos", F.coalesce("component", "id").alias("part"))
-    rest = scratch.keep(rest, "rest")
-    mixed = rest.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("token")
-    by_part = rest.join(mixed, "token").groupBy("token", "part").agg(F.count("*").alias("k"))
-    main = scratch.keep(by_part.groupBy("token").agg(F.max(F.struct("k", "part")).alias("m")).select("token", F.col("m.part").alias("main")), "main")
-    open_ = scratch.keep(rest.join(main, "token"), "open")
-    other = open_.where("part <> main").select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("part").alias("part_b"))
-    cross = open_.join(other, "token").where((F.col("part") != F.col("part_b")) & likely & fits)
-    cross = cross.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"), F.when(F.col("id") < F.col("b"), F.struct("pos", "pb", "n", "nb")).otherwise(F.struct(F.col("pb").alias("pos"), F.col("pos").alias("pb"), F.col("nb").alias("n"), F.col("n").alias("nb"))).alias("at"))
-    first = cross.groupBy("a", "b").agg(F.min("at").alias("at"))  # the first common token: the position bound is strict there
-    strict = 1 + F.least(F.col("at.n") - F.col("at.pos"), F.col("at.nb") - F.col("at.pb")) - 1
-    first = first.where((num + den) * strict >= num * (F.col("at.n") + F.col("at.nb"))).select("a", "b")
-    both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = scratch.keep(verify(scratch, scratch.keep(first.join(both, ["a", "b"], "left_anti"), "cross"), texts, tokenise, num, den), "links1")
-    parts = components(scratch, links.unionByName(more), "all")
+    links, done = scratch.keep(verify(scratch, star, texts, tokenise, num, den), "links0"), star
+    for turn in range(1, ROUNDS + 1):
+        parts = components(scratch, links, f"near{turn}")
+        rest = scratch.keep(shared.join(parts, "id", "left").select("token", "id", "n", "pos", F.coalesce("component", "id").alias("part")), f"rest{turn}")
+        by_part = rest.groupBy("token", "part").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "part")).alias("m"), F.count("*").alias("parts"))
+        mixed = scratch.keep(by_part.where("parts > 1").select("token", F.col("m.part").alias("main")), f"main{turn}")
+        open_ = scratch.keep(rest.join(mixed, "token"), f"open{turn}")
+        if turn < ROUNDS:  # members outside the main component meet one member of it and one outside for each token, others for each token
+            pick = open_.groupBy("token", (F.col("part") == F.col("main")).alias("inside")).agg(F.min(F.struct(F.xxhash64("token", "id", F.lit(turn)).alias("h"), "id", "n", "pos", "part")).alias("c"))
+            pick = scratch.keep(pick.select("token", F.col("c.id").alias("b"), F.col("c.n").alias("nb"), F.col("c.pos").alias("pb"), F.col("c.part").alias("part_b")), f"pick{turn}")
+            pairs = open_.where("part <> main").join(pick, "token").where((F.col("part") != F.col("part_b")) & likely & fits)
+        else:  # all pairs of different components that are left
+            other = open_.where("part <> main").select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("part").alias("part_b"))
+            pairs = open_.join(other, "token").where((F.col("part") != F.col("part_b")) & likely & fits)
+        pairs = pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+        both = done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        pairs = scratch.keep(pairs.join(both, ["a", "b"], "left_anti"), f"pairs{turn}")
+        more = scratch.keep(verify(scratch, pairs, texts, tokenise, num, den), f"links{turn}")
+        links, done = links.unionByName(more), done.unionByName(pairs)
+        scratch.drop(f"rest{turn}", f"open{turn}")
+    parts = components(scratch, links, "all")
     groups = reps.select("sig0", "sig1", "id").join(parts, "id", "left").select("sig0", "sig1", F.coalesce("component", "id").alias("component"))
     groups = scratch.keep(groups, "groups")
     return (
