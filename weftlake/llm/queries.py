@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from weftlake.llm import lang_id, line_dedup, mixing, ngram_join, pieces
+from weftlake.llm import lang_id, license_scan, line_dedup, mixing, ngram_join, pieces, url_filter
 
 QUERIES = {
+    "op1_url_filters": url_filter.op1_url_filters,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
     "op5_source_mixing": mixing.op5_source_mixing,
+    "op7_license_scans": license_scan.op7_license_scans,
     "op8_language_id": lang_id.op8_language_id,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
-SQL = {"op3_ngram_jaccard_join": ngram_join.SQL}
+SQL = {"op1_url_filters": url_filter.SQL, "op3_ngram_jaccard_join": ngram_join.SQL}
