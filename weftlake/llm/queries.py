@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftlake.llm import lang_id, license_scan, line_dedup, mixing, ngram_join, pieces, url_filter
+from weftlake.llm import lang_id, license_scan, line_dedup, main_text, mixing, ngram_join, pieces, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_source_mixing": mixing.op5_source_mixing,
     "op7_license_scans": license_scan.op7_license_scans,
     "op8_language_id": lang_id.op8_language_id,
+    "op9_html_extraction": main_text.op9_html_extraction,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 SQL = {"op1_url_filters": url_filter.SQL, "op3_ngram_jaccard_join": ngram_join.SQL}
