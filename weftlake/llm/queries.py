@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from weftlake.llm import lang_id, license_scan, line_dedup, main_text, mixing, ngram_join, pieces, url_filter
+from weftlake.llm import edit_embedding, lang_id, license_scan, line_dedup, main_text, mixing, ngram_join, pieces, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
     "op5_source_mixing": mixing.op5_source_mixing,
+    "op4_document_fingerprints": edit_embedding.op4_document_fingerprints,
     "op7_license_scans": license_scan.op7_license_scans,
     "op8_language_id": lang_id.op8_language_id,
     "op9_html_extraction": main_text.op9_html_extraction,
