@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftlake.llm import edit_embedding, lang_id, license_scan, line_dedup, main_text, mixing, ngram_join, pieces, url_filter
+from weftlake.llm import edit_embedding, lang_id, license_scan, line_dedup, main_text, mixing, ngram_join, pieces, url_filter, vector_dedup
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
@@ -10,9 +10,10 @@ QUERIES = {
     "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op4_document_fingerprints": edit_embedding.op4_document_fingerprints,
+    "op6_embedding_dedup": vector_dedup.op6_embedding_dedup,
     "op7_license_scans": license_scan.op7_license_scans,
     "op8_language_id": lang_id.op8_language_id,
     "op9_html_extraction": main_text.op9_html_extraction,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
-SQL = {"op1_url_filters": url_filter.SQL, "op3_ngram_jaccard_join": ngram_join.SQL}
+SQL = {"op1_url_filters": url_filter.SQL, "op3_ngram_jaccard_join": ngram_join.SQL, "op6_embedding_dedup": vector_dedup.SQL}
