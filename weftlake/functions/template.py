@@ -150,56 +150,50 @@ def _parse(source: str) -> list:
         at = m.end()
     tail = source[at:]
     pieces.append(("text", tail.lstrip() if pieces and pieces[-1][0] == "action" and pieces[-1][2] else tail))
-    root: list = []
-    stack = [root]
-    for piece in pieces:
-        if piece[0] == "text":
-            if piece[1]:
-                stack[-1].append(piece)
-            continue
-        head, _, rest = piece[1].partition(" ")
-        if head in ("if", "range", "with"):
-            body: list = []
-            stack[-1].append((head, _WORD.findall(rest), body, []))
-            stack.append(body)
-        elif head == "else":
-            stack.pop()
-            if not stack:
-                raise TemplateError("else without a block")
-            block = stack[-1][-1]
-            other = block[3]
-            kind, _, condition = rest.partition(" ")
+    place = 0
+
+    def block() -> tuple[list, str | None]:
+        """Steps up to the next else or end, and that action."""
+        nonlocal place
+        steps: list = []
+        while place < len(pieces):
+            piece = pieces[place]
+            place += 1
+            if piece[0] == "text":
+                if piece[1]:
+                    steps.append(piece)
+                continue
+            head, _, rest = piece[1].partition(" ")
+            if head in ("if", "range", "with"):
+                steps.append(branch(head, rest))
+            elif head in ("else", "end"):
+                return steps, piece[1]
+            else:
+                steps.append(("show", _WORD.findall(piece[1])))
+        return steps, None
+
+    def branch(head: str, condition: str) -> tuple:
+        """A block with its alternative; an else-if is a block of its own that takes the end along."""
+        body, closing = block()
+        other: list = []
+        if closing is None:
+            raise TemplateError("a block is not closed")
+        if closing != "end":
+            kind, _, further = closing.removeprefix("else").strip().partition(" ")
             if kind in ("if", "with"):
-                body = []
-                other.append((kind, _WORD.findall(condition), body, []))
-                stack[-1][-1] = (*block[:3], other)
-                # the nested block shares its parent's end
-                other[0] = (kind, _WORD.findall(condition), body, other[0][3])
-                stack.append(_Chain(body, other))
+                other = [branch(kind, further)]
             else:
-                stack.append(other)
-        elif head == "end":
-            if len(stack) < 2:
-                raise TemplateError("end without a block")
-            stack.pop()
-        else:
-            stack[-1].append(("show", _WORD.findall(piece[1])))
-    if len(stack) != 1:
-        raise TemplateError("a block is not closed")
+                other, closing = block()
+                if closing != "end":
+                    raise TemplateError("a block is not closed")
+        return head, _WORD.findall(condition), body, other
+
+    root, closing = block()
+    if closing is not None:
+        raise TemplateError(f"{closing} without a block")
     return root
 
 
-class _Chain(list):
-    """The body of an else-if: a further else belongs to its block."""
-
-    def __init__(self, body: list, other: list):
-        super().__init__()
-        self.body, self.other = body, other
-
-    def append(self, x) -> None:
-        self.body.append(x)
-
-
 def _value(words: list[str], dot, names: dict):
     """The value of a pipeline."""
     at = 0
