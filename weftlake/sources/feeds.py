@@ -10,6 +10,7 @@ from xml.sax.saxutils import quoteattr
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftlake.functions.text import first_non_empty, guid_of, trimmed
 from weftlake.functions.values import feed_date
@@ -22,7 +23,7 @@ RDF = "channel struct<title:string,link:string,description:string>, item array<s
 _OPTIONS = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "valueTag": "_VALUE", "attributePrefix": "_"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescaped(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else html.unescape(t))
 
