@@ -111,16 +111,16 @@ def reading_time(words: Column) -> Column:
 
 
 def format_count(n: Column) -> Column:
-    """Thousands with k, millions with M, to one decimal. Ties are rounded half to even on the binary value, so
-    tenths are exact integer arithmetic: n has no fraction, and x.x5 is a tie only where 5 divides it in binary."""
+    """Thousands with k, millions with M, to one decimal. Rounding is that of the binary value, ties to even: its bits
+    are scaled to an integer and compared with the midpoint exactly. Counts up to 10**12."""
 
     def scaled(unit: int) -> Column:
         tenth = unit // 10
         q, r = F.floor(n / tenth), F.pmod(n, F.lit(tenth))
-        exact = F.pmod(q * tenth + r, F.lit(unit // 4)) == 0  # x.25 and x.75 are exact in binary, other ties lie to one side
         value = n.cast("double") / unit
-        double_tie = (value * 4 == F.floor(value * 4)) & exact
-        up = (r * 2 > tenth) | ((r * 2 == tenth) & F.when(double_tie, F.pmod(q, F.lit(2)) == 1).otherwise(value > ((q.cast("decimal(38,0)") * 2 + 1).cast("decimal(38,10)") / 20).cast("double")))
+        power = F.when(value < 1024, F.lit(2.0**52)).otherwise(F.lit(2.0**42))
+        bits, middle = (value * power).cast("long").cast("decimal(38,0)") * 20, power.cast("long").cast("decimal(38,0)") * (q * 2 + 1)
+        up = (r * 2 > tenth) | ((r * 2 == tenth) & ((bits > middle) | ((bits == middle) & (F.pmod(q, F.lit(2)) == 1))))
         t = q + F.when(up, 1).otherwise(0)
         return F.concat(F.floor(t / 10).cast("string"), F.lit("."), F.pmod(t, F.lit(10)).cast("string"))
 
