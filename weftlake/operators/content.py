@@ -39,7 +39,7 @@ def in_ad(nodes: list[Node], i: int) -> bool:
 
 def elements(nodes: list[Node], i: int, *tags: str):
     """Indices under i, in document order, of elements with one of the tags."""
-    for j in range(i + 1, nodes[i].end):
+    for j in range(i + 1, nodes[i].end if nodes else 0):
         if nodes[j].tag in tags:
             yield j
 
