@@ -180,12 +180,13 @@ def overlap(x: np.ndarray, y: np.ndarray, need: int) -> int:
     return int((y[at] == x).sum())
 
 
-def verify(scratch: Scratch, pairs: DataFrame, texts: DataFrame, tokens, num: int, den: int, per_task: int = 512) -> DataFrame:
+def verify(scratch: Scratch, pairs: DataFrame, texts: DataFrame, tokens, num: int, den: int, per_task: int = 512, broadcast: bool = True) -> DataFrame:
     """The pairs (a, b) whose token sets have den * |intersection| >= num * |union|.
 
     texts: (id, text); tokens: list of texts -> list of sorted arrays. Each text goes once to each
     partner it is held against: members travel to their centre b, in salted groups of at most about
-    per_task, so a centre with very many partners is spread out; the centre's text comes first.
+    per_task, so a centre with very many partners is spread out; the centre's text comes first. With
+    broadcast, texts find their ways by broadcast where those are few, else always by shuffle.
     """
     spread = pairs.groupBy("b").agg(F.count("*").alias("n")).select("b", F.ceil(F.col("n") / per_task).cast("int").alias("salts"))
     salted = pairs.join(spread, "b").select("a", "b", F.pmod(F.xxhash64("a", F.lit(7)), F.col("salts")).cast("int").alias("salt"))
@@ -193,7 +194,7 @@ def verify(scratch: Scratch, pairs: DataFrame, texts: DataFrame, tokens, num: in
         salted.select("b", "salt").distinct().select(F.col("b").alias("id"), F.col("b").alias("centre"), "salt", F.lit(0).alias("role"))
     )
     ways = scratch.keep(ways, f"ways-{uuid.uuid4().hex[:8]}")
-    sent = texts.where(F.col("id").isNotNull()).join(small(ways), "id").repartition("centre", "salt").sortWithinPartitions("centre", "salt", "role")
+    sent = texts.where(F.col("id").isNotNull()).join(small(ways) if broadcast else ways.hint("merge"), "id").repartition("centre", "salt").sortWithinPartitions("centre", "salt", "role")
 
     def check(batches):
         key, sets = None, []
