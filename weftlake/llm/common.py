@@ -140,7 +140,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.
     if not len(words):
         return words, np.zeros(len(offsets), np.int64)
     total = np.zeros(len(words), np.uint64)
-    for k in range(width):
+    for k in range(min(width, len(words))):
         total[: len(words) - k] += words[k:] * _W[k]
     row = np.repeat(np.arange(len(counts)), counts)
     left = upto[1:][row] - np.arange(len(words))  # words from here to the row's end
