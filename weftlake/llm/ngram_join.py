@@ -13,6 +13,8 @@ from weftlake.llm.common import Scratch, chunks, components, mix, shingles, smal
 #: Counters in each of the two rows of the frequency sketch: its size does not grow with the corpus.
 SKETCH = 1 << 17
 PARTS = 16
+#: Tokens whose frequency among prefixes is counted exactly and broadcast (9 MB).
+FREQUENT = 1_000_000
 #: Rounds after the first star: all but the last meet a member of a token's main component and one outside, the last holds all remaining pairs.
 ROUNDS = 2
 
@@ -48,23 +50,45 @@ def frequency_classes(texts: DataFrame, text: str) -> np.ndarray:
         total[part] += np.frombuffer(counts, np.int64)
     total = total.reshape(2, SKETCH)
     usual = float(np.median(total)) if total.any() else 0.0
-    return np.clip(2 * np.log2(1 + np.maximum(0, total - usual) / (3 * np.sqrt(usual + 1))), 0, 62).astype(np.uint8)
+    excess = np.where(total - usual > 3 * np.sqrt(usual + 1), total - usual, 0)
+    return _class_of(excess)
 
 
-def ordered(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
+def _class_of(counts: np.ndarray) -> np.ndarray:
+    return np.clip(2 * np.log2(1 + counts), 0, 126).astype(np.uint8)
+
+
+def frequent_tokens(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hash bits and classes of the tokens that most sets have in their prefixes: exact where the sketch is too coarse.
+
+    At most FREQUENT of them, the most frequent; any order of tokens gives the same pairs, a better one fewer candidates.
+    """
+    bits = F.explode("prefix").alias("token")
+    counted = sets.select(bits).select(F.col("token").bitwiseAND(F.lit((1 << 57) - 1)).alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 2")
+    top = counted.orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
+    order = np.argsort(top["token"].to_numpy(np.uint64))
+    return top["token"].to_numpy(np.uint64)[order], _class_of(top["n"].to_numpy(np.float64)[order])
+
+
+def ordered(h: np.ndarray, classes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Shingle hashes as tokens whose order is the global one: rarer classes first, then by hash."""
     a, b = _slots(h)
-    return (np.minimum(classes[0][a], classes[1][b]).astype(np.uint64) << np.uint64(57)) | (h >> np.uint64(7))
+    rank, bits = np.minimum(classes[0][a], classes[1][b]), h >> np.uint64(7)
+    if frequent is not None and len(frequent[0]):
+        at = np.searchsorted(frequent[0], bits)
+        at[at == len(frequent[0])] = 0
+        rank = np.maximum(rank, np.where(frequent[0][at] == bits, frequent[1][at], 0))
+    return (np.minimum(rank, 62).astype(np.uint64) << np.uint64(57)) | bits
 
 
-def document_sets(docs: DataFrame, classes, num: int, den: int) -> DataFrame:
+def document_sets(docs: DataFrame, classes, num: int, den: int, frequent=None) -> DataFrame:
     """(doc_id, n, sig0, sig1, prefix): size, two digests of the set, and its rarest tokens in order."""
 
     def build(batches):
         for batch in batches:
             for row, data, offsets in chunks(batch.column(1)):
                 h, upto = shingles(data, offsets)
-                token = ordered(h, classes.value)
+                token = ordered(h, classes.value, frequent.value if frequent is not None else None)
                 n, sig, prefix = [], [], []
                 for i in range(len(upto) - 1):
                     own = np.unique(token[upto[i] : upto[i + 1]])
@@ -91,7 +115,8 @@ def ngram_groups(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
     shingles and is alone; a null doc_id gets a null component; rows that share a doc_id are one
     vertex. Other columns are ignored; an empty table gives an empty result.
 
-    Steps: equal sets collapse to their smallest doc_id; the rarest tokens of each set are joined;
+    Steps: tokens are ordered by a frequency sketch of all shingles, and by exact counts among the prefixes that
+    it gives; equal sets collapse to their smallest doc_id; the rarest tokens of each set are joined;
     one round links every member of a token's group to the group's best connected set, which joins
     groups of copies at linear cost; the next links strays to varying members of the group; the
     last holds all remaining pairs from different components against each other. Each pair is verified once, on whole texts.
@@ -100,7 +125,10 @@ def ngram_groups(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
     scratch = Scratch(spark, "ngram")
     docs = docs.select("doc_id", "text")
     classes = spark.sparkContext.broadcast(frequency_classes(docs, "text"))
-    sets = scratch.keep(document_sets(docs, classes, num, den), "sets")
+    rough = scratch.keep(document_sets(docs, classes, num, den), "rough")
+    frequent = spark.sparkContext.broadcast(frequent_tokens(rough))
+    scratch.drop("rough")
+    sets = scratch.keep(document_sets(docs, classes, num, den, frequent), "sets")
     full = sets.where("n > 0 and doc_id is not null")
     reps = full.groupBy("sig0", "sig1").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     tokens = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
