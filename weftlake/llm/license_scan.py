@@ -111,3 +111,26 @@ def scan(docs: DataFrame, templates: DataFrame, threshold: tuple[int, int] = (4,
 
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.createDataFrame(TEMPLATES, "label string, words string"))
+
+
+def _sql() -> str:
+    longest = max(len(t.split()) for _, t in TEMPLATES)
+    quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    templates = ", ".join(f"('{label}', {quoted(sorted(set(t.split())))})" for label, t in TEMPLATES)
+    places = ", ".join(f"list_filter(range(0, len(w) - {len(p.split()) - 1}), lambda i: w[i+1:i+{len(p.split())}] = {quoted(p.split())}) as p{n}" for n, (p, _) in enumerate(PHRASES))
+    said = ", ".join(f"case when len(p{n}) > 0 then '{label}' end" for n, (_, label) in enumerate(PHRASES))
+    every = " || ".join(f"p{n}" for n in range(len(PHRASES)))
+    return f"""
+with w as (select row_number() over () as k, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') as w from documents),
+t(label, s) as (values {templates}),
+b as (select k, w[f+1:f+{4 * longest}] as b from (select k, w, unnest(range(0, greatest(len(w), 1), {2 * longest})) as f from w)),
+h as (select k, label, len(list_filter(s, lambda x: list_contains(b, x))) as n, len(s) as m from b, t),
+m as (select k, list(distinct label) as more, max(n / m) as share from h where 5 * n >= 4 * m group by k),
+p as (select k, doc_id, w, {places} from w),
+q as (select k, doc_id, len(w) as n, {every} as places, list_filter([{said}], lambda x: x is not null) as said from p)
+select doc_id, n::bigint as n_words, len(places)::bigint as n_base, list_min(places)::bigint as first_word, list_max(places)::bigint as last_word, array_to_string(list_sort(said), ',') as base_labels,
+  array_to_string(list_sort(list_distinct(said || coalesce(more, []))), ',') as labels, case when len(places) > 0 then 1.0 else coalesce(share, 0.0) end::double as score from q left join m using (k)
+"""
+
+
+SQL = _sql()

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_html_extraction": main_text.op9_html_extraction,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
-SQL = {"op1_url_filters": url_filter.SQL, "op3_ngram_jaccard_join": ngram_join.SQL, "op6_embedding_dedup": vector_dedup.SQL}
+SQL = {"op1_url_filters": url_filter.SQL, "op3_ngram_jaccard_join": ngram_join.SQL, "op6_embedding_dedup": vector_dedup.SQL, "op7_license_scans": license_scan.SQL}
