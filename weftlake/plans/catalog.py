@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftlake.functions import layout, text, urls, values
 from weftlake.functions.latex import latex_text
-from weftlake.operators import content, document, feeds, inspect, links, rules
+from weftlake.operators import content, document, feeds, inspect, links, render, rules, scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -166,6 +166,18 @@ def rule_records(spark, sf_dir):
     return rules.apply_rules(table(spark, sf_dir, "pages"), [rules.Rule(h, {"article": t}) for h in hosts]).select("page_id", "page_type", "record", F.size("links").alias("links"), "text")
 
 
+@query()
+def printed_pages(spark, sf_dir):
+    return render.printed(table(spark, sf_dir, "pages"))
+
+
+@query(f"""select page_id, case when contains(h, '.') then upper(left(split_part(h, '.', 1), 1)) || substr(split_part(h, '.', 1), 2) else h end as site, regexp_matches(h, 'news|times|post|daily|herald|tribune') as link_heavy
+  from (select page_id, regexp_replace(lower({_HOST}), '^www\\.', '') as h from pages)""")
+def site_titles(spark, sf_dir):
+    h = urls.normal_host(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", scoring.site_title(h).alias("site"), scoring.is_link_heavy(h).alias("link_heavy"))
+
+
 # ---- feeds ---------------------------------------------------------------------------------------
 
 
