@@ -95,6 +95,25 @@ def test_line_dedup(spark, documents, no_documents):
     assert texts_out[11].text.split("\n")[0] == "short" and texts_out[11].n_chars == len(texts_out[11].text) and 12 not in texts_out and texts_out[10].text == texts[0] and {1, 2} <= set(texts_out)
 
 
+def test_line_dedup_varied_groups(spark, documents):
+    rng = random.Random(23)
+    lines = []
+    for _ in range(3):
+        base = prose(rng, 20).split()
+        for _ in range(200):
+            w = list(base)
+            for _ in range(rng.randint(1, 3)):
+                w[rng.randrange(20)] = rng.choice(WORDS)
+            lines.append(" ".join(w))
+    lines = sorted(set(lines))
+    got = [r for r in line_dedup.line_groups(documents(lines)).collect() if r.doc_id >= 10]
+    data = np.frombuffer("".join(lines).encode(), np.uint8)
+    keys = line_dedup.band_keys(data, np.r_[0, np.cumsum([len(x) for x in lines])])
+    both = {i: (set(keys[i].tolist()), {x[k : k + 5] for k in range(len(x) - 4)}) for i, x in enumerate(lines)}
+    want = brute_components(list(both), both, lambda a, b: bool(a[0] & b[0]) and 4 * len(a[1] & b[1]) >= 3 * len(a[1] | b[1]))
+    assert {r.doc_id - 10 for r in got if r.kept} == {i for i in want if want[i] == i}
+
+
 def language_rows():
     rng = random.Random(5)
     forms = {"aa": "the and ing tion".split(), "bb": "der und ung keit".split(), "cc": "les que eau ment".split()}

@@ -13,6 +13,8 @@ from weftlake.llm.common import Scratch, chunks, components, mix, small, verify
 SHINGLE, BANDS, ROWS = 5, 8, 5
 #: Lines of fewer characters are headings, list items and the like: they are always kept.
 MIN_CHARS = 20
+#: Rounds that meet picked members of a band's bucket before all remaining pairs are held, and pairs for each member of a bucket up to which all are held at once.
+PICKS, PAIRS_EACH = 3, 4
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -71,6 +73,8 @@ def line_groups(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
 
     Equal lines collapse first. Banding finds near ones with a recall of 0.88 at similarity 0.75, 0.95
     at 0.8 and over 0.99 at 0.9; nothing below the threshold is linked, as every link is verified on whole lines.
+    A band's members meet its smallest id first, which joins groups of copies at linear cost; then members of different
+    components meet picked members, and in the end all members of a band that are still apart are held against each other.
     All joins are by shuffle at every size, so that the plan does not change as the input grows.
     """
     scratch = Scratch(docs.sparkSession, "lines")
@@ -80,6 +84,7 @@ def line_groups(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
 
     def sign(batches):
         for batch in batches:
+            batch = batch.take(pa.array(np.unique(batch.column(0).to_numpy(), return_index=True)[1]))
             for row, data, offsets in chunks(batch.column(1)):
                 keys = band_keys(data, offsets).view(np.int64)
                 ids = batch.column(0).slice(row, len(keys)).to_numpy()
@@ -87,7 +92,8 @@ def line_groups(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
 
     bands = scratch.keep(lines.select(F.xxhash64("line").alias("id"), "line").mapInArrow(sign, "key long, id long"), "bands")
     centres = bands.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("most")).where("b < most").select("key", "b")
-    pairs = scratch.keep(bands.join(scratch.keep(centres, "centres").hint("merge"), "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "pairs")
+    shared = scratch.keep(bands.join(scratch.keep(centres, "centres").hint("merge"), "key"), "shared")
+    pairs = scratch.keep(shared.where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "pairs")
     scratch.drop("bands")
     needed = scratch.keep(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "needed")
     at = firsts.join(needed.hint("merge"), "id", "left_semi").select("id", "first.doc_id", "first.line_no")
@@ -100,8 +106,32 @@ def line_groups(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
             out += [np.unique(h[upto[i] : upto[i + 1]]) for i in range(len(upto) - 1)]
         return out
 
-    links = verify(scratch, pairs, scratch.keep(texts, "texts"), tokenise, num, den, broadcast=False)
-    parts = components(scratch, scratch.keep(links, "links"), "lines")
+    texts = scratch.keep(texts, "texts")
+    links, done, last, turn = scratch.keep(verify(scratch, pairs, texts, tokenise, num, den, broadcast=False), "links"), pairs, False, 0
+    while True:
+        parts = components(scratch, links, f"lines{turn}")
+        if last:
+            break
+        rest = scratch.keep(shared.join(parts.hint("merge"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("part")), f"rest{turn}")
+        by_part = rest.groupBy("key", "part").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "part")).alias("m"), F.sum("k").alias("n"), F.count("*").alias("parts"))
+        mixed = scratch.keep(by_part.where("parts > 1").select("key", F.col("m.part").alias("main"), (F.col("n") * (F.col("n") - F.col("m.k"))).alias("pairs")), f"mixed{turn}")
+        left = mixed.agg(F.sum("pairs").alias("n")).first().n
+        if left is None:
+            break
+        open_ = scratch.keep(rest.join(mixed.select("key", "main").hint("merge"), "key").distinct(), f"open{turn}")
+        last = turn == PICKS or left <= PAIRS_EACH * shared.count()
+        if last:  # all pairs of different components that are left
+            other = open_.where("part <> main").select("key", F.col("id").alias("other"), F.col("part").alias("other_part"))
+            met = open_.join(other.hint("merge"), "key")
+        else:  # members outside the main component meet one member of it and one outside
+            pick = open_.groupBy("key", (F.col("part") == F.col("main")).alias("inside")).agg(F.min(F.struct(F.xxhash64("key", "id", F.lit(turn)).alias("h"), "id", "part")).alias("c"))
+            pick = scratch.keep(pick.select("key", F.col("c.id").alias("other"), F.col("c.part").alias("other_part")), f"pick{turn}")
+            met = open_.where("part <> main").join(pick.hint("merge"), "key")
+        met = met.where("part <> other_part").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
+        met = scratch.keep(met.join(done.hint("merge"), ["a", "b"], "left_anti"), f"pairs{turn}")
+        more = scratch.keep(verify(scratch, met, texts, tokenise, num, den, broadcast=False), f"links{turn}")
+        links, done, turn = links.unionByName(more), done.unionByName(met), turn + 1
+        scratch.drop(f"rest{turn - 1}", f"open{turn - 1}")
     grouped = scratch.keep(firsts.join(parts, "id", "left").select("id", "first", "copies", F.coalesce("component", "id").alias("group")), "grouped")
     keeper = grouped.groupBy("group").agg(F.min("first").alias("keeper"), F.sum("copies").alias("members")).where("members > 1")
     decided = grouped.join(scratch.keep(keeper, "keeper"), "group").select("id", "group", "keeper")
