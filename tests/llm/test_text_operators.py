@@ -114,6 +114,12 @@ def test_line_dedup_varied_groups(spark, documents):
     assert {r.doc_id - 10 for r in got if r.kept} == {i for i in want if want[i] == i}
 
 
+def test_short_lines(documents):
+    got = {(r.doc_id, r.line_no): r for r in line_dedup.line_groups(documents(["Les.\nAnd ornd.\n\nx", " Les.\nx\nLex."])).collect()}
+    assert {k for k in got if k[0] >= 10} == {(10, 0), (10, 1), (10, 3), (11, 0), (11, 1), (11, 2)}
+    assert {k for k, r in got.items() if not r.kept} == {(11, 0), (11, 1)} and got[11, 0].group == got[10, 0].group
+
+
 def language_rows():
     rng = random.Random(5)
     forms = {"aa": "the and ing tion".split(), "bb": "der und ung keit".split(), "cc": "les que eau ment".split()}

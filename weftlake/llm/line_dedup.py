@@ -11,8 +11,10 @@ from weftlake.llm.common import Scratch, chunks, components, mix, small, verify
 
 #: Characters in a shingle; bands and rows of the signature.
 SHINGLE, BANDS, ROWS = 5, 8, 5
-#: Lines of fewer characters are headings, list items and the like: they are always kept.
-MIN_CHARS = 20
+#: Empty lines are left out; all others are compared, one shorter than a shingle as one shingle.
+MIN_CHARS = 1
+#: The pipeline stage removes no line of fewer characters: headings, list items and the like.
+STAGE_MIN_CHARS = 20
 #: Rounds that meet picked members of a band's bucket before all remaining pairs are held, and pairs for each member of a bucket up to which all are held at once.
 PICKS, PAIRS_EACH = 3, 4
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -56,14 +58,14 @@ def _trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
-def split_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, line_no, line): every line of every whole text, trimmed; those too short to count are left out."""
+def split_lines(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, line_no, line): every line of every whole text, trimmed; those under min_chars, by default the empty ones, are left out."""
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", "line_no", _trimmed(F.col("line")).alias("line")).where(F.length("line") >= MIN_CHARS)
+    return lines.select("doc_id", "line_no", _trimmed(F.col("line")).alias("line")).where(F.length("line") >= min_chars)
 
 
-def line_groups(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
-    """(doc_id, line_no, group, kept) for every line of at least MIN_CHARS characters, trimmed.
+def line_groups(docs: DataFrame, num: int = 3, den: int = 4, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, line_no, group, kept) for every line of at least min_chars characters, trimmed; by default every line that is not empty.
 
     Lines are near duplicates when their character shingles have Jaccard similarity num / den or more;
     group is the 64-bit hash that names the component; kept is true for its first line in
@@ -78,7 +80,7 @@ def line_groups(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
     All joins are by shuffle at every size, so that the plan does not change as the input grows.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = split_lines(docs.where("doc_id is not null").select("doc_id", "text"))
+    lines = split_lines(docs.where("doc_id is not null").select("doc_id", "text"), min_chars=min_chars)
     where = scratch.keep(lines.select("doc_id", "line_no", F.xxhash64("line").alias("id")), "where")
     firsts = scratch.keep(where.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies")), "firsts")
 
@@ -145,8 +147,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicate lines one stays; a document left without text goes, n_chars follows the text."""
-    gone = line_groups(docs).where("not kept").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line_no").alias("gone_lines"))
+    """Pipeline stage: of each group of near-duplicate lines one stays, as do all lines under STAGE_MIN_CHARS; a document left without text goes, n_chars follows the text."""
+    gone = line_groups(docs, min_chars=STAGE_MIN_CHARS).where("not kept").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line_no").alias("gone_lines"))
     gone = Scratch(spark, "lines-stage").keep(gone, "gone")
     joined = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left")
     lines = F.split(F.col("text"), "\n")
