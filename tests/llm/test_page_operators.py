@@ -67,6 +67,15 @@ def test_main_text(spark):
     assert main_text.main_text(df.limit(0)).count() == 0
 
 
+def test_template_in_articles(spark):
+    page = "<article><h1>Title {0}</h1><p>Text {0} is its own.</p><p>A passage that all share.</p><div class='x'><p>Read our terms.</p></div></article>"
+    copy = "<article><h1>One report</h1><p>Edition {0}.</p><table><tr><td>Data of the report</td></tr></table></article>"
+    rows = [(k, f"http://a.com/{k}", page.format(k)) for k in range(30)] + [(100 + k, f"http://b.com/{k}", copy.format(k)) for k in range(30)]
+    by = {r.page_id: r.text for r in main_text.main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert all(by[k] == f"Title {k}\nText {k} is its own.\nA passage that all share." for k in range(30))
+    assert all(by[100 + k] == f"One report\nEdition {k}.\nData of the report" for k in range(30))
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((30, 64))

@@ -22,6 +22,9 @@ BESIDE = re.compile(
 )
 _BREAKS = BLOCK | frozenset("body html td th tr tbody thead tfoot caption option".split())
 _WHITE = re.compile(r"\s+")
+#: Blocks that may be template inside an article; headings, by which articles are told apart.
+CONTAINERS = frozenset("div section ul ol dl table figure details address center".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Pages of a host on which a subtree must recur, and the share of the host's pages.
 MIN_PAGES, MIN_SHARE = 5, 0.2
 
@@ -73,17 +76,28 @@ def _digest(nodes: list[Node], i: int) -> int:
     return int.from_bytes(h.digest(), "big", signed=True)
 
 
-def _template_candidates(nodes: list[Node]) -> dict[int, int]:
-    """Digest of each element that may be template: blocks with text outside an article or main element.
+def _bits(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
-    What stands in an article is the page's own even if other pages have the same passage; so a page
-    with an article needs no candidates, and only pages without one rely on their host.
+
+def _text(nodes: list[Node], start: int, end: int) -> str:
+    return _WHITE.sub(" ", " ".join(nodes[j].text for j in range(start, end) if nodes[j].tag == "#text")).strip()
+
+
+def _template_candidates(nodes: list[Node]) -> dict[int, tuple[int, int | None]]:
+    """Digest of each element that may be template, and what tells its page from copies.
+
+    Outside an article or main element these are all blocks with text, and each page counts. Inside one, paragraphs
+    and headings are the page's own even if other pages have the same passage; containers may be template, with their
+    path of tags as part of the digest. There a block counts once for each wording of the article's headings (without any: of its text) around
+    it, so that the lists and tables of an article that is published many times stay.
     """
     roots = _root(nodes)
-    out: dict[int, int] = {}
+    out: dict[int, tuple[int, int | None]] = {}
     for r in roots:
-        if nodes[r].tag == "article" or nodes[r].tag == "main" or nodes[r].attrs.get("role") == "main":
-            continue
+        own = nodes[r].tag == "article" or nodes[r].tag == "main" or nodes[r].attrs.get("role") == "main"
+        headings = [(j, _text(nodes, j, nodes[j].end)) for j in range(r, nodes[r].end) if nodes[j].tag in _HEADINGS] if own else []
+        path: list[int] = []
         i = r + 1
         while i < nodes[r].end:
             n = nodes[i]
@@ -92,8 +106,15 @@ def _template_candidates(nodes: list[Node]) -> dict[int, int]:
             elif _beside(n):
                 i = n.end
             else:
-                if n.tag in _BREAKS and any(nodes[j].tag == "#text" and not nodes[j].text.isspace() for j in range(i + 1, n.end)):
-                    out[i] = _digest(nodes, i)
+                while path and nodes[path[-1]].end <= i:
+                    path.pop()
+                if n.tag in (CONTAINERS if own else _BREAKS) and any(nodes[j].tag == "#text" and not nodes[j].text.isspace() for j in range(i + 1, n.end)):
+                    if own:
+                        around = "\0".join(t for j, t in headings if not i <= j < n.end) or f"{_text(nodes, r, i)}\0{_text(nodes, n.end, nodes[r].end)}"
+                        out[i] = (_bits(f"{_digest(nodes, i)} {'/'.join(nodes[j].tag for j in path)}"), _bits(around))
+                    else:
+                        out[i] = (_digest(nodes, i), None)
+                path.append(i)
                 i += 1
     return out
 
@@ -101,7 +122,7 @@ def _template_candidates(nodes: list[Node]) -> dict[int, int]:
 def extract_text(source: str | None, template: set | frozenset = frozenset()) -> str:
     """Main text of one page; template holds digests of subtrees to leave out."""
     nodes = _tree(source)
-    gone = {i for i, h in _template_candidates(nodes).items() if h in template} if template else set()
+    gone = {i for i, (h, _) in _template_candidates(nodes).items() if h in template} if template else set()
     blocks: list[str] = []
     parts: list[str] = []
 
@@ -144,9 +165,10 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     """(page_id, url, text, n_chars) for every row of pages(page_id, url, html, ...).
 
     Elements that are never content go (menus, headers, footers, sidebars, notices, adverts, forms,
-    scripts, reader comments, by tag, class, id and role). On pages without an article or main element, subtrees go as well
+    scripts, reader comments, by tag, class, id and role). Subtrees go as well
     that recur on at least min_pages pages and min_share of all pages of their host: all
-    are hashed and counted over the whole table. A null or empty html has an empty text; a null
+    are hashed and counted over the whole table. In an article or main element these are containers only, counted by
+    articles of different headings. A null or empty html has an empty text; a null
     url counts as the host ''; repeated rows count as pages and each give a row. Pages nested too deeply are read flat.
     """
     scratch = Scratch(pages.sparkSession, "template")
@@ -155,25 +177,29 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
 
     def count(batches):
         for batch in batches:
-            hosts, hashes = [], []
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = set(_template_candidates(_tree(source)).values())
-                hosts += [host] * len(own)
-                hashes += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "hash"])
-
-    seen = rows.select("host", "html").mapInArrow(count, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+            found = [
+                (host, key, *found)
+                for host, key, source in zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                for found in set(_template_candidates(_tree(source)).values())
+            ]
+            hosts, keys, hashes, around = zip(*found, strict=True) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(around, pa.int64())], ["host", "key", "hash", "around"])
+
+    blocks = scratch.keep(rows.select("host", F.xxhash64("html").alias("key"), "html").mapInArrow(count, "host string, key long, hash long, around long"), "blocks")
+    # a page has a block once, or counts once with all that have the same headings around it
+    seen = blocks.groupBy("host", "hash", "around").agg(F.count("*").alias("n"))
+    seen = seen.groupBy("host", "hash").agg(F.sum(F.when(F.col("around").isNull(), F.col("n")).otherwise(1)).alias("n")).where(F.col("n") >= min_pages)
     sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
     common = scratch.keep(scratch.keep(seen, "seen").join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "hash"), "common")
-    # a host has at most 1 / min_share common subtrees for each of a page's subtrees, so a list of them is bounded
-    lists = common.groupBy("host").agg(F.collect_set("hash").alias("template"))
+    # each page has a list of its own template subtrees, which does not grow with its host
+    lists = blocks.join(small(common), ["host", "hash"]).groupBy("host", "key").agg(F.collect_set("hash").alias("template"))
 
     def extract(batches):
         for batch in batches:
             texts = [extract_text(s, frozenset(t or ())) for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    joined = rows.join(small(scratch.keep(lists, "lists"), 20_000), "host", "left").select("page_id", "url", "html", "template")
+    joined = rows.withColumn("key", F.xxhash64("html")).join(small(scratch.keep(lists, "lists"), 20_000), ["host", "key"], "left").select("page_id", "url", "html", "template")
     kind = pages.schema["page_id"].dataType.simpleString()
     out = joined.mapInArrow(extract, f"page_id {kind}, url string, text string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
