@@ -76,6 +76,14 @@ def test_template_in_articles(spark):
     assert all(by[100 + k] == f"One report\nEdition {k}.\nData of the report" for k in range(30))
 
 
+def test_template_of_a_section(spark):
+    rows = [(k, f"http://a.com/{k}", f"<body><div><p>Text {k} is its own.</p></div>" + "<div>Section of sports</div>" * (k < 25)) for k in range(200)]
+    rows += [(1000 + k, f"http://b.com/{k}", f"<body><p>Text {k}.</p>" + "<div>Four pages say so</div>" * (k < 4)) for k in range(10)]
+    by = {r.page_id: r.text for r in main_text.main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert all(by[k] == f"Text {k} is its own." for k in range(200))
+    assert all(by[1000 + k].endswith("Four pages say so") for k in range(4))
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((30, 64))

@@ -25,8 +25,8 @@ _WHITE = re.compile(r"\s+")
 #: Blocks that may be template inside an article; headings, by which articles are told apart.
 CONTAINERS = frozenset("div section ul ol dl table figure details address center".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Pages of a host on which a subtree must recur, and the share of the host's pages.
-MIN_PAGES, MIN_SHARE = 5, 0.2
+#: Pages of a host on which a subtree must recur with the share of the host's pages, and pages that are many on any host.
+MIN_PAGES, MIN_SHARE, MANY_PAGES = 5, 0.2, 20
 
 
 def _beside(n: Node) -> bool:
@@ -161,12 +161,12 @@ def extract_text(source: str | None, template: set | frozenset = frozenset()) ->
     return "\n".join(blocks)
 
 
-def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages(page_id, url, html, ...).
 
     Elements that are never content go (menus, headers, footers, sidebars, notices, adverts, forms,
     scripts, reader comments, by tag, class, id and role). Subtrees go as well
-    that recur on at least min_pages pages and min_share of all pages of their host: all
+    that recur on at least many_pages pages of their host, or on min_pages and min_share of its pages: all
     are hashed and counted over the whole table. In an article or main element these are containers only, counted by
     articles of different headings. A null or empty html has an empty text; a null
     url counts as the host ''; repeated rows count as pages and each give a row. Pages nested too deeply are read flat.
@@ -190,7 +190,7 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     seen = blocks.groupBy("host", "hash", "around").agg(F.count("*").alias("n"))
     seen = seen.groupBy("host", "hash").agg(F.sum(F.when(F.col("around").isNull(), F.col("n")).otherwise(1)).alias("n")).where(F.col("n") >= min_pages)
     sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    common = scratch.keep(scratch.keep(seen, "seen").join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "hash"), "common")
+    common = scratch.keep(scratch.keep(seen, "seen").join(sizes, "host").where((F.col("n") >= many_pages) | (F.col("n") >= min_share * F.col("pages"))).select("host", "hash"), "common")
     # each page has a list of its own template subtrees, which does not grow with its host
     lists = blocks.join(small(common), ["host", "hash"]).groupBy("host", "key").agg(F.collect_set("hash").alias("template"))
 
