@@ -194,6 +194,18 @@ def test_permutation(spark):
         assert sorted(r.p for r in got) == list(range(n)) and all(r.back == r.i for r in got)
 
 
+def test_shards_are_multinomial(spark, documents):
+    docs = spark.range(1200).select("id", F.repeat(F.lit("w "), 64 * 32).alias("text"), F.when(F.col("id") < 60, "a").when(F.col("id") < 500, "b").otherwise("c").alias("source"))
+    got = mixing.mixture(docs.withColumnRenamed("id", "doc_id")).select("doc_id", F.explode("places").alias("p")).select(F.when(F.col("doc_id") < 60, "a").when(F.col("doc_id") < 500, "b").otherwise("c").alias("source"), "p.*")
+    slots = got.select("source", "shard", "slot").distinct().groupBy("shard", "source").count().collect()
+    shards = max(r.shard for r in slots)  # the last one is not full
+    assert shards >= 30
+    for source in "abc":
+        n = np.array([next((r["count"] for r in slots if (r.shard, r.source) == (k, source)), 0) for k in range(shards)])
+        p = n.mean() / mixing.SHARD
+        assert 0.6 < n.std() / np.sqrt(mixing.SHARD * p * (1 - p)) < 1.5
+
+
 def test_pieces_match_library(spark, documents, no_documents):
     import sentencepiece
 

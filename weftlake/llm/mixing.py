@@ -8,8 +8,8 @@ from pyspark.sql import window as W
 
 from weftlake.llm.common import Scratch, small
 
-#: Words in a block, blocks in an output shard, rounds of the index permutation.
-BLOCK, SHARD, ROUNDS = 64, 1024, 4
+#: Words in a block, blocks in an output shard, rounds of the index permutation and times it is taken at most.
+BLOCK, SHARD, ROUNDS, WALK = 64, 1024, 8, 64
 #: Documents of a source that one task puts in order.
 PER_BUCKET = 20_000
 _SPACE = r"\x20\x09-\x0D"
@@ -20,16 +20,33 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{_SPACE}]+")), F.lit(0)).cast("long")
 
 
+def _walked(index: Column, n: Column, once) -> Column:
+    """once, a permutation of a grid of just over n places, taken until it is below n. Fewer than ceil(sqrt(n)) places
+    are beyond n, so WALK times always do for n up to WALK ** 2; above, a place stays beyond n each time by a chance under 1 / WALK."""
+    first = once(index)
+    return F.when(first < n, first).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda x, _: F.when(x < n, x).otherwise(once(x))))
+
+
+def _grid(n: Column) -> tuple[Column, Column]:
+    high = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    return high, F.ceil(n / high).cast("long")
+
+
 def _permuted(index: Column, n: Column, key: Column) -> Column:
-    """A pseudorandom permutation of 0..n-1, keyed: ROUNDS rounds that alternately shift by a hashed offset
-    and reverse or rotate hashed stretches; every round is a bijection on 0..n-1, so no walking is needed."""
-    out = index
-    for r in range(ROUNDS):
-        turn = F.pmod(F.xxhash64(key, F.lit(r)), n)
-        swap = F.pmod(turn - out, n)  # swap-or-not: the partner of each index under this round
-        high = F.greatest(out, swap)
-        out = F.when(F.pmod(F.xxhash64(key, F.lit(r), high), F.lit(2)) == 1, swap).otherwise(out)
-    return out
+    """A pseudorandom permutation of 0..n-1, keyed: an index is a row and a column of a grid; ROUNDS rounds
+    shift one of them by a hash of the other, which is a bijection each time."""
+    high, low = _grid(n)
+
+    def once(x: Column) -> Column:
+        row, col = F.floor(x / low), F.pmod(x, low)
+        for r in range(ROUNDS):
+            if r % 2:
+                col = F.pmod(col + F.pmod(F.xxhash64(key, F.lit(r), row), low), low)
+            else:
+                row = F.pmod(row + F.pmod(F.xxhash64(key, F.lit(r), col), high), high)
+        return row * low + col
+
+    return _walked(index, n, once)
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -112,25 +129,34 @@ def mix_blocks(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame, Sc
 
 
 def _permuted_back(index: Column, n: Column, key: Column) -> Column:
-    """The inverse of _permuted: each round is its own inverse, so they are taken in reverse."""
-    out = index
-    for r in reversed(range(ROUNDS)):
-        swap = F.pmod(F.pmod(F.xxhash64(key, F.lit(r)), n) - out, n)
-        out = F.when(F.pmod(F.xxhash64(key, F.lit(r), F.greatest(out, swap)), F.lit(2)) == 1, swap).otherwise(out)
-    return out
+    """The inverse of _permuted: the rounds are taken back in reverse."""
+    high, low = _grid(n)
+
+    def once(x: Column) -> Column:
+        row, col = F.floor(x / low), F.pmod(x, low)
+        for r in reversed(range(ROUNDS)):
+            if r % 2:
+                col = F.pmod(col - F.pmod(F.xxhash64(key, F.lit(r), row), low), low)
+            else:
+                row = F.pmod(row - F.pmod(F.xxhash64(key, F.lit(r), col), high), high)
+        return row * low + col
+
+    return _walked(index, n, once)
 
 
 def mixture(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of docs(doc_id, text, source, ...).
+    """(doc_id, size, source_size, target, taken, places) for every row of docs(doc_id, text, source, ...).
+
+    places: (turn, shard, slot, first, last) for each output slot that takes words of the document, in order.
 
     A null text has size 0 and is taken 0 times; a null source is a source of its own; repeated rows
     follow each other in their source's stream and are taken separately. An empty table gives none.
     """
     documents, uses, _ = mix_blocks(docs, seed)
-    sums = uses.groupBy("source_no", "offset").agg(F.sum(F.col("last") - F.col("first")).alias("got"))
-    place = sums.select(F.col("source_no").alias("s"), F.col("offset").alias("o"), "got")
+    sums = uses.groupBy("source_no", "offset").agg(F.sum(F.col("last") - F.col("first")).alias("got"), F.sort_array(F.collect_list(F.struct("turn", "shard", "slot", "first", "last"))).alias("places"))
+    place = sums.select(F.col("source_no").alias("s"), F.col("offset").alias("o"), "got", "places")
     joined = documents.join(place, (F.col("source_no") == F.col("s")) & (F.col("offset") == F.col("o")) & (F.col("size") > 0), "left")
-    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
+    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"), F.coalesce("places", F.array().cast("array<struct<turn:bigint,shard:bigint,slot:bigint,first:bigint,last:bigint>>")).alias("places"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
