@@ -183,3 +183,14 @@ def test_document(spark):
     assert document.jump_labels(2) == ["a", "b"] and len(set(document.jump_labels(100))) == 100
     e = inspect.inspect(spark.createDataFrame([(1, PAGE)], "page_id int, html string"))
     assert {r.tag: r.shown for r in e.collect()}["nav"] is False and inspect.visible_blocks(e).where("tag = 'p'").count() == 1
+
+
+def test_rule_records_of_all_hosts(spark, tmp_path):
+    from weftlake.plans import catalog
+
+    page = "<nav><li><a href='/x'>x</a></li></nav><article><h1>Title {0}</h1></article>"
+    rows = [(k, f"http://www.h{k % 3}.com/{k}", page.format(k)) for k in range(7)]
+    spark.createDataFrame(rows, "page_id int, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r for r in catalog.rule_records(spark, str(tmp_path)).collect()}
+    assert {k: r.text for k, r in got.items()} == {k: f"Title {k}: 1" for k in range(7)}
+    assert '"_domain": "h2.com"' in got[2].record

@@ -207,18 +207,18 @@ def pick_page_type(rule: Rule, url: str, nodes: list[Node]) -> str | None:
     return next((n for n in sorted(rule.page_types) if rule.page_types[n].default), None)
 
 
-def apply_rules(pages: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(page_id, url, page_type, record, links, text): what the rule of each page's host extracts.
+def apply_rules(pages: DataFrame, rules: list[Rule], default: Rule | None = None) -> DataFrame:
+    """(page_id, url, page_type, record, links, text): what the rule of each page's host extracts, or default for a host without one.
 
     The record is JSON, as rules differ in their fields; from_json with output_type() of a
     rule's compiled selectors types it. Pages whose host has no rule, or of no fitting type, give no row.
-    Only the rows of hosts that have a rule reach Python; rules are configuration and travel with the plan.
+    Without a default, only the rows of hosts that have a rule reach Python; rules are configuration and travel with the plan.
     """
     from weftlake.functions.urls import normal_host
 
     by_host = {re.sub(r"^www\.", "", r.domain.lower()): r for r in rules}
-    programs = {(h, n): compile_selectors(t.selectors) for h, r in by_host.items() for n, t in r.page_types.items()}
-    rows = pages.select("page_id", "url", normal_host(F.col("url")).alias("host"), "html").where(F.col("host").isin(*by_host) if by_host else F.lit(False))
+    programs = {(h, n): compile_selectors(t.selectors) for h, r in [*by_host.items(), *([(None, default)] if default else [])] for n, t in r.page_types.items()}
+    rows = pages.select("page_id", "url", normal_host(F.col("url")).alias("host"), "html").where(F.col("host").isNotNull() if default else F.col("host").isin(*by_host) if by_host else F.lit(False))
 
     def run(batches):
         for batch in batches:
@@ -228,11 +228,11 @@ def apply_rules(pages: DataFrame, rules: list[Rule]) -> DataFrame:
                     nodes = parse(source)
                 except ValueError:
                     continue
-                rule = by_host[host]
+                rule = by_host.get(host, default)
                 name = pick_page_type(rule, url, nodes)
                 if name is None:
                     continue
-                record = extract(nodes, programs[host, name]) | {"_domain": host, "_url": url, "_pageType": name}
+                record = extract(nodes, programs[host if host in by_host else None, name]) | {"_domain": host, "_url": url, "_pageType": name}
                 try:
                     text = render(rule.page_types[name].template, record) if rule.page_types[name].template else ""
                 except TemplateError:

@@ -162,8 +162,7 @@ def rule_quality(spark, sf_dir):
 @query()
 def rule_records(spark, sf_dir):
     t = rules.PageType({"Menu": "nav li[]", "Menu.text": "a", "Title": "article h1"}, has_selector="article", template="{{.Title}}: {{len .Menu}}")
-    hosts = [r.host for r in table(spark, sf_dir, "pages").groupBy(urls.normal_host(F.col("url")).alias("host")).count().orderBy(F.desc("count"), "host").limit(1).collect()]
-    return rules.apply_rules(table(spark, sf_dir, "pages"), [rules.Rule(h, {"article": t}) for h in hosts]).select("page_id", "page_type", "record", F.size("links").alias("links"), "text")
+    return rules.apply_rules(table(spark, sf_dir, "pages"), [], rules.Rule("", {"article": t})).select("page_id", "page_type", "record", F.size("links").alias("links"), "text")
 
 
 @query()
