@@ -46,8 +46,8 @@ def test_resolve(spark, base, href, want):
 
 
 def test_omnibox(spark):
-    got = column(spark, ["", "help", "rss", "browse://x", "ai", "ai: why?", "dict hello", "d:word", "wp cats", "gh:spark", "example.com", "localhost:80", "two words"], urls.omnibox)
-    assert got[0].url == "" and got[1].url == "browse://help" and got[2].url == "rss://" and got[3].url == "browse://x"
+    got = column(spark, ["", "help", "rss", "app://x", "ai", "ai: why?", "dict hello", "d:word", "wp cats", "gh:spark", "example.com", "localhost:80", "two words"], urls.omnibox)
+    assert got[0].url == "" and got[1].url == "app://help" and got[2].url == "rss://" and got[3].url == "app://x"
     assert got[4].is_ai_summary and got[5].ai_prompt == "why?" and got[6].dict_word == "hello" and got[7].is_dict_lookup
     assert (got[8].provider, got[8].query, got[8].use_internal) == ("Wikipedia", "cats", True) and got[9].provider == "GitHub"
     assert got[10].url == "https://example.com" and got[11].url == "https://localhost:80" and got[12].provider == "Search"
@@ -113,8 +113,9 @@ def test_layout():
     assert layout.justify("a b c", 7) == "a  b  c"
     assert layout.align("x", 5, "center") == "  x  " and layout.align("x", 3, "right") == "  x"
     assert layout.truncate("hello world", 8) == "hello..."
-    assert layout.chunks("one\n\n" + "word " * 300, 500)[0] == "one"
-    assert all(len(c.encode()) <= 500 for c in layout.chunks("wörd " * 300, 500))
+    got = column(spark, ["one\n\n" + "word " * 300, "wörd " * 300, "", " \n\n x" * 2 + "y" * 600, None], layout.chunked)
+    assert got[0][0] == "one" and all(len(c.encode()) <= 500 for c in got[0] + got[1]) and " ".join(got[1]) == ("wörd " * 300).strip()
+    assert got[2] == [] and got[3] == ["x", "x" + "y" * 600] and got[4] is None
     assert layout.draw_table([["a", "b"], ["1", "22"]]).split("\n")[1] == "│ a   │ b   │"
     assert layout.plain("\x1b[1mx\x1b[0m  \n\n\n") == "x\n"
 

@@ -57,7 +57,8 @@ def attributes(source: str) -> dict[str, str]:
 
 
 class _Builder:
-    def __init__(self):
+    def __init__(self, max_depth: int):
+        self.max_depth = max_depth
         self.nodes: list[Node] = []
         self.open: list[int] = []
         self.marks: list[tuple[str, dict]] = []  # formatting elements that are still in force
@@ -65,7 +66,7 @@ class _Builder:
 
     def push(self, tag: str, attrs: dict | None = None) -> None:
         parent = self.open[-1] if self.open else -1
-        if len(self.open) >= MAX_DEPTH:
+        if len(self.open) >= self.max_depth:
             raise ValueError("nesting too deep")
         self.nodes.append(Node(tag, parent, len(self.open), attrs))
         if tag not in VOID:
@@ -186,13 +187,13 @@ class _Builder:
                 return
 
 
-def parse(source: str | None) -> list[Node]:
-    """Nodes of a page in document order: elements, `#text` and `#comment`. Nesting beyond MAX_DEPTH raises ValueError.
+def parse(source: str | None, max_depth: int = MAX_DEPTH) -> list[Node]:
+    """Nodes of a page in document order: elements, `#text` and `#comment`. Nesting beyond max_depth raises ValueError.
 
     html, head and body are implied; p, li, dt, dd, table parts and options close where HTML implies it;
     formatting that a block closes is opened again. Text of raw elements is kept as their child.
     """
-    out = _Builder()
+    out = _Builder(max_depth)
     source = source or ""
     at = 0
     while True:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Scheme of an engine's own pages (home, help), unless another is named.
+INTERNAL = "app"
 #: Fixed values.
-ABSOLUTE_SCHEMES = ["http://", "https://", "rss://", "browse://", "dict://", "hn://"]
+ABSOLUTE_SCHEMES = ["http://", "https://", "rss://", "dict://", "hn://"]
 URL_ENDINGS = [".com", ".org", ".net", ".io", ".dev", ".co", ".me", ".app", ".edu", ".gov", ".uk", ".de", ".fr", ".jp", ".au", ".ca", ".info", ".biz", ".tv", ".cc", ".xyz", ".tech", ".ai"]
 PREFIXES = [
     (["ddg", "duckduckgo"], "DuckDuckGo"),
@@ -60,14 +62,14 @@ def same_page(a: Column, b: Column) -> Column:
     return without_hash(a) == without_hash(b)
 
 
-def resolve(base: Column, href: Column) -> Column:
-    """href seen from base: no dot segments are folded, a query counts as a relative path."""
+def resolve(base: Column, href: Column, internal: str = INTERNAL) -> Column:
+    """href seen from base: no dot segments are folded, a query counts as a relative path; internal is the scheme of own pages."""
     origin = F.regexp_extract(base, r"(?s)^(.*?://[^/]*)", 1)
     path = F.regexp_replace(base, r"(?s)^.*?://[^/]*", "")
     folder = F.regexp_extract(path, r"(?s)^(.*/)", 1)
     plain = ~F.contains(base, F.lit("://"))
     absolute = F.lit(False)
-    for scheme in ABSOLUTE_SCHEMES:
+    for scheme in [*ABSOLUTE_SCHEMES, f"{internal}://"]:
         absolute = absolute | F.startswith(href, F.lit(scheme))
     return (
         F.when(F.startswith(href, F.lit("#")), F.concat(without_hash(base), href))
@@ -178,10 +180,10 @@ def form_url(action: Column, names: list[Column], values: list[Column]) -> Colum
     return F.concat(action, F.when(F.contains(action, F.lit("?")), "&").otherwise("?"), F.concat_ws("&", *pairs)) if pairs else action
 
 
-def omnibox(text: Column, prefixes: list[tuple[list[str], str]] | None = None, external: dict[str, str] | None = None) -> Column:
+def omnibox(text: Column, prefixes: list[tuple[list[str], str]] | None = None, external: dict[str, str] | None = None, internal: str = INTERNAL) -> Column:
     """What an input means, as a struct. Commands come first, then explicit schemes, summaries, dictionary
     look-ups, provider prefixes (by space, then by colon), addresses, and search at last. external maps
-    further prefixes to address formats with %s."""
+    further prefixes to address formats with %s, internal is the scheme of own pages."""
     fields = ["url", "query", "is_search", "use_internal", "provider", "is_ai_summary", "ai_prompt", "is_dict_lookup", "dict_word"]
     flags = {"is_search", "use_internal", "is_ai_summary", "is_dict_lookup"}
 
@@ -194,8 +196,8 @@ def omnibox(text: Column, prefixes: list[tuple[list[str], str]] | None = None, e
     ai = r"(?i)^(ai|sum|summary)[ :]"
     out = (
         F.when(t == "", result())
-        .when(low.isin("?", "help"), result(url="browse://help"))
-        .when(low == "home", result(url="browse://home"))
+        .when(low.isin("?", "help"), result(url=f"{internal}://help"))
+        .when(low == "home", result(url=f"{internal}://home"))
         .when(low.isin("rss", "feeds", "feed"), result(url="rss://"))
         .when(F.contains(t, F.lit("://")), result(url=t))
         .when(low.isin("sum", "ai", "summary"), result(is_ai_summary=True, provider="AI Summary"))
