@@ -69,10 +69,10 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return s.select("source", "source_no", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), F.col("cap")).alias("target"))
 
 
-def mix_blocks(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame, Scratch]:
+def mix_blocks(docs: DataFrame, seed: int = 0, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, Scratch]:
     """(documents, uses): every row of docs(doc_id, text, source, ...) with its place, and the pieces the mix takes.
 
-    documents: doc_id, order (a hash of the row), source_no, size, source_size, target, offset: the row's first word in its
+    documents: doc_id, the columns named by carry, order (a hash of doc_id and text), source_no, size, source_size, target, offset: the row's first word in its
     source's stream. uses: source_no, offset, size (of the document), turn, shard, slot, first, last: in that turn through the
     source the output slot takes the words first..last-1 of the document. Each source's stream of words is
     packed into blocks of BLOCK words (the last one is shorter). The output is a row of slots, cut into
@@ -82,19 +82,19 @@ def mix_blocks(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame, Sc
     takes every word once; the last one stops at the target. Targets never exceed three turns.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("order"))
+    rows = docs.select("doc_id", *carry, "source", words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("order"))
     rows = scratch.keep(rows, "rows")
     sources = scratch.keep(source_targets(rows), "sources")
     # offsets within a source: sums over buckets of a source first, then within each bucket
     most = rows.groupBy("source").agg(F.ceil(F.count("*") / PER_BUCKET).cast("long").alias("buckets"))
     plan = small(scratch.keep(sources.join(most, sources.source.eqNullSafe(most.source)).select(sources["*"], "buckets"), "plan"))
-    placed = rows.join(plan, rows.source.eqNullSafe(plan.source)).select("doc_id", "size", "order", plan.source_no, "source_size", "target", F.pmod("order", F.col("buckets")).alias("bucket"))
+    placed = rows.join(plan, rows.source.eqNullSafe(plan.source)).select("doc_id", *carry, "size", "order", plan.source_no, "source_size", "target", F.pmod("order", F.col("buckets")).alias("bucket"))
     starts = placed.groupBy("source_no", "bucket").agg(F.sum("size").alias("in_bucket"))
     before = W.Window.partitionBy("source_no").orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, -1)
     starts = small(scratch.keep(starts.select(F.col("source_no").alias("s"), F.col("bucket").alias("k"), F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("start")), "starts"))
     within = W.Window.partitionBy("source_no", "bucket").orderBy("order", "doc_id", "size").rowsBetween(W.Window.unboundedPreceding, -1)
     placed = placed.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    documents = placed.join(starts, (F.col("source_no") == F.col("s")) & (F.col("bucket") == F.col("k"))).select("doc_id", "order", "source_no", "size", "source_size", "target", (F.col("start") + F.col("inside")).alias("offset"))
+    documents = placed.join(starts, (F.col("source_no") == F.col("s")) & (F.col("bucket") == F.col("k"))).select("doc_id", *carry, "order", "source_no", "size", "source_size", "target", (F.col("start") + F.col("inside")).alias("offset"))
     documents = scratch.keep(documents, "documents")
 
     # slots: how many each source gets, and which
@@ -162,25 +162,30 @@ def mixture(docs: DataFrame, seed: int = 0) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the mix as rows of documents. A document appears once for each turn in which words of it
     are taken: whole, or with the taken words only, joined by spaces (n_chars follows). One that the mix does not draw goes.
+
+    Null and empty texts have no words and go; a null source or doc_id is a value like any other; rows that differ in any column
+    are drawn apart, rows that are equal in all columns each have their own turns; an empty table stays empty.
     """
-    seed = 0
-    documents, uses, scratch = mix_blocks(docs, seed)
+    cells = [F.to_json(F.struct(c)) if "map<" in docs.schema[c].dataType.simpleString() else F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(*cells).alias("k0"), F.xxhash64(F.lit(1), *cells, F.lit(1)).alias("k1"))
+    documents, uses, scratch = mix_blocks(keyed.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), F.col("row.source").alias("source"), "k0", "k1"), carry=("k0", "k1"))
     turns = uses.groupBy("source_no", "offset", "size", "turn").agg(F.sum(F.col("last") - F.col("first")).alias("got"), F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
     turns = turns.select(F.col("source_no").alias("s"), F.col("offset").alias("o"), F.when(F.col("got") < F.col("size"), F.col("spans")).alias("spans"))
-    places = documents.where("size > 0").select(F.col("doc_id").alias("__id"), F.col("order").alias("__order"), "source_no", "offset")
-    takes = places.join(turns, (F.col("source_no") == F.col("s")) & (F.col("offset") == F.col("o"))).groupBy("__id", "__order").agg(F.collect_list(F.struct("spans")).alias("__takes"))
-    takes = scratch.keep(takes, "takes")
-    rows = docs.withColumn("__hash", F.xxhash64("doc_id", "text", F.lit(seed)))
-    rows = rows.join(takes, rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__order")))
-    rows = rows.dropDuplicates(["__id", "__order"]).withColumn("__take", F.explode("__takes"))
-    all_words = F.regexp_extract_all("text", F.lit(f"[^{_SPACE}]+"), F.lit(0))
-    part = F.array_join(F.flatten(F.transform(F.col("__take.spans"), lambda x: F.slice(all_words, (x["first"] + 1).cast("int"), (x["last"] - x["first"]).cast("int")))), " ")
-    whole = F.col("__take.spans").isNull()
-    text = F.when(whole, F.col("text")).otherwise(part)
-    return rows.withColumn("__text", text).select(
-        *[F.col("__text").alias(c) if c == "text" else F.when(whole, F.col(c)).otherwise(F.length("__text")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    )
+    places = documents.where("size > 0").select("k0", "k1", "source_no", "offset")
+    takes = scratch.keep(places.join(turns, (F.col("source_no") == F.col("s")) & (F.col("offset") == F.col("o"))).select("k0", "k1", "spans"), "takes")
+    # rows that are equal in every column collapse to one, which meets the turns of all of them
+    rows = keyed.groupBy("k0", "k1").agg(F.first("row").alias("row")).join(takes, ["k0", "k1"])
+    whole = F.col("spans").isNull()
+    all_words = F.array(F.regexp_extract_all("row.text", F.lit(f"[^{_SPACE}]+"), F.lit(0)))  # bound to a name, so that they are found once
+    cut = lambda found: F.flatten(F.transform(F.col("spans"), lambda x: F.slice(found, (x["first"] + 1).cast("int"), (x["last"] - x["first"]).cast("int"))))
+    part = F.get(F.transform(all_words, lambda found: F.array_join(cut(found), " ")), F.lit(0))
+    rows = rows.withColumn("left", F.when(whole, F.col("row.text")).otherwise(part))
+    change = {"text": F.col("left")}
+    if "n_chars" in docs.columns:
+        change["n_chars"] = F.when(whole, F.col("row.n_chars")).otherwise(F.length("left")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[change.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of the whole table documents; see mixture for nulls, empty texts, ties and repeated rows."""
     return mixture(spark.read.parquet(f"{sf_dir}/documents.parquet"))
