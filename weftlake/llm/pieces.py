@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Encoded words that a worker remembers in each of two generations.
 REMEMBERED = 300_000
+#: Characters of a word up to which new words are encoded together, and characters of text that are looked through for new words at once.
+TOGETHER, AHEAD = 32, 1 << 20
 SPACE = "▁"
 
 
@@ -29,6 +33,7 @@ def load_pieces(path: str = MODEL) -> dict:
     if not proto.normalizer_spec.add_dummy_prefix or proto.normalizer_spec.remove_extra_whitespaces or sentencepiece.__version__ is None:
         raise ValueError("a model with a dummy prefix that keeps white space is asked for")
     return {
+        "digest": hashlib.sha256(proto.SerializeToString()).hexdigest(),
         "bpe": proto.trainer_spec.model_type == sentencepiece_model_pb2.TrainerSpec.BPE,
         "pieces": [(p.piece, p.score, {kinds.NORMAL: "n", kinds.BYTE: "b", kinds.UNKNOWN: "u"}.get(p.type, "c")) for p in proto.pieces],
     }
@@ -46,12 +51,66 @@ class Words(dict):
         if got is None:
             got = array("i", self.make(word)).tobytes()
         if len(word) <= 64:
-            if len(self) >= REMEMBERED:
-                self.older = dict(self)
-                self.clear()
-            self[word] = got
+            self.keep(word, got)
         return got
 
+    def keep(self, word: str, ids: bytes) -> None:
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+
+
+#: Powers of an odd number: the weight of a character by its place from the end of a piece.
+_POWERS = np.cumprod(np.full(256, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+
+
+def _string_hash(text: str) -> int:
+    codes = np.frombuffer(text[::-1].encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return int((codes * _POWERS[1 : len(codes) + 1]).sum(dtype=np.uint64))
+
+
+class _Table:
+    """64-bit keys to small numbers from 0 on, looked up many at a time in an open-addressing table that is at most a quarter full."""
+
+    def __init__(self, values: dict[int, int]):
+        self.values: dict[int, int] = {}
+        self.bits = 14
+        self._clear()
+        self.add(values)
+
+    def _clear(self) -> None:
+        self.keys, self.held = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int64)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def add(self, values: dict[int, int]) -> None:
+        self.values |= values
+        if 4 * len(self.values) > 1 << self.bits:
+            while 8 * len(self.values) > 1 << self.bits:
+                self.bits += 1
+            self._clear()
+            values = self.values
+        keys, held = np.fromiter(values.keys(), np.uint64, len(values)), np.fromiter(values.values(), np.int64, len(values))
+        slot = self._slots(keys)
+        while len(keys):  # of several keys for a free slot one stays, the others try the next
+            free = self.held[slot] < 0
+            self.keys[slot[free]], self.held[slot[free]] = keys[free], held[free]
+            left = self.keys[slot] != keys
+            keys, held, slot = keys[left], held[left], (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for one that is not there."""
+        slot = self._slots(keys)
+        held = self.held[slot]
+        wrong = np.flatnonzero((held >= 0) & (self.keys[slot] != keys))
+        while len(wrong):
+            slot[wrong] = (slot[wrong] + 1) & ((1 << self.bits) - 1)
+            held[wrong] = self.held[slot[wrong]]
+            wrong = wrong[(held[wrong] >= 0) & (self.keys[slot[wrong]] != keys[wrong])]
+        return held
+
 
 class Encoder:
     """Words to ids. At every character boundary one survivor is kept: the piece that ends there on the best path.
@@ -79,6 +138,7 @@ class Encoder:
             self._grow()
         self.max_len = max(map(len, self.ids), default=1)
         self.fits: dict[int, bool] = {}
+        self.table: _Table | None = None
         self.trie: dict = {}  # of reversed pieces; an entry under the empty string ends one
         for p, i in self.ids.items():
             node = self.trie
@@ -182,6 +242,78 @@ class Encoder:
             at = start[at - base]
         return out + tail[::-1]
 
+    def learn(self, texts: list[str]) -> None:
+        """Remembers the words after a space of some texts, many at a time: the survivors of all new words advance together."""
+        if not self.bpe:
+            return
+        if SPACE not in self.single:
+            return
+        after, first = set(), set()
+        for t in texts:
+            lines = t.split("\n")
+            first.update([x.partition(" ")[0] for x in lines[1:]])
+            after.update(t.replace("\n", " ").split(" "))
+        for memory, new, mark in ((self.spaced, after, SPACE), (self.first, first, "")):
+            new -= memory.keys()
+            new -= memory.older.keys()
+            fine = [w for w in new if 0 < len(w) < TOGETHER and SPACE not in w and self.single.issuperset(w)]
+            if len(fine) >= 64:
+                fine.sort(key=len, reverse=True)
+                for at in range(0, len(fine), 1 << 14):
+                    self._learn(memory, mark, fine[at : at + (1 << 14)])
+
+    def _learn(self, memory: Words, mark: str, words: list[str]) -> None:
+        """Survivors of words of falling length, by arrays over words; the same choice as in stream()."""
+        if self.table is None:
+            ends = {_string_hash(p[k:]): 0 for p in self.ids for k in range(1, len(p))}  # what some piece ends with
+            self.table, self.pairs = _Table(ends | {_string_hash(p): i + 1 for p, i in self.ids.items()}), _Table({})
+        sizes = np.array([len(mark + w) for w in words])
+        n, longest = len(words), int(sizes[0])
+        codes = np.frombuffer("".join((mark + w).ljust(longest) for w in words).encode("utf-32-le"), np.uint32).reshape(n, longest).T.astype(np.uint64)
+        piece, start = np.full((n, longest + 1), -1, np.int64), np.zeros((n, longest + 1), np.int64)
+        for end in range(1, longest + 1):
+            live = np.arange(np.searchsorted(-sizes, -end, "right"))
+            tail = np.zeros(len(live), np.uint64)
+            found_row, found_piece, found_start = [], [], []
+            for size in range(1, min(end, self.max_len) + 1):
+                tail = tail + codes[end - size][live] * _POWERS[size]
+                ids = self.table.find(tail)
+                here = np.flatnonzero(ids > 0)
+                found_row.append(live[here])
+                found_piece.append(ids[here] - 1)
+                found_start.append(np.full(len(here), end - size))
+                longer = np.flatnonzero(ids >= 0)
+                live, tail = live[longer], tail[longer]
+            row, own, at = (np.concatenate(x) for x in (found_row, found_piece, found_start))
+            before = piece[row, at]
+            ok = at == 0
+            inside = np.flatnonzero(before >= 0)
+            ok[inside] = self._fitting(before[inside], own[inside])
+            row, own, at = row[ok], own[ok], at[ok]
+            piece[row, end], start[row, end] = own, at  # of several the longest comes last and stays
+        ids, position, step = np.zeros((n, longest), np.int32), sizes.copy(), np.zeros(n, np.int64)
+        while True:
+            row = np.flatnonzero(position > 0)
+            if not len(row):
+                break
+            ids[row, longest - 1 - step[row]] = piece[row, position[row]]
+            step[row] += 1
+            position[row] = start[row, position[row]]
+        raw = ids.tobytes()
+        for i, (word, count) in enumerate(zip(words, step.tolist(), strict=True)):
+            memory.keep(word, raw[4 * ((i + 1) * longest - count) : 4 * (i + 1) * longest])
+
+    def _fitting(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether pieces stand next to each other, from a table that grows by the pairs it has not yet seen."""
+        pair = (left << 20 | right).astype(np.uint64)
+        got = self.pairs.find(pair)
+        if (got < 0).any():
+            if len(self.pairs.values) > 1_000_000:
+                self.pairs = _Table({})
+            self.pairs.add({int(k): int(self._fit(int(k) >> 20, int(k) & 0xFFFFF)) for k in np.unique(pair[got < 0])})
+            got = self.pairs.find(pair)
+        return got == 1
+
     def _commit(self, out: list[int], piece: list, start: list, total: list, base: int, end: int) -> int:
         """Moves ids to out up to the boundary where the paths of all live survivors meet."""
         paths = []
@@ -295,16 +427,26 @@ class Decoder:
         return text[1:] if text.startswith(" ") else text
 
 
-_made: dict[str, object] = {}
+def _some(column: pa.Array):
+    """Lists of some rows of a column, of about AHEAD characters."""
+    sizes = np.cumsum(np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False)))
+    row = 0
+    while row < len(column):
+        end = max(row + 1, int(np.searchsorted(sizes, (sizes[row - 1] if row else 0) + AHEAD, "right")))
+        yield column.slice(row, end - row).to_pylist()
+        row = end
+
+
+_made: dict[type, tuple] = {}
 
 
 def _worker(kind, model) -> object:
-    """One encoder or decoder for each Python worker and model, so that words stay remembered between tasks."""
-    key = f"{kind.__name__}-{model.id if hasattr(model, 'id') else id(model)}"
-    if key not in _made:
-        _made[key] = kind(model.value)
+    """The encoder or decoder of the last model in each Python worker, so that words stay remembered between tasks."""
+    if kind not in _made or _made[kind][0] != model.value["digest"]:
+        gc.unfreeze()
+        _made[kind] = (model.value["digest"], kind(model.value))
         gc.freeze()  # the vocabulary stays; collecting garbage need not visit it
-    return _made[key]
+    return _made[kind][1]
 
 
 def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str = MODEL, check: bool = False) -> DataFrame:
@@ -322,8 +464,9 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str =
         for batch in batches:
             flat, ends, same, size = [], [0], [], 0
             texts = batch.column(1)
-            for start in range(0, len(texts), 64):
-                for t in texts.slice(start, 64).to_pylist():
+            for part in _some(texts):
+                coder.learn([t for t in part if t])
+                for t in part:
                     ids = coder.encode(t or "")
                     if check:
                         same.append(None if t is None else back.decode(ids.tolist()) == t)
@@ -355,9 +498,10 @@ def decode(coded: DataFrame, ids: str = "ids", key: str = "doc_id", path: str =
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents and whether they decode to the text; see encode for nulls, empty and long texts and repeated rows."""
     return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), check=True)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the ids of every text."""
+    """Pipeline stage: (doc_id, n_tokens, ids) of every text; null texts have null ids, empty ones none, repeated rows repeat, an empty table gives no rows."""
     return encode(docs)
