@@ -14,12 +14,16 @@ from weftlake.llm.common import Scratch, small
 from weftlake.llm.url_filter import host_of
 
 #: Elements that never hold the article's text.
-NEVER = frozenset("head nav header footer aside form script style noscript template iframe object embed svg canvas button select option input textarea label fieldset dialog menu audio video map math".split())
+NEVER = frozenset("head nav footer aside form script style noscript template iframe object embed svg canvas button select option input textarea label fieldset dialog menu audio video map annotation annotation-xml".split())
+#: Nesting up to which a page is read as a tree.
+DEEPEST = 20_000
 #: Words of class, id and role that mark what is beside the article.
 BESIDE = re.compile(
-    r"(?:^|[-_\s])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promoted|sidebar|side|widget|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|pagination|pager|header|masthead|footer|"
-    r"cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|social|share|sharing|related|recommended|comment|comments|respond|reply|replies|disqus|discussion|complementary|contentinfo|search|toolbar|skip|legal|copyright)(?:$|[-_\s\d])"
+    r"(?:^|[-_\s])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promoted|sidebar|side|widget|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|pagination|pager|footer|"
+    r"cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|social|share|sharing|related|recommended|comment|comments|respond|reply|replies|disqus|complementary|contentinfo|search|toolbar|skip)(?:$|[-_\s\d])"
 )
+#: The same outside of an article, where a header is the site's; in one it holds the title.
+SITE = re.compile(r"(?:^|[-_\s])(?:header|masthead|banner|legal|copyright)(?:$|[-_\s\d])")
 _BREAKS = BLOCK | frozenset("body html td th tr tbody thead tfoot caption option".split())
 _WHITE = re.compile(r"\s+")
 #: Blocks that may be template inside an article; headings, by which articles are told apart.
@@ -29,11 +33,19 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MIN_PAGES, MIN_SHARE, MANY_PAGES = 5, 0.2, 20
 
 
-def _beside(n: Node) -> bool:
-    if n.tag in NEVER or "hidden" in n.attrs or n.attrs.get("aria-hidden") == "true":
+def _beside(n: Node, own: bool) -> bool:
+    """Whether an element is beside the article; own says that it stands within one."""
+    if n.tag in NEVER or (n.tag == "header" and not own) or "hidden" in n.attrs or n.attrs.get("aria-hidden") == "true":
         return True
     named = f"{n.attrs.get('class', '')} {n.attrs.get('id', '')} {n.attrs.get('role', '')}"
-    return n.tag not in ("html", "body", "article", "main") and named != "  " and bool(BESIDE.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", named).lower()))
+    if n.tag in ("html", "body", "article", "main") or named == "  ":
+        return False
+    named = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", named).lower()
+    return bool(BESIDE.search(named)) or not own and bool(SITE.search(named))
+
+
+def _is_own(n: Node) -> bool:
+    return n.tag in ("article", "main") or n.attrs.get("role") == "main"
 
 
 def _root(nodes: list[Node]) -> list[int]:
@@ -41,13 +53,13 @@ def _root(nodes: list[Node]) -> list[int]:
     found, i, mains = [], 0, []
     while i < len(nodes):
         n = nodes[i]
-        if n.tag[0] != "#" and _beside(n):
+        if n.tag[0] != "#" and _beside(n, False):
             i = n.end
         elif n.tag == "article":
             found.append(i)
             i = n.end
         else:
-            if n.tag == "main" or n.attrs.get("role") == "main":
+            if _is_own(n):
                 mains.append(i)
             i += 1
     if found:
@@ -57,11 +69,11 @@ def _root(nodes: list[Node]) -> list[int]:
 
 def _tree(source: str | None) -> list[Node]:
     try:
-        return parse(source)
+        return parse(source, DEEPEST)
     except ValueError:  # too deep: a flat reading keeps the text
         flat = re.sub(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|</?(?!p\b|article\b|nav\b|footer\b|header\b|aside\b|form\b)[a-z][^>]*>", " ", source or "")
         try:
-            return parse(flat)
+            return parse(flat, DEEPEST)
         except ValueError:
             return parse(re.sub(r"<[^>]*>", " ", flat))
 
@@ -84,34 +96,58 @@ def _text(nodes: list[Node], start: int, end: int) -> str:
     return _WHITE.sub(" ", " ".join(nodes[j].text for j in range(start, end) if nodes[j].tag == "#text")).strip()
 
 
+def _says(nodes: list[Node], i: int) -> bool:
+    return any(nodes[j].tag == "#text" and not nodes[j].text.isspace() for j in range(i + 1, nodes[i].end))
+
+
 def _template_candidates(nodes: list[Node]) -> dict[int, tuple[int, int | None]]:
     """Digest of each element that may be template, and what tells its page from copies.
 
-    Outside an article or main element these are all blocks with text, and each page counts. Inside one, paragraphs
+    Outside an article or main element these are all blocks with text, and each page counts; of what stands around articles the
+    outermost elements are enough. Inside one, paragraphs
     and headings are the page's own even if other pages have the same passage; containers may be template, with their
-    path of tags as part of the digest. There a block counts once for each wording of the article's headings (without any: of its text) around
+    path of tags as part of the digest, and so may each of several articles. There a block counts once for each wording of the articles' headings (without any: of its text) around
     it, so that the lists and tables of an article that is published many times stay.
     """
     roots = _root(nodes)
+    own = [r for r in roots if _is_own(nodes[r])]
     out: dict[int, tuple[int, int | None]] = {}
+    i = next((k for k, n in enumerate(nodes) if n.tag == "body"), len(nodes)) + 1 if own else len(nodes)
+    while i < len(nodes):  # around the articles
+        n = nodes[i]
+        if i in own or n.tag[0] == "#":
+            i = n.end
+        elif any(i < r < n.end for r in own):
+            i += 1
+        else:
+            if _says(nodes, i):
+                out[i] = (_digest(nodes, i), None)
+            i = n.end
+    headings = [(j, _text(nodes, j, nodes[j].end)) for r in own for j in range(r, nodes[r].end) if nodes[j].tag in _HEADINGS]
+
+    def around(r: int, i: int) -> int:
+        n = nodes[i]
+        others = "\0".join(_text(nodes, q, nodes[q].end) for q in own if q != r)
+        return _bits("\0".join(t for j, t in headings if not i <= j < n.end) or f"{_text(nodes, r, i)}\0{_text(nodes, n.end, nodes[r].end)}\0{others}")
+
     for r in roots:
-        own = nodes[r].tag == "article" or nodes[r].tag == "main" or nodes[r].attrs.get("role") == "main"
-        headings = [(j, _text(nodes, j, nodes[j].end)) for j in range(r, nodes[r].end) if nodes[j].tag in _HEADINGS] if own else []
+        within = r in own
+        if within and len(own) > 1 and _says(nodes, r):
+            out[r] = (_digest(nodes, r), around(r, r))
         path: list[int] = []
         i = r + 1
         while i < nodes[r].end:
             n = nodes[i]
             if n.tag[0] == "#":
                 i += 1
-            elif _beside(n):
+            elif _beside(n, within):
                 i = n.end
             else:
                 while path and nodes[path[-1]].end <= i:
                     path.pop()
-                if n.tag in (CONTAINERS if own else _BREAKS) and any(nodes[j].tag == "#text" and not nodes[j].text.isspace() for j in range(i + 1, n.end)):
-                    if own:
-                        around = "\0".join(t for j, t in headings if not i <= j < n.end) or f"{_text(nodes, r, i)}\0{_text(nodes, n.end, nodes[r].end)}"
-                        out[i] = (_bits(f"{_digest(nodes, i)} {'/'.join(nodes[j].tag for j in path)}"), _bits(around))
+                if n.tag in (CONTAINERS if within else _BREAKS) and _says(nodes, i):
+                    if within:
+                        out[i] = (_bits(f"{_digest(nodes, i)} {'/'.join(nodes[j].tag for j in path)}"), around(r, i))
                     else:
                         out[i] = (_digest(nodes, i), None)
                 path.append(i)
@@ -133,6 +169,9 @@ def extract_text(source: str | None, template: set | frozenset = frozenset()) ->
         parts.clear()
 
     for r in _root(nodes):
+        if r in gone:
+            continue
+        within = _is_own(nodes[r])
         flush()
         ends: list[int] = []
         i = r + 1
@@ -146,7 +185,7 @@ def extract_text(source: str | None, template: set | frozenset = frozenset()) ->
                 i += 1
             elif n.tag == "#comment":
                 i += 1
-            elif i in gone or _beside(n):
+            elif i in gone or _beside(n, within):
                 if n.tag in _BREAKS:
                     flush()
                 i = n.end
@@ -162,13 +201,13 @@ def extract_text(source: str | None, template: set | frozenset = frozenset()) ->
 
 
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
-    """(page_id, url, text, n_chars) for every row of pages(page_id, url, html, ...).
+    """(page_id, url, text, n_chars) for every row of pages(page_id, url, html, ...); other columns are ignored, an empty table gives no rows.
 
     Elements that are never content go (menus, headers, footers, sidebars, notices, adverts, forms,
     scripts, reader comments, by tag, class, id and role). Subtrees go as well
     that recur on at least many_pages pages of their host, or on min_pages and min_share of its pages: all
     are hashed and counted over the whole table. In an article or main element these are containers only, counted by
-    articles of different headings. A null or empty html has an empty text; a null
+    articles of different headings. An article keeps its own header. A null or empty html has an empty text; a null
     url counts as the host ''; repeated rows count as pages and each give a row. Pages nested too deeply are read flat.
     """
     scratch = Scratch(pages.sparkSession, "template")
@@ -206,4 +245,5 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page of the table pages; see main_text for nulls, empty and long pages and repeated rows."""
     return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
