@@ -2,45 +2,42 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlake.llm.common import Scratch, components, small
+from weftlake.llm.common import Scratch, components
 
-#: Vectors of each dimension from which the rotation is learned (the only sampled step), and rounds of learning.
-SAMPLE, LEARNING = 20_000, 50
-#: Bits of a code, tables, and the radius searched in each table: all codes within 2 * TABLES - 1 = 11 bits are found.
-BITS, TABLES = 64, 6
+#: Vectors of each dimension from which rotations are learned (the only sampled step), and rounds of learning.
+SAMPLE, LEARNING = 20_000, 30
+#: Tables of a code; bits of a table's key beyond the logarithm of the largest group's size; least and most bits of a key.
+TABLES, SPARE, NARROW, WIDE = 16, 2, 8, 24
+#: Vectors of a bucket that are held against each other in one place.
+BLOCK = 1024
 MAX_DIMENSIONS = 64
-#: Bytes of vectors up to which they are broadcast for reranking.
-BROADCAST_BYTES = 32 << 20
 
 
-def learn_rotation(sample: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection (d x bits) whose signs are balanced codes: principal axes, turned so that the data lie near the corners of a cube."""
+def learn_rotations(sample: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and projection (d x bits) whose signs are balanced codes: principal axes, turned so that the data lie near the
+    corners of a cube. One rotation gives d bits; more are learned from other starts and other halves of the sample."""
     mean = sample.mean(0)
     x = sample - mean
-    _, _, axes = np.linalg.svd(x, full_matrices=False) if len(x) >= x.shape[1] else (None, None, np.eye(x.shape[1]))
-    project = axes[: min(bits, x.shape[1])].T
-    v = x @ project
+    d = x.shape[1]
+    _, _, axes = np.linalg.svd(x, full_matrices=False) if len(x) >= d else (None, None, np.eye(d))
     rng = np.random.Generator(np.random.PCG64(7))
-    turn = np.linalg.qr(rng.standard_normal((v.shape[1], v.shape[1])))[0]
-    for _ in range(LEARNING):
-        u, _, w = np.linalg.svd(np.where(v @ turn >= 0, 1.0, -1.0).T @ v)
-        turn = (u @ w).T
-    return mean, project @ turn
-
-
-def _masks(bits: int) -> list[tuple[int, int]]:
-    """(first bit, width) of each table's part of the code."""
-    edges = [round(i * bits / TABLES) for i in range(TABLES + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False) if b > a]
-
-
-def _part(code: Column, at: int, width: int) -> Column:
-    return F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+    parts = []
+    while sum(p.shape[1] for p in parts) < bits:
+        v = x @ axes.T
+        turn = np.linalg.qr(rng.standard_normal((d, d)))[0]
+        half = v[rng.random(len(v)) < 0.5] if len(v) > 20 * d else v
+        for _ in range(LEARNING):
+            u, _, w = np.linalg.svd(np.where(half @ turn >= 0, 1.0, -1.0).T @ half)
+            turn = (u @ w).T
+        parts.append(axes.T @ turn)
+    return mean, np.hstack(parts)[:, :bits]
 
 
 def _valid(v: Column) -> Column:
@@ -48,17 +45,47 @@ def _valid(v: Column) -> Column:
     return v.isNotNull() & F.coalesce(fine, F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def _blocks(batches, names: list[str]):
+    """Whole blocks (key, block, other) of rows that are sorted by them, as lists by column."""
+    held: dict[str, list] = {n: [] for n in names}
+    key = None
+    for batch in batches:
+        columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
+        for row in zip(*columns, strict=True):
+            if row[:3] != key:
+                if key is not None:
+                    yield held
+                key, held = row[:3], {n: [] for n in names}
+            for n, x in zip(names, row, strict=True):
+                held[n].append(x)
+    if key is not None:
+        yield held
+
+
+def _first_met(block: dict[str, list]) -> np.ndarray:
+    """Pairs of a block that this table is the first to bring together: of equal labels, one of each block if there are two."""
+    keys = np.frombuffer(b"".join(block["code"]), np.int32).reshape(-1, TABLES)
+    table, label, half, ids = block["t"][0], np.array(block["label"]), np.array(block["half"]), np.array(block["id"])
+    met = (label[:, None] == label[None, :]) & (keys[:, table][:, None] == keys[:, table][None, :]) & (ids[:, None] != ids[None, :])
+    if block["block"][0] != block["other"][0]:
+        met &= half[:, None] != half[None, :]
+    for t in range(table):
+        met &= keys[:, t][:, None] != keys[:, t][None, :]
+    return met
+
+
 def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors(vec_id, embedding, label, ...).
 
     Rows link when their labels are equal and not null, their embeddings have the same number of components and a cosine of at least
     `least` in double precision. Null or zero vectors and such with null, NaN or infinite
     components link with nothing, nor do rows with a null vec_id (component null, not kept). n_links counts rows, equal vectors
-    included; rows that share a vec_id are one vertex. No pair below the threshold is linked; of those above, ones whose codes differ in
-    more than 11 of 64 bits are missed (expected are 4 at cosine 0.98).
+    included; rows that share a vec_id are one vertex. No pair below the threshold is linked. Other columns are ignored; an empty table gives no rows.
 
-    Equal vectors collapse to one first. A code meets another in the first table in which they differ by at most one
-    bit, so each pair is made once.
+    Equal vectors collapse to one first. A code is cut into TABLES keys, whose width follows the logarithm of the largest group of vectors of
+    one label, so that unrelated vectors share few buckets at any size. Two vectors whose codes differ in fewer bits than there are tables always
+    share one; at a cosine of 0.98 and keys of 16 bits, 0.999 of all pairs do. A pair counts in the first table that brings it together. Codes too far
+    apart go before vectors are sent; then all pairs of a bucket are reranked in blocks and leave counts and spanning edges, no rows of pairs.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
@@ -66,71 +93,100 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & _valid(F.col("v"))
     rows = rows.withColumn("h0", F.when(usable, F.xxhash64("label", "v"))).withColumn("h1", F.when(usable, F.xxhash64(F.lit(1), "label", "v")))
     good = rows.where("h0 is not null")
-    reps = good.groupBy("h0", "h1").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
+    reps = good.groupBy("h0", "h1").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.xxhash64(F.first("label")).alias("label"), F.first("v").alias("v"))
     reps = scratch.keep(reps.withColumn("d", F.size("v")), "reps")
-    sizes = [(r.d, r.n) for r in reps.groupBy("d").agg(F.count("*").alias("n")).limit(MAX_DIMENSIONS + 1).collect()]
+    groups = reps.groupBy("d", "label").agg(F.count("*").alias("n")).groupBy("d").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    sizes = [(r.d, r.n, r.most) for r in groups.limit(MAX_DIMENSIONS + 1).collect()]
     if len(sizes) > MAX_DIMENSIONS:
         raise ValueError("vectors of more than 64 different dimensions")
     models = {}
-    for d, n in sizes:
+    for d, n, most in sizes:
         drawn = reps.where(F.col("d") == d).where(F.pmod(F.xxhash64("h1"), F.lit(1 << 20)) < (1 << 20) * min(1.0, SAMPLE / n)).select("v").toPandas()
         x = np.array(drawn["v"].tolist(), float).reshape(len(drawn), d)
-        x = x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else np.eye(d)
-        models[d] = learn_rotation(x)
+        x = x / np.abs(x).max(1, keepdims=True) if len(x) else np.eye(d)
+        width = min(WIDE, max(NARROW, math.ceil(math.log2(most)) + SPARE))
+        models[d] = (width, *learn_rotations(x / np.linalg.norm(x, axis=1, keepdims=True), width * TABLES))
     shared = spark.sparkContext.broadcast(models)
 
     def encode(batches):
         for batch in batches:
-            codes = np.zeros(batch.num_rows, np.uint64)
+            codes = np.zeros((batch.num_rows, TABLES), np.int32)
             lists, dims = batch.column(1), batch.column(2).to_numpy()
             flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(dims)]
             for d in set(dims.tolist()):
-                mean, project = shared.value[d]
+                width, mean, project = shared.value[d]
                 at = np.flatnonzero(dims == d)
                 x = flat[(ends[:-1][at][:, None] + np.arange(d)).ravel()].reshape(-1, d)
-                top = np.abs(x).max(1, keepdims=True)  # very large components do not overflow
-                x = x / top
+                x = x / np.abs(x).max(1, keepdims=True)  # very large components do not overflow
                 bits = ((x / np.linalg.norm(x, axis=1, keepdims=True) - mean) @ project) >= 0
-                codes[at] = (bits.astype(np.uint64) << np.arange(bits.shape[1], dtype=np.uint64)).sum(1, dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes.view(np.int64))], ["id", "code"])
-
-    coded = reps.select("id", "v", "d").mapInArrow(encode, "id long, code long")
-    coded = scratch.keep(coded.join(reps.select("id", "label", "d"), "id"), "codes")
-    parts = _masks(BITS)
-    mine = F.array(*[F.struct(F.lit(t).alias("t"), _part(F.col("code"), at, width).alias("key")) for t, (at, width) in enumerate(parts)])
-    index = coded.select("label", "d", F.col("id").alias("b"), F.col("code").alias("other"), F.inline(mine))
-    probes = F.concat(*[F.array(*[F.struct(F.lit(t).alias("t"), (_part(F.col("code"), at, width).bitwiseXOR(F.lit(flip))).alias("key")) for flip in (0, *(1 << i for i in range(width)))]) for t, (at, width) in enumerate(parts)])
-    asked = coded.select("label", "d", F.col("id").alias("a"), "code", F.inline(probes))
-    apart = F.col("code").bitwiseXOR(F.col("other"))
-    earlier = F.lit(True)
-    for t, (at, width) in enumerate(parts):  # in no earlier table are they within one bit
-        earlier = earlier & ((F.col("t") <= t) | (F.bit_count(_part(apart, at, width)) > 1))
-    pairs = asked.join(index, ["label", "d", "t", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(apart) <= 2 * TABLES - 1) & earlier).select("a", "b")
-    pairs = scratch.keep(pairs, "pairs")
-
-    plain = reps.select("id", "v")
-    plain = F.broadcast(plain) if sum(d * n * 8 for d, n in sizes) <= BROADCAST_BYTES else plain
-    both = pairs.join(plain.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(plain.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
+                codes[at] = (bits.reshape(len(at), TABLES, width).astype(np.int32) << np.arange(width, dtype=np.int32)).sum(2, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(codes.tolist(), pa.list_(pa.int32()))], ["id", "code", "keys"])
+
+    coded = reps.select("id", "v", "d").mapInArrow(encode, "id long, code binary, keys array<int>")
+    coded = scratch.keep(coded.join(reps.select("id", "label", "d").hint("merge"), "id"), "codes")
+    index = coded.select("id", "label", "d", "code", F.posexplode("keys").alias("t", "part")).withColumn("key", F.xxhash64("label", "d", "t", "part"))
+    buckets = index.groupBy("key").agg(F.count("*").alias("n"), F.min("t").alias("t"), F.min("id").alias("low"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("digest")).where("n > 1")
+    # the same vectors often meet in several tables: the first of them is enough
+    buckets = buckets.groupBy("n", "low", "digest").agg(F.min(F.struct("t", "key")).alias("first")).select(F.col("first.key").alias("key"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    ways = index.join(scratch.keep(buckets, "buckets").hint("merge"), "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
+    ways = ways.select("key", "t", "id", "label", "d", "code", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    ways = ways.select("key", F.least("own", "with").alias("block"), F.greatest("own", "with").alias("other"), "t", "id", "label", "d", "code", F.col("own").alias("half"))
+
+    def reach(batches):
+        """Members of a block that have a partner within the radius."""
+        out = []
+        for block in _blocks(batches, ["key", "block", "other", "t", "id", "label", "code", "half", "d"]):
+            met = _first_met(block)
+            if met.any():
+                width = shared.value[block["d"][0]][0]
+                keys = np.frombuffer(b"".join(block["code"]), np.int32).reshape(-1, TABLES)
+                bits = (keys[:, :, None] >> np.arange(width) & 1).reshape(len(keys), -1).astype(np.float32)
+                ones = bits.sum(1)
+                apart = ones[:, None] + ones[None, :] - 2 * (bits @ bits.T)
+                chance = math.acos(max(-1.0, min(1.0, least))) / math.pi
+                radius = width * TABLES * chance + 7 * math.sqrt(width * TABLES * chance)
+                near = (met & (apart <= radius)).any(1)
+                out += [(block["key"][0], block["block"][0], block["other"][0], block["id"][i]) for i in np.flatnonzero(near)]
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["key", "block", "other", "id"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["key", "block", "other", "id"])
+
+    ways = scratch.keep(ways, "ways")
+    dealt = ways.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other")
+    hopeful = scratch.keep(dealt.select("key", "block", "other", "t", "id", "label", "code", "half", "d").mapInArrow(reach, "key long, block int, other int, id long"), "hopeful")
 
     def rerank(batches):
-        for batch in batches:
-            a, b, d = batch.column(0), batch.column(1), np.array([len(x) for x in batch.column(2)])
-            keep = np.zeros(batch.num_rows, bool)
-            ends = np.r_[0, np.cumsum(d)]
-            x, y = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3))
-            for size in set(d.tolist()):
-                at = np.flatnonzero(d == size)
-                where = (ends[:-1][at][:, None] + np.arange(size)).ravel()
-                p, q = x[where].reshape(-1, size), y[where].reshape(-1, size)
-                p, q = p / np.abs(p).max(1, keepdims=True), q / np.abs(q).max(1, keepdims=True)
-                keep[at] = (p * q).sum(1) / np.sqrt((p * p).sum(1) * (q * q).sum(1)) >= least
-            mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
-
-    links = scratch.keep(both.select("a", "b", "va", "vb").mapInArrow(rerank, "a long, b long"), "links")
-    ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counts = ways.join(reps.select(F.col("id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("others"))
-    cc = components(scratch, links, "vectors")
+        """For each member of a block the rows it links with and an edge of a spanning forest."""
+        for block in _blocks(batches, ["key", "block", "other", "t", "id", "label", "code", "half", "copies", "v"]):
+            sizes = {len(v) for v in block["v"]}
+            if len(sizes) > 1:
+                continue  # equal digests of different dimensions
+            x = np.array(block["v"])
+            x = x / np.abs(x).max(1, keepdims=True)
+            squares = (x * x).sum(1)
+            cosine = x @ x.T / np.sqrt(squares[:, None] * squares[None, :])
+            for i, j in np.argwhere(np.abs(cosine - least) < 1e-9):  # sums in one order decide close calls
+                cosine[i, j] = (x[i] * x[j]).sum() / np.sqrt(squares[i] * squares[j])
+            linked = _first_met(block) & (cosine >= least)
+            n = len(x)
+            label = np.arange(n)
+            while True:
+                low = np.minimum(label, np.where(linked, label[None, :], n).min(1))
+                low = low[low]
+                if (low == label).all():
+                    break
+                label = low
+            others = linked @ np.array(block["copies"], np.int64)
+            some = np.flatnonzero(others)
+            ids = np.array(block["id"], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[label[some]]), pa.array(others[some])], ["a", "b", "others"])
+
+    sent = ways.join(hopeful.hint("merge"), ["key", "block", "other", "id"]).join(reps.select("id", "copies", "v").hint("merge"), "id").repartition("key", "block", "other").sortWithinPartitions("key", "block", "other")
+    links = scratch.keep(sent.select("key", "block", "other", "t", "id", "label", "code", "half", "copies", "v").mapInArrow(rerank, "a long, b long, others long"), "links")
+    counts = links.groupBy(F.col("a").alias("id")).agg(F.sum("others").alias("others"))
+    cc = components(scratch, links.select("a", "b"), "vectors")
     decided = reps.select("h0", "h1", "id", "copies").join(counts, "id", "left").join(cc, "id", "left")
     decided = scratch.keep(decided.select("h0", "h1", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("component")), "decided")
     out = rows.select("vec_id", "h0", "h1").join(decided, ["h0", "h1"], "left")
@@ -139,6 +195,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all rows of the table embeddings; see near_vectors for nulls, ties, repeated rows and odd vectors."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
