@@ -69,6 +69,21 @@ def test_main_text(spark):
     assert main_text.main_text(df.limit(0)).count() == 0
 
 
+def test_article_keeps_its_own():
+    page = """<body><header>Site</header><p class="legal">Imprint</p><article><header class="article-header"><h1>The title</h1></header><p>One</p><p class="legal">It is law.</p>
+<div class="discussion"><p>Findings.</p></div><p>So <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>E=m</annotation></math> holds.</p><footer>Filed under x</footer><div class="cookie-notice">c</div></article></body>"""
+    assert main_text.extract_text(page) == "The title\nOne\nIt is law.\nFindings.\nSo E=m holds."
+    deep = "<body><article>" + "<div>" * 5000 + "<nav>menu</nav><p>deep text</p>" + "</div>" * 5000 + "<p>after</p></article>"
+    assert main_text.extract_text(deep) == "deep text\nafter"
+
+
+def test_recurring_articles(spark):
+    page = "<nav>menu</nav><article><h1>Title {0}</h1><p>Text {0} is its own.</p></article><article><h2>Join us</h2><p>Our club.</p></article><footer>foot</footer>"
+    rows = [(k, f"http://a.com/{k}", page.format(k)) for k in range(30)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    assert all(r.text == f"Title {r.page_id}\nText {r.page_id} is its own." for r in main_text.main_text(df).collect())
+
+
 def test_template_in_articles(spark):
     page = "<article><h1>Title {0}</h1><p>Text {0} is its own.</p><p>A passage that all share.</p><div class='x'><p>Read our terms.</p></div></article>"
     copy = "<article><h1>One report</h1><p>Edition {0}.</p><table><tr><td>Data of the report</td></tr></table></article>"

@@ -270,6 +270,7 @@ def test_fingerprints(spark, documents, no_documents):
 def test_licenses(spark, documents, no_documents):
     rng = random.Random(17)
     texts = ["The MIT License, and the mit-license!", "Apache License MIT License", "GNU General Public License", prose(rng, 5000) + "\nLicensed under CC BY-NC 4.0.\n" + prose(rng, 50), "released under mit", "submit license", "mit license mit license", prose(rng, 200)]
+    texts += ["The studio released its new film last spring under several names and asked the city for a license to film in the park.", "His driving license was lost; the new one was issued under a new scheme that the office released in the same year."]
     df = documents(texts).withColumn("labels", F.lit("clash")).withColumn("block", F.lit(1))
     templates = spark.createDataFrame(license_scan.TEMPLATES, "label string, words string")
     got = license_scan.scan(df.unionAll(df), templates).collect()
@@ -284,18 +285,17 @@ def test_licenses(spark, documents, no_documents):
             own = [k for k in range(len(w)) if w[k : k + len(p)] == p]
             at += own
             said |= {label} if own else set()
-        longest = max(len(t.split()) for _, t in license_scan.TEMPLATES)
         for label, t in license_scan.TEMPLATES:
-            s = set(t.split())
-            for k in range(0, max(len(w), 1), 2 * longest):
-                share = len(s & set(w[k : k + 4 * longest])) / len(s)
-                if 5 * len(s & set(w[k : k + 4 * longest])) >= 4 * len(s):
+            s, n = set(t.split()), len(t.split())
+            for k in range(0, max(len(w), 1), n):
+                share = len(s & set(w[k : k + 2 * n])) / len(s)
+                if 5 * len(s & set(w[k : k + 2 * n])) >= 4 * len(s):
                     more[label] = max(more.get(label, 0), share)
         g = by[r.doc_id]
         assert (g.n_words, g.n_base, g.first_word, g.last_word) == (len(w), len(at), min(at, default=None), max(at, default=None))
         assert (g.base_labels, g.labels) == (",".join(sorted(said)), ",".join(sorted(said | set(more))))
         assert g.score == pytest.approx(1.0 if at else max(more.values(), default=0.0))
-    assert "cc-by-nc" in by[13].labels
+    assert "cc-by-nc" in by[13].labels and by[18].labels == by[19].labels == ""
     assert license_scan.scan(no_documents, templates).count() == 0
 
 

@@ -1,4 +1,4 @@
-"""Shared parts: scratch tables, connected components, text kernels, pair verification."""
+"""Shared parts: scratch tables, connected components, text kernels, verification of pairs and of whole buckets."""
 
 from __future__ import annotations
 
@@ -156,6 +156,15 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.
     return mix(out), np.r_[0, np.cumsum(np.bincount(out_row, minlength=len(counts)))]
 
 
+def distinct_sorted(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order; quicker than numpy.unique on short arrays."""
+    x = np.sort(x)
+    new = np.empty(len(x), bool)
+    new[:1] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 # ---- verification of pairs -----------------------------------------------------------------------
 
 
@@ -171,8 +180,8 @@ def overlap(x: np.ndarray, y: np.ndarray, need: int) -> int:
         return -1
     if len(x) > 32:
         pivots = y[len(y) // 16 :: max(1, len(y) // 16)]
-        a, b = np.searchsorted(x, pivots), np.searchsorted(y, pivots)
-        apart = np.abs(np.diff(np.r_[0, a, len(x)]) - np.diff(np.r_[0, b, len(y)])).sum()
+        d = np.searchsorted(x, pivots) - np.searchsorted(y, pivots)
+        apart = abs(d[0]) + np.abs(d[1:] - d[:-1]).sum() + abs(len(x) - len(y) - d[-1])
         if len(x) + len(y) - apart < 2 * need:
             return -1
     at = np.searchsorted(y, x)
@@ -180,6 +189,119 @@ def overlap(x: np.ndarray, y: np.ndarray, need: int) -> int:
     return int((y[at] == x).sum())
 
 
+#: Members, and bytes or characters of members, of a bucket that are held against each other in one place.
+BLOCK, BLOCK_SIZE = 1024, 2_000_000
+
+
+def _linked(ids: list[int], sets: list[np.ndarray], need) -> list[tuple[int, int]]:
+    """Edges that span the components of all pairs of sorted sets whose intersections, counted exactly, reach need(size, size)."""
+    n = len(ids)
+    sizes = np.array([len(s) for s in sets])
+    if n <= 16:
+        edges, root = [], list(range(n))
+        for i in range(1, n):
+            for j in range(i):
+                if root[i] != root[j]:
+                    least = int(need(sizes[i], sizes[j]))
+                    if least and overlap(sets[i], sets[j], least) >= least:
+                        edges.append((ids[i], ids[j]))
+                        gone, stays = max(root[i], root[j]), min(root[i], root[j])
+                        root = [stays if r == gone else r for r in root]
+        return edges
+    flat, counts = np.unique(np.concatenate(sets), return_counts=True)
+    flat = flat[counts > 1]
+    both = np.zeros((n, n), np.float32)
+    wide = max(256, (8 << 20) // n)
+    for at in range(0, len(flat), wide):
+        part = flat[at : at + wide]
+        held = np.zeros((n, len(part)), np.float32)
+        for i, s in enumerate(sets):
+            own = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], "right")]
+            place = np.searchsorted(part, own)
+            held[i, place[part[place] == own]] = 1
+        both += held @ held.T
+    least = need(sizes[:, None], sizes[None, :])
+    near = (both >= least) & (least > 0)
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label, np.where(near, label[None, :], n).min(1))
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    return [(ids[i], ids[label[i]]) for i in range(n) if label[i] != i]
+
+
+def _block_links(rows: DataFrame, sets_of, need) -> DataFrame:
+    """(a, b): edges that span the links within each block. rows(block..., id, data) are dealt and sorted by block and id; a second row of an id is left out."""
+
+    def check(batches):
+        def settle(ids, data):
+            edges = [0, *[i for i in range(1, len(ids)) if ids[i][0] != ids[i - 1][0]], len(ids)]
+            sets = sets_of(pa.array(data))
+            found = [e for x, y in zip(edges, edges[1:], strict=False) for e in _linked([i[1] for i in ids[x:y]], sets[x:y], need)]
+            a, b = zip(*found, strict=True) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        ids: list[tuple] = []
+        data: list = []
+        size = 0
+        for batch in batches:
+            last = batch.num_columns - 1
+            blocks = zip(*(batch.column(i).to_pylist() for i in range(last - 1)), strict=True)
+            for block, ident, own in zip(blocks, batch.column(last - 1).to_pylist(), batch.column(last).to_pylist(), strict=True):
+                if ids and ids[-1][0] != block:
+                    if size > BLOCK_SIZE // 4:
+                        yield settle(ids, data)
+                        ids, data, size = [], [], 0
+                elif ids and ids[-1][1] == ident:
+                    continue
+                ids.append((block, ident))
+                data.append(own)
+                size += len(own)
+        if ids:
+            yield settle(ids, data)
+
+    return rows.mapInArrow(check, "a long, b long")
+
+
+def bucket_ways(scratch: Scratch, members: DataFrame) -> DataFrame:
+    """(key, block, id, blocks): where each member of a bucket goes. members(key, id, size), each once.
+
+    Often the same members share several buckets; one of each set of members is enough.
+    """
+    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("digest"), F.min("id").alias("low")).where("n > 1")
+    buckets = buckets.groupBy("n", "digest", "low").agg(F.min("key").alias("key"), F.first("size").alias("size"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_SIZE), F.lit(1)).cast("int")
+    buckets = scratch.keep(buckets.select("key", F.least(blocks, F.col("n").cast("int")).alias("blocks")), "buckets")
+    return members.join(buckets.hint("merge"), "key").select("key", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int").alias("block"), "id", "blocks")
+
+
+def bucket_links(scratch: Scratch, ways: DataFrame, payload: DataFrame, sets_of, need) -> DataFrame:
+    """(a, b): links that join what all links between members of the same bucket join. ways: a kept table of bucket_ways.
+
+    payload(id, tie, data): sets_of turns an array of data into sorted sets, and two members link when their sets share
+    need(size, size) or more. All pairs of a block are counted exactly, without a row for any. A bucket of several blocks
+    costs as much as its members first; then, components known, each member outside the bucket's main component meets all
+    members of the other blocks, in blocks again. Of several rows of an id the one of the least tie counts.
+    """
+    sent = ways.join(payload.hint("merge"), "id").repartition("key", "block").sortWithinPartitions("key", "block", "id", "tie")
+    links = scratch.keep(_block_links(sent.select("key", "block", "id", "data"), sets_of, need), "links")
+    large = ways.where("blocks > 1")
+    if large.isEmpty():
+        return links
+    parts = components(scratch, links, "first")
+    large = scratch.keep(large.join(parts.hint("merge"), "id", "left").select("key", "block", "id", "blocks", F.coalesce("component", "id").alias("part")), "large")
+    main = large.groupBy("key", "part").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "part")).alias("m"), F.sum("k").alias("n"), F.max("k").alias("k"))
+    turns = F.ceil((F.col("n") - F.col("k")) / BLOCK).cast("int")
+    main = scratch.keep(main.where("k < n").select("key", F.col("m.part").alias("main"), turns.alias("turns")), "main")
+    open_ = large.join(main.hint("merge"), "key")
+    stay = open_.select("key", "block", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "id")
+    go = open_.where("part <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id", F.lit(11)), F.col("turns")).cast("int").alias("turn"), "id")
+    sent = stay.unionByName(go).join(payload.hint("merge"), "id").repartition("key", "block", "turn").sortWithinPartitions("key", "block", "turn", "id", "tie")
+    return links.unionByName(scratch.keep(_block_links(sent.select("key", "block", "turn", "id", "data"), sets_of, need), "links-large"))
+
+
 def verify(scratch: Scratch, pairs: DataFrame, texts: DataFrame, tokens, num: int, den: int, per_task: int = 512, broadcast: bool = True) -> DataFrame:
     """The pairs (a, b) whose token sets have den * |intersection| >= num * |union|.
 

@@ -185,11 +185,15 @@ def identify(docs: DataFrame, per_language: int = 2000) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents; see identify for nulls, texts without letters and repeated rows."""
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without an identifiable language go; the others stay as they are."""
+    """Pipeline stage: documents without an identifiable language go; the others stay as they are.
+
+    Null and empty texts and such without a letter have none and go; repeated rows stay or go together; an empty table stays empty.
+    """
     rows = docs.select("doc_id", "text", "lang", in_held_out().alias("held_out"))
     model = train(rows.where("not held_out and doc_id is not null").select(F.col("doc_id").cast("string").alias("key"), "text", "lang"))
     copy = docs.select(*docs.columns, F.col("text").alias("__judged"))

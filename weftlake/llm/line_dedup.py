@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftlake.llm.common import Scratch, chunks, components, mix, overlap
+from weftlake.llm.common import Scratch, bucket_links, bucket_ways, chunks, components, distinct_sorted, mix
 
 #: Characters in a shingle; bands and rows of the signature.
 SHINGLE, BANDS, ROWS = 5, 10, 5
@@ -18,8 +18,6 @@ SHINGLE, BANDS, ROWS = 5, 10, 5
 MIN_CHARS = 1
 #: The pipeline stage removes no line of fewer characters: headings, list items and the like.
 STAGE_MIN_CHARS = 20
-#: Lines, and characters of lines, of a bucket that are held against each other in one place.
-BLOCK, BLOCK_CHARS = 1024, 2_000_000
 #: Bytes of text that are hashed at once (small, so that the arrays stay in the cache) and lines whose bands are sorted at once.
 STEP, SORTED = 1 << 16, 1 << 15
 _NONE = np.uint32(0xFFFFFFFF)
@@ -206,85 +204,14 @@ def shared_bands(signed: DataFrame) -> DataFrame:
     return bands.repartition(place).sortWithinPartitions("key", "id").mapInArrow(meet, schema).select("key", "id", "size")
 
 
-def _linked(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Edges that span the components of all pairs of sets with Jaccard similarity num / den or more, counted exactly."""
-    n = len(ids)
-    sizes = np.array([len(s) for s in sets])
-    if n <= 16:
-        edges, root = [], list(range(n))
-        for i in range(1, n):
-            for j in range(i):
-                if root[i] != root[j]:
-                    need = -(-num * int(sizes[i] + sizes[j]) // (num + den))
-                    if overlap(sets[i], sets[j], need) >= need:
-                        edges.append((int(ids[i]), int(ids[j])))
-                        gone, stays = max(root[i], root[j]), min(root[i], root[j])
-                        root = [stays if r == gone else r for r in root]
-        return edges
-    flat, counts = np.unique(np.concatenate(sets), return_counts=True)
-    flat = flat[counts > 1]
-    both = np.zeros((n, n), np.float32)
-    wide = max(256, (8 << 20) // n)
-    for at in range(0, len(flat), wide):
-        part = flat[at : at + wide]
-        held = np.zeros((n, len(part)), np.float32)
-        for i, s in enumerate(sets):
-            own = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], "right")]
-            place = np.searchsorted(part, own)
-            held[i, place[part[place] == own]] = 1
-        both += held @ held.T
-    near = (num + den) * both.astype(np.float64) >= num * (sizes[:, None] + sizes[None, :])
-    label = np.arange(n)
-    while True:
-        least = np.where(near, label[None, :], n).min(1)
-        least = np.minimum(label, least)
-        least = least[least]
-        if (least == label).all():
-            break
-        label = least
-    return [(int(ids[i]), int(ids[label[i]])) for i in range(n) if label[i] != i]
-
-
-def links_in(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): links between lines of the same block that join what all its links join. rows(block..., id, text) are dealt and sorted by block and id."""
-
-    def check(batches):
-        def settle(ids, texts):
-            """Several whole blocks, by the place where each ends."""
-            a, b = [], []
-            edges = [0, *[i for i in range(1, len(ids)) if ids[i][0] != ids[i - 1][0]], len(ids)]
-            sets: list[np.ndarray] = []
-            for _, data, offsets in chunks(pa.array(texts, pa.large_string()), STEP):
-                h, upto = char_shingles(data, offsets)
-                for i in range(len(upto) - 1):
-                    s = np.sort(h[upto[i] : upto[i + 1]])
-                    sets.append(s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s)
-            for x, y in zip(edges, edges[1:], strict=False):
-                for p, q in _linked(np.array([i[1] for i in ids[x:y]], np.int64), sets[x:y], num, den):
-                    a.append(p)
-                    b.append(q)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        ids: list[tuple] = []
-        texts: list[str] = []
-        size, whole = 0, 0  # characters held; rows up to the last border between blocks
-        for batch in batches:
-            own = list(zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns - 2)), strict=True))
-            for block, ident, text in zip(own, batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                if ids and ids[-1][0] != block:
-                    whole = len(ids)
-                    if size > BLOCK_CHARS // 4:
-                        yield settle(ids, texts)
-                        ids, texts, size = [], [], 0
-                elif ids and ids[-1][1] == ident:
-                    continue  # the same line twice
-                ids.append((block, ident))
-                texts.append(text)
-                size += len(text)
-        if ids:
-            yield settle(ids, texts)
-
-    return rows.mapInArrow(check, "a long, b long")
+def line_sets(column: pa.Array) -> list[np.ndarray]:
+    """The sorted set of shingles of each text."""
+    out = []
+    for _, data, offsets in chunks(column, STEP):
+        h, upto = char_shingles(data, offsets)
+        upto = upto.tolist()
+        out += [distinct_sorted(h[a:b]) for a, b in zip(upto, upto[1:], strict=False)]
+    return out
 
 
 def line_groups(docs: DataFrame, num: int = 3, den: int = 4, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -298,7 +225,7 @@ def line_groups(docs: DataFrame, num: int = 3, den: int = 4, min_chars: int = MI
 
     Equal lines collapse by 128 bits of their digest. Banding brings near ones into one bucket with a probability of 0.93 at similarity
     0.75, 0.98 at 0.8 and over 0.999 at 0.9. Nothing below the threshold is linked: all pairs of a bucket are counted exactly, on whole lines.
-    A bucket of over BLOCK lines is dealt to several blocks; then each line outside its main component meets all lines of the other blocks.
+    A large bucket is dealt to several blocks; then each line outside its main component meets all lines of the other blocks (see bucket_links).
     All joins are by shuffle at every size, so that the plan does not change as the input grows.
     """
     scratch = Scratch(docs.sparkSession, "lines")
@@ -307,37 +234,19 @@ def line_groups(docs: DataFrame, num: int = 3, den: int = 4, min_chars: int = MI
     shared = scratch.keep(shared_bands(signed), "shared")
     members = scratch.keep(shared.distinct(), "members")
     scratch.drop("shared")
-    # the same lines often meet in several bands: one bucket of each set of lines is enough
-    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("chars"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("digest"), F.min("id").alias("least"))
-    buckets = buckets.groupBy("n", "digest", "least").agg(F.min("key").alias("key"), F.first("chars").alias("chars"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS), F.lit(1)).cast("int")
-    buckets = scratch.keep(buckets.select("key", F.least(blocks, F.col("n").cast("int")).alias("blocks")), "buckets")
-    ways = members.join(buckets.hint("merge"), "key").select("key", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int").alias("block"), "id", "blocks")
-    ways = scratch.keep(ways, "ways")
+    ways = scratch.keep(bucket_ways(scratch, members), "ways")
     scratch.drop("members")
     ids = ways.select("id").distinct()
     firsts = scratch.keep(where.groupBy("h0", "h1").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies")), "firsts")
     asked = firsts.join(ids.hint("merge"), F.col("h0") == F.col("id"), "left_semi").groupBy(F.col("first.doc_id").alias("asked_id")).agg(F.collect_list(F.struct("first.line_no", "h0", "h1")).alias("asked"))
     texts = scratch.keep(_texts(docs, scratch.keep(asked, "asked")), "texts")
 
-    line = texts.select("id", "h1", "text").groupBy("id").agg(F.min(F.struct("h1", "text")).alias("own")).select("id", F.col("own.h1").alias("h1"), F.col("own.text").alias("text"))
-    line = scratch.keep(line, "line")
-    sent = ways.join(line.select("id", "text").hint("merge"), "id").repartition("key", "block").sortWithinPartitions("key", "block", "id")
-    links = scratch.keep(links_in(sent.select("key", "block", "id", "text"), num, den), "links")
-    large = ways.where("blocks > 1")
-    if not large.isEmpty():
-        parts = components(scratch, links, "lines-first")
-        large = scratch.keep(large.join(parts.hint("merge"), "id", "left").select("key", "block", "id", "blocks", F.coalesce("component", "id").alias("part")), "large")
-        main = large.groupBy("key", "part").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "part")).alias("m"), F.sum("k").alias("n"), F.max("k").alias("k"))
-        turns = F.ceil((F.col("n") - F.col("k")) / BLOCK).cast("int")
-        main = scratch.keep(main.where("k < n").select("key", F.col("m.part").alias("main"), turns.alias("turns")), "main")
-        open_ = large.join(main.hint("merge"), "key")
-        stay = open_.select("key", "block", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "id")
-        go = open_.where("part <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id", F.lit(11)), F.col("turns")).cast("int").alias("turn"), "id")
-        sent = stay.unionByName(go).join(line.select("id", "text").hint("merge"), "id").repartition("key", "block", "turn").sortWithinPartitions("key", "block", "turn", "id")
-        links = links.unionByName(scratch.keep(links_in(sent.select("key", "block", "turn", "id", "text"), num, den), "links-large"))
+    # should two lines share h0, the one of the smaller h1 stands for it here, and the other is left out below
+    payload = texts.select("id", F.col("h1").alias("tie"), F.col("text").alias("data"))
+    links = bucket_links(scratch, ways, payload, line_sets, lambda x, y: -(-num * (x + y) // (num + den)))
     parts = components(scratch, links, "lines")
-    parts = scratch.keep(parts.join(line.select("id", "h1").hint("merge"), "id").select(F.col("id").alias("h0"), "h1", "component"), "parts")
+    own = firsts.select("h0", "h1").join(parts.hint("merge"), F.col("h0") == F.col("id")).groupBy("h0").agg(F.min("h1").alias("h1"), F.min("component").alias("component"))
+    parts = scratch.keep(own, "parts")
     grouped = firsts.join(parts.hint("merge"), ["h0", "h1"], "left").where("copies > 1 or component is not null").select("h0", "h1", "first", F.coalesce("component", "h0").alias("group"), F.col("component").isNull().alias("lone"))
     grouped = scratch.keep(grouped, "grouped")
     lone = grouped.where("lone").select("h0", "h1", "group", F.col("first").alias("keeper"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from weftlake.llm.common import Scratch, chunks, components, mix, shingles, small, verify
+from weftlake.llm.common import Scratch, chunks, components, distinct_sorted, mix, shingles, small, verify
 
 #: Counters in each of the two rows of the frequency sketch: its size does not grow with the corpus.
 SKETCH = 1 << 17
@@ -91,7 +91,7 @@ def document_sets(docs: DataFrame, classes, num: int, den: int, frequent=None) -
                 token = ordered(h, classes.value, frequent.value if frequent is not None else None)
                 n, sig, prefix = [], [], []
                 for i in range(len(upto) - 1):
-                    own = np.unique(token[upto[i] : upto[i + 1]])
+                    own = distinct_sorted(token[upto[i] : upto[i + 1]])
                     n.append(len(own))
                     sig.append((int(own.sum(dtype=np.uint64)), int(mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))))
                     prefix.append(own[: len(own) - -(-num * len(own) // den) + 1] if len(own) else own)
@@ -147,7 +147,7 @@ def ngram_groups(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
         out = []
         for _, data, offsets in chunks(column):
             h, upto = shingles(data, offsets)
-            out += [np.unique(h[upto[i] : upto[i + 1]]) for i in range(len(upto) - 1)]
+            out += [distinct_sorted(h[upto[i] : upto[i + 1]]) for i in range(len(upto) - 1)]
         return out
 
     links, done = scratch.keep(verify(scratch, star, texts, tokenise, num, den), "links0"), star
@@ -180,14 +180,20 @@ def ngram_groups(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and components of all documents; see ngram_groups for nulls, empty and long texts, ties and repeated rows."""
     return ngram_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def near_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates the smallest doc_id stays."""
+    """Pipeline stage: of each group of near duplicates the smallest doc_id stays.
+
+    Null and empty texts and rows with a null doc_id stay; rows that share a doc_id stay or go together; an empty table stays
+    empty; other columns pass through.
+    """
     groups = ngram_groups(docs)
     gone = Scratch(spark, "ngram-stage").keep(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(small(gone), F.col("doc_id") == F.col("gone_id"), "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"))  # apart from the names that are used here
+    return rows.join(small(gone), F.col("row.doc_id") == F.col("gone_id"), "left_anti").select("row.*")
 
 
 SQL = r"""
