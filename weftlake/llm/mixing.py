@@ -10,8 +10,8 @@ from weftlake.llm.common import Scratch, small
 
 #: Words in a block, blocks in an output shard, rounds of the index permutation and times it is taken at most.
 BLOCK, SHARD, ROUNDS, WALK = 64, 1024, 8, 64
-#: Documents of a source that one task puts in order.
-PER_BUCKET = 20_000
+#: Shards whose counts are summed in one step, and documents of a source that one task puts in order.
+SHARDS_TOGETHER, PER_BUCKET = 4096, 20_000
 _SPACE = r"\x20\x09-\x0D"
 
 
@@ -20,33 +20,48 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{_SPACE}]+")), F.lit(0)).cast("long")
 
 
-def _walked(index: Column, n: Column, once) -> Column:
-    """once, a permutation of a grid of just over n places, taken until it is below n. Fewer than ceil(sqrt(n)) places
-    are beyond n, so WALK times always do for n up to WALK ** 2; above, a place stays beyond n each time by a chance under 1 / WALK."""
-    first = once(index)
-    return F.when(first < n, first).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda x, _: F.when(x < n, x).otherwise(once(x))))
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value computed once: a plan would hold a copy of it for each mention."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _grid(n: Column) -> tuple[Column, Column]:
-    high = F.ceil(F.sqrt(n.cast("double"))).cast("long")
-    return high, F.ceil(n / high).cast("long")
+    high = F.greatest(F.lit(1).cast("long"), F.ceil(F.sqrt(n.cast("double"))).cast("long"))
+    return high, F.greatest(F.lit(1).cast("long"), F.ceil(n / high).cast("long"))
+
+
+def _rounds(index: Column, n: Column, key: Column, order: list[int], sign: int) -> Column:
+    """Rounds over the places of a grid of just over n, then again for a place beyond n until it is below. Fewer than ceil(sqrt(n)) places
+    are beyond n, so WALK times always do for n up to WALK ** 2; above, a place stays beyond n each time by a chance under 1 / WALK."""
+
+    def within(size: Column) -> Column:
+        high, low = size["high"], size["low"]
+
+        def turn(at: Column, r: Column) -> Column:
+            row = F.when(r % 2 == 0, F.pmod(at["row"] + sign * F.pmod(F.xxhash64(key, r, at["col"]), high), high)).otherwise(at["row"])
+            col = F.when(r % 2 == 1, F.pmod(at["col"] + sign * F.pmod(F.xxhash64(key, r, at["row"]), low), low)).otherwise(at["col"])
+            return F.struct(row.alias("row"), col.alias("col"))
+
+        def once(x: Column) -> Column:
+            start = F.struct(F.floor(x / low).alias("row"), F.pmod(x, low).alias("col"))
+            return F.aggregate(F.array(*[F.lit(r) for r in order]), start, turn, lambda at: at["row"] * low + at["col"])
+
+        again = lambda x: F.when(x < n, x).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), x, lambda y, _: F.when(y < n, y).otherwise(once(y))))
+        return _bound(once(index), again)
+
+    high, low = _grid(n)
+    return _bound(F.struct(high.alias("high"), low.alias("low")), within)
 
 
 def _permuted(index: Column, n: Column, key: Column) -> Column:
     """A pseudorandom permutation of 0..n-1, keyed: an index is a row and a column of a grid; ROUNDS rounds
     shift one of them by a hash of the other, which is a bijection each time."""
-    high, low = _grid(n)
+    return _rounds(index, n, key, list(range(ROUNDS)), 1)
 
-    def once(x: Column) -> Column:
-        row, col = F.floor(x / low), F.pmod(x, low)
-        for r in range(ROUNDS):
-            if r % 2:
-                col = F.pmod(col + F.pmod(F.xxhash64(key, F.lit(r), row), low), low)
-            else:
-                row = F.pmod(row + F.pmod(F.xxhash64(key, F.lit(r), col), high), high)
-        return row * low + col
 
-    return _walked(index, n, once)
+def _permuted_back(index: Column, n: Column, key: Column) -> Column:
+    """The inverse of _permuted: the rounds are taken back in reverse."""
+    return _rounds(index, n, key, list(reversed(range(ROUNDS))), -1)
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -75,9 +90,9 @@ def mix_blocks(docs: DataFrame, seed: int = 0, carry: tuple[str, ...] = ()) -> t
     documents: doc_id, the columns named by carry, order (a hash of doc_id and text), source_no, size, source_size, target, offset: the row's first word in its
     source's stream. uses: source_no, offset, size (of the document), turn, shard, slot, first, last: in that turn through the
     source the output slot takes the words first..last-1 of the document. Each source's stream of words is
-    packed into blocks of BLOCK words (the last one is shorter). The output is a row of slots, cut into
-    shards of SHARD; slots go to sources in a pseudorandom order with each source's total fixed,
-    which makes a shard's counts multinomial given the totals. The k-th slot of a source takes
+    packed into blocks of BLOCK words (the last one is shorter). The output is a row of shards of SHARD slots. First
+    each shard's source counts are drawn: multinomial ones given each source's total, which a pseudorandom order of all slots
+    yields. Slots then follow from the counts: a source's slots are numbered through the shards, and its k-th slot takes
     block pi_turn(k mod n) with turn = k div n and a fresh permutation pi each turn, so a turn
     takes every word once; the last one stops at the target. Targets never exceed three turns.
     """
@@ -108,18 +123,31 @@ def mix_blocks(docs: DataFrame, seed: int = 0, carry: tuple[str, ...] = ()) -> t
     quota = scratch.keep(quota, "quota")
     total = quota.agg(F.coalesce(F.max("all"), F.lit(0)).alias("n")).first().n
     step = 1 << 16  # a slot finds its source by its stretch of slots, so that the join is on equality
-    stretches = quota.where("slots > 0").select("*", F.explode(F.sequence(F.floor(F.col("from") / step), F.floor((F.col("from") + F.col("slots") - 1) / step))).alias("stretch"))
-    slot = docs.sparkSession.range(total).withColumnRenamed("id", "i").withColumn("stretch", F.floor(F.col("i") / step))
-    slot = slot.join(small(scratch.keep(stretches, "stretches")), "stretch").where("i >= `from` and i < `from` + slots")
-    k = F.col("i") - F.col("from")
-    slot = slot.select("source_no", "source_size", "whole", "rest", "blocks", k.alias("k"), F.floor(k / F.col("blocks")).alias("turn"), _permuted(F.col("i"), F.lit(total).cast("long"), F.lit(seed).cast("long")).alias("place"))
+    stretches = quota.where("slots > 0").select("source_no", "from", "slots", F.explode(F.sequence(F.floor(F.col("from") / step), F.floor((F.col("from") + F.col("slots") - 1) / step))).alias("stretch"))
+    drawn = docs.sparkSession.range(total).withColumnRenamed("id", "i").withColumn("stretch", F.floor(F.col("i") / step))
+    drawn = drawn.join(small(scratch.keep(stretches, "stretches")), "stretch").where("i >= `from` and i < `from` + slots")
+    place = _permuted(F.col("i"), F.lit(total).cast("long"), F.lit(seed).cast("long"))
+    # the draw: how many slots of each shard go to each source, and how many the source has had in the shards before
+    counts = drawn.select("source_no", F.floor(place / SHARD).alias("shard")).groupBy("source_no", "shard").agg(F.count("*").alias("drawn")).withColumn("run", F.floor(F.col("shard") / SHARDS_TOGETHER))
+    counts = scratch.keep(counts, "counts")
+    runs = counts.groupBy("source_no", "run").agg(F.sum("drawn").alias("in_run"))
+    earlier = W.Window.partitionBy("source_no").orderBy("run").rowsBetween(W.Window.unboundedPreceding, -1)
+    runs = small(scratch.keep(runs.select("source_no", "run", F.coalesce(F.sum("in_run").over(earlier), F.lit(0)).alias("had")), "runs"))
+    inside = W.Window.partitionBy("source_no", "run").orderBy("shard").rowsBetween(W.Window.unboundedPreceding, -1)
+    beside = W.Window.partitionBy("shard").orderBy("source_no").rowsBetween(W.Window.unboundedPreceding, -1)
+    counts = counts.withColumn("in_run", F.coalesce(F.sum("drawn").over(inside), F.lit(0))).withColumn("first_slot", F.coalesce(F.sum("drawn").over(beside), F.lit(0)))
+    slot = counts.join(runs, ["source_no", "run"]).withColumn("nth_here", F.explode(F.sequence(F.lit(0).cast("long"), F.col("drawn") - 1)))
+    slot = slot.join(small(quota.select("source_no", "source_size", "whole", "rest", "blocks")), "source_no")
+    k = F.col("had") + F.col("in_run") + F.col("nth_here")
+    mixed_up = _permuted(F.col("first_slot") + F.col("nth_here"), F.least(F.lit(SHARD).cast("long"), F.lit(total) - F.col("shard") * SHARD), F.xxhash64("shard", F.lit(seed)))
+    slot = slot.select("source_no", "source_size", "whole", "rest", "blocks", k.alias("k"), F.floor(k / F.col("blocks")).alias("turn"), "shard", mixed_up.alias("slot"))
     nth = F.col("k") - F.col("turn") * F.col("blocks")
     key = F.xxhash64("source_no", "turn", F.lit(seed))
     slot = slot.select("*", nth.alias("nth"), _permuted(nth, F.col("blocks"), key).alias("block"), _permuted_back(F.col("blocks") - 1, F.col("blocks"), key).alias("short_at"))
     size = F.when(F.col("block") == F.col("blocks") - 1, F.col("source_size") - BLOCK * (F.col("blocks") - 1)).otherwise(F.lit(BLOCK))
     missing = F.when(F.col("nth") > F.col("short_at"), BLOCK * F.col("blocks") - F.col("source_size")).otherwise(0)
     taken = F.when(F.col("turn") < F.col("whole"), size).otherwise(F.greatest(F.lit(0), F.least(size, F.col("rest") - (F.col("nth") * BLOCK - missing))))
-    slot = slot.select("source_no", "block", "turn", F.floor(F.col("place") / SHARD).alias("shard"), F.pmod("place", F.lit(SHARD)).alias("slot"), taken.alias("words")).where("words > 0")
+    slot = slot.select("source_no", "block", "turn", "shard", "slot", taken.alias("words")).where("words > 0")
 
     pieces = documents.where("size > 0").select("source_no", "offset", "size", F.explode(F.sequence(F.floor(F.col("offset") / BLOCK), F.floor((F.col("offset") + F.col("size") - 1) / BLOCK))).alias("block"))
     uses = pieces.join(slot, ["source_no", "block"])
@@ -128,22 +156,6 @@ def mix_blocks(docs: DataFrame, seed: int = 0, carry: tuple[str, ...] = ()) -> t
     return documents, uses, scratch
 
 
-def _permuted_back(index: Column, n: Column, key: Column) -> Column:
-    """The inverse of _permuted: the rounds are taken back in reverse."""
-    high, low = _grid(n)
-
-    def once(x: Column) -> Column:
-        row, col = F.floor(x / low), F.pmod(x, low)
-        for r in reversed(range(ROUNDS)):
-            if r % 2:
-                col = F.pmod(col - F.pmod(F.xxhash64(key, F.lit(r), row), low), low)
-            else:
-                row = F.pmod(row - F.pmod(F.xxhash64(key, F.lit(r), col), high), high)
-        return row * low + col
-
-    return _walked(index, n, once)
-
-
 def mixture(docs: DataFrame, seed: int = 0) -> DataFrame:
     """(doc_id, size, source_size, target, taken, places) for every row of docs(doc_id, text, source, ...).
 
