@@ -187,6 +187,25 @@ def test_mixing(spark, documents, no_documents):
     assert {r.doc_id: r.taken for r in got if r.taken and r.doc_id != 2001} == {i: n for i, n in words.items() if i != 2001}
 
 
+def test_mixing_keeps_rows_apart(spark, documents):
+    text = prose(random.Random(9), 300)
+    more = [(1000, text, "en", "s1", 0), (1000, text, "en", "s2", 0), (1000, text, "en", "s2", 0), (1000, text, "de", "s2", 0), (1001, text, "en", "s1", 0)]
+    df = documents([], more=more).withColumn("row", F.lit("clash")).withColumn("k0", F.create_map(F.lit("a"), F.lit(1)))
+    taken, words = {}, {}
+    for r in mixing.mixture(df).collect():
+        taken[r.doc_id, r.source_size] = taken.get((r.doc_id, r.source_size), 0) + r.taken
+    out = mixing.mixed(spark, df, "")
+    assert out.columns == df.columns and out.schema["k0"] == df.schema["k0"]
+    for r in out.collect():
+        words[r.doc_id, {"s1": 600, "s2": 900}[r.source]] = words.get((r.doc_id, {"s1": 600, "s2": 900}[r.source]), 0) + len(r.text.split())
+    assert {k: n for k, n in taken.items() if n} == words and len(words) == 3
+
+
+def test_plan_of_the_mix_is_small(spark, documents):
+    plan = mixing.mixture(documents(["a b c"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 50_000 and "drawn" in plan and "shard" in plan
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 100):
         got = spark.range(n).select(mixing._permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5).cast("long")).alias("p"), F.col("id").alias("i"))
@@ -263,8 +282,36 @@ def test_fingerprints(spark, documents, no_documents):
     assert prints[14] == prints[15] and prints[1] == prints[2] and len(set(prints.values())) == len({r.text or "" for r in df.collect()})
     assert edit_embedding.with_edits(no_documents).count() == 0
     assert edit_embedding.with_edits(no_documents.unionAll(spark.createDataFrame([(5, "abcdef", "en", "s", 6)], no_documents.schema))).first().near_edited <= 1
-    pairs = edit_embedding.similar_pairs(edit_embedding.fingerprints(df)).collect()
-    assert (15, 14, 1.0) in [tuple(p) for p in pairs]
+    assert all(r.near_id is None for r in got)
+
+
+def test_fingerprint_classes(spark, documents, no_documents, tmp_path):
+    rng = random.Random(31)
+    texts = []
+    for size in (20, 80, 400, 2500):
+        for _ in range(3):
+            base = prose(rng, size)
+            for edits in (0, 0, 1, 1, 2, size // 30, size // 15):
+                w = list(base)
+                for _ in range(edits):
+                    w[rng.randrange(len(w))] = rng.choice(["", "zz", "q"])
+                texts.append("".join(w))
+    texts += [t[: len(t) // 2] + u[len(u) // 2 :] for t, u in zip(texts[::9], texts[4::9], strict=False)]
+    df = documents(texts, more=[(10, texts[0], "en", "s", 0), (None, texts[0], "en", "s", 0)])
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = edit_embedding.op4_document_fingerprints(spark, str(tmp_path)).collect()
+    assert len(got) == df.count()
+    sets = {r.doc_id: set(edit_embedding.marks(bytes.fromhex(r.fingerprint)).tolist()) for r in got if r.doc_id is not None}
+    near = {r.doc_id: r.near_id for r in got if r.doc_id is not None}
+    linked = lambda a, b: a == b or bool(a) and bool(b) and 4 * len(a & b) >= 3 * max(len(a), len(b))
+    want = brute_components(sorted(sets), sets, linked)
+    links = [(i, j) for i in sets for j in sets if i < j and linked(sets[i], sets[j])]
+    assert len(links) > 100 and np.mean([near[i] == near[j] for i, j in links]) >= 0.9
+    assert all(want[i] == want[near[i]] and near[i] <= i for i in near) and next(r for r in got if r.doc_id is None).near_id == 10
+    prints = {r.doc_id: bytes.fromhex(r.fingerprint) for r in got if r.doc_id is not None}
+    for i, j in links[:50]:
+        assert edit_embedding.likeness(prints[i], prints[j]) >= 0.75
+    assert edit_embedding.near_classes(no_documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).count() == 0
 
 
 def test_licenses(spark, documents, no_documents):

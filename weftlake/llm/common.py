@@ -191,6 +191,8 @@ def overlap(x: np.ndarray, y: np.ndarray, need: int) -> int:
 
 #: Members, and bytes or characters of members, of a bucket that are held against each other in one place.
 BLOCK, BLOCK_SIZE = 1024, 2_000_000
+#: Members whose keys are sorted at once.
+SORTED = 1 << 15
 
 
 def _linked(ids: list[int], sets: list[np.ndarray], need) -> list[tuple[int, int]]:
@@ -265,6 +267,69 @@ def _block_links(rows: DataFrame, sets_of, need) -> DataFrame:
     return rows.mapInArrow(check, "a long, b long")
 
 
+def shared_members(rows: DataFrame, bands: int) -> DataFrame:
+    """(key, id, size), some twice, of the members that share a key with another one. rows(id, size, keys): keys are the 64-bit keys of all bands in one binary.
+
+    Of members that meet in one batch only one goes on to the key's place, so a key that very many of them
+    share is counted before the shuffle; there rows pass in order and none is held.
+    """
+    schema = "key long, id long, size int, sure boolean"
+    names = ["key", "id", "size", "sure"]
+
+    def distinct(key, ident, *more):
+        order = np.lexsort((ident, key))
+        key, ident = key[order], ident[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])] if len(key) else np.zeros(0, bool)
+        return (key[new], ident[new], *(x[order][new] for x in more))
+
+    def spread(batches):
+        def flush(held):
+            ident, size = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            key = np.frombuffer(b"".join(x[2] for x in held), np.int64)
+            key, ident, size = distinct(key, np.repeat(ident, bands), np.repeat(size, bands))
+            first = np.r_[True, key[1:] != key[:-1]]
+            alone = first & np.r_[first[1:], True]
+            yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(ident[first]), pa.array(size[first]), pa.array(np.zeros(first.sum(), bool))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(key[~alone]), pa.array(ident[~alone]), pa.array(size[~alone]), pa.array(np.ones((~alone).sum(), bool))], names)
+
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), b"".join(batch.column(2).to_pylist())))
+                n += batch.num_rows
+            if n >= SORTED:
+                yield from flush(held)
+                held, n = [], 0
+        if held:
+            yield from flush(held)
+
+    def meet(batches):
+        held = None  # the last row, and whether it is out already
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sure = batch.column(3).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(sure))
+            key, ident, size = (batch.column(i).to_numpy()[~sure] for i in range(3))
+            if held is not None:
+                key, ident, size = np.r_[held[0], key], np.r_[held[1], ident], np.r_[held[2], size].astype(np.int32)
+            if not len(key):
+                continue
+            new = np.r_[True, (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])]
+            key, ident, size = key[new], ident[new], size[new]
+            same = key[1:] == key[:-1]
+            met = np.r_[same, False] | np.r_[False, same]
+            out = met.copy()
+            if held is not None and held[3]:
+                out[0] = False
+                met[0] = True
+            held = (key[-1], ident[-1], size[-1], bool(met[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(ident[out]), pa.array(size[out]), pa.array(np.ones(out.sum(), bool))], names)
+
+    place = F.when(F.col("sure"), F.xxhash64("id")).otherwise(F.col("key"))
+    return rows.select("id", "size", "keys").mapInArrow(spread, schema).repartition(place).sortWithinPartitions("key", "id").mapInArrow(meet, schema).select("key", "id", "size")
+
+
 def bucket_ways(scratch: Scratch, members: DataFrame) -> DataFrame:
     """(key, block, id, blocks): where each member of a bucket goes. members(key, id, size), each once.
 

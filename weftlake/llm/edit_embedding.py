@@ -6,15 +6,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlake.llm.common import Scratch, small
+from weftlake.llm.common import Scratch, bucket_links, bucket_ways, components, mix, shared_members
 
 #: Sampled positions of a walk; bytes kept of each sampled character; classes of characters and period of the walk's random bits.
 SAMPLES, CLASSES, PERIOD = 256, 64, 1 << 15
-#: Bands of sampled positions and positions in each, for pairs of fingerprints.
-BANDS, WIDTH = 24, 4
+#: Bands of sampled positions and positions in each; likeness from which two fingerprints link, as a fraction.
+BANDS, WIDTH = 12, 5
+NEAR = (3, 4)
+#: Rows of a sample, for each stretch, from which the borders of stretches are taken.
+BORDER_ROWS = 50
 _tables: list = []
 
 
@@ -144,81 +147,118 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return docs.select(key, text).mapInArrow(run, f"k {docs.schema[key].dataType.simpleString()}, fingerprint string").withColumnRenamed("k", key)
 
 
-def similar_pairs(prints: DataFrame, least: float = 0.8, key: str = "doc_id") -> DataFrame:
-    """(a, b, likeness): pairs of different fingerprints found by bit-sampled banding and verified, and pairs (a, representative) of equal ones.
+def marks(fingerprint: bytes) -> np.ndarray:
+    """The sampled steps with the bytes kept at them, as a sorted set of numbers: two sets share what two walks have in common."""
+    steps = sample_positions(int.from_bytes(fingerprint[:4], "big"))
+    return steps.astype(np.uint64) << np.uint64(8) | np.frombuffer(fingerprint, np.uint8, offset=4)
 
-    Equal fingerprints collapse to their smallest key first. Each band reads WIDTH sampled steps;
-    members of a band's bucket are held against its smallest key, so large buckets stay linear.
+
+def band_keys(fingerprint: bytes) -> np.ndarray:
+    """A key for each band: WIDTH of the steps that fall to the band by hash, those of the least hash of all up to the walk's end.
+
+    So bands sample the whole walk, and walks of nearly the same length read nearly the same steps.
     """
+    own = marks(fingerprint)
+    h = _mix32((own >> np.uint64(8)).astype(np.uint32) * np.uint32(0x9E3779B1) + np.uint32(0x7654321))
+    order = np.lexsort((h, h % np.uint32(BANDS)))
+    band = (h % np.uint32(BANDS))[order]
+    rank = np.arange(len(order)) - np.searchsorted(band, band)
+    chosen = order[rank < WIDTH]
+    band = (h % np.uint32(BANDS))[chosen].astype(np.int64)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    np.add.at(keys, band, mix(own[chosen] * np.uint64(0xD6E8FEB86659FD93) + band.astype(np.uint64)))
+    return mix(keys)
+
+
+def _digest(fingerprint: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(fingerprint, digest_size=8).digest(), "big", signed=True)
+
+
+def _order(text: Column) -> list[Column]:
+    """Columns by which rows are in descending order of doc_id, nulls last; equal ones by a hash of the text."""
+    return [F.col("doc_id").isNull().cast("int").alias("o1"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("long")).alias("o2"), F.xxhash64(text).alias("o3")]
 
-    def bands(batches):
-        for batch in batches:
-            keys, ids, texts = [], [], []
-            for ident, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = bytes.fromhex(p)
-                steps = sample_positions(int.from_bytes(raw[:4], "big"))
-                for band in range(BANDS):  # absolute steps in windows of doubling size, so that texts of other lengths share them
-                    lo, hi = (0, 16) if band < 4 else (1 << (4 + (band - 4) // 4), 1 << (6 + (band - 4) // 4))
-                    inside = np.flatnonzero((steps >= lo) & (steps < hi))
-                    if len(inside) < WIDTH:
-                        continue
-                    h = _mix32(steps[inside].astype(np.uint32) + np.uint32(band * 7919))
-                    chosen = inside[np.argsort(h)[:WIDTH]]
-                    keys.append(int.from_bytes(hashlib.blake2b(bytes([band]) + bytes(raw[4 + c] for c in sorted(chosen)), digest_size=8).digest(), "big", signed=True))
-                    ids.append(ident)
-                    texts.append(p)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["bucket", "id", "print"])
-
-    scratch = Scratch(prints.sparkSession, "bands")
-    prints = prints.select(F.col(key).cast("long").alias("id"), F.col("fingerprint").alias("print")).where("id is not null")
-    reps = prints.groupBy("print").agg(F.min("id").alias("id"))
-    rows = scratch.keep(reps.select("id", "print").mapInArrow(bands, "bucket long, id long, print string"), "buckets")
-    heads = scratch.keep(rows.groupBy("bucket").agg(F.min(F.struct("id", "print")).alias("head"), F.max("id").alias("most")).where("head.id < most").select("bucket", "head"), "heads")
-    pairs = rows.join(heads, "bucket").where("id <> head.id").select("id", "print", F.col("head.id").alias("b"), F.col("head.print").alias("other")).distinct()
-
-    def check(batches):
-        for batch in batches:
-            scores = [likeness(bytes.fromhex(x), bytes.fromhex(y)) for x, y in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64())], ["a", "b", "likeness"])
 
-    near = pairs.mapInArrow(check, "a long, b long, likeness double").where(F.col("likeness") >= least)
-    same = prints.join(scratch.keep(reps.select("print", F.col("id").alias("b")), "reps"), "print").where("id <> b").select(F.col("id").alias("a"), "b", F.lit(1.0).alias("likeness"))
-    return near.unionByName(same)
+def near_classes(docs: DataFrame) -> DataFrame:
+    """(o1, o2, o3, near_id) of the rows of docs(doc_id, text) whose fingerprint links with one of another row: near_id is the smallest doc_id reachable.
 
+    Fingerprints link when they agree in NEAR of the steps of the longer walk, which estimates that texts are few edits apart; equal ones are one
+    vertex. They meet in buckets of BANDS bit-sampled bands, and all pairs of a bucket are verified on whole fingerprints. At a likeness
+    of 0.75 the bands find 0.96 of pairs, at 0.8 0.99.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
 
-def with_edits(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row of docs(doc_id, text, ...).
+    def sign(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                prints = embed([_points(t) for t in part.column(3).to_pylist()])
+                own = [part.column(i) for i in range(3)] + [part.column(4)]
+                keys = [band_keys(p).tobytes() for p in prints]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([_digest(p) for p in prints], pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.binary())], ["o1", "o2", "o3", "doc_id", "id", "print", "keys"])
+
+    rows = docs.select(*_order(F.col("text")), "text", "doc_id")
+    signed = scratch.keep(rows.mapInArrow(sign, "o1 int, o2 long, o3 long, doc_id long, id long, print binary, keys binary"), "signed")
+    members = scratch.keep(shared_members(signed.select("id", F.lit(2 * SAMPLES).alias("size"), "keys"), BANDS).distinct(), "members")
+    ways = scratch.keep(bucket_ways(scratch, members), "ways")
+    # of rows with equal fingerprints one is enough; should two share a digest, the smaller stands for it
+    asked = signed.select("id", "print").join(ways.select("id").distinct().hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("print").alias("data"))
+    payload = scratch.keep(asked.select("id", F.lit(0).alias("tie"), "data"), "payload")
+    num, den = NEAR
+    links = bucket_links(scratch, ways, payload, lambda data: [marks(x) for x in data.to_pylist()], lambda x, y: -(-num * np.maximum(x, y) // den))
+    parts = components(scratch, links, "near")
+    grouped = signed.groupBy("id").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).join(parts.hint("merge"), "id", "left").select("id", "low", "n", F.coalesce("component", "id").alias("part"))
+    grouped = scratch.keep(grouped, "grouped")
+    classes = grouped.groupBy("part").agg(F.min("low").alias("near_id"), F.sum("n").alias("n")).where("n > 1 and near_id is not null")
+    named = scratch.keep(grouped.join(classes.select("part", "near_id").hint("merge"), "part").select("id", "near_id"), "named")
+    out = scratch.keep(signed.select("o1", "o2", "o3", "id").join(named.hint("merge"), "id").groupBy("o1", "o2", "o3").agg(F.min("near_id").alias("near_id")), "classes")
+    scratch.drop("signed", "members", "ways", "payload")
+    return out
+
+
+def with_edits(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, near_id) for every row of docs(doc_id, text, ...).
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or all) of the next
     document's, in descending order of doc_id (after the last: the first). Null texts are empty. Rows of
-    equal doc_id follow each other by text; null doc_ids come last.
+    equal doc_id follow each other by a hash of the text; null doc_ids come last. near_id is the smallest doc_id of the
+    fingerprint's class (see near_classes), the row's own if it links with nothing; without classes it is null. Repeated rows each give
+    a row; other columns are ignored; an empty table gives no rows.
 
-    Rows are dealt to stretches of doc_id, whose borders come from quantiles of the ids alone; the first row of
+    Rows are dealt to stretches of this order, whose borders come from a small sample (they decide where rows lie, not what comes out); the first row of
     each stretch is also sent to the one before, so each text is shuffled once and no task orders all rows.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    keys = ["o1", "o2", "o3"]
+    place = docs.select(*_order(F.col("text")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(docs.where("doc_id is not null").select("doc_id").stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
-    # stretch 0 has the largest ids; nulls are after the smallest
-    stretch = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0))
-    heads = [(r.stretch, r.top) for r in docs.select(stretch.alias("stretch"), "doc_id").groupBy("stretch").agg(F.max("doc_id").alias("top")).orderBy("stretch").collect()]
-    before = {heads[i][0]: heads[i - 1][0] for i in range(len(heads))}  # the first wraps to the last
-    rows = docs.withColumn("stretch", stretch)
-    if heads:
-        head = F.create_map(*[F.lit(x) for s, top in heads for x in (s, top)]) if all(t is not None for _, t in heads) else F.create_map(*[F.lit(x).cast("long") if i else F.lit(x) for s, top in heads for i, x in enumerate((s, top))])
-        back = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-        is_head = F.col("doc_id").eqNullSafe(head[F.col("stretch")])
-        rows = rows.withColumn("copy", F.explode(F.when(is_head, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-        rows = rows.withColumn("stretch", F.when(F.col("copy") == 1, back[F.col("stretch")]).otherwise(F.col("stretch")))
+    count = docs.count()
+    share = min(1.0, BORDER_ROWS * parts / max(1, count))
+    drawn = sorted(tuple(r) for r in place.where(F.pmod(F.xxhash64(*keys, F.lit(1)), F.lit(1 << 30)) < share * (1 << 30)).distinct().collect())
+    cuts = sorted({drawn[len(drawn) * k // parts] for k in range(1, parts)}) if drawn else []
+    own = F.struct(*[F.col(k) for k in keys])
+    if cuts:  # the number of cuts up to the row, by halving
+        listed = F.array(*[F.struct(F.lit(a).alias("o1"), F.lit(b).cast("long").alias("o2"), F.lit(c).cast("long").alias("o3")) for a, b, c in cuts])
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+        stretch = F.aggregate(steps, F.lit(0), lambda low, step: F.when((low + step <= len(cuts)) & (F.get(listed, low + step - 1) <= own), low + step).otherwise(low))
     else:
-        rows = rows.withColumn("copy", F.lit(0))
-    rows = rows.repartition("stretch").sortWithinPartitions("stretch", "copy", F.col("doc_id").desc_nulls_last(), "text")
+        stretch = F.lit(0)
+    heads = place.withColumn("stretch", stretch).groupBy("stretch").agg(F.min(own).alias("head")).orderBy("stretch").collect()
+    none = F.lit(None).cast("long")
+    rows = docs.select(*_order(F.col("text")), F.lit(1).alias("kind"), "doc_id", "text", none.alias("near_id")).withColumn("stretch", stretch).withColumn("copy", F.lit(0))
+    first = spark.createDataFrame([(*r.head, heads[i - 1].stretch) for i, r in enumerate(heads)], "o1 int, o2 long, o3 long, back int")
+    copies = rows.join(F.broadcast(first), keys).select(*rows.columns[:-2], F.col("back").alias("stretch"), F.lit(1).alias("copy"))
+    rows = rows.unionByName(copies)
+    if classes is not None:
+        named = classes.select(*keys, F.lit(0).alias("kind"), none.alias("doc_id"), F.lit("").alias("text"), "near_id").withColumn("stretch", stretch).withColumn("copy", F.lit(0))
+        rows = rows.unionByName(named)
+    rows = rows.repartitionById(len(cuts) + 1, "stretch").sortWithinPartitions("stretch", "copy", *keys, "kind", "text")
 
     def finish(batch_rows):
-        """batch_rows: (doc_id, text, next text)."""
+        """batch_rows: (doc_id, text, next text, near_id)."""
         texts = []
-        for _, text, follow in batch_rows:
+        for _, text, follow, _ in batch_rows:
             own, nxt = _points(text), _points(follow)
             third = len(own) // 3
             edited = np.r_[own[: len(own) - third], nxt[:third]].astype(np.uint32)
@@ -227,38 +267,47 @@ def with_edits(docs: DataFrame) -> DataFrame:
         slots = [index.setdefault(t.tobytes(), len(index)) for t in texts]
         prints = embed([np.frombuffer(t, np.uint32) for t in index])
         out = []
-        for k, (ident, text, _) in enumerate(batch_rows):
+        for k, (ident, _, _, near) in enumerate(batch_rows):
             own, edited, nxt = (prints[slots[3 * k + j]] for j in range(3))
             raw = texts[3 * k + 1].astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
-            out.append((ident, len(texts[3 * k]), hashlib.sha256(raw).hexdigest(), own.hex(), edited.hex(), likeness(own, edited), likeness(own, nxt)))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 7
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+            out.append((ident, len(texts[3 * k]), hashlib.sha256(raw).hexdigest(), own.hex(), edited.hex(), likeness(own, edited), likeness(own, nxt), near))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 8
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
+        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "near_id"]
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
 
+    judged = classes is not None
+
     def run(batches):
-        held: tuple | None = None  # (stretch, doc_id, text): waits for the next text
+        held: tuple | None = None  # (doc_id, text, near_id): waits for the next text
+        named: tuple = ()  # the place in the order that the last class is of, and the class
         done: list[tuple] = []
-        size, border = 0, False
+        size, where, border = 0, None, False
         for batch in batches:
             at = {n: i for i, n in enumerate(batch.schema.names)}
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                for ident, text, where, copy in zip(*(part.column(at[c]).to_pylist() for c in ("doc_id", "text", "stretch", "copy")), strict=True):
-                    if held is not None and held[0] == where and not border:
-                        done.append((held[1], held[2], text))
-                        size += 3 * len(held[2]) + len(text)
-                    border = copy == 1
-                    held = (where, ident, text)
+                for o1, o2, o3, kind, ident, text, near, stretch, copy in zip(*(part.column(at[c]).to_pylist() for c in ("o1", "o2", "o3", "kind", "doc_id", "text", "near_id", "stretch", "copy")), strict=True):
+                    if kind == 0:
+                        named = ((o1, o2, o3), near)
+                        continue
+                    if held is not None and where == stretch and not border:
+                        done.append((held[0], held[1], text, held[2]))
+                        size += 3 * len(held[1]) + len(text)
+                    border, where = copy == 1, stretch
+                    held = (ident, text, None if not judged else named[1] if named and named[0] == (o1, o2, o3) else ident)
                     if size > 4_000_000:
                         yield finish(done)
                         done, size = [], 0
         yield finish(done)
 
-    return rows.select("doc_id", "text", "stretch", "copy").mapInArrow(
-        run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return rows.select(*keys, "kind", "doc_id", "text", "near_id", "stretch", "copy").mapInArrow(
+        run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, near_id long"
     )
 
 
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Fingerprints, edits and near classes of all documents; see with_edits and near_classes for nulls, ties and repeated rows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return with_edits(docs, near_classes(plain))

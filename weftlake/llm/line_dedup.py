@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftlake.llm.common import Scratch, bucket_links, bucket_ways, chunks, components, distinct_sorted, mix
+from weftlake.llm.common import Scratch, bucket_links, bucket_ways, chunks, components, distinct_sorted, mix, shared_members
 
 #: Characters in a shingle; bands and rows of the signature.
 SHINGLE, BANDS, ROWS = 5, 10, 5
@@ -18,8 +18,8 @@ SHINGLE, BANDS, ROWS = 5, 10, 5
 MIN_CHARS = 1
 #: The pipeline stage removes no line of fewer characters: headings, list items and the like.
 STAGE_MIN_CHARS = 20
-#: Bytes of text that are hashed at once (small, so that the arrays stay in the cache) and lines whose bands are sorted at once.
-STEP, SORTED = 1 << 16, 1 << 15
+#: Bytes of text that are hashed at once: few, so that the arrays stay in the cache.
+STEP = 1 << 16
 _NONE = np.uint32(0xFFFFFFFF)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _PROBES = np.random.Generator(np.random.PCG64(7)).integers(0, BANDS * ROWS, (256, BANDS * ROWS))
@@ -140,70 +140,6 @@ def signed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return rows.mapInArrow(sign, "doc_id long, line_no int, h0 long, h1 long, size int, keys binary")
 
 
-def shared_bands(signed: DataFrame) -> DataFrame:
-    """(key, id, size) of the lines whose band key some other line has as well.
-
-    Of lines that meet in one batch only one goes on to the key's place, so a key that very many lines
-    share is counted before the shuffle; there rows pass in order and none is held.
-    """
-    schema = "key long, id long, size int, sure boolean"
-    names = ["key", "id", "size", "sure"]
-
-    def distinct(key, ident, *more):
-        order = np.lexsort((ident, key))
-        key, ident = key[order], ident[order]
-        new = np.r_[True, (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])] if len(key) else np.zeros(0, bool)
-        return (key[new], ident[new], *(x[order][new] for x in more))
-
-    def spread(batches):
-        def flush(held):
-            ident, size = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-            key = np.frombuffer(b"".join(x[2] for x in held), np.int64)
-            key, ident, size = distinct(key, np.repeat(ident, BANDS), np.repeat(size, BANDS))
-            first = np.r_[True, key[1:] != key[:-1]]
-            alone = first & np.r_[first[1:], True]
-            yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(ident[first]), pa.array(size[first]), pa.array(np.zeros(first.sum(), bool))], names)
-            yield pa.RecordBatch.from_arrays([pa.array(key[~alone]), pa.array(ident[~alone]), pa.array(size[~alone]), pa.array(np.ones((~alone).sum(), bool))], names)
-
-        held, n = [], 0
-        for batch in batches:
-            if batch.num_rows:
-                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), b"".join(batch.column(2).to_pylist())))
-                n += batch.num_rows
-            if n >= SORTED:
-                yield from flush(held)
-                held, n = [], 0
-        if held:
-            yield from flush(held)
-
-    def meet(batches):
-        held = None  # the last row, and whether it is out already
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sure = batch.column(3).to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(sure))
-            key, ident, size = (batch.column(i).to_numpy()[~sure] for i in range(3))
-            if held is not None:
-                key, ident, size = np.r_[held[0], key], np.r_[held[1], ident], np.r_[held[2], size].astype(np.int32)
-            if not len(key):
-                continue
-            new = np.r_[True, (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])]
-            key, ident, size = key[new], ident[new], size[new]
-            same = key[1:] == key[:-1]
-            met = np.r_[same, False] | np.r_[False, same]
-            out = met.copy()
-            if held is not None and held[3]:
-                out[0] = False
-                met[0] = True
-            held = (key[-1], ident[-1], size[-1], bool(met[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(ident[out]), pa.array(size[out]), pa.array(np.ones(out.sum(), bool))], names)
-
-    bands = signed.select(F.col("h0").alias("id"), "size", "keys").mapInArrow(spread, schema)
-    place = F.when(F.col("sure"), F.xxhash64("id")).otherwise(F.col("key"))
-    return bands.repartition(place).sortWithinPartitions("key", "id").mapInArrow(meet, schema).select("key", "id", "size")
-
-
 def line_sets(column: pa.Array) -> list[np.ndarray]:
     """The sorted set of shingles of each text."""
     out = []
@@ -231,7 +167,7 @@ def line_groups(docs: DataFrame, num: int = 3, den: int = 4, min_chars: int = MI
     scratch = Scratch(docs.sparkSession, "lines")
     signed = scratch.keep(signed_lines(docs, min_chars), "signed")
     where = signed.select("doc_id", "line_no", "h0", "h1")
-    shared = scratch.keep(shared_bands(signed), "shared")
+    shared = scratch.keep(shared_members(signed.select(F.col("h0").alias("id"), "size", "keys"), BANDS), "shared")
     members = scratch.keep(shared.distinct(), "members")
     scratch.drop("shared")
     ways = scratch.keep(bucket_ways(scratch, members), "ways")
