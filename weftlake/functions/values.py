@@ -53,10 +53,10 @@ def short_date(c: Column) -> Column:
 
 
 def relative_time(then: Column, now: Column) -> Column:
-    """How long ago, in words up to a day, else month and day."""
+    """How long ago, in words up to a day, else month and day. One unit is written as a plural too ("1 hours ago"): that form is part of the format."""
     minutes = F.floor((F.unix_timestamp(now) - F.unix_timestamp(then)) / 60)
-    plural = lambda n, unit: F.when(n == 1, f"1 {unit} ago").otherwise(F.concat(n.cast("string"), F.lit(f" {unit}s ago")))
-    return F.when(minutes < 1, "just now").when(minutes < 60, plural(minutes, "minute")).when(minutes < 1440, plural(F.floor(minutes / 60), "hour")).otherwise(F.date_format(then, "MMM d"))
+    ago = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit} ago"))
+    return F.when(minutes < 1, "just now").when(minutes < 60, ago(minutes, "minutes")).when(minutes < 1440, ago(F.floor(minutes / 60), "hours")).otherwise(F.date_format(then, "MMM d"))
 
 
 def item_date(published: Column, author: Column) -> Column:

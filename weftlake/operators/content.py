@@ -276,6 +276,12 @@ def articles(nodes: list[Node], root: int | None) -> list[dict]:
     return [{"ord": k, **c} for k, c in enumerate(cards)]
 
 
+def story_text(story: dict) -> str:
+    """Text of a story's list item: title and source, then the description and then author and date on lines of their own."""
+    byline = " · ".join(x for x in (story["author"], story["date"]) if x)
+    return story["title"] + (f" ({story['source']})" if story["source"] else "") + "".join(f"\n  {x}" for x in (story["description"], byline) if x)
+
+
 def block_link(nodes: list[Node], a: int) -> dict:
     """A link around a whole card: title, description and up to three further texts."""
     heading = next(elements(nodes, a, *sorted(HEADINGS)), None)
@@ -327,7 +333,7 @@ def content_nodes(nodes: list[Node], root: int | None) -> list[dict]:
             own = next((a for a in elements(nodes, j, "article") if nodes[a].depth - nodes[j].depth <= 2), None)
             if own is not None:
                 d = article(nodes, own)
-                add("list_item", k, " — ".join(x for x in (d["title"], d["description"], d["author"], d["date"]) if x), d["href"])
+                add("list_item", k, story_text(d), d["href"])
                 continue
             item = add("list_item", k, text_of(nodes, j))
             inline(j, item)
@@ -402,7 +408,7 @@ def content_nodes(nodes: list[Node], root: int | None) -> list[dict]:
     if listing:
         k = add("list", -1)
         for d in listing:
-            add("list_item", k, " — ".join(x for x in (d["title"], d["description"], d["author"], d["date"]) if x), d["href"])
+            add("list_item", k, story_text(d), d["href"])
     else:
         walk(root, -1)
     return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from weftlake.functions.text import byte_prefix, trimmed
+from weftlake.operators.rules import selector_issues
 
 #: Fixed values.
 LEAST_ITEMS = 3
@@ -21,9 +22,11 @@ SITE_NAMES = {
 }
 
 
-def record_score(links: Column, text: Column) -> Column:
+def record_score(links: Column, text: Column, selectors: Column | None = None) -> Column:
     """struct(score, issues) of an extraction with links array(text, href) and rendered text: up to 40 for items, 30
-    for links, 20 unless menu entries were caught (50 off for more than three), 10 for enough text."""
+    for links, 20 unless menu entries were caught (50 off for more than three), 10 for enough text. Each issue of the
+    selectors (an array of them) takes five points and is listed after the others."""
+    brittle = F.flatten(F.transform(selectors, selector_issues)) if selectors is not None else F.array().cast("array<string>")
     n = F.size(links)
     bullets = F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x).rlike("^[•-]")))
     items = F.when(n > 0, n).otherwise(bullets)
@@ -31,7 +34,8 @@ def record_score(links: Column, text: Column) -> Column:
     thin = F.octet_length(text) < 100
     score = F.when(items < LEAST_ITEMS, items * 10).otherwise(40) + F.when(n == 0, 0).when(n < LEAST_ITEMS, 20).otherwise(30) + F.when(menu > 3, -50).otherwise(20) + F.when(thin, 0).otherwise(10)
     issues = F.array(F.when(items < LEAST_ITEMS, "few items"), F.when(n == 0, "no links").when(n < LEAST_ITEMS, "few links"), F.when(menu > 3, "menu entries"), F.when(thin, "little text"))
-    return F.struct(F.when(links.isNull(), 0).otherwise(score).cast("int").alias("score"), F.when(links.isNull(), F.array(F.lit("no result"))).otherwise(F.filter(issues, lambda x: x.isNotNull())).alias("issues"))
+    found = F.when(links.isNull(), F.array(F.lit("no result"))).otherwise(F.filter(issues, lambda x: x.isNotNull()))
+    return F.struct((F.when(links.isNull(), 0).otherwise(score) - 5 * F.size(brittle)).cast("int").alias("score"), F.concat(found, brittle).alias("issues"))
 
 
 def extraction_summary(items: DataFrame, key: str = "page_id") -> DataFrame:

@@ -187,6 +187,15 @@ def preview(answers: DataFrame) -> DataFrame:
     )
 
 
+def preview_any(answers: DataFrame) -> DataFrame:
+    """The same for every host: where none of the interfaces answers, the tags of the first 16 KiB of the page itself."""
+    from weftlake.operators.links import meta_tags
+
+    known = F.regexp_replace(F.lower(host(F.col("url"))), r"^www\.", "").rlike(r"^github\.com$|^news\.ycombinator\.com$|(^|\.)reddit\.com$|^(youtube\.com|m\.youtube\.com|youtu\.be)$|\.wikipedia\.org$")
+    pages = answers.where(~F.coalesce(known, F.lit(False))).select(F.col("url").alias("page_id"), "url", F.col("body").alias("html"))
+    return preview(answers.where(known)).unionByName(meta_tags(pages).select(F.col("page_id").alias("url"), "title", "description", "site_name"))
+
+
 # ---- discussion pages ----------------------------------------------------------------------------
 
 _NUMBER = re.compile(r"\d+")

