@@ -93,8 +93,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & _valid(F.col("v"))
     rows = rows.withColumn("h0", F.when(usable, F.xxhash64("label", "v"))).withColumn("h1", F.when(usable, F.xxhash64(F.lit(1), "label", "v")))
     good = rows.where("h0 is not null")
-    reps = good.groupBy("h0", "h1").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.xxhash64(F.first("label")).alias("label"), F.first("v").alias("v"))
-    reps = scratch.keep(reps.withColumn("d", F.size("v")), "reps")
+    reps = good.groupBy("h0", "h1").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.xxhash64(F.first("label")).alias("label"), F.first("v").alias("v"))
+    reps = scratch.keep(reps.withColumn("d", F.size("v")).withColumn("id", F.col("h0")), "reps")
     groups = reps.groupBy("d", "label").agg(F.count("*").alias("n")).groupBy("d").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
     sizes = [(r.d, r.n, r.most) for r in groups.limit(MAX_DIMENSIONS + 1).collect()]
     if len(sizes) > MAX_DIMENSIONS:
@@ -111,7 +111,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     def encode(batches):
         for batch in batches:
             codes = np.zeros((batch.num_rows, TABLES), np.int32)
-            lists, dims = batch.column(1), batch.column(2).to_numpy()
+            lists, dims = batch.column(3), batch.column(2).to_numpy()
             flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(dims)]
             for d in set(dims.tolist()):
                 width, mean, project = shared.value[d]
@@ -120,10 +120,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
                 x = x / np.abs(x).max(1, keepdims=True)  # very large components do not overflow
                 bits = ((x / np.linalg.norm(x, axis=1, keepdims=True) - mean) @ project) >= 0
                 codes[at] = (bits.reshape(len(at), TABLES, width).astype(np.int32) << np.arange(width, dtype=np.int32)).sum(2, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(codes.tolist(), pa.list_(pa.int32()))], ["id", "code", "keys"])
+            made = [pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(codes.tolist(), pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["id", "label", "d", "code", "keys"])
 
-    coded = reps.select("id", "v", "d").mapInArrow(encode, "id long, code binary, keys array<int>")
-    coded = scratch.keep(coded.join(reps.select("id", "label", "d").hint("merge"), "id"), "codes")
+    coded = scratch.keep(reps.select("id", "label", "d", "v").mapInArrow(encode, "id long, label long, d int, code binary, keys array<int>"), "codes")
     index = coded.select("id", "label", "d", "code", F.posexplode("keys").alias("t", "part")).withColumn("key", F.xxhash64("label", "d", "t", "part"))
     buckets = index.groupBy("key").agg(F.count("*").alias("n"), F.min("t").alias("t"), F.min("id").alias("low"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("digest")).where("n > 1")
     # the same vectors often meet in several tables: the first of them is enough
@@ -186,9 +186,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     sent = ways.join(hopeful.hint("merge"), ["key", "block", "other", "id"]).join(reps.select("id", "copies", "v").hint("merge"), "id").repartition("key", "block", "other").sortWithinPartitions("key", "block", "other")
     links = scratch.keep(sent.select("key", "block", "other", "t", "id", "label", "code", "half", "copies", "v").mapInArrow(rerank, "a long, b long, others long"), "links")
     counts = links.groupBy(F.col("a").alias("id")).agg(F.sum("others").alias("others"))
-    cc = components(scratch, links.select("a", "b"), "vectors")
-    decided = reps.select("h0", "h1", "id", "copies").join(counts, "id", "left").join(cc, "id", "left")
-    decided = scratch.keep(decided.select("h0", "h1", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("component")), "decided")
+    # vectors of rows that share a vec_id are one vertex
+    several = good.groupBy("vec_id").agg(F.min("h0").alias("b"), F.max("h0").alias("most")).where("b < most").select("vec_id", "b")
+    same = good.select("vec_id", F.col("h0").alias("a")).join(several, "vec_id").select("a", "b")
+    cc = components(scratch, links.select("a", "b").unionByName(same), "vectors")
+    decided = scratch.keep(reps.select("h0", "h1", "id", "low", "copies").join(counts, "id", "left").join(cc, "id", "left"), "joined")
+    least_id = decided.where("component is not null").groupBy("component").agg(F.min("low").alias("least_id"))
+    decided = decided.join(least_id, "component", "left")
+    decided = scratch.keep(decided.select("h0", "h1", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("least_id", "low").alias("component")), "decided")
     out = rows.select("vec_id", "h0", "h1").join(decided, ["h0", "h1"], "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -15,43 +15,40 @@ from weftlake.operators.content import page_parts
 SKIPPED = frozenset("script style noscript template link meta svg path br hr".split())
 HIDDEN_TAGS = frozenset("nav header footer aside".split())
 HIDDEN_WORDS = re.compile("ad|sidebar|nav|menu|footer|header|social|share|comment")
-_TYPE = "array<struct<ord:int,parent:int,post:int,depth:int,tag:string,id:string,classes:array<string>,text:string,visible:boolean,selector:string>>"
+_TYPE = "array<struct<ord:int,parent:int,post:int,depth:int,tag:string,id:string,classes:array<string>,text:string,visible:boolean,selector:string,shown:boolean>>"
 
 
 def inspector_nodes(nodes: list[Node]) -> list[dict]:
-    """Every element under the body but skipped ones, in document order. parent and post refer to ord."""
+    """Every element under the body but skipped ones, in document order. parent and post refer to ord; an element is shown if it and all around it are visible."""
     body = first(nodes, lambda n: n.tag == "body")
     if body is None:
         return []
     out: list[dict] = []
 
-    def walk(i: int, parent: int, depth: int, path: str) -> None:
+    def walk(i: int, parent: int, depth: int, path: str, around: bool) -> None:
         n = nodes[i]
         classes = n.classes()
         name = n.tag + (f"#{n.attrs['id']}" if n.attrs.get("id") else f".{classes[0]}" if classes else "")
         selector = f"{path} > {name}" if path else name
         at = len(out)
         visible = n.tag not in HIDDEN_TAGS and not any(HIDDEN_WORDS.search(c.lower()) for c in classes)
-        out.append({"ord": at, "parent": parent, "post": 0, "depth": depth, "tag": n.tag, "id": n.attrs.get("id", ""), "classes": classes, "text": text_of(nodes, i), "visible": visible, "selector": selector})
+        out.append({"ord": at, "parent": parent, "post": 0, "depth": depth, "tag": n.tag, "id": n.attrs.get("id", ""), "classes": classes, "text": text_of(nodes, i), "visible": visible, "selector": selector, "shown": around and visible})
         j = i + 1
         while j < n.end:
             if nodes[j].tag[0] != "#" and nodes[j].tag not in SKIPPED:
-                walk(j, at, depth + 1, selector)
+                walk(j, at, depth + 1, selector, around and visible)
             j = nodes[j].end
         out[at]["post"] = len(out)
 
-    walk(body, -1, 0, "")
+    walk(body, -1, 0, "", True)
     return out
 
 
 def inspect(pages: DataFrame) -> DataFrame:
-    """(page_id, ord, parent, post, depth, tag, id, classes, text, visible, selector, shown).
-
-    shown: the element and all around it are visible, by comparing places within the page's own row.
+    """(page_id, ord, parent, post, depth, tag, id, classes, text, visible, selector, shown).    shown: the element and all around it are visible; each page is walked once.
     """
     rows = page_parts(pages, ["elements"], more={"elements": (inspector_nodes, _TYPE)})
-    shown = lambda e: ~F.exists("elements", lambda o: (o["ord"] <= e["ord"]) & (o["post"] > e["ord"]) & ~o["visible"])
-    return rows.select("page_id", F.inline(F.transform("elements", lambda e: e.withField("shown", shown(e)))))
+    return rows.select("page_id", F.inline("elements"))
 
 
 def visible_blocks(elements: DataFrame) -> DataFrame:
