@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -16,15 +18,24 @@ BROADCAST_ROWS = 400_000
 CHUNK_BYTES = 1 << 20
 
 
-class Scratch:
-    """Intermediate tables in the folder that spark.checkpoint.dir names, so they outlive executors.
+_passing: list[list] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. On one machine without the setting (tests) a temporary folder stands in; a cluster must have it."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set; intermediate tables need a folder that all executors share")
+    return (base or tempfile.gettempdir()).rstrip("/")
 
-    Where the setting is absent (tests on one machine) a temporary folder stands in.
-    """
+
+class Scratch:
+    """Intermediate tables in the folder that spark.checkpoint.dir names, so they outlive executors."""
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-        self.spark, self.root = spark, f"{base.rstrip('/')}/weftlake-{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{shared_folder(spark)}/weftlake-{name}-{uuid.uuid4().hex}"
+        for opened in _passing:
+            opened.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -34,10 +45,23 @@ class Scratch:
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def passing():
+    """Removes all scratch tables that were begun inside, at its end: for results that are written there."""
+    opened: list[Scratch] = []
+    _passing.append(opened)
+    try:
+        yield
+    finally:
+        _passing.remove(opened)
+        for scratch in opened:
+            scratch.drop("")
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The table with a broadcast hint if it is counted to be small, else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -14,6 +14,8 @@ from weftlake.llm.common import chunks
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 MAX_LANGUAGES = 512
+#: Characters whose scores are held at once, for each language.
+AT_ONCE = 1 << 16
 _WEIGHTS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _fold: list[np.ndarray] = []
 
@@ -154,10 +156,12 @@ def predict(rows: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
                 total = np.zeros((n, len(langs)))
                 filled = np.flatnonzero(np.diff(upto) > 0)
                 if len(filled):
-                    sums = np.zeros((len(grams[0]), len(langs)), np.float32)
-                    for k, g in enumerate(grams):
-                        sums += np.take(matrix, g + k * BUCKETS, axis=0)
-                    total[filled] = np.add.reduceat(sums, upto[:-1][filled], axis=0)
+                    for at in range(0, len(grams[0]), AT_ONCE):  # a long text is summed piece by piece
+                        sums = np.zeros((min(AT_ONCE, len(grams[0]) - at), len(langs)), np.float32)
+                        for k, g in enumerate(grams):
+                            sums += np.take(matrix, g[at : at + AT_ONCE] + k * BUCKETS, axis=0)
+                        here = filled[(upto[:-1][filled] < at + len(sums)) & (upto[1:][filled] > at)]
+                        total[here] += np.add.reduceat(sums, np.maximum(upto[:-1][here] - at, 0), axis=0, dtype=np.float64)
                 total += matrix[-1]
                 best = total.argmax(1)
                 top = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
