@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftlake.llm.common import Scratch
+from weftlake.llm.common import Scratch, passing
 from weftlake.llm.lang_id import known_language
 from weftlake.llm.line_dedup import without_repeats
 from weftlake.llm.mixing import mixed
@@ -31,5 +31,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        with passing():  # what the stage has kept goes when its result is written
+            docs = scratch.keep(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
