@@ -45,7 +45,9 @@ def inspector_nodes(nodes: list[Node]) -> list[dict]:
 
 
 def inspect(pages: DataFrame) -> DataFrame:
-    """(page_id, ord, parent, post, depth, tag, id, classes, text, visible, selector, shown).    shown: the element and all around it are visible; each page is walked once.
+    """(page_id, ord, parent, post, depth, tag, id, classes, text, visible, selector, shown).
+
+    shown: the element and all around it are visible; each page is walked once.
     """
     rows = page_parts(pages, ["elements"], more={"elements": (inspector_nodes, _TYPE)})
     return rows.select("page_id", F.inline("elements"))
