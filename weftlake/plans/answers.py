@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +11,7 @@ from weftlake.functions.text import escape
 from weftlake.operators import reading, search
 from weftlake.plans.registry import COLLAPSED, PARAGRAPHS, QUERIES, SQL, query, table
 from weftlake.sources import feeds as sources
+from weftlake.sources.state import shared_folder
 from weftlake.streaming import feeds as stream
 
 
@@ -84,7 +84,7 @@ def feed_poll_stream(spark, sf_dir):
     """The stored items after a stream of polls: each feed comes in three parts, one of them twice, and one poll is in error."""
     when = F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss")
     piece = _cat("<item><title>", F.col("event_type"), "</title><guid>", _text_id(), "</guid><pubDate>", when, " +0000</pubDate></item>")
-    base = f"{(spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.gettempdir()).rstrip('/')}/polls-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/polls-{uuid.uuid4().hex}"
     for part in (0, 1, 2, 0):
         rows = table(spark, sf_dir, "events").where(F.col("event_id") % 3 == part)
         bodies = _joined(rows, F.concat(F.lit("u"), F.col("user_id").cast("string")), F.col("event_id"), piece, '<rss version="2.0"><channel><title>T</title>', "</channel></rss>")
