@@ -12,10 +12,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftlake.llm.common import released
+
 #: Where the public vocabulary lies; a parameter of every operator here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Encoded words that a worker remembers in each of two generations.
-REMEMBERED = 300_000
+#: Encoded words that a worker remembers in each of two generations, and pairs of pieces of which it remembers whether they fit.
+REMEMBERED, PAIRS = 100_000, 400_000
 #: Characters of a word up to which new words are encoded together, and characters of text that are looked through for new words at once.
 TOGETHER, AHEAD = 32, 1 << 20
 SPACE = "▁"
@@ -42,9 +44,9 @@ def load_pieces(path: str = MODEL) -> dict:
 class Words(dict):
     """A memory of encoded words in two generations; the older one is dropped when the newer is full."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, word: str) -> bytes:
         got = self.older.get(word)
@@ -55,7 +57,7 @@ class Words(dict):
         return got
 
     def keep(self, word: str, ids: bytes) -> None:
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[word] = ids
@@ -71,28 +73,25 @@ def _string_hash(text: str) -> int:
 
 
 class _Table:
-    """64-bit keys to small numbers from 0 on, looked up many at a time in an open-addressing table that is at most a quarter full."""
+    """64-bit keys to small numbers from 0 on, looked up many at a time in an open-addressing table that is at most half full."""
 
     def __init__(self, values: dict[int, int]):
-        self.values: dict[int, int] = {}
-        self.bits = 14
-        self._clear()
-        self.add(values)
-
-    def _clear(self) -> None:
-        self.keys, self.held = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int64)
+        self.size, self.bits = 0, 14
+        self.keys, self.held = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
+        self.add(np.fromiter(values.keys(), np.uint64, len(values)), np.fromiter(values.values(), np.int32, len(values)))
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         return ((keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def add(self, values: dict[int, int]) -> None:
-        self.values |= values
-        if 4 * len(self.values) > 1 << self.bits:
-            while 8 * len(self.values) > 1 << self.bits:
+    def add(self, keys: np.ndarray, held: np.ndarray) -> None:
+        """Keys that are not there yet, each once."""
+        self.size += len(keys)
+        if 2 * self.size > 1 << self.bits:
+            while 3 * self.size > 1 << self.bits:
                 self.bits += 1
-            self._clear()
-            values = self.values
-        keys, held = np.fromiter(values.keys(), np.uint64, len(values)), np.fromiter(values.values(), np.int64, len(values))
+            full = self.held >= 0
+            keys, held = np.concatenate([self.keys[full], keys]), np.concatenate([self.held[full], held])
+            self.keys, self.held = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
         slot = self._slots(keys)
         while len(keys):  # of several keys for a free slot one stays, the others try the next
             free = self.held[slot] < 0
@@ -109,7 +108,7 @@ class _Table:
             slot[wrong] = (slot[wrong] + 1) & ((1 << self.bits) - 1)
             held[wrong] = self.held[slot[wrong]]
             wrong = wrong[(held[wrong] >= 0) & (self.keys[slot[wrong]] != keys[wrong])]
-        return held
+        return held.astype(np.int64)
 
 
 class Encoder:
@@ -145,7 +144,7 @@ class Encoder:
             for c in reversed(p):
                 node = node.setdefault(c, {})
             node[""] = i
-        self.first, self.spaced = Words(self.word), Words(lambda w: self.word(SPACE + w))
+        self.first, self.spaced = Words(self.word, REMEMBERED // 4), Words(lambda w: self.word(SPACE + w), REMEMBERED)
         longest_space = max((len(p) for p in self.ids if set(p) == {SPACE}), default=1)
         self.longest_space = longest_space
 
@@ -220,7 +219,7 @@ class Encoder:
                         key = before << 20 | t
                         ok = fits.get(key)
                         if ok is None:
-                            if len(fits) > 1_000_000:
+                            if len(fits) > PAIRS // 4:
                                 fits.clear()
                             ok = fits[key] = self._fit(before, t)
                         if not ok:
@@ -308,9 +307,11 @@ class Encoder:
         pair = (left << 20 | right).astype(np.uint64)
         got = self.pairs.find(pair)
         if (got < 0).any():
-            if len(self.pairs.values) > 1_000_000:
+            if self.pairs.size > PAIRS:
                 self.pairs = _Table({})
-            self.pairs.add({int(k): int(self._fit(int(k) >> 20, int(k) & 0xFFFFF)) for k in np.unique(pair[got < 0])})
+                got[:] = -1
+            new = np.unique(pair[got < 0])
+            self.pairs.add(new, np.array([self._fit(k >> 20, k & 0xFFFFF) for k in new.tolist()], np.int32))
             got = self.pairs.find(pair)
         return got == 1
 
@@ -462,25 +463,18 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str =
     def run(batches):
         coder, back = _worker(Encoder, model), _worker(Decoder, model)
         for batch in batches:
-            flat, ends, same, size = [], [0], [], 0
-            texts = batch.column(1)
+            texts, start = batch.column(1), 0
             for part in _some(texts):
                 coder.learn([t for t in part if t])
-                for t in part:
-                    ids = coder.encode(t or "")
-                    if check:
-                        same.append(None if t is None else back.decode(ids.tolist()) == t)
-                    flat.append(ids)
-                    size += len(ids)
-                    ends.append(size)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
-            if texts.null_count:
-                lists = pa.array([None if n else x for n, x in zip(texts.is_null().to_pylist(), lists.to_pylist(), strict=True)], pa.list_(pa.int32()))
-            columns = [batch.column(0), lists] + ([pa.array(same, pa.bool_())] if check else [])
-            yield pa.RecordBatch.from_arrays(columns, ["k", "ids"] + (["round_trip"] if check else []))
+                found = [coder.encode(t or "") for t in part]
+                ends = np.r_[0, np.cumsum([len(ids) for ids in found])].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)), mask=pa.array([t is None for t in part]))
+                same = [pa.array([None if t is None else back.decode(ids.tolist()) == t for ids, t in zip(found, part, strict=True)], pa.bool_())] if check else []
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), lists, *same], ["k", "ids"] + (["round_trip"] if check else []))
+                start += len(part)
 
     schema = f"k {kind.simpleString()}, ids array<int>" + (", round_trip boolean" if check else "")
-    out = docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, schema)
+    out = docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(released(run), schema)
     return out.select(F.col("k").alias(key), F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long").alias("n_tokens"), "ids", *(["round_trip"] if check else []))
 
 
@@ -494,7 +488,7 @@ def decode(coded: DataFrame, ids: str = "ids", key: str = "doc_id", path: str =
             texts = [None if x is None else back.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["k", "text"])
 
-    return coded.select(key, ids).mapInArrow(run, f"k {coded.schema[key].dataType.simpleString()}, text string").withColumnRenamed("k", key)
+    return coded.select(key, ids).mapInArrow(released(run), f"k {coded.schema[key].dataType.simpleString()}, text string").withColumnRenamed("k", key)
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
