@@ -12,6 +12,8 @@ from weftlake.llm.common import Scratch, small
 BLOCK, SHARD, ROUNDS, WALK = 64, 1024, 8, 64
 #: Shards whose counts are summed in one step, and documents of a source that one task puts in order.
 SHARDS_TOGETHER, PER_BUCKET = 4096, 20_000
+#: Slots that one task takes, as long as that makes no more than so many tasks.
+SLOTS_EACH, MOST_PARTS = 100_000, 100_000
 _SPACE = r"\x20\x09-\x0D"
 
 
@@ -136,14 +138,19 @@ def mix_blocks(docs: DataFrame, seed: int = 0, carry: tuple[str, ...] = ()) -> t
     inside = W.Window.partitionBy("source_no", "run").orderBy("shard").rowsBetween(W.Window.unboundedPreceding, -1)
     beside = W.Window.partitionBy("shard").orderBy("source_no").rowsBetween(W.Window.unboundedPreceding, -1)
     counts = counts.withColumn("in_run", F.coalesce(F.sum("drawn").over(inside), F.lit(0))).withColumn("first_slot", F.coalesce(F.sum("drawn").over(beside), F.lit(0)))
-    slot = counts.join(runs, ["source_no", "run"]).withColumn("nth_here", F.explode(F.sequence(F.lit(0).cast("long"), F.col("drawn") - 1)))
+    # a count is a small row that stands for many slots, so rows are dealt by what they stand for
+    slot = counts.join(runs, ["source_no", "run"]).repartition(min(MOST_PARTS, total // SLOTS_EACH + 1), "source_no", "shard")
+    slot = slot.withColumn("nth_here", F.explode(F.sequence(F.lit(0).cast("long"), F.col("drawn") - 1)))
     slot = slot.join(small(quota.select("source_no", "source_size", "whole", "rest", "blocks")), "source_no")
     k = F.col("had") + F.col("in_run") + F.col("nth_here")
     mixed_up = _permuted(F.col("first_slot") + F.col("nth_here"), F.least(F.lit(SHARD).cast("long"), F.lit(total) - F.col("shard") * SHARD), F.xxhash64("shard", F.lit(seed)))
     slot = slot.select("source_no", "source_size", "whole", "rest", "blocks", k.alias("k"), F.floor(k / F.col("blocks")).alias("turn"), "shard", mixed_up.alias("slot"))
     nth = F.col("k") - F.col("turn") * F.col("blocks")
     key = F.xxhash64("source_no", "turn", F.lit(seed))
-    slot = slot.select("*", nth.alias("nth"), _permuted(nth, F.col("blocks"), key).alias("block"), _permuted_back(F.col("blocks") - 1, F.col("blocks"), key).alias("short_at"))
+    # where in each turn the one short block comes
+    turns = quota.where("slots > 0").select("source_no", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / F.col("blocks")))).alias("turn"))
+    turns = scratch.keep(turns.select("source_no", "turn", _permuted_back(F.col("blocks") - 1, F.col("blocks"), key).alias("short_at")), "turns")
+    slot = slot.select("*", nth.alias("nth"), _permuted(nth, F.col("blocks"), key).alias("block")).join(small(turns), ["source_no", "turn"])
     size = F.when(F.col("block") == F.col("blocks") - 1, F.col("source_size") - BLOCK * (F.col("blocks") - 1)).otherwise(F.lit(BLOCK))
     missing = F.when(F.col("nth") > F.col("short_at"), BLOCK * F.col("blocks") - F.col("source_size")).otherwise(0)
     taken = F.when(F.col("turn") < F.col("whole"), size).otherwise(F.greatest(F.lit(0), F.least(size, F.col("rest") - (F.col("nth") * BLOCK - missing))))
