@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import uuid
 
 import numpy as np
@@ -15,7 +16,7 @@ from weftlake.sources.state import shared_folder
 #: Rows up to which a two-long table may be broadcast (24 MB); larger ones are joined by shuffle.
 BROADCAST_ROWS = 400_000
 #: Bytes of text that a Python kernel holds at once, besides one longer text.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 _passing: list[list] = []
@@ -54,6 +55,20 @@ def passing():
             scratch.drop("")
 
 
+def released(kernel):
+    """A kernel for mapInArrow that gives its memory back when it ends: workers live on, and their freed buffers would stay beside the next stage's."""
+
+    def run(batches):
+        try:
+            yield from kernel(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The table with a broadcast hint if it is counted to be small, else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -280,7 +295,7 @@ def _block_links(rows: DataFrame, sets_of, need) -> DataFrame:
         if ids:
             yield settle(ids, data)
 
-    return rows.mapInArrow(check, "a long, b long")
+    return rows.mapInArrow(released(check), "a long, b long")
 
 
 def shared_members(rows: DataFrame, bands: int) -> DataFrame:
@@ -343,7 +358,7 @@ def shared_members(rows: DataFrame, bands: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(ident[out]), pa.array(size[out]), pa.array(np.ones(out.sum(), bool))], names)
 
     place = F.when(F.col("sure"), F.xxhash64("id")).otherwise(F.col("key"))
-    return rows.select("id", "size", "keys").mapInArrow(spread, schema).repartition(place).sortWithinPartitions("key", "id").mapInArrow(meet, schema).select("key", "id", "size")
+    return rows.select("id", "size", "keys").mapInArrow(released(spread), schema).repartition(place).sortWithinPartitions("key", "id").mapInArrow(released(meet), schema).select("key", "id", "size")
 
 
 def bucket_ways(scratch: Scratch, members: DataFrame) -> DataFrame:
@@ -424,4 +439,4 @@ def verify(scratch: Scratch, pairs: DataFrame, texts: DataFrame, tokens, num: in
                             break
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return sent.select("id", "centre", "salt", "role", "text").mapInArrow(check, "a long, b long")
+    return sent.select("id", "centre", "salt", "role", "text").mapInArrow(released(check), "a long, b long")

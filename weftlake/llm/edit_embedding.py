@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlake.llm.common import Scratch, bucket_links, bucket_ways, components, mix, shared_members
+from weftlake.llm.common import Scratch, bucket_links, bucket_ways, components, mix, released, shared_members
 
 #: Sampled positions of a walk; bytes kept of each sampled character; classes of characters and period of the walk's random bits.
 SAMPLES, CLASSES, PERIOD = 256, 64, 1 << 15
@@ -144,7 +144,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 prints = embed([_points(t or "") for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([p.hex() for p in prints], pa.string())], ["k", "fingerprint"])
 
-    return docs.select(key, text).mapInArrow(run, f"k {docs.schema[key].dataType.simpleString()}, fingerprint string").withColumnRenamed("k", key)
+    return docs.select(key, text).mapInArrow(released(run), f"k {docs.schema[key].dataType.simpleString()}, fingerprint string").withColumnRenamed("k", key)
 
 
 def marks(fingerprint: bytes) -> np.ndarray:
@@ -198,7 +198,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*own, pa.array([_digest(p) for p in prints], pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.binary())], ["o1", "o2", "o3", "doc_id", "id", "print", "keys"])
 
     rows = docs.select(*_order(F.col("text")), "text", "doc_id")
-    signed = scratch.keep(rows.mapInArrow(sign, "o1 int, o2 long, o3 long, doc_id long, id long, print binary, keys binary"), "signed")
+    signed = scratch.keep(rows.mapInArrow(released(sign), "o1 int, o2 long, o3 long, doc_id long, id long, print binary, keys binary"), "signed")
     members = scratch.keep(shared_members(signed.select("id", F.lit(2 * SAMPLES).alias("size"), "keys"), BANDS).distinct(), "members")
     ways = scratch.keep(bucket_ways(scratch, members), "ways")
     # of rows with equal fingerprints one is enough; should two share a digest, the smaller stands for it
@@ -302,7 +302,7 @@ def with_edits(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
         yield finish(done)
 
     return rows.select(*keys, "kind", "doc_id", "text", "near_id", "stretch", "copy").mapInArrow(
-        run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, near_id long"
+        released(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, near_id long"
     )
 
 

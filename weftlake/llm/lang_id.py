@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftlake.llm.common import chunks
+from weftlake.llm.common import chunks, released
 
 #: Hash buckets of an n-gram; with the languages they bound the matrix that is broadcast.
 BUCKETS = 1 << 16
@@ -120,7 +120,7 @@ def train(rows: DataFrame, per_language: int = 2000, smooth: float = 0.1) -> tup
 
     counts = np.zeros((BUCKETS * len(ORDERS), len(langs)))
     schema = "lang string, counts binary"
-    for code, v in drawn.mapInArrow(count, schema).repartition(4, "lang").mapInArrow(add, schema).collect():
+    for code, v in drawn.mapInArrow(released(count), schema).repartition(4, "lang").mapInArrow(released(add), schema).collect():
         counts[:, langs.index(code)] += np.frombuffer(v, np.int64)
     logs = []
     for k in range(len(ORDERS)):
@@ -174,7 +174,7 @@ def predict(rows: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
     # plain names inside, so that columns of any name pass through
     inner = rows.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`"))
     schema = T.StructType([T.StructField(f"c{i}", inner.schema[i].dataType) for i in range(len(kept))] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return inner.mapInArrow(score, schema).toDF(*kept, *out)
+    return inner.mapInArrow(released(score), schema).toDF(*kept, *out)
 
 
 def identify(docs: DataFrame, per_language: int = 2000) -> DataFrame:

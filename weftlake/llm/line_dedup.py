@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftlake.llm.common import Scratch, bucket_links, bucket_ways, chunks, components, distinct_sorted, mix, shared_members
+from weftlake.llm.common import Scratch, bucket_links, bucket_ways, chunks, components, distinct_sorted, mix, released, shared_members
 
 #: Characters in a shingle; bands and rows of the signature.
 SHINGLE, BANDS, ROWS = 5, 10, 5
@@ -137,7 +137,7 @@ def signed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "h0", "h1", "size", "keys"])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, line_no int, h0 long, h1 long, size int, keys binary")
+    return rows.mapInArrow(released(sign), "doc_id long, line_no int, h0 long, h1 long, size int, keys binary")
 
 
 def line_sets(column: pa.Array) -> list[np.ndarray]:
@@ -216,7 +216,7 @@ def _texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(checks, pa.int64()), pa.array(texts, pa.string())], ["id", "h1", "text"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("asked_id"), F.col("text").cast("string").alias("text")).where("asked_id is not null and text is not null")
-    return rows.join(asked.hint("merge"), "asked_id").select("text", "asked").mapInArrow(read, "id long, h1 long, text string")
+    return rows.join(asked.hint("merge"), "asked_id").select("text", "asked").mapInArrow(released(read), "id long, h1 long, text string")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftlake.functions.dom import BLOCK, Node, parse
-from weftlake.llm.common import Scratch, small
+from weftlake.llm.common import Scratch, released, small
 from weftlake.llm.url_filter import host_of
 
 #: Elements that never hold the article's text.
@@ -224,7 +224,7 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
             hosts, keys, hashes, around = zip(*found, strict=True) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(around, pa.int64())], ["host", "key", "hash", "around"])
 
-    blocks = scratch.keep(rows.select("host", F.xxhash64("html").alias("key"), "html").mapInArrow(count, "host string, key long, hash long, around long"), "blocks")
+    blocks = scratch.keep(rows.select("host", F.xxhash64("html").alias("key"), "html").mapInArrow(released(count), "host string, key long, hash long, around long"), "blocks")
     # a page has a block once, or counts once with all that have the same headings around it
     seen = blocks.groupBy("host", "hash", "around").agg(F.count("*").alias("n"))
     seen = seen.groupBy("host", "hash").agg(F.sum(F.when(F.col("around").isNull(), F.col("n")).otherwise(1)).alias("n")).where(F.col("n") >= min_pages)
@@ -240,7 +240,7 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
 
     joined = rows.withColumn("key", F.xxhash64("html")).join(small(scratch.keep(lists, "lists"), 20_000), ["host", "key"], "left").select("page_id", "url", "html", "template")
     kind = pages.schema["page_id"].dataType.simpleString()
-    out = joined.mapInArrow(extract, f"page_id {kind}, url string, text string")
+    out = joined.mapInArrow(released(extract), f"page_id {kind}, url string, text string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from weftlake.llm.common import Scratch, chunks, components, distinct_sorted, mix, shingles, small, verify
+from weftlake.llm.common import Scratch, chunks, components, distinct_sorted, mix, released, shingles, small, verify
 
 #: Counters in each of the two rows of the frequency sketch: its size does not grow with the corpus.
 SKETCH = 1 << 17
@@ -44,7 +44,7 @@ def frequency_classes(texts: DataFrame, text: str) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["part", "counts"])
 
     schema = "part int, counts binary"
-    rows = texts.select(text).mapInArrow(count, schema).repartition(PARTS, "part").mapInArrow(add, schema).collect()
+    rows = texts.select(text).mapInArrow(released(count), schema).repartition(PARTS, "part").mapInArrow(released(add), schema).collect()
     total = np.zeros((PARTS, 2 * SKETCH // PARTS), np.int64)
     for part, counts in rows:
         total[part] += np.frombuffer(counts, np.int64)
@@ -103,7 +103,7 @@ def document_sets(docs: DataFrame, classes, num: int, den: int, frequent=None) -
                     ["doc_id", "n", "sig0", "sig1", "prefix"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, "doc_id long, n long, sig0 long, sig1 long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(build), "doc_id long, n long, sig0 long, sig1 long, prefix array<long>")
 
 
 def ngram_groups(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:

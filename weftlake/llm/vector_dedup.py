@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlake.llm.common import Scratch, components
+from weftlake.llm.common import Scratch, components, released
 
 #: Vectors of each dimension from which rotations are learned (the only sampled step), and rounds of learning.
 SAMPLE, LEARNING = 20_000, 30
@@ -123,7 +123,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
             made = [pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(codes.tolist(), pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["id", "label", "d", "code", "keys"])
 
-    coded = scratch.keep(reps.select("id", "label", "d", "v").mapInArrow(encode, "id long, label long, d int, code binary, keys array<int>"), "codes")
+    coded = scratch.keep(reps.select("id", "label", "d", "v").mapInArrow(released(encode), "id long, label long, d int, code binary, keys array<int>"), "codes")
     index = coded.select("id", "label", "d", "code", F.posexplode("keys").alias("t", "part")).withColumn("key", F.xxhash64("label", "d", "t", "part"))
     buckets = index.groupBy("key").agg(F.count("*").alias("n"), F.min("t").alias("t"), F.min("id").alias("low"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("digest")).where("n > 1")
     # the same vectors often meet in several tables: the first of them is enough
@@ -155,7 +155,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
 
     ways = scratch.keep(ways, "ways")
     dealt = ways.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other")
-    hopeful = scratch.keep(dealt.select("key", "block", "other", "t", "id", "label", "code", "half", "d").mapInArrow(reach, "key long, block int, other int, id long"), "hopeful")
+    hopeful = scratch.keep(dealt.select("key", "block", "other", "t", "id", "label", "code", "half", "d").mapInArrow(released(reach), "key long, block int, other int, id long"), "hopeful")
 
     def rerank(batches):
         """For each member of a block the rows it links with and an edge of a spanning forest."""
@@ -184,7 +184,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[label[some]]), pa.array(others[some])], ["a", "b", "others"])
 
     sent = ways.join(hopeful.hint("merge"), ["key", "block", "other", "id"]).join(reps.select("id", "copies", "v").hint("merge"), "id").repartition("key", "block", "other").sortWithinPartitions("key", "block", "other")
-    links = scratch.keep(sent.select("key", "block", "other", "t", "id", "label", "code", "half", "copies", "v").mapInArrow(rerank, "a long, b long, others long"), "links")
+    links = scratch.keep(sent.select("key", "block", "other", "t", "id", "label", "code", "half", "copies", "v").mapInArrow(released(rerank), "a long, b long, others long"), "links")
     counts = links.groupBy(F.col("a").alias("id")).agg(F.sum("others").alias("others"))
     # vectors of rows that share a vec_id are one vertex
     several = good.groupBy("vec_id").agg(F.min("h0").alias("b"), F.max("h0").alias("most")).where("b < most").select("vec_id", "b")
