@@ -86,10 +86,13 @@ def guid_hash(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.guid_of(F.col("url")).alias("guid"))
 
 
-@query("""select page_id, case when contains(html, 'unusual traffic from your computer') or contains(html, 'detected unusual traffic') then 'Google CAPTCHA' when contains(html, 'recaptcha') and strlen(html) < 10000 then 'reCAPTCHA challenge'
-  when contains(html, 'Just a moment...') or contains(html, 'Checking your browser') or contains(html, 'cf-browser-verification') then 'Cloudflare challenge' else '' end as reason, strlen(html) > 5000 as accepted, false as bot from pages""")
+@query("""with p as (select page_id, page_id % 7 as k, strlen(html) as n from pages), m as (select *, n + case k when 0 then 33 when 1 then 9 when 2 then 9 + 20000 when 3 then 16 when 4 then 23 when 5 then 9 else 0 end as size from p)
+  select page_id, case when k = 0 then 'Google CAPTCHA' when k = 1 and size < 10000 then 'reCAPTCHA challenge' when k in (3, 4) then 'Cloudflare challenge' else '' end as reason, reason = '' and size > 5000 as accepted, k in (4, 5) and size <= 50000 as bot from m""")
 def blocked_pages(spark, sf_dir):
-    h = F.col("html")
+    """Pages with the marks of each kind of challenge put in front."""
+    k = F.col("page_id") % 7
+    mark = F.when(k == 0, "detected unusual traffic, so stop").when(k == 1, "recaptcha").when(k == 2, F.concat(F.lit("recaptcha"), F.repeat(F.lit("x"), F.lit(20000)))).when(k == 3, "Just a moment...").when(k == 4, "cf-browser-verification").when(k == 5, "bot-check").otherwise("")
+    h = F.concat(mark, F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", links.blocked_reason(h).alias("reason"), links.accepted(h).alias("accepted"), links.is_bot_page(h).alias("bot"))
 
 
@@ -315,22 +318,48 @@ def text_scalars(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.escape(t).alias("escaped"), text.strip_tags(t).alias("bare"), text.indent(t, 2).alias("indented"))
 
 
-@query("""with c as (select doc_id, '#' || printf('%02x%02x%02x', doc_id % 256, (doc_id * 7) % 256, (doc_id * 13) % 256) as c, (doc_id % 256 + (doc_id * 7) % 256 + (doc_id * 13) % 256) // 3 as m from documents)
-  select doc_id, c as colour, m between 15 and 240 as usable from c""")
+@query("""with c as (select doc_id, doc_id % 5 as k, doc_id % 256 as r, (doc_id * 7) % 256 as g, (doc_id * 13) % 256 as b from documents),
+  n as (select *, case k when 0 then printf('#%02x%02x%02x', r, g, b) when 1 then printf('#%x%x%x%x%x%x', r % 16, r % 16, g % 16, g % 16, b % 16, b % 16) when 2 then '#000080' else '' end as colour,
+    case k when 0 then (r + g + b) // 3 when 1 then ((r % 16) * 17 + (g % 16) * 17 + (b % 16) * 17) // 3 when 2 then 42 else 0 end as m from c)
+  select doc_id, colour, k <= 2 and m between 15 and 240 as usable from n""")
 def colours(spark, sf_dir):
-    i = F.col("doc_id")
-    two = lambda x: F.lower(F.lpad(F.hex(x), 2, "0"))
-    c = F.concat(F.lit("#"), two(i % 256), two((i * 7) % 256), two((i * 13) % 256))
-    return table(spark, sf_dir, "documents").select("doc_id", values.normal_colour(c).alias("colour"), values.usable_accent(c).alias("usable"))
+    """Colours of six and of three digits, by name, and two that are none."""
+    i, k = F.col("doc_id"), F.col("doc_id") % 5
+    two = lambda x: F.upper(F.lpad(F.hex(x), 2, "0"))
+    one = lambda x: F.hex(x % 16)
+    parts = (i % 256, (i * 7) % 256, (i * 13) % 256)
+    written = F.when(k == 0, F.concat(F.lit(" #"), *map(two, parts))).when(k == 1, F.concat(F.lit("#"), *map(one, parts))).when(k == 2, "Navy ").when(k == 3, "#12345").otherwise("nocolour")
+    return table(spark, sf_dir, "documents").select("doc_id", values.normal_colour(written).alias("colour"), values.usable_accent(values.normal_colour(written)).alias("usable"))
 
 
-@query("select event_id, strftime(ts, '%b ') || day(ts)::varchar || ', ' || year(ts)::varchar as day, date_trunc('second', ts) as parsed from events")
+@query("""select event_id, strftime(ts, '%b ') || day(ts)::varchar || ', ' || year(ts)::varchar as day,
+  case when event_id % 9 in (5, 6, 7) then date_trunc('day', ts) when event_id % 9 = 8 then null when event_id % 9 = 3 then date_trunc('second', ts) - interval 2 hours else date_trunc('second', ts) end as parsed from events""")
 def dates(spark, sf_dir):
+    """Dates in eight layouts and a text that is none."""
     e = table(spark, sf_dir, "events")
-    return e.select("event_id", values.short_date(F.date_format("ts", "yyyy-MM-dd")).alias("day"), values.feed_date(F.concat(F.lit("Sun, "), F.date_format("ts", "dd MMM yyyy HH:mm:ss"), F.lit(" +0000"))).alias("parsed"))
-
-
-@query("select doc_id, 'Search' as provider, text as query from (select doc_id, 'word ' || doc_id::varchar as text from documents)")
+    written = [
+        ("EEE, dd MMM yyyy HH:mm:ss", " +0000"), ("EEE, d MMM yyyy HH:mm:ss", " GMT"), ("yyyy-MM-dd'T'HH:mm:ss", "Z"), ("yyyy-MM-dd'T'HH:mm:ss", "+02:00"),
+        ("yyyy-MM-dd'T'HH:mm:ss", ""), ("yyyy-MM-dd", ""), ("MMMM d, yyyy", ""), ("MMM d, yyyy", ""),
+    ]
+    kind = F.col("event_id") % 9
+    shown = F.lit("no date")
+    for k, (layout_, zone) in enumerate(written):
+        shown = F.when(kind == k, F.concat(F.date_format("ts", layout_), F.lit(zone))).otherwise(shown)
+    return e.select("event_id", values.short_date(F.date_format("ts", "yyyy-MM-dd")).alias("day"), values.feed_date(shown).alias("parsed"))
+
+
+@query("""with d as (select doc_id, doc_id % 9 as k, doc_id::varchar as n from documents)
+  select doc_id, case k when 2 then 'https://site' || n || '.com/x' when 5 then 'https://x.org/' || n || '?q=a b' when 6 then 'app://help' else '' end as url,
+    case k when 0 then 'cats ' || n when 1 then 'spark ' || n when 7 then 'two words ' || n when 8 then 'nosuch:' || n else '' end as query,
+    case k when 0 then 'Wikipedia' when 1 then 'GitHub' when 3 then 'Dictionary' when 4 then 'AI Summary' when 7 then 'Search' when 8 then 'Search' else '' end as provider,
+    k in (0, 1, 7, 8) as is_search, k = 3 as is_dict_lookup, case when k = 3 then 'word' || n else '' end as dict_word, k = 4 as is_ai_summary, case when k = 4 then 'why ' || n || '?' else '' end as ai_prompt from d""")
 def omnibox_inputs(spark, sf_dir):
-    parsed = urls.omnibox(F.concat(F.lit("word "), F.col("doc_id").cast("string")))
-    return table(spark, sf_dir, "documents").select("doc_id", parsed["provider"].alias("provider"), parsed["query"].alias("query"))
+    """An input of each kind: prefixes by space and by colon, addresses, dictionary, summary, help, plain search."""
+    n, k = F.col("doc_id").cast("string"), F.col("doc_id") % 9
+    typed = ["WP cats {}", " gh: spark {}", "site{}.com/x", "define word{}", "ai: why {}?", "https://x.org/{}?q=a b", "Help", "two words {} ", "nosuch:{}"]
+    given = F.lit("")
+    for i, form in enumerate(typed):
+        before, _, after = form.partition("{}")
+        given = F.when(k == i, F.concat(F.lit(before), n, F.lit(after)) if "{}" in form else F.lit(form)).otherwise(given)
+    parsed = urls.omnibox(given)
+    return table(spark, sf_dir, "documents").select("doc_id", *[parsed[f].alias(f) for f in ("url", "query", "provider", "is_search", "is_dict_lookup", "dict_word", "is_ai_summary", "ai_prompt")])
