@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftlake.llm.common import Scratch, bucket_links, bucket_ways, chunks, components, distinct_sorted, mix, released, shared_members
+from weftlake.llm.common import Scratch, bucket_links, bucket_ways, chunks, components, distinct_sorted, mix, passing, released, shared_members
 
 #: Characters in a shingle; bands and rows of the signature.
 SHINGLE, BANDS, ROWS = 5, 10, 5
@@ -244,9 +244,11 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     are; rows that share a doc_id lose the same line numbers; an empty table stays empty; other columns pass through.
     """
     scratch = Scratch(spark, "lines-stage")
-    gone = line_groups(docs, min_chars=STAGE_MIN_CHARS).where("not kept").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line_no").alias("gone"))
+    with passing():  # of the groups only what goes is needed further on
+        gone = line_groups(docs, min_chars=STAGE_MIN_CHARS).where("not kept").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line_no").alias("gone"))
+        gone = scratch.keep(gone, "gone")
     rows = docs.select(F.struct("*").alias("row"))  # apart from the names that are used here
-    joined = rows.join(scratch.keep(gone, "gone"), F.col("row.doc_id") == F.col("gone_id"), "left").withColumn("cut", F.col("gone").isNotNull())
+    joined = rows.join(gone, F.col("row.doc_id") == F.col("gone_id"), "left").withColumn("cut", F.col("gone").isNotNull())
     joined = joined.withColumn("left", F.when(F.col("cut"), _without("row.text", "gone")).otherwise(F.col("row.text"))).where(~F.col("cut") | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
     change = {"text": F.col("left")}
     if "n_chars" in docs.columns:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from weftlake.llm.common import Scratch, small
+from weftlake.llm.common import Scratch, passing, small
 
 #: Words in a block, blocks in an output shard, rounds of the index permutation and times it is taken at most.
 BLOCK, SHARD, ROUNDS, WALK = 64, 1024, 8, 64
@@ -187,11 +187,14 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     cells = [F.to_json(F.struct(c)) if "map<" in docs.schema[c].dataType.simpleString() else F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(*cells).alias("k0"), F.xxhash64(F.lit(1), *cells, F.lit(1)).alias("k1"))
-    documents, uses, scratch = mix_blocks(keyed.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), F.col("row.source").alias("source"), "k0", "k1"), carry=("k0", "k1"))
-    turns = uses.groupBy("source_no", "offset", "size", "turn").agg(F.sum(F.col("last") - F.col("first")).alias("got"), F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
-    turns = turns.select(F.col("source_no").alias("s"), F.col("offset").alias("o"), F.when(F.col("got") < F.col("size"), F.col("spans")).alias("spans"))
-    places = documents.where("size > 0").select("k0", "k1", "source_no", "offset")
-    takes = scratch.keep(places.join(turns, (F.col("source_no") == F.col("s")) & (F.col("offset") == F.col("o"))).select("k0", "k1", "spans"), "takes")
+    scratch = Scratch(spark, "mix-stage")
+    plain = keyed.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), F.col("row.source").alias("source"), "k0", "k1")
+    with passing():  # of the mix only what each row gives is needed further on
+        documents, uses, _ = mix_blocks(plain, carry=("k0", "k1"))
+        turns = uses.groupBy("source_no", "offset", "size", "turn").agg(F.sum(F.col("last") - F.col("first")).alias("got"), F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
+        turns = turns.select(F.col("source_no").alias("s"), F.col("offset").alias("o"), F.when(F.col("got") < F.col("size"), F.col("spans")).alias("spans"))
+        places = documents.where("size > 0").select("k0", "k1", "source_no", "offset")
+        takes = scratch.keep(places.join(turns, (F.col("source_no") == F.col("s")) & (F.col("offset") == F.col("o"))).select("k0", "k1", "spans"), "takes")
     # rows that are equal in every column collapse to one, which meets the turns of all of them
     rows = keyed.groupBy("k0", "k1").agg(F.first("row").alias("row")).join(takes, ["k0", "k1"])
     whole = F.col("spans").isNull()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from weftlake.llm.common import Scratch, chunks, components, distinct_sorted, mix, released, shingles, small, verify
+from weftlake.llm.common import Scratch, chunks, components, distinct_sorted, mix, passing, released, shingles, small, verify
 
 #: Counters in each of the two rows of the frequency sketch: its size does not grow with the corpus.
 SKETCH = 1 << 17
@@ -141,6 +141,7 @@ def ngram_groups(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
     fits = (num + den) * F.least(F.col("n") - F.col("pos"), F.col("nb") - F.col("pb")) >= num * (F.col("n") + F.col("nb"))
     star = ranked.join(centres, "token").where((F.col("id") != F.col("b")) & likely & fits).select(F.col("id").alias("a"), "b").distinct()
     star = scratch.keep(star, "star")
+    scratch.drop("ranked", "centres")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
 
     def tokenise(column):
@@ -190,8 +191,9 @@ def near_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts and rows with a null doc_id stay; rows that share a doc_id stay or go together; an empty table stays
     empty; other columns pass through.
     """
-    groups = ngram_groups(docs)
-    gone = Scratch(spark, "ngram-stage").keep(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    scratch = Scratch(spark, "ngram-stage")
+    with passing():  # of the groups only what goes is needed further on
+        gone = scratch.keep(ngram_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
     rows = docs.select(F.struct("*").alias("row"))  # apart from the names that are used here
     return rows.join(small(gone), F.col("row.doc_id") == F.col("gone_id"), "left_anti").select("row.*")
 
