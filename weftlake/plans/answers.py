@@ -150,7 +150,9 @@ _PLAIN = COLLAPSED.format("coalesce(text, '')")
 def discussion_threads(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     rows = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("s"))
-    row = lambda x, k: _cat('<tr class="athing comtr" id="c', x["turn"].cast("string"), '"><td class="ind" indent="', (k % 3).cast("string"), '"></td><td><a class="hnuser">', x["role"], '</a><span class="age">', k.cast("string"), ' hours ago</span><div class="commtext">', escape(F.coalesce(x["text"], F.lit(""))), "</div></td></tr>")
+    begun = lambda x, k: _cat('<tr class="athing comtr" id="c', x["turn"].cast("string"), '"><td class="ind" indent="', (k % 3).cast("string"), '"></td><td><a class="hnuser">', x["role"], "</a>")
+    said = lambda x, k: _cat('<span class="age">', k.cast("string"), ' hours ago</span><div class="commtext">', escape(F.coalesce(x["text"], F.lit(""))), "</div></td></tr>")
+    row = lambda x, k: _cat(begun(x, k), said(x, k))
     pages = rows.select(F.col("conv_id").alias("page_id"), _cat("<table>", F.array_join(F.transform("s", row), ""), "</table>").alias("html"))
     return search.comments_of(pages).select("page_id", "ord", "id", "author", "age", "indent", "text", "deleted", "parent")
 
@@ -161,7 +163,10 @@ def discussion_stories(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     rows = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))).alias("s"))
     ident = lambda x: x["event_id"].cast("string")
-    row = lambda x, k: _cat('<tr class="athing"><td><span class="rank">', (k + 1).cast("string"), '.</span></td><td><span class="titleline"><a href="', F.when(x["event_id"] % 2 == 0, _cat("https://a.com/", ident(x))).otherwise(_cat("item?id=", ident(x))), '">', x["event_type"], '</a></span></td></tr><tr><td><span class="score">', (x["event_id"] % 90).cast("string"), ' points</span> by <a class="hnuser">me</a> <a>', (x["event_id"] % 9).cast("string"), " comments</a></td></tr>")
+    href = lambda x: F.when(x["event_id"] % 2 == 0, _cat("https://a.com/", ident(x))).otherwise(_cat("item?id=", ident(x)))
+    title = lambda x, k: _cat('<tr class="athing"><td><span class="rank">', (k + 1).cast("string"), '.</span></td><td><span class="titleline"><a href="', href(x), '">', x["event_type"], "</a></span></td></tr>")
+    figures = lambda x: _cat('<tr><td><span class="score">', (x["event_id"] % 90).cast("string"), ' points</span> by <a class="hnuser">me</a> <a>', (x["event_id"] % 9).cast("string"), " comments</a></td></tr>")
+    row = lambda x, k: _cat(title(x, k), figures(x))
     pages = rows.select(F.col("user_id").alias("page_id"), _cat("<table>", F.array_join(F.transform("s", row), ""), "</table>").alias("html"))
     return search.stories_of(pages).select("page_id", "ord", "rank", "title", "href", "points", "author", "comments")
 
