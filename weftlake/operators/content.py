@@ -501,6 +501,18 @@ def content_of(pages: DataFrame) -> DataFrame:
     return page_parts(pages, ["content"]).select("page_id", F.inline("content"))
 
 
+#: Content nodes that stand in paragraphs of their own.
+TEXT_BLOCKS = ["paragraph", "heading1", "heading2", "heading3", "blockquote", "list_item", "code_block"]
+
+
+def structured_text(pages: DataFrame) -> DataFrame:
+    """(page_id, text): the content as plain text with a blank line between blocks; a block inside another is part of its text."""
+    alone = lambda x: x["type"].isin(TEXT_BLOCKS) & (x["text"] != "")
+    inner = lambda x: F.coalesce(alone(F.get("content", F.when(x["parent"] >= 0, x["parent"]))), F.lit(False))
+    blocks = F.transform(F.filter("content", lambda x: alone(x) & ~inner(x)), lambda x: x["text"])
+    return page_parts(pages, ["content"]).select("page_id", F.trim(F.coalesce(F.array_join(blocks, "\n\n"), F.lit(""))).alias("text"))
+
+
 def headings_of(pages: DataFrame) -> DataFrame:
     level = F.substring("type", 8, 1).cast("int")
     return content_of(pages).where("type in ('heading1', 'heading2', 'heading3')").select("page_id", "ord", level.alias("level"), "text", "id")

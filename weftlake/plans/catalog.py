@@ -114,6 +114,11 @@ def page_headings(spark, sf_dir):
     return document.section_numbers(content.headings_of(table(spark, sf_dir, "pages"))).select("page_id", "ord", "level", "text", "number")
 
 
+@query(f"""select page_id, coalesce(string_agg(text, chr(10) || chr(10) order by o), '') as text from (select page_id, -1 as o, text from {HEADINGS} union all select page_id, k, text from {PARAGRAPHS}) where text <> '' group by page_id""")
+def page_text(spark, sf_dir):
+    return content.structured_text(table(spark, sf_dir, "pages"))
+
+
 @query(f"""select page_id, {_TITLE} as title, '' as description, '' as site_name,
   case when regexp_matches(p, '/article|/post|/blog') then 'Article' when regexp_matches(p, '/video|/watch') then 'Video' when regexp_matches(p, '/doc') then 'Documentation' when regexp_matches(p, '[.]pdf$') then 'PDF' when regexp_matches(p, '[.](png|jpg|gif)$') then 'Image' else '' end as content_type
   from (select *, lower(regexp_replace(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', ''), '[?#].*$', '')) as p from pages)""")
