@@ -146,3 +146,18 @@ def test_template():
     assert template.render('{{with .a}}{{.b}}{{end}}{{len (limit 2 .xs)}}', {"a": {"b": "q"}, "xs": [1, 2, 3]}) == "q2"
     with pytest.raises(template.TemplateError):
         template.render("{{if .a}}", {})
+
+
+def test_wrap_spans(spark):
+    spans = [{"text": "the quick ", "style": "", "href": ""}, {"text": "brown\tfox", "style": "bold", "href": "/x"}, {"text": " runs", "style": "", "href": ""}]
+    assert [[(p["text"], p["style"]) for p in line] for line in layout.wrap_spans(spans, 15)] == [[("the quick ", ""), ("brown", "bold")], [("fox", "bold"), (" runs", "")]]
+    wide = layout.wrap_spans(spans, 17, justified=True)
+    assert "".join(p["text"] for p in wide[0]) == "the  quick  brown" and wide[0][-1]["href"] == "/x"
+    assert layout.wrap_spans([], 5) == [[]] and layout.wrap_spans([{"text": "abcdef", "style": "b", "href": ""}], 4) == [[{"text": "abcd", "style": "b", "href": ""}], [{"text": "ef", "style": "b", "href": ""}]]
+    row = spark.createDataFrame([([("one two", "b", "")],), (None,)], "s array<struct<text:string,style:string,href:string>>").select(layout.wrapped_spans(F.col("s"), 4).alias("w")).collect()
+    assert [[p.text for p in line] for line in row[0].w] == [["one"], ["two"]] and row[1].w is None
+
+
+def test_formula():
+    nodes = parse('<p>So <math><mi>x</mi><annotation encoding="application/x-tex">\\alpha^2</annotation></math> and <math><mi>y</mi></math>.</p>')
+    assert text_of(nodes, next(i for i, n in enumerate(nodes) if n.tag == "p")) == "So α² and y."

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftlake.functions.dom import parse
-from weftlake.operators import content, document, feeds, inspect, links, rules, search
+from weftlake.operators import content, document, feeds, inspect, links, rules, scoring, search
 from weftlake.plans import catalog
 from weftlake.sources import feeds as sources
 from weftlake.streaming import feeds as stream
@@ -194,3 +194,17 @@ def test_rule_records_of_all_hosts(spark, tmp_path):
     got = {r.page_id: r for r in catalog.rule_records(spark, str(tmp_path)).collect()}
     assert {k: r.text for k, r in got.items()} == {k: f"Title {k}: 1" for k in range(7)}
     assert '"_domain": "h2.com"' in got[2].record
+
+
+def test_story_text_and_scores(spark):
+    story = {"title": "T", "href": "https://x.org/1", "description": "D", "author": "A", "date": "Jan 2, 2024", "source": "x.org"}
+    assert content.story_text(story) == "T (x.org)\n  D\n  A · Jan 2, 2024" and content.story_text(story | {"source": "", "description": "", "author": "", "date": ""}) == "T"
+    found = spark.createDataFrame([([("a story", "/1")] * 4, "x" * 200, ["ul > li", "div:nth-child(2) a"])], "links array<struct<text:string,href:string>>, text string, selectors array<string>")
+    plain, judged = found.select(scoring.record_score(F.col("links"), F.col("text")).alias("p"), scoring.record_score(F.col("links"), F.col("text"), F.col("selectors")).alias("j")).first()
+    assert judged.score == plain.score - 5 and judged.issues == ["position"]
+
+
+def test_structured_text(spark):
+    page = "<article><h1>Head</h1><p>One <b>bold</b></p><blockquote><p>Said</p></blockquote><ul><li>x</li></ul></article>"
+    got = {r.page_id: r.text for r in content.structured_text(spark.createDataFrame([(1, page), (2, None)], "page_id int, html string")).collect()}
+    assert got[1].split("\n\n") == ["Head", "One bold", "Said", "x"] and got[2] == ""

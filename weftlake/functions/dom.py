@@ -231,8 +231,20 @@ def parse(source: str | None, max_depth: int = MAX_DEPTH) -> list[Node]:
     return out.nodes
 
 
+def formula_of(nodes: list[Node], i: int) -> str:
+    """The TeX source that a math element carries as an annotation, '' without one."""
+    for j in range(i + 1, nodes[i].end):
+        if nodes[j].tag == "annotation" and "tex" in nodes[j].attrs.get("encoding", ""):
+            found = next((nodes[k].text for k in children(nodes, j) if nodes[k].tag == "#text"), "")
+            if found:
+                return found
+    return ""
+
+
 def text_of(nodes: list[Node], i: int, skip: frozenset = frozenset({"script", "style", "noscript", "template"})) -> str:
-    """The text under a node, white space collapsed and trimmed."""
+    """The text under a node, white space collapsed and trimmed. A formula with a TeX annotation is written in Unicode."""
+    from weftlake.functions.latex import to_unicode
+
     parts, j = [], i
     while j < nodes[i].end:
         n = nodes[j]
@@ -241,6 +253,9 @@ def text_of(nodes: list[Node], i: int, skip: frozenset = frozenset({"script", "s
             j += 1
         elif n.tag in skip and j != i:
             j = n.end
+        elif n.tag == "math" and (source := formula_of(nodes, j)):
+            parts.append(to_unicode(source))
+            j = n.end
         else:
             j += 1
     return re.sub(r"[ \t\n\f\r]+", " ", "".join(parts)).strip()
