@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftlake.llm import edit_embedding, lang_id, license_scan, line_dedup, main_text, mixing, ngram_join, pieces, url_filter, vector_dedup
+from weftlake.llm import edit_embedding, filter_audit, lang_id, license_scan, line_dedup, main_text, merkle, mixing, ngram_join, ogg, pieces, url_filter, vector_dedup
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
@@ -15,5 +15,15 @@ QUERIES = {
     "op8_language_id": lang_id.op8_language_id,
     "op9_html_extraction": main_text.op9_html_extraction,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "op11_filter_interactions": filter_audit.op11_filter_interactions,
+    "op12_media_columns": ogg.op12_media_columns,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
+}
+SQL = {
+    "op1_url_filters": url_filter.SQL,
+    "op3_ngram_jaccard_join": ngram_join.SQL,
+    "op6_embedding_dedup": vector_dedup.SQL,
+    "op7_license_scans": license_scan.SQL,
+    "op11_filter_interactions": filter_audit.SQL,
+    "op13_merkle_manifest": merkle.SQL,
 }
-SQL = {"op1_url_filters": url_filter.SQL, "op3_ngram_jaccard_join": ngram_join.SQL, "op6_embedding_dedup": vector_dedup.SQL, "op7_license_scans": license_scan.SQL}
