@@ -78,6 +78,43 @@ def test_hot_vectors(spark, monkeypatch):
     assert n[:60].min() > 30 and [got[i].n_links for i, _, _ in rows] == n.tolist() and {got[k].component_id for k in range(60)} == {0}
 
 
+def dense_and_off_centre():
+    """Tables of (vectors, labels): one dense group, families about an offset, isotropic families, and a dense group among isotropic vectors."""
+    rng = np.random.default_rng(12)
+    centre = rng.standard_normal(32)
+    dense = lambda n: centre + 0.05 * rng.standard_normal((n, 32)) * np.linalg.norm(centre) / 5.6
+    family = lambda n, spread: np.repeat(spread * rng.standard_normal((n, 32)), 3, axis=0) + 0.06 * spread * rng.standard_normal((3 * n, 32))
+    yield "dense", dense(600), 0.5
+    yield "off-centre", 2 * rng.standard_normal(32) + family(400, 0.3), 0.01
+    yield "isotropic", family(400, 1.0), 0.0
+    yield "dense fifth", np.vstack([dense(120), family(160, 1.0)]), 0.0
+    yield "dense half", np.vstack([dense(300), family(100, 1.0)]), 0.0
+    core = centre + rng.standard_normal((500, 32)) * rng.uniform(0.001, 0.2, (500, 1))  # pairs on opposite sides of the mean
+    yield "core", core, 0.1
+
+
+@pytest.mark.parametrize("name, x, share", list(dense_and_off_centre()), ids=lambda v: v if isinstance(v, str) else "")
+def test_recall_of_vectors(spark, name, x, share):
+    """All links against brute force, whatever the data's mean."""
+    x = x[:1200]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    want = near.sum(1) - 1
+    got = {r.vec_id: r for r in vector_dedup.near_vectors(spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
+    found = np.array([got[k].n_links for k in range(len(x))])
+    assert want.sum() >= share * len(x) ** 2 and want.sum() > 500
+    assert (found <= want).all() and found.sum() >= 0.98 * want.sum()
+
+
+def test_many_dimensions(spark, monkeypatch):
+    """Dimensions beyond those that rotations are learned for."""
+    monkeypatch.setattr(vector_dedup, "LEARNED", 2)
+    rng = np.random.default_rng(1)
+    rows = [(10 * d + k, v.tolist(), 1) for d in (1, 2, 5, 9, 12) for v in [rng.standard_normal(d)] for k in range(2)]
+    got = {r.vec_id: r.n_links for r in vector_dedup.near_vectors(spark.createDataFrame([(i, [c * (1 + i % 2) for c in v], lab) for i, v, lab in rows], "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {i: 1 for i, _, _ in rows}
+
+
 def test_large_buckets(spark, documents, monkeypatch):
     """Buckets of several blocks lose no link that one block would find."""
     rng = random.Random(6)

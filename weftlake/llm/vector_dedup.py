@@ -13,31 +13,66 @@ from weftlake.llm.common import Scratch, components, released
 
 #: Vectors of each dimension from which rotations are learned (the only sampled step), and rounds of learning.
 SAMPLE, LEARNING = 20_000, 30
-#: Tables of a code; bits of a table's key beyond the logarithm of the largest group's size; least and most bits of a key.
-TABLES, SPARE, NARROW, WIDE = 16, 2, 8, 24
+#: Tables of a code; bits of a table's key beyond those that tell the largest group's vectors apart; least and most bits of a key.
+TABLES, SPARE, NARROW, WIDE = 16, 2, 8, 20
 #: Vectors of a bucket that are held against each other in one place.
 BLOCK = 1024
-MAX_DIMENSIONS = 64
+#: Dimensions, the most numerous ones, for which rotations are learned; for others they are drawn.
+LEARNED = 64
 
 
-def learn_rotations(sample: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection (d x bits) whose signs are balanced codes: principal axes, turned so that the data lie near the
-    corners of a cube. One rotation gives d bits; more are learned from other starts and other halves of the sample."""
-    mean = sample.mean(0)
-    x = sample - mean
-    d = x.shape[1]
-    _, _, axes = np.linalg.svd(x, full_matrices=False) if len(x) >= d else (None, None, np.eye(d))
+def learn_rotations(sample: np.ndarray, bits: int) -> np.ndarray:
+    """Projection (d x bits) whose signs are codes: principal axes, turned so that unit vectors lie near the corners of a cube. One rotation gives d bits;
+    more are learned from other starts and other halves of the sample.
+
+    All planes go through the origin, where the cosine has its angle: whatever the data's mean, two vectors at a small angle fall on different sides of few
+    of them. Codes about the mean would be balanced on data that lie off the origin too, but there the angle about the mean says nothing about the cosine.
+    """
+    d = sample.shape[1]
+    _, _, axes = np.linalg.svd(sample, full_matrices=False) if len(sample) >= d else (None, None, np.eye(d))
     rng = np.random.Generator(np.random.PCG64(7))
     parts = []
     while sum(p.shape[1] for p in parts) < bits:
-        v = x @ axes.T
+        v = sample @ axes.T
         turn = np.linalg.qr(rng.standard_normal((d, d)))[0]
         half = v[rng.random(len(v)) < 0.5] if len(v) > 20 * d else v
         for _ in range(LEARNING):
             u, _, w = np.linalg.svd(np.where(half @ turn >= 0, 1.0, -1.0).T @ half)
             turn = (u @ w).T
         parts.append(axes.T @ turn)
-    return mean, np.hstack(parts)[:, :bits]
+    return np.hstack(parts)[:, :bits]
+
+
+def drawn_rotations(d: int, bits: int) -> np.ndarray:
+    """The same without data: rotations drawn for the dimension."""
+    rng = np.random.Generator(np.random.PCG64([7, d]))
+    return np.hstack([np.linalg.qr(rng.standard_normal((d, d)))[0] for _ in range(-(-bits // d))])[:, :bits]
+
+
+def key_width(sample: np.ndarray, project: np.ndarray, most: int) -> int:
+    """Bits of a key: so many that of `most` vectors like the sample's few share one with an unrelated vector, by how often two of the sample agree in a bit."""
+    rng = np.random.Generator(np.random.PCG64(11))
+    x, y = (rng.permutation(sample)[:2000] @ project >= 0 for _ in range(2))
+    agree = float((x == y).mean()) if len(x) else 0.5
+    return min(WIDE, max(NARROW, math.ceil(math.log2(max(most, 1)) / -math.log2(min(max(agree, 0.5), 0.999))) + SPARE))
+
+
+def radius(sample: np.ndarray, project: np.ndarray, least: float) -> float:
+    """Bits in which the codes of two vectors at the least cosine may differ: far beyond what chance gives random planes, and beyond all that was measured on
+    sampled vectors turned by that angle, in random directions and towards other vectors of the sample."""
+    bits, angle = project.shape[1], math.acos(max(-1.0, min(1.0, least)))
+    chance = angle / math.pi
+    out = bits * chance + 7 * math.sqrt(bits * chance)
+    if len(sample) > 1 and sample.shape[1] > 1:
+        rng = np.random.Generator(np.random.PCG64(13))
+        for towards in (rng.standard_normal(sample.shape), rng.permutation(sample)):
+            aside = towards - (towards * sample).sum(1, keepdims=True) * sample
+            size = np.linalg.norm(aside, axis=1)
+            fine = size > 1e-9
+            turned = math.cos(angle) * sample[fine] + math.sin(angle) * aside[fine] / size[fine, None]
+            if fine.any():
+                out = max(out, 1.25 * float(((turned @ project >= 0) != (sample[fine] @ project >= 0)).sum(1).max()))
+    return out
 
 
 def _valid(v: Column) -> Column:
@@ -82,9 +117,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     components link with nothing, nor do rows with a null vec_id (component null, not kept). n_links counts rows, equal vectors
     included; rows that share a vec_id are one vertex. No pair below the threshold is linked. Other columns are ignored; an empty table gives no rows.
 
-    Equal vectors collapse to one first. A code is cut into TABLES keys, whose width follows the logarithm of the largest group of vectors of
-    one label, so that unrelated vectors share few buckets at any size. Two vectors whose codes differ in fewer bits than there are tables always
-    share one; at a cosine of 0.98 and keys of 16 bits, 0.999 of all pairs do. A pair counts in the first table that brings it together. Codes too far
+    Equal vectors collapse to one first. A code is cut into TABLES keys, whose width follows the largest group of vectors of
+    one label, so that unrelated vectors share few buckets at any size; on data that lie close together it ends at WIDE. Two vectors whose codes differ in fewer bits than there are tables always
+    share one; at a cosine of 0.98 and keys of 20 bits, 0.993 of all pairs do, of 16 bits 0.999. A pair counts in the first table that brings it together. Codes too far
     apart go before vectors are sent; then all pairs of a bucket are reranked in blocks and leave counts and spanning edges, no rows of pairs.
     """
     spark = vectors.sparkSession
@@ -96,29 +131,35 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     reps = good.groupBy("h0", "h1").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.xxhash64(F.first("label")).alias("label"), F.first("v").alias("v"))
     reps = scratch.keep(reps.withColumn("d", F.size("v")).withColumn("id", F.col("h0")), "reps")
     groups = reps.groupBy("d", "label").agg(F.count("*").alias("n")).groupBy("d").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
-    sizes = [(r.d, r.n, r.most) for r in groups.limit(MAX_DIMENSIONS + 1).collect()]
-    if len(sizes) > MAX_DIMENSIONS:
-        raise ValueError("vectors of more than 64 different dimensions")
+    sizes = [(r.d, r.n, r.most) for r in groups.orderBy(F.desc("n"), "d").limit(LEARNED).collect()]
     models = {}
     for d, n, most in sizes:
         drawn = reps.where(F.col("d") == d).where(F.pmod(F.xxhash64("h1"), F.lit(1 << 20)) < (1 << 20) * min(1.0, SAMPLE / n)).select("v").toPandas()
         x = np.array(drawn["v"].tolist(), float).reshape(len(drawn), d)
         x = x / np.abs(x).max(1, keepdims=True) if len(x) else np.eye(d)
-        width = min(WIDE, max(NARROW, math.ceil(math.log2(most)) + SPARE))
-        models[d] = (width, *learn_rotations(x / np.linalg.norm(x, axis=1, keepdims=True), width * TABLES))
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        project = learn_rotations(x, WIDE * TABLES)
+        width = key_width(x, project, most)
+        models[d] = (width, radius(x, project[:, : width * TABLES], least), project[:, : width * TABLES])
     shared = spark.sparkContext.broadcast(models)
 
+    def model(d: int) -> tuple[int, float, np.ndarray]:
+        if d not in shared.value:
+            project = drawn_rotations(d, NARROW * 2 * TABLES)
+            shared.value[d] = (NARROW * 2, radius(np.zeros((0, d)), project, least), project)
+        return shared.value[d]
+
     def encode(batches):
         for batch in batches:
             codes = np.zeros((batch.num_rows, TABLES), np.int32)
             lists, dims = batch.column(3), batch.column(2).to_numpy()
             flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(dims)]
             for d in set(dims.tolist()):
-                width, mean, project = shared.value[d]
+                width, _, project = model(d)
                 at = np.flatnonzero(dims == d)
                 x = flat[(ends[:-1][at][:, None] + np.arange(d)).ravel()].reshape(-1, d)
                 x = x / np.abs(x).max(1, keepdims=True)  # very large components do not overflow
-                bits = ((x / np.linalg.norm(x, axis=1, keepdims=True) - mean) @ project) >= 0
+                bits = ((x / np.linalg.norm(x, axis=1, keepdims=True)) @ project) >= 0
                 codes[at] = (bits.reshape(len(at), TABLES, width).astype(np.int32) << np.arange(width, dtype=np.int32)).sum(2, dtype=np.int32)
             made = [pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(codes.tolist(), pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["id", "label", "d", "code", "keys"])
@@ -138,14 +179,12 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
         for block in _blocks(batches, ["key", "block", "other", "t", "id", "label", "code", "half", "d"]):
             met = _first_met(block)
             if met.any():
-                width = shared.value[block["d"][0]][0]
+                width, most, _ = model(block["d"][0])
                 keys = np.frombuffer(b"".join(block["code"]), np.int32).reshape(-1, TABLES)
                 bits = (keys[:, :, None] >> np.arange(width) & 1).reshape(len(keys), -1).astype(np.float32)
                 ones = bits.sum(1)
                 apart = ones[:, None] + ones[None, :] - 2 * (bits @ bits.T)
-                chance = math.acos(max(-1.0, min(1.0, least))) / math.pi
-                radius = width * TABLES * chance + 7 * math.sqrt(width * TABLES * chance)
-                near = (met & (apart <= radius)).any(1)
+                near = (met & (apart <= most)).any(1)
                 out += [(block["key"][0], block["block"][0], block["other"][0], block["id"][i]) for i in np.flatnonzero(near)]
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["key", "block", "other", "id"])
