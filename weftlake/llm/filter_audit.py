@@ -74,16 +74,16 @@ def survivors(counted: DataFrame) -> DataFrame:
     return of_parts.where(alive).select("part", mask.cast("int").alias("mask"), *COUNTS)
 
 
-def _orders(spark: SparkSession) -> Column:
+def _orders() -> Column:
     """Steps of all orders: (filter_order, step, letter, before, after) with the subsets applied before and after the step."""
     steps = []
     for order in permutations(LETTERS):
         mask = 0
-        for k, letter in enumerate(order):
-            after = mask | 1 << LETTERS.index(letter)
-            steps.append(F.struct(F.lit("".join(order)).alias("filter_order"), F.lit(k + 1).alias("step"), F.lit(LETTERS.index(letter)).alias("letter"), F.lit(mask).alias("before"), F.lit(after).alias("after")))
-            mask = after
-    return F.array(*steps)
+        for k, letter in enumerate(order, 1):
+            bit = LETTERS.index(letter)
+            steps.append(f"struct('{''.join(order)}' as filter_order, {k} as step, {bit} as letter, {mask} as before, {mask | 1 << bit} as after)")
+            mask |= 1 << bit
+    return F.expr(f"array({', '.join(steps)})")
 
 
 def interactions(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def interactions(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "interactions")
     alive = scratch.keep(survivors(scratch.keep(flagged(docs, labels), "flagged")), "survivors")
     parts = alive.where("mask = 0").select("part")
-    steps = parts.select("part", F.explode(_orders(spark)).alias("s")).select("part", "s.*")
+    steps = parts.select("part", F.explode(_orders()).alias("s")).select("part", "s.*")
     bit = F.pow(F.lit(2), F.col("letter")).cast("int")
     pairs = {"before": F.col("before"), "after": F.col("after"), "alone": bit, "others": F.lit(ALL) - bit, "none": F.lit(0), "all": F.lit(ALL)}
     for name, mask in pairs.items():
