@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftlake.llm import common, edit_embedding, lang_id, line_dedup, pieces, vector_dedup
+from weftlake.llm import common, edit_embedding, lang_id, line_dedup, ngram_join, pieces, vector_dedup
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 CLASHES = ["row", "left", "gone", "gone_id", "cut", "k0", "spans", "k", "ids", "stretch", "component_id", "size", "lang_pred"]
@@ -48,6 +48,17 @@ def test_line_stage_on_ties(spark, documents):
     assert out[10].text == text and out[10].n_chars == len(text) and 11 not in out and 12 in out
 
 
+def test_stages_on_shared_ids(spark, documents):
+    """Unlike texts under one doc_id are documents of their own."""
+    rng = random.Random(8)
+    own, text = prose(rng, 40), prose(rng, 40)
+    more = [(31, f"{prose(rng, 30)}\nShared line of the text", "en", "s", 1), (30, "Shared line of the text", "en", "s", 1), (31, "one line", "en", "s", 1), (31, "a line\nother line here\nthe third one, alone", "en", "s", 1)]
+    out = line_dedup.without_repeats(spark, documents([], more=more), "").where("doc_id >= 30").collect()
+    assert sorted((r.doc_id, r.text) for r in out) == sorted((i, t.replace("\nShared line of the text", "")) for i, t, *_ in more)
+    kept = ngram_join.near_distinct(spark, documents([], more=[(3, text, "en", "s", 1), (5, text, "en", "s", 1), (5, own, "en", "s", 1)]), "")
+    assert sorted((r.doc_id, r.text) for r in kept.where("n_chars = 1").collect()) == [(3, text), (5, own)]
+
+
 def test_repeated_rows(spark, documents):
     rng = random.Random(3)
     df = documents([prose(rng, 30), prose(rng, 50)])

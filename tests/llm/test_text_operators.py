@@ -92,7 +92,7 @@ def test_line_dedup(spark, documents, no_documents):
     out = line_dedup.without_repeats(spark, df, "")
     assert out.columns == df.columns
     texts_out = {r.doc_id: r for r in out.collect()}
-    assert texts_out[11].text.split("\n")[0] == "short" and texts_out[11].n_chars == len(texts_out[11].text) and 12 not in texts_out and texts_out[10].text == texts[0] and {1, 2} <= set(texts_out)
+    assert "short" not in texts_out[11].text and texts_out[11].n_chars == len(texts_out[11].text) and 12 not in texts_out and texts_out[10].text == texts[0] and {1, 2} <= set(texts_out)
 
 
 def test_line_dedup_varied_groups(spark, documents):
@@ -140,6 +140,20 @@ def test_language_id(spark, documents, no_documents):
     assert {r.lang_pred for r in lang_id.identify(documents(["no labels at all"], lang=None).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     kept = lang_id.known_language(spark, df, "")
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.lang_pred != "und"}
+    odd = df.unionByName(df.limit(1).withColumn("doc_id", F.lit(950).cast("long")).withColumn("text", F.repeat(F.lit("qzx wvk jjq zzx "), 40))).withColumn("a.b", F.lit(1))
+    kept = lang_id.known_language(spark, odd, "")
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.lang_pred != "und"}
+
+
+def test_language_ties_and_many(spark, documents):
+    """Equal posteriors give the first language; many languages share fewer buckets."""
+    got = {r.doc_id: r for r in lang_id.identify(documents([], more=[(k, "abc abd", lang, "s", 0) for k in range(100, 140) for lang in ("yy", "xx")])).collect()}
+    assert {r.lang_pred for i, r in got.items() if i >= 100} == {"xx"} and got[100].score == pytest.approx(0.5)
+    assert [lang_id.bucket_count(n) for n in (0, 64, 65, 128, 129, 10**6)] == [1 << 16, 1 << 16, 1 << 15, 1 << 15, 1 << 14, 1 << 6]
+    rows = [(1000 + k, f"w{'abcdefghijklmnopqrst'[k % 20]}{'abcdefghijklmnopqrst'[k // 20]} " * 5, f"l{k}", "s", 0) for k in range(100)]
+    got = {r.doc_id: r for r in lang_id.identify(documents([], more=rows)).collect()}
+    right = [got[r[0]].lang_pred == r[2] for r in rows if not got[r[0]].held_out]
+    assert len(right) > 50 and np.mean(right) > 0.9
 
 
 def brute_targets(sizes):

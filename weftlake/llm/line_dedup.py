@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,8 +16,6 @@ from weftlake.llm.common import Scratch, bucket_links, bucket_ways, chunks, comp
 SHINGLE, BANDS, ROWS = 5, 10, 5
 #: Empty lines are left out; all others are compared, one shorter than a shingle as one shingle.
 MIN_CHARS = 1
-#: The pipeline stage removes no line of fewer characters: headings, list items and the like.
-STAGE_MIN_CHARS = 20
 #: Bytes of text that are hashed at once: few, so that the arrays stay in the cache.
 STEP = 1 << 16
 _NONE = np.uint32(0xFFFFFFFF)
@@ -117,8 +115,17 @@ def _halves(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
 
 
-def signed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, line_no, h0, h1, size, keys): every line of every whole text, trimmed, of at least min_chars characters, by 128 bits of its digest, with its band keys."""
+def _version(docs: DataFrame) -> Column:
+    """What tells texts apart that share a doc_id: 31 bits of a hash of the text, or 0 if no doc_id is there twice."""
+    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    return F.lit(0).cast("long") if twice.isEmpty() else F.coalesce(F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)), F.lit(0).cast("long"))
+
+
+def signed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, version: Column | None = None) -> DataFrame:
+    """(doc_id, place, h0, h1, size, keys): every line of every whole text, trimmed, of at least min_chars characters, by 128 bits of its digest, with its band keys.
+
+    place is version * 2 ** 32 + the line's number.
+    """
 
     def sign(batches):
         for batch in batches:
@@ -133,11 +140,12 @@ def signed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 keys = signatures(data, starts, ends)
                 at = pa.array(np.arange(len(row) + 1, dtype=np.int32) * (8 * BANDS)).buffers()[1]
                 packed = pa.Array.from_buffers(pa.binary(), len(row), [None, at, pa.py_buffer(keys.tobytes())])
-                columns = [batch.column(0).take(pa.array(row + base)), pa.array(line_no.astype(np.int32)), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(size.astype(np.int32)), packed]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "h0", "h1", "size", "keys"])
+                columns = [batch.column(0).take(pa.array(row + base)), pa.array((batch.column(2).to_numpy()[row + base] << 32) + line_no), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(size.astype(np.int32)), packed]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "place", "h0", "h1", "size", "keys"])
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(released(sign), "doc_id long, line_no int, h0 long, h1 long, size int, keys binary")
+    version = F.lit(0).cast("long") if version is None else version
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), version.alias("version"))
+    return rows.mapInArrow(released(sign), "doc_id long, place long, h0 long, h1 long, size int, keys binary")
 
 
 def line_sets(column: pa.Array) -> list[np.ndarray]:
@@ -151,13 +159,13 @@ def line_sets(column: pa.Array) -> list[np.ndarray]:
 
 
 def line_groups(docs: DataFrame, num: int = 3, den: int = 4, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, line_no, group, kept) for every line of at least min_chars characters, trimmed; by default every line that is not empty.
+    """(doc_id, line_no, group, kept, version) for every line of at least min_chars characters, trimmed; by default every line that is not empty.
 
     Lines are near duplicates when their character shingles have Jaccard similarity num / den or more;
     group is the 64-bit hash that names the component; kept is true for its first line in
-    order of (doc_id, line_no). line_no counts from 0 over the text split at \\n. Rows with a null doc_id or text have no lines
-    here (their texts stay as they are); rows that share a doc_id are copies of one document and keep
-    the same lines. Other columns are ignored; an empty table gives no rows.
+    order of (doc_id, version, line_no). line_no counts from 0 over the text split at \\n. Rows with a null doc_id or text have no lines
+    here (their texts stay as they are). version is 0 unless some doc_id is there twice; then it is a hash of the text, so unlike texts of one doc_id are documents of their own, and rows
+    equal in doc_id and text are copies of one document and keep the same lines. Other columns are ignored; an empty table gives no rows.
 
     Equal lines collapse by 128 bits of their digest. Banding brings near ones into one bucket with a probability of 0.93 at similarity
     0.75, 0.98 at 0.8 and over 0.999 at 0.9. Nothing below the threshold is linked: all pairs of a bucket are counted exactly, on whole lines.
@@ -165,16 +173,16 @@ def line_groups(docs: DataFrame, num: int = 3, den: int = 4, min_chars: int = MI
     All joins are by shuffle at every size, so that the plan does not change as the input grows.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    signed = scratch.keep(signed_lines(docs, min_chars), "signed")
-    where = signed.select("doc_id", "line_no", "h0", "h1")
+    signed = scratch.keep(signed_lines(docs, min_chars, _version(docs)), "signed")
+    where = signed.select("doc_id", "place", "h0", "h1")
     shared = scratch.keep(shared_members(signed.select(F.col("h0").alias("id"), "size", "keys"), BANDS), "shared")
     members = scratch.keep(shared.distinct(), "members")
     scratch.drop("shared")
     ways = scratch.keep(bucket_ways(scratch, members), "ways")
     scratch.drop("members")
     ids = ways.select("id").distinct()
-    firsts = scratch.keep(where.groupBy("h0", "h1").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies")), "firsts")
-    asked = firsts.join(ids.hint("merge"), F.col("h0") == F.col("id"), "left_semi").groupBy(F.col("first.doc_id").alias("asked_id")).agg(F.collect_list(F.struct("first.line_no", "h0", "h1")).alias("asked"))
+    firsts = scratch.keep(where.groupBy("h0", "h1").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("copies")), "firsts")
+    asked = firsts.join(ids.hint("merge"), F.col("h0") == F.col("id"), "left_semi").groupBy(F.col("first.doc_id").alias("asked_id")).agg(F.collect_list(F.struct(F.col("first.place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("line_no"), "h0", "h1")).alias("asked"))
     texts = scratch.keep(_texts(docs, scratch.keep(asked, "asked")), "texts")
 
     # should two lines share h0, the one of the smaller h1 stands for it here, and the other is left out below
@@ -189,8 +197,9 @@ def line_groups(docs: DataFrame, num: int = 3, den: int = 4, min_chars: int = MI
     keeper = grouped.where("not lone").groupBy("group").agg(F.min("first").alias("keeper"))
     decided = grouped.where("not lone").join(keeper.hint("merge"), "group").select("h0", "h1", "group", "keeper")
     decided = scratch.keep(lone.unionByName(decided), "decided")
-    first = (F.col("keeper.doc_id") == F.col("doc_id")) & (F.col("keeper.line_no") == F.col("line_no"))
-    return where.join(decided.hint("merge"), ["h0", "h1"], "left").select("doc_id", "line_no", F.coalesce("group", "h0").alias("group"), F.coalesce(first, F.lit(True)).alias("kept"))
+    first = (F.col("keeper.doc_id") == F.col("doc_id")) & (F.col("keeper.place") == F.col("place"))
+    line_no, version = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"), F.shiftright("place", 32)
+    return where.join(decided.hint("merge"), ["h0", "h1"], "left").select("doc_id", line_no.alias("line_no"), F.coalesce("group", "h0").alias("group"), F.coalesce(first, F.lit(True)).alias("kept"), version.alias("version"))
 
 
 def _texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -238,17 +247,18 @@ def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicate lines the first stays, as do all lines under STAGE_MIN_CHARS.
+    """Pipeline stage: of each group of near-duplicate lines, short ones among them, the first stays; empty lines stay.
 
     A document left without text goes; n_chars follows the text of one that lost lines. Null and empty texts and rows with a null doc_id stay as they
-    are; rows that share a doc_id lose the same line numbers; an empty table stays empty; other columns pass through.
+    are; unlike texts that share a doc_id are documents of their own, rows equal in doc_id and text lose the same lines; an empty table stays empty; other columns pass through.
     """
     scratch = Scratch(spark, "lines-stage")
     with passing():  # of the groups only what goes is needed further on
-        gone = line_groups(docs, min_chars=STAGE_MIN_CHARS).where("not kept").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line_no").alias("gone"))
+        gone = line_groups(docs).where("not kept").groupBy(F.col("doc_id").alias("gone_id"), "version").agg(F.collect_set("line_no").alias("gone"))
         gone = scratch.keep(gone, "gone")
-    rows = docs.select(F.struct("*").alias("row"))  # apart from the names that are used here
-    joined = rows.join(gone, F.col("row.doc_id") == F.col("gone_id"), "left").withColumn("cut", F.col("gone").isNotNull())
+    version = _version(docs)
+    rows = docs.select(F.struct("*").alias("row"), version.alias("own"))  # apart from the names that are used here
+    joined = rows.join(gone, (F.col("row.doc_id") == F.col("gone_id")) & (F.col("own") == F.col("version")), "left").withColumn("cut", F.col("gone").isNotNull())
     joined = joined.withColumn("left", F.when(F.col("cut"), _without("row.text", "gone")).otherwise(F.col("row.text"))).where(~F.col("cut") | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
     change = {"text": F.col("left")}
     if "n_chars" in docs.columns:

@@ -6,9 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
-from weftlake.llm.common import Scratch, small
+from weftlake.llm.common import Scratch, numbered, small
 
 #: Children of a node; levels of a page of nodes, whose lowest has ARITY ** DEPTH nodes at most.
 ARITY, DEPTH = 3, 6
@@ -34,21 +33,6 @@ def leaf_of(text: Column) -> Column:
     return digest(*[_field(text if c == "text" else F.col(c)) for c in FIELDS])
 
 
-def numbered(scratch: Scratch, rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
-    """rows with pos, the place from 0 on within the group by order, and m, the group's size. order must tell all rows apart.
-
-    Rows are sorted by ranges into runs and written; a run's rows count from its first, and the runs before are counted in a table of a row for each group and run. So a
-    group of any size is spread over tasks.
-    """
-    runs = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("at", F.monotonically_increasing_id())
-    runs = scratch.keep(runs, f"{name}-runs").withColumn("run", F.shiftright("at", 33))
-    heads = runs.groupBy(group, "run").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    whole = W.Window.partitionBy(group)
-    heads = heads.select(group, "run", "first", (F.sum("n").over(whole.orderBy("run")) - F.col("n")).alias("before"), F.sum("n").over(whole).alias("m"))
-    heads = scratch.keep(heads, f"{name}-heads")
-    return runs.join(small(heads), [group, "run"]).withColumn("pos", F.col("at") - F.col("first") + F.col("before")).drop("at", "run", "first", "before")
-
-
 def _reduced(nodes: Column) -> Column:
     """The level above: each ARITY consecutive nodes become one, the last run of fewer as well."""
     runs = F.sequence(F.lit(0), F.floor((F.size(nodes) - 1) / ARITY).cast("int"))

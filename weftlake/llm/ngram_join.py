@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from weftlake.llm.common import Scratch, chunks, components, distinct_sorted, mix, passing, released, shingles, small, verify
+from weftlake.llm.common import Scratch, chunks, components, distinct_sorted, mix, numbered, passing, released, shingles, small, verify
 
 #: Counters in each of the two rows of the frequency sketch: its size does not grow with the corpus.
 SKETCH = 1 << 17
@@ -188,14 +188,24 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near duplicates the smallest doc_id stays.
 
-    Null and empty texts and rows with a null doc_id stay; rows that share a doc_id stay or go together; an empty table stays
-    empty; other columns pass through.
+    Null and empty texts and rows with a null doc_id stay; unlike texts that share a doc_id are documents of their own, ordered by a hash of the text, and rows equal in doc_id and text
+    stay or go together; an empty table stays empty; other columns pass through.
     """
     scratch = Scratch(spark, "ngram-stage")
     with passing():  # of the groups only what goes is needed further on
-        gone = scratch.keep(ngram_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    rows = docs.select(F.struct("*").alias("row"))  # apart from the names that are used here
-    return rows.join(small(gone), F.col("row.doc_id") == F.col("gone_id"), "left_anti").select("row.*")
+        if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+            gone = ngram_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.lit(0).cast("long").alias("version")).distinct()
+            version = F.lit(0).cast("long")
+        else:
+            version = F.coalesce(F.xxhash64("text"), F.lit(0).cast("long"))
+            keyed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), version.alias("version"), "text")
+            keys = numbered(scratch, keyed.select(F.lit("").alias("all"), "id", "version").distinct(), "all", ["id", "version"], "keys")
+            keys = scratch.keep(keys.select("id", "version", "pos"), "places")
+            groups = ngram_groups(keyed.join(keys.hint("merge"), ["id", "version"]).select(F.col("pos").alias("doc_id"), "text"))
+            gone = keys.join(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("pos")).distinct(), "pos").select(F.col("id").alias("gone_id"), "version")
+        gone = scratch.keep(gone, "gone")
+    rows = docs.select(F.struct("*").alias("row"), version.alias("own"))  # apart from the names that are used here
+    return rows.join(small(gone), (F.col("row.doc_id") == F.col("gone_id")) & (F.col("own") == F.col("version")), "left_anti").select("row.*")
 
 
 SQL = r"""
