@@ -101,6 +101,46 @@ def test_template_of_a_section(spark):
     assert all(by[1000 + k].endswith("Four pages say so") for k in range(4))
 
 
+def test_mirrored_and_quoted(spark):
+    """Mirrored pages without an article element keep their text, as does a passage that few of many pages quote; whole names mark what is beside."""
+    mirror = "<body><h2>On wells</h2><p>Water is deep.</p><p>So dig.</p></body>"
+    bare = "<body><p>Water is deep here.</p><p>So dig on.</p></body>"
+    plain = "<body><p>Text {0} is its own.</p>{1}<p>More of {0}.</p><p>Published by the club.</p></body>"
+    rows = [(k, f"http://m.com/{k}", mirror) for k in range(25)] + [(100 + k, f"http://n.com/{k}", bare) for k in range(25)]
+    rows += [(1000 + k, f"http://q.com/{k}", plain.format(k, "<p>As the old saying goes.</p>" * (k < 30))) for k in range(300)]
+    by = {r.page_id: r.text for r in main_text.main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert all(by[k] == "On wells\nWater is deep.\nSo dig." and by[100 + k] == "Water is deep here.\nSo dig on." for k in range(25))
+    assert all(by[1000 + k] == f"Text {k} is its own.\n" + "As the old saying goes.\n" * (k < 30) + f"More of {k}." for k in range(300))
+    named = "<article><h1>T</h1>{0}</article>"
+    own = ["side-by-side", "related-work", "share-price-table", "notice-of-meeting", "research", "asides", "commentary", "navy"]
+    gone = ["sidebar", "site-nav", "comments-area", "related-posts", "ad", "ad-slot-3", "cookieBanner", "social share", "newsletter_signup", "post-comments", "share-buttons"]
+    assert all(main_text.extract_text(named.format(f'<div class="{c}"><p>x</p></div><section id="{c}">y</section>')) == "T\nx\ny" for c in own)
+    assert all(main_text.extract_text(named.format(f'<div class="{c}"><p>x</p></div>z')) == "T\nz" for c in gone)
+
+
+def brute_template(pages):
+    """Template blocks by the stated rule, over parsed pages in memory."""
+    counts, sizes = {}, {}
+    for host, source in pages:
+        sizes[host] = sizes.get(host, 0) + 1
+        for h, around, whole in set(main_text._template_candidates(main_text._tree(source)).values()):
+            n, known, is_whole = counts.get((host, h), (0, set(), False))
+            counts[host, h] = (n + (around is None), known | ({around} if around is not None else set()), is_whole or whole)
+    return {k for k, (n, known, whole) in counts.items() if n + len(known) >= 5 and (n + len(known) >= 0.2 * sizes[k[0]] or whole and n + len(known) >= 20)}
+
+
+def test_template_counts_by_brute_force(spark):
+    """The table's pages, and pages on which only the template step decides."""
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    made = [(10_000 + k, f"http://w.com/{k % 7}/{k}", f"<body><div><p>Our paper since 1900</p></div><div><p>Story {k} of the day.</p><ul><li>fact {k}</li></ul></div><div><p>Read all about it</p></div></body>") for k in range(40)]
+    df = df.unionByName(spark.createDataFrame(made, "page_id long, url string, html string"))
+    rows = df.withColumn("host", url_filter.host_of(F.col("url"))).collect()
+    template = brute_template([(r.host, r.html) for r in rows])
+    want = {r.page_id: main_text.extract_text(r.html, frozenset(h for host, h in template if host == r.host)) for r in rows}
+    got = {r.page_id: r.text for r in main_text.main_text(df).collect()}
+    assert got == want and len(template) > 2 and all(got[10_000 + k] == f"Story {k} of the day.\nfact {k}" for k in range(40))
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((30, 64))
