@@ -275,6 +275,37 @@ def test_stream_is_bounded_and_unigram():
         assert "".join(model["pieces"][k][0] for k in e.stream(t)) == t
 
 
+def test_windows_agree_with_library(spark, no_documents):
+    """Words of all lengths by arrays and one by one; the window of a stretch without a break stays small."""
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    e = pieces.Encoder(pieces.load_pieces())
+    rng = random.Random(4)
+    words = {"".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 64))) for _ in range(400)} | {"a" * 60, "abab" * 15, "the" * 20, "zqxj" * 16}
+    fine = sorted((w for w in words if e.single.issuperset(w)), key=len, reverse=True)
+    memory = pieces.Words(e.word, 10_000)
+    e._learn(memory, pieces.SPACE, fine)
+    for w in fine:
+        assert np.frombuffer(memory[w], np.int32).tolist() == e.word(pieces.SPACE + w) == lib.encode(w)
+    long = "".join(rng.choice("etaoinshrdlu") for _ in range(30_000))
+    assert e.word(pieces.SPACE + long) == lib.encode(long)
+    assert pieces.decode(pieces.encode(no_documents)).count() == 0
+
+
+@pytest.mark.parametrize("piece", ["a\u2581b", "\u2581\u2581a", "a\n"])
+def test_models_that_cross_spaces_are_refused(tmp_path, piece):
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(pieces.MODEL, "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.pieces.add(piece=piece, score=-1.0, type=sentencepiece_model_pb2.ModelProto.SentencePiece.NORMAL)
+    (tmp_path / "m.model").write_bytes(proto.SerializeToString())
+    with pytest.raises(ValueError, match="crosses"):
+        pieces.load_pieces(str(tmp_path / "m.model"))
+
+
 def test_fingerprints(spark, documents, no_documents):
     rng = random.Random(13)
     texts = [prose(rng, n) for n in (3, 30, 300, 3000)] + ["same text here", "same text here", "é" * 50]

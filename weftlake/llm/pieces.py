@@ -18,8 +18,8 @@ from weftlake.llm.common import released
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Encoded words that a worker remembers in each of two generations, and pairs of pieces of which it remembers whether they fit.
 REMEMBERED, PAIRS = 100_000, 400_000
-#: Characters of a word up to which new words are encoded together, and characters of text that are looked through for new words at once.
-TOGETHER, AHEAD = 32, 1 << 20
+#: Words of a length or more from which on rows advance together, and characters of text that are looked through for new words at once.
+TOGETHER, AHEAD = 8, 1 << 20
 SPACE = "▁"
 
 
@@ -34,6 +34,10 @@ def load_pieces(path: str = MODEL) -> dict:
     kinds = sentencepiece_model_pb2.ModelProto.SentencePiece
     if not proto.normalizer_spec.add_dummy_prefix or proto.normalizer_spec.remove_extra_whitespaces or sentencepiece.__version__ is None:
         raise ValueError("a model with a dummy prefix that keeps white space is asked for")
+    for p in proto.pieces:  # encode() takes it that all paths meet before a space and around a line feed
+        word = p.piece.lstrip(SPACE)
+        if p.type == kinds.NORMAL and (SPACE in word or (word and p.piece.startswith(SPACE * 2)) or ("\n" in word and p.piece != "\n")):
+            raise ValueError(f"a piece crosses a space or a line feed: {p.piece!r}")
     return {
         "digest": hashlib.sha256(proto.SerializeToString()).hexdigest(),
         "bpe": proto.trainer_spec.model_type == sentencepiece_model_pb2.TrainerSpec.BPE,
@@ -118,7 +122,9 @@ class Encoder:
     that the merges could leave there: a sequence of pieces is what BPE yields exactly when no two
     neighbours would have merged across their border before either was complete, so a piece survives if it fits
     the survivor at its start. In both cases the next pieces reach back at most max_len boundaries;
-    once the survivors of those share a boundary on their backward paths, ids up to it are final.
+    once the survivors of those share a boundary on their backward paths, ids up to it are final. That is seen at once: every boundary counts the survivors
+    that go back to it, one that no later piece can reach and none goes back to is given up, and a final boundary with one left commits it.
+    stream() does so for one stretch, _learn() for many at a time by arrays.
     """
 
     def __init__(self, model: dict):
@@ -199,11 +205,11 @@ class Encoder:
         """Ids of a text of known characters, from a window of survivors that stays bounded."""
         most, bpe, scores, fits = self.max_len, self.bpe, self.scores, self.fits
         out: list[int] = []
-        base = 0  # the boundary up to which ids are final; survivors are kept from there on
-        piece, start, total = [-1], [0], [0.0]
+        base = first = 0  # the boundary up to which ids are final, and the one of the lists' first entry
+        piece, start, total, kids, kid_sum = [-1], [0], [0.0], [0], [0]
         for end in range(1, len(text) + 1):
-            node, j, found, low = self.trie, end, [], base
-            while j > low:
+            node, j, found = self.trie, end, []
+            while j > base:
                 node = node.get(text[j - 1])
                 if node is None:
                     break
@@ -213,7 +219,7 @@ class Encoder:
                     found.append((t, j))
             got, at, best = -1, -1, -np.inf
             for t, j in reversed(found):
-                before = piece[j - base]
+                before = piece[j - first]
                 if bpe:
                     if before >= 0:
                         key = before << 20 | t
@@ -228,17 +234,36 @@ class Encoder:
                         continue
                     got, at = t, j
                     break
-                if (j == base or before >= 0) and total[j - base] + scores[t] > best:
-                    got, at, best = t, j, total[j - base] + scores[t]
+                if (j == base or before >= 0) and total[j - first] + scores[t] > best:
+                    got, at, best = t, j, total[j - first] + scores[t]
             piece.append(got)
             start.append(at)
             total.append(best)
-            if end - base >= 8 * most:
-                base = self._commit(out, piece, start, total, base, end)
+            kids.append(0)
+            kid_sum.append(0)
+            if got >= 0:
+                kids[at - first] += 1
+                kid_sum[at - first] += end
+            gone = end - most  # no later piece begins there or before
+            dead = gone
+            while dead > base and piece[dead - first] >= 0 and not kids[dead - first]:
+                up = start[dead - first]
+                piece[dead - first] = -1
+                kids[up - first] -= 1
+                kid_sum[up - first] -= dead
+                dead = up
+            while base <= gone and kids[base - first] == 1:  # all paths meet in the one boundary that goes back to it
+                base = kid_sum[base - first]
+                out.append(piece[base - first])
+            if base - first > 8 * most:
+                cut = base - first
+                for held in (piece, start, total, kids, kid_sum):
+                    del held[:cut]
+                first = base
         tail, at = [], len(text)
         while at > base:
-            tail.append(piece[at - base])
-            at = start[at - base]
+            tail.append(piece[at - first])
+            at = start[at - first]
         return out + tail[::-1]
 
     def learn(self, texts: list[str]) -> None:
@@ -255,23 +280,37 @@ class Encoder:
         for memory, new, mark in ((self.spaced, after, SPACE), (self.first, first, "")):
             new -= memory.keys()
             new -= memory.older.keys()
-            fine = [w for w in new if 0 < len(w) < TOGETHER and SPACE not in w and self.single.issuperset(w)]
-            if len(fine) >= 64:
-                fine.sort(key=len, reverse=True)
-                for at in range(0, len(fine), 1 << 14):
-                    self._learn(memory, mark, fine[at : at + (1 << 14)])
+            fine = [w for w in new if 0 < len(w) <= 64 and SPACE not in w and self.single.issuperset(w)]
+            fine.sort(key=len, reverse=True)
+            for at in range(0, len(fine) - TOGETHER, 1 << 14):
+                self._learn(memory, mark, fine[at : at + (1 << 14)])
 
     def _learn(self, memory: Words, mark: str, words: list[str]) -> None:
-        """Survivors of words of falling length, by arrays over words; the same choice as in stream()."""
+        """Remembers words of falling length: the survivors of all of them advance together, in a window of arrays over words, by the same steps as in stream()."""
         if self.table is None:
             ends = {_string_hash(p[k:]): 0 for p in self.ids for k in range(1, len(p))}  # what some piece ends with
             self.table, self.pairs = _Table(ends | {_string_hash(p): i + 1 for p, i in self.ids.items()}), _Table({})
         sizes = np.array([len(mark + w) for w in words])
         n, longest = len(words), int(sizes[0])
         codes = np.frombuffer("".join((mark + w).ljust(longest) for w in words).encode("utf-32-le"), np.uint32).reshape(n, longest).T.astype(np.uint64)
-        piece, start = np.full((n, longest + 1), -1, np.int64), np.zeros((n, longest + 1), np.int64)
+        window = 1 << min(longest, 2 * self.max_len).bit_length()
+        piece, start = np.full((n, window), -1, np.int64), np.zeros((n, window), np.int64)  # of boundary b in column b mod window
+        kids, kid_sum = np.zeros((n, window), np.int32), np.zeros((n, window), np.int64)
+        base, done = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        final: list[tuple[np.ndarray, np.ndarray]] = []  # rows and the ids that they commit, in order
         for end in range(1, longest + 1):
-            live = np.arange(np.searchsorted(-sizes, -end, "right"))
+            n_live = int(np.searchsorted(-sizes, -end, "right"))
+            if (end - base[:n_live]).max() >= window:  # paths that do not meet for long: the window grows
+                old = np.arange(end - window, end)
+                wider = []
+                for held in (piece, start, kids, kid_sum):
+                    grown = np.zeros((n, 2 * window), held.dtype)
+                    grown[:, old % (2 * window)] = held[:, old % window]
+                    wider.append(grown)
+                (piece, start, kids, kid_sum), window = wider, 2 * window
+            col = end % window
+            piece[:n_live, col], kids[:n_live, col], kid_sum[:n_live, col] = -1, 0, 0
+            live = np.arange(n_live)
             tail = np.zeros(len(live), np.uint64)
             found_row, found_piece, found_start = [], [], []
             for size in range(1, min(end, self.max_len) + 1):
@@ -281,26 +320,63 @@ class Encoder:
                 found_row.append(live[here])
                 found_piece.append(ids[here] - 1)
                 found_start.append(np.full(len(here), end - size))
-                longer = np.flatnonzero(ids >= 0)
+                longer = np.flatnonzero((ids >= 0) & (base[live] < end - size))
                 live, tail = live[longer], tail[longer]
             row, own, at = (np.concatenate(x) for x in (found_row, found_piece, found_start))
-            before = piece[row, at]
+            before = piece[row, at % window]
             ok = at == 0
-            inside = np.flatnonzero(before >= 0)
+            inside = np.flatnonzero((before >= 0) & ~ok)
             ok[inside] = self._fitting(before[inside], own[inside])
             row, own, at = row[ok], own[ok], at[ok]
-            piece[row, end], start[row, end] = own, at  # of several the longest comes last and stays
-        ids, position, step = np.zeros((n, longest), np.int32), sizes.copy(), np.zeros(n, np.int64)
-        while True:
-            row = np.flatnonzero(position > 0)
+            piece[row, col], start[row, col] = own, at  # of several the longest comes last and stays
+            rows = np.flatnonzero(piece[:n_live, col] >= 0)
+            up = start[rows, col] % window
+            kids[rows, up] += 1
+            kid_sum[rows, up] += end
+            gone = end - self.max_len
+            if gone < 0:
+                continue
+            dead = np.full(n_live, gone)
+            rows = np.arange(n_live)
+            while True:
+                at = dead[rows] % window
+                rows = rows[(dead[rows] > base[rows]) & (piece[rows, at] >= 0) & (kids[rows, at] == 0)]
+                if not len(rows):
+                    break
+                at = dead[rows] % window
+                up = start[rows, at]
+                piece[rows, at] = -1
+                kids[rows, up % window] -= 1
+                kid_sum[rows, up % window] -= dead[rows]
+                dead[rows] = up
+            rows = np.flatnonzero(base[:n_live] <= gone)
+            while True:
+                rows = rows[(base[rows] <= gone) & (kids[rows, base[rows] % window] == 1)]
+                if not len(rows):
+                    break
+                base[rows] = kid_sum[rows, base[rows] % window]
+                final.append((rows, piece[rows, base[rows] % window]))
+                done[rows] += 1
+        committed = [b""] * n
+        if final:
+            rows, ids = (np.concatenate(x) for x in zip(*final, strict=True))
+            order = np.argsort(rows, kind="stable")
+            raw = ids[order].astype(np.int32).tobytes()
+            upto = np.r_[0, np.cumsum(done)].tolist()
+            committed = [raw[4 * a : 4 * b] for a, b in zip(upto, upto[1:], strict=False)]
+        widest = int((sizes - base).max())
+        ids, position, step = np.zeros((n, widest), np.int32), sizes.copy(), np.zeros(n, np.int64)
+        while True:  # what is left of each word in the window
+            row = np.flatnonzero(position > base)
             if not len(row):
                 break
-            ids[row, longest - 1 - step[row]] = piece[row, position[row]]
+            at = position[row] % window
+            ids[row, widest - 1 - step[row]] = piece[row, at]
             step[row] += 1
-            position[row] = start[row, position[row]]
+            position[row] = start[row, at]
         raw = ids.tobytes()
         for i, (word, count) in enumerate(zip(words, step.tolist(), strict=True)):
-            memory.keep(word, raw[4 * ((i + 1) * longest - count) : 4 * (i + 1) * longest])
+            memory.keep(word, committed[i] + raw[4 * ((i + 1) * widest - count) : 4 * (i + 1) * widest])
 
     def _fitting(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether pieces stand next to each other, from a table that grows by the pairs it has not yet seen."""
@@ -315,30 +391,6 @@ class Encoder:
             got = self.pairs.find(pair)
         return got == 1
 
-    def _commit(self, out: list[int], piece: list, start: list, total: list, base: int, end: int) -> int:
-        """Moves ids to out up to the boundary where the paths of all live survivors meet."""
-        paths = []
-        for at in range(end - self.max_len + 1, end + 1):
-            if piece[at - base] >= 0:
-                path = {at}
-                while at > base:
-                    at = start[at - base]
-                    path.add(at)
-                paths.append(path)
-        meet = max(set.intersection(*paths)) if paths else base
-        if meet <= base:
-            return base
-        done, at = [], meet
-        while at > base:
-            done.append(piece[at - base])
-            at = start[at - base]
-        out += done[::-1]
-        cut = meet - base
-        keep = piece[cut]
-        del piece[:cut], start[:cut], total[:cut]
-        piece[0] = keep  # the next pieces must still fit the last final one
-        return meet
-
     def spell(self, c: str) -> list[int]:
         return [self.bytes[b] for b in c.encode()] if self.has_bytes else [self.unknown]
 
