@@ -180,7 +180,7 @@ def _order(text: Column) -> list[Column]:
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """(o1, o2, o3, near_id) of the rows of docs(doc_id, text) whose fingerprint links with one of another row: near_id is the smallest doc_id reachable.
+    """(o1, o2, o3, near_id, print) of every place in the order of docs(doc_id, text), with its fingerprint: near_id is the smallest doc_id reachable where the fingerprint links with one of another row, else null.
 
     Fingerprints link when they agree in NEAR of the steps of the longer walk, which estimates that texts are few edits apart; equal ones are one
     vertex. They meet in buckets of BANDS bit-sampled bands, and all pairs of a bucket are verified on whole fingerprints. At a likeness
@@ -211,8 +211,11 @@ def near_classes(docs: DataFrame) -> DataFrame:
     grouped = scratch.keep(grouped, "grouped")
     classes = grouped.groupBy("part").agg(F.min("low").alias("near_id"), F.sum("n").alias("n")).where("n > 1 and near_id is not null")
     named = scratch.keep(grouped.join(classes.select("part", "near_id").hint("merge"), "part").select("id", "near_id"), "named")
-    out = scratch.keep(signed.select("o1", "o2", "o3", "id").join(named.hint("merge"), "id").groupBy("o1", "o2", "o3").agg(F.min("near_id").alias("near_id")), "classes")
-    scratch.drop("signed", "members", "ways", "payload")
+    scratch.drop("members", "ways", "payload")
+    linked = signed.select("o1", "o2", "o3", "id").join(named.hint("merge"), "id").groupBy("o1", "o2", "o3").agg(F.min("near_id").alias("near_id"))
+    prints = signed.groupBy("o1", "o2", "o3").agg(F.min("print").alias("print"))
+    out = scratch.keep(prints.join(linked.hint("merge"), ["o1", "o2", "o3"], "left").select("o1", "o2", "o3", "near_id", "print"), "classes")
+    scratch.drop("signed")
     return out
 
 
@@ -222,7 +225,7 @@ def with_edits(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or all) of the next
     document's, in descending order of doc_id (after the last: the first). Null texts are empty. Rows of
     equal doc_id follow each other by a hash of the text; null doc_ids come last. near_id is the smallest doc_id of the
-    fingerprint's class (see near_classes), the row's own if it links with nothing; without classes it is null. Repeated rows each give
+    fingerprint's class (see near_classes, whose fingerprints are taken over, so that only the edited text is embedded here), the row's own if it links with nothing; without classes it is null. Repeated rows each give
     a row; other columns are ignored; an empty table gives no rows.
 
     Rows are dealt to stretches of this order, whose borders come from a small sample (they decide where rows lie, not what comes out); the first row of
@@ -246,31 +249,30 @@ def with_edits(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
         stretch = F.lit(0)
     heads = place.withColumn("stretch", stretch).groupBy("stretch").agg(F.min(own).alias("head")).orderBy("stretch").collect()
     none = F.lit(None).cast("long")
-    rows = docs.select(*_order(F.col("text")), F.lit(1).alias("kind"), "doc_id", "text", none.alias("near_id")).withColumn("stretch", stretch).withColumn("copy", F.lit(0))
+    rows = docs.select(*_order(F.col("text")), F.lit(1).alias("kind"), "doc_id", "text", none.alias("near_id"), F.lit(None).cast("binary").alias("print")).withColumn("stretch", stretch).withColumn("copy", F.lit(0))
     first = spark.createDataFrame([(*r.head, heads[i - 1].stretch) for i, r in enumerate(heads)], "o1 int, o2 long, o3 long, back int")
     copies = rows.join(F.broadcast(first), keys).select(*rows.columns[:-2], F.col("back").alias("stretch"), F.lit(1).alias("copy"))
     rows = rows.unionByName(copies)
     if classes is not None:
-        named = classes.select(*keys, F.lit(0).alias("kind"), none.alias("doc_id"), F.lit("").alias("text"), "near_id").withColumn("stretch", stretch).withColumn("copy", F.lit(0))
+        named = classes.select(*keys, F.lit(0).alias("kind"), none.alias("doc_id"), F.lit("").alias("text"), "near_id", "print").withColumn("stretch", stretch).withColumn("copy", F.lit(0))
         rows = rows.unionByName(named)
     rows = rows.repartitionById(len(cuts) + 1, "stretch").sortWithinPartitions("stretch", "copy", *keys, "kind", "text")
 
     def finish(batch_rows):
-        """batch_rows: (doc_id, text, next text, near_id)."""
+        """batch_rows: (doc_id, text, next text, near_id, fingerprint, next fingerprint); fingerprints that are not known yet are made."""
         texts = []
-        for _, text, follow, _ in batch_rows:
+        for _, text, follow, *_ in batch_rows:
             own, nxt = _points(text), _points(follow)
             third = len(own) // 3
-            edited = np.r_[own[: len(own) - third], nxt[:third]].astype(np.uint32)
-            texts += [own, edited, nxt]
+            texts.append((own, np.r_[own[: len(own) - third], nxt[:third]].astype(np.uint32), nxt))
         index: dict[bytes, int] = {}
-        slots = [index.setdefault(t.tobytes(), len(index)) for t in texts]
+        slots = [[index.setdefault(t.tobytes(), len(index)) if known is None else known for t, known in zip(three, (own, None, nxt), strict=True)] for three, (*_, own, nxt) in zip(texts, batch_rows, strict=True)]
         prints = embed([np.frombuffer(t, np.uint32) for t in index])
         out = []
-        for k, (ident, _, _, near) in enumerate(batch_rows):
-            own, edited, nxt = (prints[slots[3 * k + j]] for j in range(3))
-            raw = texts[3 * k + 1].astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
-            out.append((ident, len(texts[3 * k]), hashlib.sha256(raw).hexdigest(), own.hex(), edited.hex(), likeness(own, edited), likeness(own, nxt), near))
+        for (ident, _, _, near, *_), three, at in zip(batch_rows, texts, slots, strict=True):
+            own, edited, nxt = (prints[x] if isinstance(x, int) else x for x in at)
+            raw = three[1].astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
+            out.append((ident, len(three[0]), hashlib.sha256(raw).hexdigest(), own.hex(), edited.hex(), likeness(own, edited), likeness(own, nxt), near))
         columns = list(zip(*out, strict=True)) if out else [[]] * 8
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "near_id"]
@@ -279,29 +281,30 @@ def with_edits(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     judged = classes is not None
 
     def run(batches):
-        held: tuple | None = None  # (doc_id, text, near_id): waits for the next text
-        named: tuple = ()  # the place in the order that the last class is of, and the class
+        held: tuple | None = None  # (doc_id, text, near_id, fingerprint): waits for the next text
+        named: tuple = (None, None, None)  # the place in the order that the last class is of, the class and the fingerprint
         done: list[tuple] = []
         size, where, border = 0, None, False
         for batch in batches:
             at = {n: i for i, n in enumerate(batch.schema.names)}
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                for o1, o2, o3, kind, ident, text, near, stretch, copy in zip(*(part.column(at[c]).to_pylist() for c in ("o1", "o2", "o3", "kind", "doc_id", "text", "near_id", "stretch", "copy")), strict=True):
+                for o1, o2, o3, kind, ident, text, near, print_, stretch, copy in zip(*(part.column(at[c]).to_pylist() for c in ("o1", "o2", "o3", "kind", "doc_id", "text", "near_id", "print", "stretch", "copy")), strict=True):
                     if kind == 0:
-                        named = ((o1, o2, o3), near)
+                        named = ((o1, o2, o3), near, print_)
                         continue
+                    _, near, print_ = named if named[0] == (o1, o2, o3) else (None, None, None)
                     if held is not None and where == stretch and not border:
-                        done.append((held[0], held[1], text, held[2]))
+                        done.append((held[0], held[1], text, held[2], held[3], print_))
                         size += 3 * len(held[1]) + len(text)
                     border, where = copy == 1, stretch
-                    held = (ident, text, None if not judged else named[1] if named and named[0] == (o1, o2, o3) else ident)
+                    held = (ident, text, None if not judged else near if near is not None else ident, print_)
                     if size > 4_000_000:
                         yield finish(done)
                         done, size = [], 0
         yield finish(done)
 
-    return rows.select(*keys, "kind", "doc_id", "text", "near_id", "stretch", "copy").mapInArrow(
+    return rows.select(*keys, "kind", "doc_id", "text", "near_id", "print", "stretch", "copy").mapInArrow(
         released(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, near_id long"
     )
 
