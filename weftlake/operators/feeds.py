@@ -74,9 +74,11 @@ def merge_feeds(feeds: DataFrame, imported: DataFrame) -> DataFrame:
 
 
 def with_metadata(feeds: DataFrame, polled: DataFrame) -> DataFrame:
-    """Feeds with what a poll has told: texts that are not empty overwrite, an error is kept until the next success.
-    polled: url, title, description, site_url, fetched_at, error."""
-    p = polled.select(*[F.col(c).alias(f"__{c}") for c in ("url", "title", "description", "site_url", "fetched_at", "error")])
+    """Feeds with what polls have told: texts that are not empty overwrite, of several polls of a feed the last; its error is that of the last poll.
+    polled: url, title, description, site_url, fetched_at, error; a poll in error tells no texts."""
+    last = lambda c, when=None: F.max_by(c, F.when(when, F.col("fetched_at")) if when is not None else F.col("fetched_at")).alias(f"__{c}")
+    told = lambda c: last(c, (F.coalesce("error", F.lit("")) == "") & (F.coalesce(c, F.lit("")) != ""))
+    p = polled.groupBy(F.col("url").alias("__url")).agg(told("title"), told("description"), told("site_url"), last("error"), F.max("fetched_at").alias("__fetched_at"))
     new = lambda c: F.coalesce(F.nullif(F.col(f"__{c}"), F.lit("")), F.col(c)).alias(c)
     return feeds.join(p, F.col("url") == F.col("__url"), "left").select(
         "url", new("title"), new("description"), new("site_url"), "category", F.coalesce("__fetched_at", "last_fetch").alias("last_fetch"), F.when(F.col("__url").isNull(), F.col("fetch_error")).otherwise(F.coalesce("__error", F.lit(""))).alias("fetch_error")
