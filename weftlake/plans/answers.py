@@ -11,8 +11,10 @@ from weftlake.functions.text import escape
 from weftlake.operators import reading, search
 from weftlake.plans.registry import COLLAPSED, PARAGRAPHS, QUERIES, SQL, query, table
 from weftlake.sources import feeds as sources
+from weftlake.sources.keyed import KeyedStore
 from weftlake.sources.state import shared_folder
 from weftlake.streaming import feeds as stream
+from weftlake.streaming import marks
 
 
 __all__ = ["QUERIES", "SQL"]
@@ -95,6 +97,40 @@ def feed_poll_stream(spark, sf_dir):
     return stream.stored_items(spark, f"{base}/items").select("feed_url", "guid", "published")
 
 
+@query("""with e as (select 'u' || user_id as feed_url, event_id, ts, event_type in ('click', 'error') as mark, (event_id % 9)::varchar as slot from events),
+  i as (select feed_url, event_id::varchar as guid, lead(ts, 5) over (partition by feed_url order by ts, event_id::varchar) as gone from e where not mark),
+  m as (select feed_url, slot as guid, ts, lead(ts) over (partition by feed_url, slot order by ts) as next from e where mark)
+  select feed_url, guid, 'evicted' as change, gone as at from i where gone is not null union all
+  select feed_url, guid, 'expired', ts + interval 10 days from m where coalesce(next, (select max(ts) from events)) >= ts + interval 10 days""")
+def feed_state_stream(spark, sf_dir):
+    """What falls out of the keyed state of feeds: items beyond the newest five of a feed, and read marks ten days after they were made or renewed; the events come in four parts by time."""
+    e = table(spark, sf_dir, "events")
+    mark = F.col("event_type").isin("click", "error")
+    rows = e.select(_cat("u", F.col("user_id").cast("string")).alias("feed_url"), F.when(mark, (F.col("event_id") % 9).cast("string")).otherwise(_text_id()).alias("guid"), F.when(mark, "read").otherwise("item").alias("kind"), F.col("ts").alias("at"))
+    base = f"{shared_folder(spark)}/marks-{uuid.uuid4().hex}"
+    for part in range(4):
+        rows.where(F.floor((F.dayofyear("at") - 1) / 8) == part).write.mode("append").parquet(f"{base}/log")
+        marks.log_changes(spark.readStream.schema(marks.LOG).parquet(f"{base}/log"), f"{base}/changes", f"{base}/checkpoint", n=5, days=10).awaitTermination()
+    return spark.read.parquet(f"{base}/changes").where("change in ('evicted', 'expired')")
+
+
+@query("""with b as (select user_id, event_type, event_id, value, event_id % 3 as part from events), v(version) as (values (1), (2), (3)),
+  r as (select version, user_id, event_type, value, row_number() over (partition by version, user_id, event_type order by part desc, event_id desc) as n from b, v where part < version)
+  select version, 'u' || user_id as feed_url, event_type as guid, value from r where n = 1""")
+def store_versions(spark, sf_dir):
+    """Three changes of a store of rows by key, and what each of its versions holds: the last value of each user and kind of event so far."""
+    e = table(spark, sf_dir, "events").select(_cat("u", F.col("user_id").cast("string")).alias("feed_url"), F.col("event_type").alias("guid"), "event_id", "value")
+    store = KeyedStore(spark, f"{shared_folder(spark)}/values-{uuid.uuid4().hex}", "feed_url string, guid string, event_id long, value double", ["feed_url"])
+    keys = ["feed_url", "guid"]
+    out = None
+    for part in range(3):
+        last = e.where(F.col("event_id") % 3 == part).groupBy(*keys).agg(F.max(F.struct("event_id", "value")).alias("last")).select(*keys, "last.*")
+        version = store.change(last, lambda rows, new: rows.join(new, keys, "left_anti").unionByName(new))["version"]
+        held = store.read(version).select(F.lit(version).alias("version"), "feed_url", "guid", "value")
+        out = held if out is None else out.unionByName(held)
+    return out
+
+
 # ---- search --------------------------------------------------------------------------------------
 
 _FIRST = "(select *, row_number() over (partition by user_id, {0} order by event_id) as seen from events)"
