@@ -146,8 +146,8 @@ def expected(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own, random
 
 
-def predict(rows: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", out: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
-    """rows with two columns added, lang_pred and score unless out names them; the text column is used up. With a third name in out also its fit.
+def predict(rows: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", out: tuple[str, ...] = ("lang_pred", "score"), keep: bool = False) -> DataFrame:
+    """rows with two columns added, lang_pred and score unless out names them; the text column is used up unless it is to be kept. With a third name in out also its fit.
 
     lang_pred is a learned language, `und` where the text is null or has no letter (or nothing was
     learned; score 0). Of languages that are equally probable it is the first in order. score is the posterior probability of the prediction, fit how its pairs and triples of letters lie on average
@@ -163,7 +163,7 @@ def predict(rows: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
     def score(batches):
         langs, matrix = shared.value
         for batch in batches:
-            text_at = batch.schema.get_field_index(text)
+            text_at = place if keep else batch.num_columns - 1
             preds, scores, fits = [], [], []
             for _, data, offsets in chunks(batch.column(text_at)):
                 grams, upto, has = ngrams(data, offsets, buckets)
@@ -194,13 +194,14 @@ def predict(rows: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
                 top = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
                 preds += [langs[b] if ok else "und" for b, ok in zip(best, has, strict=True)]
                 scores += np.where(has, top, 0.0).tolist()
-            rest = [batch.column(i) for i in range(batch.num_columns) if i != text_at]
+            rest = [batch.column(i) for i in range(batch.num_columns) if keep or i != text_at]
             made = [pa.array(preds, pa.string()), pa.array(scores, pa.float64())] + ([pa.array(fits, pa.float64())] if fitting else [])
             yield pa.RecordBatch.from_arrays([*rest, *made], [f"c{i}" for i in range(len(rest))] + ["lang_pred", "score", "fit"][: len(made)])
 
-    kept = [c for c in names if c != text]
+    place = names.index(text)
+    kept = [c for c in names if keep or c != text]
     # plain names inside, so that columns of any name pass through
-    inner = rows.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`"))
+    inner = rows.select(*[F.col(f"`{c}`") for c in kept], *([] if keep else [F.col(f"`{text}`")]))
     schema = T.StructType([T.StructField(f"c{i}", inner.schema[i].dataType) for i in range(len(kept))] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("fit", T.DoubleType())][: len(out)])
     return inner.mapInArrow(released(score), schema).toDF(*kept, *out)
 
@@ -229,6 +230,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     rows = docs.select("doc_id", "text", "lang", in_held_out().alias("held_out"))
     model = train(rows.where("not held_out and doc_id is not null").select(F.col("doc_id").cast("string").alias("key"), "text", "lang"))
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("judged"))  # apart from the names that are used here
-    judged = predict(rows, model, "judged", ("lang", "score", "fit"))
-    return judged.where(f"lang <> 'und' and score >= 0.5 and fit >= {KNOWN}").select("row.*")
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # apart from the names that are used here
+    judged = predict(plain, model, f"c{names.index('text')}", ("lang", "score", "fit"), keep=True)
+    return judged.where(f"lang <> 'und' and score >= 0.5 and fit >= {KNOWN}").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
