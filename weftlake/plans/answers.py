@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftlake.functions.text import escape
 from weftlake.operators import reading, search
 from weftlake.plans.registry import COLLAPSED, PARAGRAPHS, QUERIES, SQL, query, table
+from weftlake.sources import archive, files
 from weftlake.sources import feeds as sources
 from weftlake.sources.keyed import KeyedStore
 from weftlake.sources.state import shared_folder
@@ -131,6 +132,41 @@ def store_versions(spark, sf_dir):
     return out
 
 
+_OWN_HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
+
+
+@query(f"""select url, {_OWN_HOST} as host, status, md5(html) as body_md5, 'text/html; charset=utf-8' as content_type from (select *, (200 + page_id % 3)::int as status from pages) union all
+  select url, 'only ' || {_OWN_HOST}, (200 + page_id % 3)::int, md5(html), '' from pages where {_OWN_HOST} = (select min({_OWN_HOST}) from pages)""")
+def archived_pages(spark, sf_dir):
+    """All pages from an archive of captured responses that they were written to, and once more those of the first host, for which no other record is opened."""
+    archive.register(spark)
+    path = f"{shared_folder(spark)}/responses-{uuid.uuid4().hex}"
+    pages = table(spark, sf_dir, "pages").select("url", F.lit("").alias("host"), F.lit("2024-01-01T00:00:00Z").cast("timestamp").alias("fetched_at"), (200 + F.col("page_id") % 3).cast("int").alias("status"), F.lit("OK").alias("reason"), F.create_map(F.lit("Content-Type"), F.lit("text/html; charset=utf-8")).alias("headers"), F.col("html").alias("body"))
+    pages.write.format("webarchive").mode("append").save(path)
+    read, again = (spark.read.format("webarchive").load(path) for _ in range(2))  # a frame's scans share the filters that one of them hands down
+    first = read.agg(F.min("host").alias("h")).first().h
+    one = lambda d, host, kind: d.select("url", host.alias("host"), "status", F.md5("body").alias("body_md5"), kind.alias("content_type"))
+    return one(read, F.col("host"), F.col("headers")["Content-Type"]).unionByName(one(again.where(F.col("host") == first), _cat("only ", F.col("host")), F.lit("")))
+
+
+@query("""select 'https://f.org/' || event_type as feed_url, event_id::varchar as guid, event_type as title from events""")
+def feed_polls_from_archive(spark, sf_dir):
+    """The items that two refreshes of all feeds leave in the store: each poll is answered from captured responses as of its time, the second of which has all items of the feed."""
+    archive.register(spark)
+    base = f"{shared_folder(spark)}/captured-{uuid.uuid4().hex}"
+    piece = _cat("<item><title>", F.col("event_type"), "</title><guid>", _text_id(), "</guid></item>")
+    url = _cat("https://f.org/", F.col("event_type"))
+    for at, rows in ((1000, table(spark, sf_dir, "events").where("event_id % 2 = 0")), (3000, table(spark, sf_dir, "events"))):
+        bodies = _joined(rows, url, F.col("event_id"), piece, '<rss version="2.0"><channel><title>T</title>', "</channel></rss>")
+        bodies.select(F.col("key").alias("url"), F.lit("").alias("host"), F.timestamp_seconds(F.lit(at)).alias("fetched_at"), F.lit(200).alias("status"), F.lit("OK").alias("reason"), F.create_map(F.lit("Content-Type"), F.lit("text/xml")).alias("headers"), "body").write.format("webarchive").mode("append").save(f"{base}/responses")
+    files.write_new(spark, f"{base}/feeds", "\n".join(r.url for r in table(spark, sf_dir, "events").select(url.alias("url")).distinct().collect()))
+    for now in (1800, 3600):
+        files.write_new(spark, f"{base}/clock{now}", str(now))
+        polls = spark.readStream.format("feedpolls").option("feeds", f"{base}/feeds").option("responses", f"{base}/responses").option("clock", f"{base}/clock{now}").option("interval", 1800).load()
+        stream.poll_batches(polls, f"{base}/items", f"{base}/checkpoint", n=0).awaitTermination()
+    return stream.stored_items(spark, f"{base}/items").select("feed_url", "guid", "title")
+
+
 # ---- search --------------------------------------------------------------------------------------
 
 _FIRST = "(select *, row_number() over (partition by user_id, {0} order by event_id) as seen from events)"
