@@ -20,14 +20,26 @@ BROADCAST_ROWS = 400_000
 CHUNK_BYTES = 1 << 18
 
 
+#: Bytes of an Arrow batch that passes between the JVM and a Python worker; beside it stand copies in either, for each task of an executor.
+BATCH_BYTES = 8 << 20
+
 _passing: list[list] = []
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on the bytes of an Arrow batch to BATCH_BYTES; the bound on rows stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "").rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 class Scratch:
     """Intermediate tables in the folder that spark.checkpoint.dir names, so they outlive executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/weftlake-{name}-{uuid.uuid4().hex}"
+        bounded_batches(spark)
         for opened in _passing:
             opened.append(self)
 

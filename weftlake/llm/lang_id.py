@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftlake.llm.common import chunks, released
+from weftlake.llm.common import bounded_batches, chunks, released
 
 #: Hash buckets of an n-gram for up to MANY languages; beyond, they become fewer, so that the matrix that is broadcast keeps its bound of 50 MB.
 BUCKETS, MANY, FEWEST = 1 << 16, 64, 1 << 6
@@ -89,6 +89,7 @@ def train(rows: DataFrame, per_language: int = 2000, smooth: float = 0.1) -> tup
     about per_language rows of each language (all if it has fewer), drawn by a hash of key. That bound
     is the only one, and is a parameter.
     """
+    bounded_batches(rows.sparkSession)
     rows = rows.where("lang is not null")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlake.llm.common import released
+from weftlake.llm.common import bounded_batches, released
 
 #: Where the public vocabulary lies; a parameter of every operator here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -509,6 +509,7 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str =
     ids. A character outside the vocabulary is spelt in bytes. Repeated rows give repeated results.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     model = spark.sparkContext.broadcast(load_pieces(path))
     kind = docs.schema[key].dataType
 
