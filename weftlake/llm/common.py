@@ -29,7 +29,7 @@ _passing: list[list] = []
 def bounded_batches(spark: SparkSession) -> None:
     """Lowers the session's bound on the bytes of an Arrow batch to BATCH_BYTES; the bound on rows stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name, "").rstrip("b")
+    now = spark.conf.get(name).rstrip("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
