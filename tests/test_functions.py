@@ -1,11 +1,13 @@
 """Scalar functions against stated values."""
 
 import datetime as dt
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftlake.functions import css, latex, layout, template, text, urls, values
+from weftlake.functions import breaking, css, latex, layout, template, text, urls, values
 from weftlake.functions.dom import parse, text_of
 
 
@@ -120,6 +122,40 @@ def test_layout(spark):
     assert layout.plain("\x1b[1mx\x1b[0m  \n\n\n") == "x\n"
 
 
+def plain_chunks(text, most=500):
+    """The packing, word by word."""
+    out = []
+    for p in text.split("\n\n"):
+        words = layout._WORDS.findall(p)
+        if not words:
+            continue
+        inner = p[p.index(words[0]) : p.rindex(words[-1]) + len(words[-1])]
+        if len(inner.encode()) <= most:
+            out.append(inner)
+            continue
+        row = ""
+        for w in words:
+            if row and len(row.encode()) + 1 + len(w.encode()) > most:
+                out.append(row)
+                row = ""
+            row = f"{row} {w}" if row else w
+        out.append(row)
+    return out
+
+
+def test_breaking_by_brute_force(spark):
+    rng = random.Random(7)
+    alphabet = ["a", "bc", "déf", "日本", "x" * 9, "e\u0301", " ", "  ", "\n", "\n\n", "\n\n\n", "\t", "\u3000", "\x1f", "\U0001f600"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(400)] + ["", None, "\n", "\n\n", " ", "x" * 1000, None]
+    for limit in (1, 2, 5, 12, 40):
+        assert column(spark, texts, lambda c, n=limit: layout.wrapped(c, n)) == [None if t is None else layout.wrap(t, limit) for t in texts]
+        assert column(spark, texts, lambda c, n=limit: layout.chunked(c, n)) == [None if t is None else plain_chunks(t, limit) for t in texts]
+    long = " ".join(rng.choice(alphabet[:6]) for _ in range(600_000))
+    assert breaking.broken(pa.array([long, "a b"]), 500, breaking.byte_widths, True).to_pylist() == [plain_chunks(long), ["a b"]]
+    assert breaking.broken(pa.array(["x", None, "a b c"]).slice(1), 3, breaking.byte_widths, False).to_pylist() == [None, ["a b", "c"]]
+    assert breaking.broken(pa.array([], pa.string()), 3, breaking.byte_widths, False).to_pylist() == []
+
+
 def test_dom():
     nodes = parse("<p>one<p>two <b>bold<br><p>three<ul><li>a<li>b</ul><script>var t='</p>';</script><!-- c --><table><tr><td>1<td>2</table>")
     tags = [n.tag for n in nodes]

@@ -305,11 +305,13 @@ def chunk_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(layout.chunked(F.col("text"))).alias("ord", "chunk"))
 
 
-@query("""with w as (select doc_id, list_filter(regexp_split_to_array(p, '\\s+'), lambda x: x <> '') as w from (select doc_id, unnest(string_split(text, chr(10))) as p from documents)),
-  c as (select doc_id, case when len(w) = 0 then 1 else len(list_reduce(list_transform(w, lambda x: [length(x)]), lambda a, x: case when a[-1] + 1 + x[1] > 80 then a || x else a[:-2] || [a[-1] + 1 + x[1]] end)) end as n from w)
-  select doc_id, sum(n)::int as lines from c group by doc_id""")
+@query("""with p as (select doc_id, unnest(range(0, len(s))) as k, unnest(s) as p from (select doc_id, string_split(text, chr(10)) as s from documents)),
+  w as (select doc_id, k, list_filter(regexp_split_to_array(p, '\\s+'), lambda x: x <> '') as w from p),
+  c as (select doc_id, k, case when len(w) = 0 then [''] else list_reduce(list_transform(w, lambda x: [x]), lambda a, x: case when length(a[-1]) + 1 + length(x[1]) > 80 then a || x else a[:-2] || [a[-1] || ' ' || x[1]] end) end as c from w),
+  u as (select doc_id, k, unnest(range(0, len(c))) as i, unnest(c) as line from c)
+  select doc_id, (row_number() over (partition by doc_id order by k, i) - 1)::int as ord, line from u""")
 def wrap_lines(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(layout.wrapped(F.col("text"), 80)).alias("lines"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(layout.wrapped(F.col("text"), 80)).alias("ord", "line"))
 
 
 @query("""select conv_id, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) order by turn) as prompt from conversations group by conv_id""")
