@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -233,8 +232,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-@F.pandas_udf(T.StringType())
-def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
     """Texts without the lines of the given numbers."""
 
     def cut(t, numbers):
@@ -243,7 +242,7 @@ def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
         left[numbers] = False
         return "\n".join(x for x, stays in zip(lines, left.tolist(), strict=True) if stays)
 
-    return pd.Series([None if g is None else cut(t, g) for t, g in zip(text, gone, strict=True)], dtype=object)
+    return pa.array([None if g is None else cut(t, g) for t, g in zip(text.to_pylist(), gone.to_pylist(), strict=True)], pa.string())
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
