@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlake.functions import layout, text, urls, values
 from weftlake.functions.latex import latex_text
-from weftlake.operators import content, document, feeds, inspect, links, render, rules, scoring
+from weftlake.operators import content, document, feeds, frontier, inspect, links, records, render, rules, scoring
 from weftlake.plans.registry import COLLAPSED, DECODED, HEADINGS, PARAGRAPHS, QUERIES, SQL, query, table
+from weftlake.sources.state import shared_folder
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -161,6 +164,22 @@ def rule_records(spark, sf_dir):
     return rules.apply_rules(table(spark, sf_dir, "pages"), [], rules.Rule("", {"article": t})).select("page_id", "page_type", "record", F.size("links").alias("links"), "text")
 
 
+_LI = "string_split(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<li>')"
+
+
+@query(f"""with h as (select page_id, html, strlen(regexp_replace(lower({_HOST}), '^www\\.', '')) % 2 = 1 as odd from pages),
+  m as (select page_id, len({_LI}) - 1 as n, {COLLAPSED.format(DECODED.format("regexp_replace(" + _LI + "[2], '<[^>]*>', '', 'g')"))} as first from h),
+  p as (select page_id, count(*) as n, max(case when k = 1 then text end) as first from {PARAGRAPHS} where k > 0 group by page_id)
+  select page_id, case when odd then 'menu' else 'text' end as rule, t.text as title, case when odd then m.n else p.n end::int as n, case when odd then m.first else p.first end as first from h join {HEADINGS} t using (page_id) join m using (page_id) join p using (page_id)""")
+def variant_records(spark, sf_dir):
+    """Pages of hosts of odd and even length by two rules with different fields, in one table, and what stands at paths of their records."""
+    by_rule = {"menu": {"Title": "article h1", "Menu": "nav > ul li[]", "Menu.text": "a", "Menu.Target": "a@href"}, "text": {"Head": "article h1", "Body": "article", "Body.Paragraphs": "p[]"}}
+    which = F.when(F.octet_length(urls.normal_host(F.col("url"))) % 2 == 1, "menu").otherwise("text")
+    found = records.variant_records(table(spark, sf_dir, "pages"), by_rule, which, {"title": ["Title", "Head"]})
+    menu, text_ = records.many(F.col("record"), "$.Menu", "struct<text:string,Target:string>"), records.many(F.col("record"), "$.Body.Paragraphs", "string")
+    return found.select("page_id", "rule", "title", F.size(F.coalesce(F.transform(menu, lambda x: x["text"]), text_)).alias("n"), F.coalesce(F.try_variant_get("record", "$.Menu[0].text", "string"), F.try_variant_get("record", "$.Body.Paragraphs[0]", "string")).alias("first"))
+
+
 @query()
 def printed_pages(spark, sf_dir):
     return render.printed(table(spark, sf_dir, "pages"))
@@ -173,6 +192,23 @@ def site_titles(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", scoring.site_title(h).alias("site"), scoring.is_link_heavy(h).alias("link_heavy"))
 
 
+@query("""with f as (select 'https://h' || user_id % 40 || '.org/' || event_type || '/' || event_id % 77 as url, 'h' || user_id % 40 || '.org' as host, (event_id % 5)::int as priority, (event_id % 3)::int as depth, 'b' || floor(event_id / 2500)::int as found_from,
+    floor(event_id / 2500)::bigint as batch from events),
+  r as (select *, row_number() over (partition by url order by batch, priority, depth, found_from) as k from f), q as (select * exclude k from r where k = 1)
+  select *, (row_number() over (partition by host order by priority, depth, url))::int as turn from q qualify turn <= 20""")
+def crawl_turns(spark, sf_dir):
+    """Links found in batches go to the frontier, which takes each url once; the first twenty turns of its hosts."""
+    part = F.floor(F.col("event_id") / 2500)
+    host = F.concat(F.lit("h"), (F.col("user_id") % 40).cast("string"), F.lit(".org"))
+    url = F.concat(F.lit("https://"), host, F.lit("/"), F.col("event_type"), F.lit("/"), (F.col("event_id") % 77).cast("string"))
+    e = table(spark, sf_dir, "events")
+    found = e.select(url.alias("url"), host.alias("host"), (F.col("event_id") % 5).cast("int").alias("priority"), (F.col("event_id") % 3).cast("int").alias("depth"), F.concat(F.lit("b"), part.cast("string")).alias("found_from"), part.alias("part"))
+    own = frontier.Frontier(spark, f"{shared_folder(spark)}/frontier-{uuid.uuid4().hex}", buckets=8)
+    for k in range(e.agg(F.max(part)).first()[0] + 1):
+        own.enqueue(found.where(F.col("part") == k), k)
+    return frontier.turns(own.seen.read(), 20)
+
+
 # ---- feeds ---------------------------------------------------------------------------------------
 
 

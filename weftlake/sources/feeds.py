@@ -7,7 +7,7 @@ import re
 import xml.etree.ElementTree as ET
 from xml.sax.saxutils import quoteattr
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,9 +23,9 @@ RDF = "channel struct<title:string,link:string,description:string>, item array<s
 _OPTIONS = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "valueTag": "_VALUE", "attributePrefix": "_"}
 
 
-@F.pandas_udf(T.StringType())
-def _unescaped(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else html.unescape(t))
+@F.arrow_udf(T.StringType())
+def _unescaped(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else html.unescape(t) for t in texts.to_pylist()], pa.string())
 
 
 def clean(c: Column) -> Column:
@@ -108,15 +108,17 @@ def read_opml(source: str | bytes) -> list[dict]:
 def opml_feeds(bodies: DataFrame, key: str = "path", body: str = "body") -> DataFrame:
     """(key, ord, url, title, site_url, category) of OPML texts; unreadable ones give no row."""
 
-    @F.pandas_udf("array<struct<url:string,title:string,site_url:string,category:string>>")
-    def read(texts: pd.Series) -> pd.Series:
+    kind = pa.list_(pa.struct([(c, pa.string()) for c in ("url", "title", "site_url", "category")]))
+
+    @F.arrow_udf("array<struct<url:string,title:string,site_url:string,category:string>>")
+    def read(texts: pa.Array) -> pa.Array:
         def one(t):
             try:
                 return read_opml(t) if t else []
             except ValueError:
                 return []
 
-        return texts.map(one)
+        return pa.array([one(t) for t in texts.to_pylist()], kind)
 
     rows = bodies.select(F.col(key), F.posexplode(read(F.col(body))).alias("ord", "f"))
     return rows.select(key, "ord", "f.*")
