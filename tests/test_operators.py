@@ -208,3 +208,31 @@ def test_structured_text(spark):
     page = "<article><h1>Head</h1><p>One <b>bold</b></p><blockquote><p>Said</p></blockquote><ul><li>x</li></ul></article>"
     got = {r.page_id: r.text for r in content.structured_text(spark.createDataFrame([(1, page), (2, None)], "page_id int, html string")).collect()}
     assert got[1].split("\n\n") == ["Head", "One bold", "Said", "x"] and got[2] == ""
+
+
+def test_host_rules_by_brute_force(spark):
+    """The rules by labels against patterns held against whole hosts."""
+    import fnmatch
+    import random
+
+    rng = random.Random(2)
+    words = ["google", "amazon", "tumblr", "com", "org", "desktop", "top", "xyz", "softonic", "a", "", "GOOGLE", "listal", "blogspot", "livejournal", "click", "co", "uk", "apple"]
+    hosts = [".".join(rng.choice(words) for _ in range(rng.randint(1, 5))) for _ in range(800)] + ["x" * 90, "é.com", "notlivejournal.com", "a.livejournal.com."]
+    like = lambda h, patterns: any(fnmatch.fnmatchcase(h.lower(), p.replace("%", "*")) for p in patterns)
+    lists = {"spam": links.SPAM_HOSTS, "blog": links.BLOG_HOSTS, "download": links.DOWNLOAD_HOSTS, "other": links.OTHER_HOSTS, "big": links.BIG_HOSTS}
+    df = spark.createDataFrame([(h,) for h in hosts], "d string")
+    rows = df.select("d", *[r.alias(n) for n, r in links.link_rules(F.col("d")).items()]).collect()
+    for r in rows:
+        h = r.d
+        for name, patterns in lists.items():
+            assert r[name] == like(h, patterns), (h, name)
+        ending = any(h.lower().endswith(e) for e in links.SPAM_ENDINGS) or (h.lower().endswith(".top") and not like(h, ["%.desktop.%"])) or (h.lower().endswith(".xyz") and len(h) > 20)
+        assert r.ending == ending, h
+
+
+def test_parents_of_comments():
+    rng = __import__("random").Random(5)
+    comments = [{"id": str(k), "indent": rng.randint(0, 5)} for k in range(300)]
+    for k, c in enumerate(search.with_parents(comments)):
+        before = [o for o in comments[:k] if o["indent"] < c["indent"]]
+        assert c["parent"] == (before[-1]["id"] if before else None)

@@ -166,9 +166,9 @@ def table_kind(nodes: list[Node], i: int) -> str:
     """navigation, stories, data or layout."""
     if nodes[i].attrs.get("role") == "navigation":
         return "navigation"
-    rows = [r for r in elements(nodes, i, "tr") if next(j for j in ancestors(nodes, r) if nodes[j].tag == "table") == i]
-    if any("athing" in nodes[r].classes() for r in rows):
+    if any("athing" in nodes[r].attrs.get("class", "") for r in elements(nodes, i, "tr")):
         return "stories"
+    rows = [r for r in elements(nodes, i, "tr") if next(j for j in ancestors(nodes, r) if nodes[j].tag == "table") == i]
     if any(nodes[c].tag == "th" for r in rows for c in children(nodes, r)):
         return "data"
     counts: dict[int, int] = {}
@@ -379,6 +379,9 @@ def content_nodes(nodes: list[Node], root: int | None) -> list[dict]:
                         if c["row"] != last:
                             row, last = add("table_row", t), c["row"]
                         add("table_cell", row, c["text"], c["href"], "", c["is_header"])
+                elif kind == "stories":
+                    for d in story_rows(nodes, j):
+                        add("link", add("paragraph", parent, f"{d['title']} ({d['figures']})" if d["figures"] else d["title"]), d["title"], d["href"])
                 elif kind != "navigation":
                     for r in elements(nodes, j, "tr"):
                         links = anchors(nodes, r)
@@ -414,6 +417,25 @@ def content_nodes(nodes: list[Node], root: int | None) -> list[dict]:
     return out
 
 
+def story_rows(nodes: list[Node], table: int) -> list[dict]:
+    """Stories of a table of them: the title and address of each story's row, and the points and comments of the row that follows it."""
+    rows = list(elements(nodes, table, "tr"))
+    named = lambda j, word: word in nodes[j].attrs.get("class", "")
+    out = []
+    for k, r in enumerate(rows):
+        lines = [j for j in elements(nodes, r, "span") if named(j, "titleline")] if named(r, "athing") else []
+        link = next((c for j in lines for c in children(nodes, j) if nodes[c].tag == "a" and text_of(nodes, c)), None)
+        if link is None:
+            continue
+        figures = []
+        if k + 1 < len(rows) and not named(rows[k + 1], "athing") and not named(rows[k + 1], "spacer"):
+            points = [text_of(nodes, j) for j in elements(nodes, rows[k + 1], "span") if named(j, "score")]
+            said = [t for t in (text_of(nodes, j) for j in elements(nodes, rows[k + 1], "a")) if "comment" in t or t == "discuss"]
+            figures = [x for x in (*points[-1:], *said[-1:]) if x]
+        out.append({"title": text_of(nodes, link), "href": nodes[link].attrs.get("href", ""), "figures": ", ".join(figures)})
+    return out
+
+
 def _cells_of(nodes: list[Node], table: int) -> list[dict]:
     rows = [r for r in elements(nodes, table, "tr") if next(j for j in ancestors(nodes, r) if nodes[j].tag == "table") == table]
     out = []

@@ -22,35 +22,47 @@ SHORTENERS = ["bit.ly", "tinyurl.com", "t.co", "goo.gl", "ow.ly", "is.gd", "buff
 SPAM_ENDINGS = [".click", ".loan", ".work", ".gq", ".ml", ".cf", ".tk", ".ga", ".pw"]
 
 
-def _like_any(c: Column, patterns: list[str]) -> Column:
-    """ASCII-case-insensitive LIKE of any pattern."""
+def _split(patterns: list[str]) -> tuple[list[str], list[str]]:
+    """Domains of patterns %.domain, and labels of patterns %.label.%."""
+    return [p[2:] for p in patterns if not p.endswith(".%")], [p[2:-2] for p in patterns if p.endswith(".%")]
+
+
+def _suffix_rule(labels: Column, patterns: list[str]) -> Column:
+    """Whether a host lies below one of the domains, or has one of the labels between others: a look-up in a set for each of the host's suffixes, of its inner labels for the few patterns with an open end."""
+    domains, inner = _split(patterns)
+    n = F.size(labels)
     out = F.lit(False)
-    for p in patterns:
-        out = out | c.ilike(p)
+    if domains:
+        most = max(d.count(".") for d in domains) + 1
+        suffixes = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k: F.when(k < n, F.array_join(F.slice(labels, n - k + 1, k), ".")))
+        out = out | F.coalesce(F.exists(suffixes, lambda x: x.isin(*domains)), F.lit(False))
+    if inner:
+        out = out | F.exists(F.slice(labels, 2, F.greatest(n - 2, F.lit(0))), lambda x: x.isin(*inner))
     return out
 
 
 def link_rules(domain: Column) -> dict[str, Column]:
-    """Each clean-up rule as a condition; a null domain breaks none."""
+    """Each clean-up rule as a condition; a null domain breaks none. Rules on hosts go by the labels of the lower-case host, so their number does not matter."""
+    low = F.lower(domain)
+    labels = F.split(low, r"\.")
     starts = F.lit(False)
     for s in BAD_STARTS:
-        starts = starts | F.startswith(F.lower(domain), F.lit(s))
-    endings = F.lit(False)
-    for e in SPAM_ENDINGS:
-        endings = endings | F.endswith(F.lower(domain), F.lit(e))
-    n = F.length(domain)
+        starts = starts | F.startswith(low, F.lit(s))
+    last, n = F.element_at(labels, -1), F.length(domain)
+    below = F.size(labels) > 1
+    desktop = _suffix_rule(labels, ["%.desktop.%"])
     return {
         "start": starts,
         "no_dot": ~F.contains(domain, F.lit(".")),
         "size": (n < 4) | (n > 80),
-        "spam": _like_any(domain, SPAM_HOSTS),
-        "blog": _like_any(domain, BLOG_HOSTS),
-        "download": _like_any(domain, DOWNLOAD_HOSTS),
-        "other": _like_any(domain, OTHER_HOSTS),
+        "spam": _suffix_rule(labels, SPAM_HOSTS),
+        "blog": _suffix_rule(labels, BLOG_HOSTS),
+        "download": _suffix_rule(labels, DOWNLOAD_HOSTS),
+        "other": _suffix_rule(labels, OTHER_HOSTS),
         "social": domain.isin(*SOCIAL),
-        "big": _like_any(domain, BIG_HOSTS),
+        "big": _suffix_rule(labels, BIG_HOSTS),
         "shortener": domain.isin(*SHORTENERS),
-        "ending": endings | (F.endswith(F.lower(domain), F.lit(".top")) & ~domain.ilike("%.desktop.%")) | (F.endswith(F.lower(domain), F.lit(".xyz")) & (n > 20)),
+        "ending": below & (last.isin(*[e[1:] for e in SPAM_ENDINGS]) | ((last == "top") & ~desktop) | ((last == "xyz") & (n > 20))),
         "not_ascii": domain.rlike(r"[^ -~]"),
     }
 
@@ -67,10 +79,13 @@ def clean_links(links: DataFrame, column: str = "to_domain") -> DataFrame:
 
 
 def clean_up_report(links: DataFrame, column: str = "to_domain") -> DataFrame:
-    """One row: links before and after, and how many each rule hits."""
-    c = F.col(column)
-    hits = [F.count_if(F.coalesce(r, F.lit(False))).alias(f"by_{name}") for name, r in link_rules(c).items()]
-    return links.agg(F.count("*").alias("before"), F.count_if(~is_bad_link(c)).alias("after"), *hits)
+    """One row: links before and after, and how many each rule hits. Every rule is evaluated once for each link."""
+    rules = link_rules(F.col(column))
+    hit = links.select(*[F.coalesce(r, F.lit(False)).alias(f"by_{name}") for name, r in rules.items()])
+    bad = F.lit(False)
+    for name in rules:
+        bad = bad | F.col(f"by_{name}")
+    return hit.agg(F.count("*").alias("before"), F.count_if(~bad).alias("after"), *[F.count_if(f"by_{name}").alias(f"by_{name}") for name in rules])
 
 
 def blocked_reason(html: Column) -> Column:

@@ -264,14 +264,22 @@ def discussion_stories(nodes: list[Node], base: str = "https://news.ycombinator.
 
 
 def comments_of(pages: DataFrame) -> DataFrame:
-    """(page_id, ord, id, author, age, indent, text, deleted, parent): parent is the last earlier comment that is indented less.
-
-    Within a page the parent is found among the page's own comments, so nothing is compared across pages.
-    """
-    kind = "array<struct<ord:int,id:string,author:string,age:string,indent:int,text:string,deleted:boolean>>"
-    rows = page_parts(pages, ["comments"], more={"comments": (discussion_comments, kind)})
-    parent = lambda c: F.try_element_at(F.filter("comments", lambda o: (o["ord"] < c["ord"]) & (o["indent"] < c["indent"])), F.lit(-1))["id"]
-    return rows.select("page_id", F.inline(F.transform("comments", lambda c: c.withField("parent", parent(c)))))
+    """(page_id, ord, id, author, age, indent, text, deleted, parent): parent is the last earlier comment that is indented less."""
+    kind = "array<struct<ord:int,id:string,author:string,age:string,indent:int,text:string,deleted:boolean,parent:string>>"
+    rows = page_parts(pages, ["comments"], more={"comments": (lambda nodes: with_parents(discussion_comments(nodes)), kind)})
+    return rows.select("page_id", F.inline("comments"))
+
+
+def with_parents(comments: list[dict]) -> list[dict]:
+    """Comments with the id of their parent, in one pass: those that later ones may answer stand on a stack of rising indents."""
+    open_: list[dict] = []
+    out = []
+    for c in comments:
+        while open_ and open_[-1]["indent"] >= c["indent"]:
+            open_.pop()
+        out.append(c | {"parent": open_[-1]["id"] if open_ else None})
+        open_.append(c)
+    return out
 
 
 def stories_of(pages: DataFrame) -> DataFrame:

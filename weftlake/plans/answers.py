@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftlake.functions.text import escape
-from weftlake.operators import reading, search
+from weftlake.operators import content, links, reading, search
 from weftlake.plans.registry import COLLAPSED, PARAGRAPHS, QUERIES, SQL, query, table
 from weftlake.sources import archive, files
 from weftlake.sources import feeds as sources
@@ -232,6 +232,10 @@ def discussion_threads(spark, sf_dir):
 @query(f"""select user_id as page_id, {_ORD}, (row_number() over (partition by user_id order by event_id))::int as rank, event_type as title, case when event_id % 2 = 0 then 'https://a.com/' || event_id else 'https://news.ycombinator.com/item?id=' || event_id end as href,
   (event_id % 90)::int as points, 'me' as author, (event_id % 9)::int as comments from events""")
 def discussion_stories(spark, sf_dir):
+    return search.stories_of(_story_pages(spark, sf_dir)).select("page_id", "ord", "rank", "title", "href", "points", "author", "comments")
+
+
+def _story_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     rows = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))).alias("s"))
     ident = lambda x: x["event_id"].cast("string")
@@ -239,8 +243,73 @@ def discussion_stories(spark, sf_dir):
     title = lambda x, k: _cat('<tr class="athing"><td><span class="rank">', (k + 1).cast("string"), '.</span></td><td><span class="titleline"><a href="', href(x), '">', x["event_type"], "</a></span></td></tr>")
     figures = lambda x: _cat('<tr><td><span class="score">', (x["event_id"] % 90).cast("string"), ' points</span> by <a class="hnuser">me</a> <a>', (x["event_id"] % 9).cast("string"), " comments</a></td></tr>")
     row = lambda x, k: _cat(title(x, k), figures(x))
-    pages = rows.select(F.col("user_id").alias("page_id"), _cat("<table>", F.array_join(F.transform("s", row), ""), "</table>").alias("html"))
-    return search.stories_of(pages).select("page_id", "ord", "rank", "title", "href", "points", "author", "comments")
+    return rows.select(F.col("user_id").alias("page_id"), _cat("<table>", F.array_join(F.transform("s", row), ""), "</table>").alias("html"))
+
+
+# ---- pages with what the test pages lack ---------------------------------------------------------
+
+_DAY = "strftime(ts, '%Y-%m-%d')"
+
+
+def _made_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each user: meta tags, a feed, a list of articles and a table with a header."""
+    e = table(spark, sf_dir, "events")
+    card = lambda x: _cat('<article><h2><a href="/e/', x["event_id"].cast("string"), '">Story number ', x["event_id"].cast("string"), " of the day</a></h2><p>A description of thirty bytes &amp; more, of ", x["event_type"], '.</p><time datetime="', F.date_format(x["ts"], "yyyy-MM-dd"), '">then</time><span class="author">By me</span></article>')
+    row = lambda x: _cat("<tr><td>", x["event_id"].cast("string"), '<td><a href="/v/', x["event_id"].cast("string"), '">', x["event_type"], "</a></tr>")
+    rows = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type", "ts"))).alias("s"))
+    user = F.col("user_id").cast("string")
+    head = _cat('<html lang="en-GB"><head><title>Not this</title><meta name="theme-color" content="#1a2b3', F.hex(F.col("user_id") % 16), '"><meta property="og:title" content="User ', user, ' &amp; co"><meta content="About ', user, '" name="description"><meta property="og:site_name" content="Site">')
+    head = _cat(head, '<meta property="og:type" content="video.other"><link rel="alternate" type="application/rss+xml" title="F" href="/u', user, '.rss"></head><body>')
+    articles = F.array_join(F.transform("s", card), "")
+    cells = F.array_join(F.transform("s", row), "")
+    return rows.select(F.col("user_id").alias("page_id"), _cat("https://m.org/u/", user).alias("url"), _cat(head, "<main>", articles, "</main></body></html>").alias("html"), _cat(head, "<table><tr><th>Id<th>Kind</tr>", cells, "</table></body></html>").alias("tables"))
+
+
+@query(f"""select user_id as page_id, {_ORD}, 'Story number ' || event_id || ' of the day' as title, '/e/' || event_id as href, 'A description of thirty bytes & more, of ' || event_type || '.' as description, 'me' as author, strftime(ts, '%b ') || day(ts) || strftime(ts, ', %Y') as date
+  from events where user_id in (select user_id from events group by user_id having count(*) >= 3)""")
+def listed_articles(spark, sf_dir):
+    rows = content.page_parts(_made_pages(spark, sf_dir), ["articles"]).select("page_id", F.inline("articles"))
+    return rows.select("page_id", "ord", "title", "href", "description", "author", "date")
+
+
+@query("""with c as (select user_id, event_id, event_type, row_number() over (partition by user_id order by event_id) as y from events), u as (select distinct user_id from events)
+  select user_id as page_id, y::int as row, 0 as col, false as is_header, event_id::varchar as text, '' as href from c union all select user_id, y::int, 1, false, event_type, '/v/' || event_id from c
+  union all select user_id, 0, 0, true, 'Id', '' from u union all select user_id, 0, 1, true, 'Kind', '' from u""")
+def data_cells(spark, sf_dir):
+    rows = content.page_parts(_made_pages(spark, sf_dir), ["cells"], html="tables").select("page_id", F.inline("cells"))
+    return rows.select("page_id", "row", "col", "is_header", "text", "href")
+
+
+@query("""select distinct user_id as page_id, 'User ' || user_id || ' & co' as title, 'About ' || user_id as description, 'Site' as site_name, 'Video' as content_type, 'en' as lang, '/u' || user_id || '.rss' as feed,
+  '#1a2b3' || substr('0123456789abcdef', (user_id % 16)::int + 1, 1) as candidate from events""")
+def page_heads(spark, sf_dir):
+    pages = _made_pages(spark, sf_dir)
+    parts = content.page_parts(pages, ["lang", "feeds", "theme"]).select("page_id", "lang", F.col("feeds")[0]["url"].alias("feed"), F.lower(F.col("theme")[2]).alias("candidate"))
+    return links.meta_tags(pages).join(parts, "page_id").select("page_id", "title", "description", "site_name", "content_type", "lang", "feed", "candidate")
+
+
+@query(f"""with s as (select *, {_ORD}, case when event_id % 2 = 0 then 'https://a.com/' || event_id else 'item?id=' || event_id end as href, event_type || ' (' || event_id % 90 || ' points, ' || event_id % 9 || ' comments)' as said from events)
+  select user_id as page_id, ord * 2 as ord, 'paragraph' as type, said as text, '' as href from s union all select user_id, ord * 2 + 1, 'link', event_type, href from s""")
+def story_nodes(spark, sf_dir):
+    """The default reading of pages that are tables of stories."""
+    return content.content_of(_story_pages(spark, sf_dir)).select("page_id", "ord", "type", "text", "href")
+
+
+#: Hosts, and the rule that each breaks.
+_HOSTS = [
+    ("a.b.livejournal.com", "blog"), ("x.blogspot.de", "blog"), ("livejournal.com", ""), ("blogspot.com", ""), ("51dzw.com", ""), ("q.51dzw.com.cn", ""), ("q.hotic.51dzw.com", "spam"), ("Dl.Softonic.Com", "download"), ("me.listal.com", "other"),
+    ("www.facebook.com", "social"), ("mail.google.co.uk", "big"), ("google.com", ""), ("cdn.gstatic.com", "big"), ("bit.ly", "shortener"), ("Bit.ly", ""), ("win.click", "ending"), ("my.top", "ending"), ("a.desktop.top", ""), ("short.xyz", ""),
+    ("a-rather-long-name.xyz", "ending"), ("-dash.com", "start"), ("nodot", "no_dot"), ("a.b", "size"), ("münchen.de", "not_ascii"), ("good.example.org", ""),
+]
+_RULED = ["start", "no_dot", "size", "spam", "blog", "download", "other", "social", "big", "shortener", "ending", "not_ascii"]
+
+
+@query(f"""with h(k, host, rule) as (values {", ".join(f"({k}, '{h}', '{r}')" for k, (h, r) in enumerate(_HOSTS))}), e as (select rule from events join h on h.k = event_id % {len(_HOSTS)})
+  select count(*) as before, count_if(rule = '') as after, {", ".join(f"count_if(rule = '{r}') as by_{r}" for r in _RULED)} from e""")
+def link_rules_hit(spark, sf_dir):
+    """Links to hosts that break each of the clean-up rules, by rule."""
+    hosts = F.array(*[F.lit(h) for h, _ in _HOSTS])
+    return links.clean_up_report(table(spark, sf_dir, "events").select(F.get(hosts, (F.col("event_id") % len(_HOSTS)).cast("int")).alias("to_domain")))
 
 
 # ---- whole pages ---------------------------------------------------------------------------------
