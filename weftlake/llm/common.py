@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -68,16 +69,30 @@ def passing():
             scratch.drop("")
 
 
-def released(kernel):
-    """A kernel for mapInArrow that gives its memory back when it ends: workers live on, and their freed buffers would stay beside the next stage's."""
+#: What a module keeps in each worker between tasks, by name: how to drop it.
+kept_in_workers: dict[str, Callable[[], None]] = {}
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(kernel, keeps: str = ""):
+    """A kernel for mapInArrow that gives its memory back when it ends: workers live on, and their freed buffers would stay beside the next stage's.
+
+    Before it begins, what other modules keep in the worker goes; only what `keeps` names stays.
+    """
 
     def run(batches):
+        for name, drop in kept_in_workers.items():
+            if name != keeps:
+                drop()
         try:
             yield from kernel(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # only where the C library can
-                ctypes.CDLL(None).malloc_trim(0)
+            _give_back()
 
     return run
 

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlake.llm.common import bounded_batches, released
+from weftlake.llm.common import bounded_batches, kept_in_workers, released
 
 #: Where the public vocabulary lies; a parameter of every operator here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -493,6 +493,16 @@ def _some(column: pa.Array):
 _made: dict[type, tuple] = {}
 
 
+def _forget() -> None:
+    if _made:
+        gc.unfreeze()
+        _made.clear()
+        gc.collect()
+
+
+kept_in_workers["pieces"] = _forget
+
+
 def _worker(kind, model) -> object:
     """The encoder or decoder of the last model in each Python worker, so that words stay remembered between tasks."""
     if kind not in _made or _made[kind][0] != model.value["digest"]:
@@ -527,7 +537,7 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str =
                 start += len(part)
 
     schema = f"k {kind.simpleString()}, ids array<int>" + (", round_trip boolean" if check else "")
-    out = docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(released(run), schema)
+    out = docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(released(run, "pieces"), schema)
     return out.select(F.col("k").alias(key), F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long").alias("n_tokens"), "ids", *(["round_trip"] if check else []))
 
 
@@ -541,7 +551,7 @@ def decode(coded: DataFrame, ids: str = "ids", key: str = "doc_id", path: str =
             texts = [None if x is None else back.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["k", "text"])
 
-    return coded.select(key, ids).mapInArrow(released(run), f"k {coded.schema[key].dataType.simpleString()}, text string").withColumnRenamed("k", key)
+    return coded.select(key, ids).mapInArrow(released(run, "pieces"), f"k {coded.schema[key].dataType.simpleString()}, text string").withColumnRenamed("k", key)
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
