@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftlake.functions.text import escape
-from weftlake.operators import content, links, reading, search
+from weftlake.operators import content, handlers, links, reading, search
 from weftlake.plans.registry import COLLAPSED, PARAGRAPHS, QUERIES, SQL, query, table
-from weftlake.sources import archive, files
+from weftlake.sources import archive, documents, files
 from weftlake.sources import feeds as sources
 from weftlake.sources.keyed import KeyedStore
 from weftlake.sources.state import shared_folder
@@ -312,6 +312,27 @@ def link_rules_hit(spark, sf_dir):
     return links.clean_up_report(table(spark, sf_dir, "events").select(F.get(hosts, (F.col("event_id") % len(_HOSTS)).cast("int")).alias("to_domain")))
 
 
+@query("""select user_id as page_id, 'story' as kind, event_type as text, case when event_id % 2 = 0 then 'https://a.com/' || event_id else 'https://news.ycombinator.com/item?id=' || event_id end as detail from events
+  union all select user_id, 'link', t, h from (select user_id, event_type as t, case when event_id % 2 = 0 then 'https://a.com/' || event_id else 'item?id=' || event_id end as h from events union all select user_id, 'me', '' from events union all select user_id, event_id % 9 || ' comments', '' from events)""")
+def handled_pages(spark, sf_dir):
+    """Stories and links of pages by two handlers of one table function, joined laterally."""
+    handlers.register(spark)
+    name = f"pages_{uuid.uuid4().hex}"
+    _story_pages(spark, sf_dir).createOrReplaceTempView(name)
+    return spark.sql(f"select page_id, 'story' as kind, s.title as text, s.href as detail from {name}, lateral site_rows(html, 'stories') s union all select page_id, 'link', l.text, l.href from {name}, lateral site_rows(html, 'links') l")
+
+
+@query("""select 'u' || user_id as category, event_type || ' & "co"' as title, 'https://f.com/' || event_id as url, case when event_id % 2 = 0 then 'https://s.com' else '' end as site_url, (row_number() over (order by 'u' || user_id, event_type, 'https://f.com/' || event_id) - 1)::int as ord from events""")
+def opml_export(spark, sf_dir):
+    """All feeds written as one OPML file by many tasks, and read back in its order."""
+    e = table(spark, sf_dir, "events")
+    feeds = e.select(_cat("https://f.com/", _text_id()).alias("url"), _cat(F.col("event_type"), ' & "co"').alias("title"), F.when(F.col("event_id") % 2 == 0, "https://s.com").otherwise("").alias("site_url"), _cat("u", F.col("user_id").cast("string")).alias("category"))
+    path = f"{shared_folder(spark)}/opml-{uuid.uuid4().hex}/feeds.opml"
+    documents.save_opml(feeds, path, "Feeds")
+    bodies = spark.read.text(path, wholetext=True).select(F.lit("all").alias("path"), F.col("value").alias("body"))
+    return sources.opml_feeds(bodies).select("category", "title", "url", "site_url", "ord")
+
+
 # ---- whole pages ---------------------------------------------------------------------------------
 
 _HOST = "regexp_replace(lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', '')), '^www[.]', '')"
