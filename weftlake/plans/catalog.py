@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftlake.functions import layout, text, urls, values
 from weftlake.functions.latex import latex_text
-from weftlake.operators import content, document, feeds, frontier, inspect, links, records, render, rules, scoring
+from weftlake.operators import content, document, feeds, frontier, induction, inspect, links, reading, records, render, rules, scoring, structure
 from weftlake.plans.registry import COLLAPSED, DECODED, HEADINGS, PARAGRAPHS, QUERIES, SQL, query, table
 from weftlake.sources.state import shared_folder
 
@@ -180,6 +180,20 @@ def variant_records(spark, sf_dir):
     return found.select("page_id", "rule", "title", F.size(F.coalesce(F.transform(menu, lambda x: x["text"]), text_)).alias("n"), F.coalesce(F.try_variant_get("record", "$.Menu[0].text", "string"), F.try_variant_get("record", "$.Body.Paragraphs[0]", "string")).alias("first"))
 
 
+@query()
+def induced_rules(spark, sf_dir):
+    """Rules found on the pages of even number, and how many of the host's other pages they read; held against brute force in a test."""
+    pages = table(spark, sf_dir, "pages")
+    found = induction.induce(pages.where("page_id % 2 = 0"))
+    read = reading.read_pages(pages.where("page_id % 2 = 1"), found).groupBy("host").agg(F.count_if(F.col("reader") == "rule").alias("by_rule"), F.count("*").alias("pages"))
+    return found.select(F.col("domain").alias("host"), F.col("articles").alias("selector"), "layout", "score", "steps").join(read, "host", "left")
+
+
+@query(r"""select page_id, 'element' as kind, tag as value, len(regexp_extract_all(lower(html), '<' || tag || '[ >]')) as n from pages, (values ('article'), ('section'), ('main'), ('aside'), ('nav'), ('header'), ('footer'), ('h1'), ('h2'), ('h3')) t(tag) where n > 0""")
+def available_selectors(spark, sf_dir):
+    return induction.available_selectors(structure.page_nodes(table(spark, sf_dir, "pages")))
+
+
 @query()
 def printed_pages(spark, sf_dir):
     return render.printed(table(spark, sf_dir, "pages"))
