@@ -6,7 +6,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from weftlake.llm.common import Scratch, chunks, components, distinct_sorted, mix, numbered, passing, released, shingles, small, verify
 
@@ -130,9 +129,11 @@ def ngram_groups(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
     scratch.drop("rough")
     sets = scratch.keep(document_sets(docs, classes, num, den, frequent), "sets")
     full = sets.where("n > 0 and doc_id is not null")
-    reps = full.groupBy("sig0", "sig1").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    reps = scratch.keep(full.groupBy("sig0", "sig1").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "reps")
     tokens = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = scratch.keep(tokens.withColumn("members", F.count("*").over(W.Window.partitionBy("token"))).where("members > 1"), "shared")
+    # members of a token are counted before the shuffle; in the join AQE can split a token that very many share
+    members = reps.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
+    shared = scratch.keep(tokens.join(members.hint("merge"), "token"), "shared")
     rank = shared.groupBy("id").agg(F.sum("members").alias("degree"))
     ranked = scratch.keep(shared.join(rank, "id"), "ranked")
     centres = scratch.keep(ranked.groupBy("token").agg(F.max(F.struct("degree", "id", "n", "pos")).alias("c")).select("token", F.col("c.id").alias("b"), F.col("c.n").alias("nb"), F.col("c.pos").alias("pb")), "centres")
