@@ -22,7 +22,7 @@ CHUNK_BYTES = 1 << 18
 
 
 #: Bytes of an Arrow batch that passes between the JVM and a Python worker; beside it stand copies in either, for each task of an executor.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 _passing: list[list] = []
 

@@ -79,10 +79,9 @@ def _string_hash(text: str) -> int:
 class _Table:
     """64-bit keys to small numbers from 0 on, looked up many at a time in an open-addressing table that is at most half full."""
 
-    def __init__(self, values: dict[int, int]):
+    def __init__(self):
         self.size, self.bits = 0, 14
         self.keys, self.held = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
-        self.add(np.fromiter(values.keys(), np.uint64, len(values)), np.fromiter(values.values(), np.int32, len(values)))
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         return ((keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -138,18 +137,15 @@ class Encoder:
                 self.bytes[int(p[3:5], 16)] = i
         self.has_bytes = any(kind == "b" for _, _, kind in model["pieces"])
         self.single = {p for p in self.ids if len(p) == 1}
-        self.border: dict[int, tuple[list, list]] = {}
+        self.halves: dict[str, tuple[str, str]] = {}
         if self.bpe:
             self._grow()
+        self.texts = {i: p for p, i in self.ids.items()}
         self.max_len = max(map(len, self.ids), default=1)
         self.fits: dict[int, bool] = {}
         self.table: _Table | None = None
-        self.trie: dict = {}  # of reversed pieces; an entry under the empty string ends one
-        for p, i in self.ids.items():
-            node = self.trie
-            for c in reversed(p):
-                node = node.setdefault(c, {})
-            node[""] = i
+        self.tails = {p[k:]: -1 for p in self.ids for k in range(1, len(p))}  # what some piece ends with; a piece itself has its id
+        self.tails |= self.ids
         self.first, self.spaced = Words(self.word, REMEMBERED // 4), Words(lambda w: self.word(SPACE + w), REMEMBERED)
         longest_space = max((len(p) for p in self.ids if set(p) == {SPACE}), default=1)
         self.longest_space = longest_space
@@ -170,31 +166,28 @@ class Encoder:
         return done
 
     def _grow(self) -> None:
-        """For each piece what stands at its right and at its left border while it is built, with the score of the merge that swallows it."""
-        halves = {}
+        """The two halves of each piece that the last merge joins; what merging does not end in is no piece."""
         for p in list(self.ids):
             if len(p) > 1:
                 done = self._merge(p)
                 if done is None:
                     del self.ids[p]
                 else:
-                    halves[p] = done[-1]
-        for p, i in self.ids.items():
-            sides = []
-            for side in (1, 0):
-                at, swallowed, steps = p, -np.inf, []
-                while True:
-                    steps.append((at, swallowed))
-                    if at not in halves:
-                        break
-                    at, swallowed = halves[at][side], self.scores[self.ids[at]]
-                sides.append(steps)
-            self.border[i] = (sides[0], sides[1])
+                    self.halves[p] = done[-1]
+
+    def _border(self, piece: str, side: int) -> list[tuple[str, float]]:
+        """What stands at a piece's left (0) or right (1) border while it is built, with the score of the merge that swallows it."""
+        at, swallowed, steps = piece, -np.inf, []
+        while True:
+            steps.append((at, swallowed))
+            if at not in self.halves:
+                return steps
+            swallowed, at = self.scores[self.ids[at]], self.halves[at][side]
 
     def _fit(self, left: int, right: int) -> bool:
-        ids, scores = self.ids, self.scores
-        for x, x_gone in self.border[left][0]:
-            for y, y_gone in self.border[right][1]:
+        ids, scores, begins = self.ids, self.scores, self._border(self.texts[right], 0)
+        for x, x_gone in self._border(self.texts[left], 1):
+            for y, y_gone in begins:
                 j = ids.get(x + y)
                 # merges go from high scores to low; at equal scores the one further left goes first
                 if j is not None and scores[j] > x_gone and scores[j] >= y_gone:
@@ -203,19 +196,18 @@ class Encoder:
 
     def stream(self, text: str) -> list[int]:
         """Ids of a text of known characters, from a window of survivors that stays bounded."""
-        most, bpe, scores, fits = self.max_len, self.bpe, self.scores, self.fits
+        most, bpe, scores, fits, tails = self.max_len, self.bpe, self.scores, self.fits, self.tails
         out: list[int] = []
         base = first = 0  # the boundary up to which ids are final, and the one of the lists' first entry
         piece, start, total, kids, kid_sum = [-1], [0], [0.0], [0], [0]
         for end in range(1, len(text) + 1):
-            node, j, found = self.trie, end, []
+            j, found = end, []
             while j > base:
-                node = node.get(text[j - 1])
-                if node is None:
+                t = tails.get(text[j - 1 : end])
+                if t is None:
                     break
                 j -= 1
-                t = node.get("")
-                if t is not None:
+                if t >= 0:
                     found.append((t, j))
             got, at, best = -1, -1, -np.inf
             for t, j in reversed(found):
@@ -282,18 +274,19 @@ class Encoder:
             new -= memory.older.keys()
             fine = [w for w in new if 0 < len(w) <= 64 and SPACE not in w and self.single.issuperset(w)]
             fine.sort(key=len, reverse=True)
-            for at in range(0, len(fine) - TOGETHER, 1 << 14):
-                self._learn(memory, mark, fine[at : at + (1 << 14)])
+            for at in range(0, len(fine) - TOGETHER, 1 << 12):
+                self._learn(memory, mark, fine[at : at + (1 << 12)])
 
     def _learn(self, memory: Words, mark: str, words: list[str]) -> None:
         """Remembers words of falling length: the survivors of all of them advance together, in a window of arrays over words, by the same steps as in stream()."""
         if self.table is None:
-            ends = {_string_hash(p[k:]): 0 for p in self.ids for k in range(1, len(p))}  # what some piece ends with
-            self.table, self.pairs = _Table(ends | {_string_hash(p): i + 1 for p, i in self.ids.items()}), _Table({})
+            keys = np.fromiter((_string_hash(p) for p in self.tails), np.uint64, len(self.tails))
+            self.table, self.pairs = _Table(), _Table()
+            self.table.add(keys, np.fromiter(self.tails.values(), np.int32, len(keys)) + np.int32(1))
         sizes = np.array([len(mark + w) for w in words])
         n, longest = len(words), int(sizes[0])
         codes = np.frombuffer("".join((mark + w).ljust(longest) for w in words).encode("utf-32-le"), np.uint32).reshape(n, longest).T.astype(np.uint64)
-        window = 1 << min(longest, 2 * self.max_len).bit_length()
+        window = 1 << min(longest, self.max_len + 1).bit_length()
         piece, start = np.full((n, window), -1, np.int64), np.zeros((n, window), np.int64)  # of boundary b in column b mod window
         kids, kid_sum = np.zeros((n, window), np.int32), np.zeros((n, window), np.int64)
         base, done = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -384,7 +377,7 @@ class Encoder:
         got = self.pairs.find(pair)
         if (got < 0).any():
             if self.pairs.size > PAIRS:
-                self.pairs = _Table({})
+                self.pairs = _Table()
                 got[:] = -1
             new = np.unique(pair[got < 0])
             self.pairs.add(new, np.array([self._fit(k >> 20, k & 0xFFFFF) for k in new.tolist()], np.int32))
