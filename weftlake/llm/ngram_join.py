@@ -127,13 +127,17 @@ def ngram_groups(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
     rough = scratch.keep(document_sets(docs, classes, num, den), "rough")
     frequent = spark.sparkContext.broadcast(frequent_tokens(rough))
     scratch.drop("rough")
-    sets = scratch.keep(document_sets(docs, classes, num, den, frequent), "sets")
-    full = sets.where("n > 0 and doc_id is not null")
+    whole = scratch.keep(document_sets(docs, classes, num, den, frequent), "whole")
+    full = whole.where("n > 0 and doc_id is not null")
     reps = scratch.keep(full.groupBy("sig0", "sig1").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "reps")
+    sets = scratch.keep(whole.drop("prefix"), "sets")
+    scratch.drop("whole")
     tokens = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     # members of a token are counted before the shuffle; in the join AQE can split a token that very many share
     members = reps.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
     shared = scratch.keep(tokens.join(members.hint("merge"), "token"), "shared")
+    reps = scratch.keep(reps.select("sig0", "sig1", "id"), "ids")
+    scratch.drop("reps")
     rank = shared.groupBy("id").agg(F.sum("members").alias("degree"))
     ranked = scratch.keep(shared.join(rank, "id"), "ranked")
     centres = scratch.keep(ranked.groupBy("token").agg(F.max(F.struct("degree", "id", "n", "pos")).alias("c")).select("token", F.col("c.id").alias("b"), F.col("c.n").alias("nb"), F.col("c.pos").alias("pb")), "centres")
