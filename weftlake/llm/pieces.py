@@ -114,6 +114,11 @@ class _Table:
         return held.astype(np.int64)
 
 
+def split_text(text: str) -> list[list[str]]:
+    """Lines, each split at single spaces."""
+    return [line.split(" ") for line in text.split("\n")]
+
+
 class Encoder:
     """Words to ids. At every character boundary one survivor is kept: the piece that ends there on the best path.
 
@@ -258,17 +263,15 @@ class Encoder:
             at = start[at - first]
         return out + tail[::-1]
 
-    def learn(self, texts: list[str]) -> None:
-        """Remembers the words after a space of some texts, many at a time: the survivors of all new words advance together."""
-        if not self.bpe:
-            return
-        if SPACE not in self.single:
+    def learn(self, texts: list[list[list[str]]]) -> None:
+        """Remembers the words of some texts, split into lines and words, many at a time: the survivors of all new words advance together."""
+        if not self.bpe or SPACE not in self.single:
             return
         after, first = set(), set()
-        for t in texts:
-            lines = t.split("\n")
-            first.update([x.partition(" ")[0] for x in lines[1:]])
-            after.update(t.replace("\n", " ").split(" "))
+        for lines in texts:
+            first.update([x[0] for x in lines[1:]])
+            for k, parts in enumerate(lines):
+                after.update(parts if k == 0 else parts[1:])
         for memory, new, mark in ((self.spaced, after, SPACE), (self.first, first, "")):
             new -= memory.keys()
             new -= memory.older.keys()
@@ -408,19 +411,18 @@ class Encoder:
         whole, rest = divmod(n, self.longest_space)
         return [self.ids[SPACE * self.longest_space]] * whole + ([self.ids[SPACE * rest]] if rest else [])
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a whole text; an empty text has none. No piece crosses a space, so all paths meet before each one, and words are encoded and remembered one by one."""
+    def encode(self, text: str, lines: list[list[str]] | None = None) -> np.ndarray:
+        """Ids of a whole text (split_text(text), if that is at hand); an empty text has none. No piece crosses a space, so all paths meet before each one, and words are encoded and remembered one by one."""
         if not text:
             return np.zeros(0, np.int32)
         out: list[bytes] = []
         newline = array("i", [self.ids["\n"]] if "\n" in self.single else self.spell("\n")).tobytes()
         mark = SPACE in text
-        for k, line in enumerate(text.split("\n")):
-            parts = line.split(" ")
+        for k, parts in enumerate(split_text(text) if lines is None else lines):
             if k:
                 out.append(newline)
             else:
-                parts.insert(0, "")  # the dummy prefix is a space before the text
+                parts = ["", *parts]  # the dummy prefix is a space before the text
             if mark or "" in parts[1:]:
                 own: list[int] = []
                 self._spaced(own, parts)
@@ -467,6 +469,20 @@ class Encoder:
 class Decoder:
     def __init__(self, model: dict):
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == "b" else p.replace(SPACE, " ").encode() if kind == "n" else b"" for p, _, kind in model["pieces"]]
+        self.sizes = np.array([len(b) for b in self.bytes], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+
+    def spelt(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of ids, without the space before the text."""
+        size = self.sizes[ids]
+        ends = np.cumsum(size)
+        out = self.flat[np.repeat(self.begins[ids] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        return out[1:] if len(out) and out[0] == 32 else out
+
+    def gives(self, ids: np.ndarray, text: str) -> bool:
+        """Whether ids decode to the text."""
+        return self.spelt(ids).tobytes() == text.encode() or self.decode(ids.tolist()) == text
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -521,11 +537,12 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str =
         for batch in batches:
             texts, start = batch.column(1), 0
             for part in _some(texts):
-                coder.learn([t for t in part if t])
-                found = [coder.encode(t or "") for t in part]
+                lines = [split_text(t) if t else [] for t in part]
+                coder.learn([x for x in lines if x])
+                found = [coder.encode(t or "", x) for t, x in zip(part, lines, strict=True)]
                 ends = np.r_[0, np.cumsum([len(ids) for ids in found])].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)), mask=pa.array([t is None for t in part]))
-                same = [pa.array([None if t is None else back.decode(ids.tolist()) == t for ids, t in zip(found, part, strict=True)], pa.bool_())] if check else []
+                same = [pa.array([None if t is None else back.gives(ids, t) for ids, t in zip(found, part, strict=True)], pa.bool_())] if check else []
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), lists, *same], ["k", "ids"] + (["round_trip"] if check else []))
                 start += len(part)
 
