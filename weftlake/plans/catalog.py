@@ -206,19 +206,18 @@ def site_titles(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", scoring.site_title(h).alias("site"), scoring.is_link_heavy(h).alias("link_heavy"))
 
 
-@query("""with f as (select 'https://h' || user_id % 40 || '.org/' || event_type || '/' || event_id % 77 as url, 'h' || user_id % 40 || '.org' as host, (event_id % 5)::int as priority, (event_id % 3)::int as depth, 'b' || floor(event_id / 2500)::int as found_from,
-    floor(event_id / 2500)::bigint as batch from events),
+@query("""with f as (select 'https://h' || user_id % 40 || '.org/' || event_type || '/' || event_id % 77 as url, 'h' || user_id % 40 || '.org' as host, (event_id % 5)::int as priority, (event_id % 3)::int as depth, 'b' || event_id * 4 // n as found_from, event_id * 4 // n as batch from events, (select max(event_id) + 1 as n from events)),
   r as (select *, row_number() over (partition by url order by batch, priority, depth, found_from) as k from f), q as (select * exclude k from r where k = 1)
   select *, (row_number() over (partition by host order by priority, depth, url))::int as turn from q qualify turn <= 20""")
 def crawl_turns(spark, sf_dir):
-    """Links found in batches go to the frontier, which takes each url once; the first twenty turns of its hosts."""
-    part = F.floor(F.col("event_id") / 2500)
+    """Links found in four batches go to the frontier, which takes each url once; the first twenty turns of its hosts."""
     host = F.concat(F.lit("h"), (F.col("user_id") % 40).cast("string"), F.lit(".org"))
     url = F.concat(F.lit("https://"), host, F.lit("/"), F.col("event_type"), F.lit("/"), (F.col("event_id") % 77).cast("string"))
     e = table(spark, sf_dir, "events")
+    part = F.floor(F.col("event_id") * 4 / ((e.agg(F.max("event_id")).first()[0] or 0) + 1))
     found = e.select(url.alias("url"), host.alias("host"), (F.col("event_id") % 5).cast("int").alias("priority"), (F.col("event_id") % 3).cast("int").alias("depth"), F.concat(F.lit("b"), part.cast("string")).alias("found_from"), part.alias("part"))
     own = frontier.Frontier(spark, f"{shared_folder(spark)}/frontier-{uuid.uuid4().hex}", buckets=8)
-    for k in range(e.agg(F.max(part)).first()[0] + 1):
+    for k in range(4):
         own.enqueue(found.where(F.col("part") == k), k)
     return frontier.turns(own.seen.read(), 20)
 
