@@ -66,6 +66,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts, paths, rules and verdicts of all urls of the table pages; see judge_urls for nulls, urls without a scheme, ties and repeated rows."""
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.createDataFrame(RULES, "verdict string, host string, path string"))
 
 
