@@ -18,7 +18,7 @@ def folder(spark, tmp_path_factory):
     return str(root)
 
 
-@pytest.mark.parametrize("name", ["page_headings", "page_text", "page_title_lang", "page_links"])
+@pytest.mark.parametrize("name", ["page_headings", "page_text", "page_title_lang", "page_links", "variant_records", "rule_quality"])
 def test_cut_references(spark, folder, name):
     got = entry.queries()[name](spark, folder)
     db = duckdb.connect()
