@@ -51,3 +51,33 @@ def test_handlers(spark):
     assert (5, "/x", "X") in sql("links", "href, text") and sql("feeds", "url") == [(5, "/f")] and sql("cells", "text") == []
     with pytest.raises(Exception, match="handler must be one of"):
         spark.sql("select * from site_pages, lateral site_rows(html, 'none')").collect()
+
+
+def test_opml_by_many_tasks(spark, tmp_path):
+    names = ["T & \"q\" 'x' > y", "b\nc", "ä"]
+    rows = [(f"https://f.org/{k}?a=1&b=<2>", names[k % 3], "https://s.org" if k % 2 else "", ["", "News & more", "z"][k % 7 % 3]) for k in range(20_000)]
+    path = str(tmp_path / "feeds.opml")
+    documents.save_opml(spark.createDataFrame(rows, "url string, title string, site_url string, category string"), path, "My <feeds>")
+    nested = tmp_path / "nested.opml"
+    nested.write_text('<?xml version="1.0"?><opml><body><outline text="A"><outline title="B"><outline text="f" xmlUrl="u1"/></outline>\n<outline\n title="g" xmlUrl=\'u2\'><outline text="h" xmlUrl="u3"/></outline></outline><outline><outline xmlUrl="u4"/></outline></body></opml>')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("64", "100k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            for file in (str(nested), *([path] if size == "100k" else [])):
+                found = documents.opml_rows(spark, file)
+                assert found.rdd.getNumPartitions() > 1 or size == "100k" and file != path  # no task has the whole file
+                got = [r.asDict() for r in found.orderBy("ord").collect()]
+                assert [g.pop("ord") for g in got] == list(range(len(got)))
+                assert got == sources.read_opml(open(file).read())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_opml_export_reads_by_stretches(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as entry
+
+    monkeypatch.setattr(sources, "opml_feeds", lambda *a, **k: pytest.fail("the whole file in one row"))
+    spark.range(50).selectExpr("id as event_id", "id % 3 as user_id", "'view' as event_type").write.parquet(str(tmp_path / "events.parquet"))
+    got = entry.queries()["opml_export"](spark, str(tmp_path)).orderBy("ord").collect()
+    assert len(got) == 50 and got == sorted(got, key=lambda r: (r.category, r.title, r.url))

@@ -329,8 +329,7 @@ def opml_export(spark, sf_dir):
     feeds = e.select(_cat("https://f.com/", _text_id()).alias("url"), _cat(F.col("event_type"), ' & "co"').alias("title"), F.when(F.col("event_id") % 2 == 0, "https://s.com").otherwise("").alias("site_url"), _cat("u", F.col("user_id").cast("string")).alias("category"))
     path = f"{shared_folder(spark)}/opml-{uuid.uuid4().hex}/feeds.opml"
     documents.save_opml(feeds, path, "Feeds")
-    bodies = spark.read.text(path, wholetext=True).select(F.lit("all").alias("path"), F.col("value").alias("body"))
-    return sources.opml_feeds(bodies).select("category", "title", "url", "site_url", "ord")
+    return documents.opml_rows(spark, path).select("category", "title", "url", "site_url", "ord")
 
 
 # ---- whole pages ---------------------------------------------------------------------------------

@@ -1,13 +1,16 @@
-"""One document written by many tasks: each writes its part, and the commit joins the parts in order."""
+"""One document written and read by many tasks: each writes its part, and the commit joins the parts in order; each reads a stretch of it, from the outlines that are open where it begins."""
 
 from __future__ import annotations
 
 import uuid
+import xml.etree.ElementTree as ET
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -109,3 +112,85 @@ def save_opml(feeds: DataFrame, path: str, title: str, created: str = "") -> Non
     dated = f"    <dateCreated>{escape(created)}</dateCreated>\n" if created else ""
     head = f'<?xml version="1.0" encoding="UTF-8"?>\n<opml version="2.0">\n  <head>\n    <title>{escape(title)}</title>\n{dated}  </head>\n  <body>\n'
     save_lines(rows.unionByName(begin).unionByName(end), path, ["c", "part", "t", "u"], head, "  </body>\n</opml>\n")
+
+
+# ---- reading ------------------------------------------------------------------------------------
+
+#: Rows of a batch that a reading task hands on.
+ROWS = 2048
+_FOUND = pa.schema([("ord", pa.int32()), *[(c, pa.string()) for c in ("url", "title", "site_url", "category")]])
+_EFFECT = pa.schema([("start", pa.int64()), ("closed", pa.int64()), ("opened", pa.list_(pa.string())), ("feeds", pa.int64())])
+
+
+def _tags(batches) -> Iterator[tuple[int, bool, dict | None, bool]]:
+    """(start of the stretch, closes, attributes, stays open) of each outline tag, from the texts before each '>'."""
+    for batch in batches:
+        for source, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            tag = source[source.rfind("<") :]
+            if tag.startswith("</outline") and not tag[9:].strip():
+                yield start, True, None, False
+            elif tag.startswith("<outline") and (len(tag) == 8 or tag[8] in " \t\r\n/"):
+                whole = tag.endswith("/")
+                yield start, False, ET.fromstring(tag + (">" if whole else "/>")).attrib, not whole
+
+
+def _inner(attrs: dict) -> str:
+    return attrs.get("text") or attrs.get("title") or ""
+
+
+def _effects(batches):
+    """What each stretch does to the outlines that are open: how many from before it it closes, the names of those it leaves open, and its feeds."""
+    out: dict[int, list] = {}
+    for start, closes, attrs, stays in _tags(batches):
+        mine = out.setdefault(start, [0, [], 0])
+        if closes:
+            if mine[1]:
+                mine[1].pop()
+            else:
+                mine[0] += 1
+            continue
+        mine[2] += bool(attrs.get("xmlUrl"))
+        if stays:
+            mine[1].append(_inner(attrs))
+    yield pa.RecordBatch.from_pylist([{"start": s, "closed": c, "opened": o, "feeds": n} for s, (c, o, n) in out.items()], schema=_EFFECT)
+
+
+def opml_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, url, title, site_url, category) of one OPML file of any size, as read_opml() of its text: tasks read stretches of the file.
+
+    Two passes: what each stretch does to the open outlines comes to the driver, a row for each stretch, and says which are open where the next begins and how many feeds came before. The file must be as
+    save_opml() writes it: '>' ends tags and stands in no value, and no comment holds an outline. A tag that is no XML raises.
+    """
+    tags = spark.read.option("lineSep", ">").text(path).select("value", F.col("_metadata.file_block_start").alias("start"))
+    open_, before, begins = [], 0, {}
+    for r in sorted(tags.mapInArrow(_effects, "start long, closed long, opened array<string>, feeds long").collect(), key=lambda r: r.start):
+        begins[r.start] = (tuple(open_), before)
+        open_ = open_[: max(0, len(open_) - r.closed)] + list(r.opened)
+        before += r.feeds
+
+    def found(batches) -> Iterator[dict]:
+        held, ord_, at = [], 0, None
+        for start, closes, attrs, stays in _tags(batches):
+            if start != at:
+                at, held, ord_ = start, list(begins[start][0]), begins[start][1]
+            if closes:
+                if held:
+                    held.pop()
+                continue
+            if attrs.get("xmlUrl"):
+                yield {"ord": ord_, "url": attrs["xmlUrl"], "title": attrs.get("title") or attrs.get("text") or "", "site_url": attrs.get("htmlUrl") or "", "category": "/".join(x for x in held if x)}
+                ord_ += 1
+            if stays:
+                held.append(_inner(attrs))
+
+    def run(batches):
+        held: list[dict] = []
+        for row in found(batches):
+            held.append(row)
+            if len(held) == ROWS:
+                yield pa.RecordBatch.from_pylist(held, schema=_FOUND)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=_FOUND)
+
+    return tags.mapInArrow(run, "ord int, url string, title string, site_url string, category string")
