@@ -78,7 +78,8 @@ def parse_feeds(bodies: DataFrame, key: str = "feed_url", body: str = "body") ->
 
 def feed_items(parsed: DataFrame, key: str = "feed_url") -> DataFrame:
     """(key, ord, guid, title, link, description, content, author, published), texts cleaned."""
-    rows = parsed.select(key, F.posexplode("items").alias("ord", "i")).select(key, "ord", "i.*")
+    # a plain posexplode gets a filter on the size of its array put below the parse, which parses each body anew for every mention of it; the outer one gets none
+    rows = parsed.select(key, F.posexplode_outer("items").alias("ord", "i")).where("ord is not null").select(key, "ord", "i.*")
     return rows.select(key, "ord", "guid", clean(F.col("title")).alias("title"), "link", clean(F.col("description")).alias("description"), "content", clean(F.col("author")).alias("author"), "published")
 
 
