@@ -1,9 +1,10 @@
-"""What a task holds of the pages that it parses."""
+"""What a task holds of the pages that it parses, and reading stories in linear time."""
 
 import pyarrow as pa
 from pyspark.sql import types as T
 
-from weftlake.operators import content
+from weftlake.functions.dom import parse
+from weftlake.operators import content, search
 
 
 class Frame:
@@ -28,3 +29,10 @@ def test_pages_are_handed_on_as_they_are_made(spark):
     assert table["page_id"].to_pylist() == list(range(len(pages)))
     assert table["parse_error"].to_pylist() == [False] * 501 + [True]
     assert [v[0]["text"] for v in table["content"].to_pylist()[:500]] == [str(k) for k in range(500)]
+
+
+def test_stories_do_not_list_all_rows(monkeypatch):
+    row = '<tr class="athing"><td><span class="titleline"><a href="item?id={0}">T{0}</a></span></td></tr><tr><td><span class="score">{0} points</span><a>1 comment</a></td></tr>'
+    nodes = parse("<table>" + "".join(row.format(k) for k in range(50)) + "</table>")
+    monkeypatch.setattr(search, "children", lambda *_: (_ for _ in ()).throw(AssertionError("the rows of the whole table, for one story")))
+    assert [(s["title"], s["points"], s["comments"]) for s in search.discussion_stories(nodes)] == [(f"T{k}", k, 1) for k in range(50)]

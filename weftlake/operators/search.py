@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from weftlake.functions import css
-from weftlake.functions.dom import Node, ancestors, children, text_of
+from weftlake.functions.dom import Node, ancestors, children, following, text_of
 from weftlake.functions.text import escape, first_non_empty, format_count, strip_tags
 from weftlake.functions.urls import host, unwrap_duckduckgo
 from weftlake.operators.content import nbytes, page_parts
@@ -22,7 +22,7 @@ def _link(nodes: list[Node], i: int | None) -> tuple[str, str]:
 
 
 def _one(nodes: list[Node], selector: str, scope: int) -> int | None:
-    return next(iter(css.select(nodes, selector, scope)), None)
+    return next(css.found(nodes, selector, scope), None)
 
 
 def duckduckgo(nodes: list[Node]) -> list[dict]:
@@ -252,10 +252,10 @@ def discussion_stories(nodes: list[Node], base: str = "https://news.ycombinator.
         if not title:
             continue
         rank, site = _one(nodes, ".rank", i), _one(nodes, ".sitestr", i)
-        row = next((j for j in children(nodes, nodes[i].parent) if j > i and nodes[j].tag == "tr"), None)
-        get = lambda s: "" if row is None or _one(nodes, s, row) is None else text_of(nodes, _one(nodes, s, row))  # noqa: E731, B023
+        row = next((j for j in following(nodes, i) if nodes[j].tag == "tr"), None)
+        get = lambda s: "" if row is None or (j := _one(nodes, s, row)) is None else text_of(nodes, j)  # noqa: E731, B023
         number = lambda s: int(m[0]) if (m := _NUMBER.search(s)) else 0
-        comments = next((text_of(nodes, a) for a in css.select(nodes, "a", row) if "comment" in text_of(nodes, a)), "") if row is not None else ""
+        comments = next((t for t in (text_of(nodes, a) for a in css.found(nodes, "a", row)) if "comment" in t), "") if row is not None else ""
         out.append({
             "ord": len(out), "rank": number(text_of(nodes, rank)) if rank is not None else 0, "title": title, "href": base + href if href.startswith("item?") else href, "site": text_of(nodes, site) if site is not None else "",
             "points": number(get(".score")), "author": get("a.hnuser"), "age": get(".age"), "comments": number(comments),
