@@ -36,6 +36,8 @@ def _feeds(spark: SparkSession, sf_dir: str, piece: Column, before: str, after:
 
 
 _LINK = "https://e.com/"
+#: Events of which a page of a captured feed has those of its kind.
+_PAGE = 5000
 _ORD = "(row_number() over (partition by user_id order by event_id) - 1)::int as ord"
 
 
@@ -151,18 +153,19 @@ def archived_pages(spark, sf_dir):
 
 @query("""select 'https://f.org/' || event_type as feed_url, event_id::varchar as guid, event_type as title from events""")
 def feed_polls_from_archive(spark, sf_dir):
-    """The items that two refreshes of all feeds leave in the store: each poll is answered from captured responses as of its time, the second of which has all items of the feed."""
+    """The items that two refreshes of all feeds leave in the store: each poll is answered from captured responses as of its time, the second of which has all items of the feed. Feeds are captured in pages, so no document has a whole feed."""
     archive.register(spark)
     base = f"{shared_folder(spark)}/captured-{uuid.uuid4().hex}"
     piece = _cat("<item><title>", F.col("event_type"), "</title><guid>", _text_id(), "</guid></item>")
     url = _cat("https://f.org/", F.col("event_type"))
+    number = F.floor(F.col("event_id") / _PAGE).cast("string")
     for at, rows in ((1000, table(spark, sf_dir, "events").where("event_id % 2 = 0")), (3000, table(spark, sf_dir, "events"))):
-        bodies = _joined(rows, url, F.col("event_id"), piece, '<rss version="2.0"><channel><title>T</title>', "</channel></rss>")
+        bodies = _joined(rows, F.when(number == "0", url).otherwise(_cat(url, "?page=", number)), F.col("event_id"), piece, '<rss version="2.0"><channel><title>T</title>', "</channel></rss>")
         bodies.select(F.col("key").alias("url"), F.lit("").alias("host"), F.timestamp_seconds(F.lit(at)).alias("fetched_at"), F.lit(200).alias("status"), F.lit("OK").alias("reason"), F.create_map(F.lit("Content-Type"), F.lit("text/xml")).alias("headers"), "body").write.format("webarchive").mode("append").save(f"{base}/responses")
     files.write_new(spark, f"{base}/feeds", "\n".join(r.url for r in table(spark, sf_dir, "events").select(url.alias("url")).distinct().collect()))
     for now in (1800, 3600):
         files.write_new(spark, f"{base}/clock{now}", str(now))
-        polls = spark.readStream.format("feedpolls").option("feeds", f"{base}/feeds").option("responses", f"{base}/responses").option("clock", f"{base}/clock{now}").option("interval", 1800).load()
+        polls = spark.readStream.format("feedpolls").option("feeds", f"{base}/feeds").option("responses", f"{base}/responses").option("clock", f"{base}/clock{now}").option("interval", 1800).option("pages", "page").option("concurrency", max(archive.CONCURRENCY, spark.sparkContext.defaultParallelism)).load()
         stream.poll_batches(polls, f"{base}/items", f"{base}/checkpoint", n=0).awaitTermination()
     return stream.stored_items(spark, f"{base}/items").select("feed_url", "guid", "title")
 

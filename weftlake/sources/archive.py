@@ -10,6 +10,7 @@ import json
 import re
 import time
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urlsplit
@@ -296,10 +297,10 @@ class ArchiveSource(DataSource):
 
 
 class Feeds(InputPartition):
-    """Feeds that one task polls, as of a time."""
+    """Feeds that one task polls, as of a time: whole ones, or with pages the k-th of n parts of their documents."""
 
-    def __init__(self, urls: list[str], at: float):
-        self.urls, self.at = urls, at
+    def __init__(self, urls: list[str], at: float, k: int = 0, n: int = 1):
+        self.urls, self.at, self.k, self.n = urls, at, k, n
 
 
 class PollReader(DataSourceStreamReader):
@@ -312,6 +313,7 @@ class PollReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.feeds, self.responses, self.requests, self.clock = options["feeds"], options["responses"], options.get("requests"), options.get("clock")
         self.interval, self.concurrency = float(options.get("interval", INTERVAL)), int(options.get("concurrency", CONCURRENCY))
+        self.pages = options.get("pages")
 
     def _now(self) -> float:
         if not self.clock:
@@ -343,9 +345,18 @@ class PollReader(DataSourceStreamReader):
         files, path = folder(self.feeds)
         with files.open_input_stream(path) as f:
             urls = [u for u in dict.fromkeys(x.strip() for x in f.read().decode().splitlines()) if u]
+        if self.pages and urls:
+            return [Feeds(urls, end["at"], k, self.concurrency) for k in range(self.concurrency)]
         n = min(self.concurrency, len(urls))
         return [Feeds(urls[k::n], end["at"]) for k in range(n)]
 
+    def _feed(self, url: str, wanted: set[str]) -> str | None:
+        """The feed that a captured document belongs to: its own, or with pages the one that it is a page of."""
+        if url in wanted or not self.pages:
+            return url if url in wanted else None
+        base, mark, number = url.rpartition(f"{self.pages}=")
+        return base[:-1] if mark and number.isdigit() and base[-1:] in ("?", "&") and base[:-1] in wanted else None
+
     def read(self, partition: Feeds):
         files, _ = folder(self.responses)
         last: dict[str, tuple[int, Archive, Entry]] = {}
@@ -353,24 +364,29 @@ class PollReader(DataSourceStreamReader):
         for path, _ in archives(self.responses):
             archive = Archive(files, path)
             for e in archive.find(hosts):
-                if e.url in wanted and e.at <= partition.at and (e.url not in last or last[e.url][0] < e.at):
+                if e.at <= partition.at and self._dealt(e.url, partition) and self._feed(e.url, wanted) and (e.url not in last or last[e.url][0] < e.at):
                     last[e.url] = (e.at, archive, e)
         at = dt.datetime.fromtimestamp(partition.at, dt.UTC)
-        for url in partition.urls:
+        for url in dict.fromkeys([*(u for u in partition.urls if self._dealt(u, partition)), *last]):
             if url not in last:
                 yield url, at, None, "no response"
                 continue
             _, archive, entry = last[url]
             got = next(archive.open([entry]))
             good = got["status"] == 200
-            yield url, at, got["body"] if good else None, "" if good else f"{got['status']} {got['reason']}".strip()
+            yield self._feed(url, wanted), at, got["body"] if good else None, "" if good else f"{got['status']} {got['reason']}".strip()
+
+    @staticmethod
+    def _dealt(url: str, partition: Feeds) -> bool:
+        return partition.n == 1 or zlib.crc32(url.encode()) % partition.n == partition.k
 
 
 class PollSource(DataSource):
     """format("feedpolls"), streaming: polls of feeds for streaming.feeds.poll_batches.
 
     Options: feeds, a file with a url on each line; responses, a folder of captured responses; interval in seconds; requests, a folder in which a refresh is asked for by a file <seconds>.request;
-    concurrency, the tasks of a refresh; clock, a file that holds the time, for tests and for replays.
+    concurrency, the tasks of a refresh; clock, a file that holds the time, for tests and for replays; pages, the query parameter by which long feeds are paged (RFC 5005): captured documents <feed>?<pages>=<number>
+    are answers to a poll of the feed too, a row each, and documents rather than feeds are dealt to the tasks.
     """
 
     @classmethod

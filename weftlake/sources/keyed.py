@@ -84,8 +84,8 @@ class KeyedStore:
         after = {b: f for b, f in now.items() if b not in touched}
         if touched:
             folded = fold(self._rows([now[b] for b in touched if b in now]), incoming).withColumn("bucket", self.bucket())
-            # one task and one file for each bucket
-            folded.repartition(min(len(touched), self.buckets), "bucket").write.partitionBy("bucket").parquet(f"{self.root}/data/{name}")
+            # small buckets share a task, a large one is dealt to several, by its size
+            folded.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(f"{self.root}/data/{name}")
             after |= {f[7:]: f"{name}/{f}" for f in files.names(self.spark, f"{self.root}/data/{name}") if f.startswith("bucket=")}
         made = {"version": before["version"] + 1, "of": self.buckets, "buckets": after, "batch": before["batch"] if batch is None else batch}
         if not files.write_new(self.spark, f"{self.root}/manifests/{made['version']:012d}.json", json.dumps(made)):
