@@ -38,6 +38,8 @@ def _feeds(spark: SparkSession, sf_dir: str, piece: Column, before: str, after:
 _LINK = "https://e.com/"
 #: Events of which a page of a captured feed has those of its kind.
 _PAGE = 5000
+#: Files of a batch of polls: more than a part is written to.
+_FILES = 100_000
 _ORD = "(row_number() over (partition by user_id order by event_id) - 1)::int as ord"
 
 
@@ -95,8 +97,8 @@ def feed_poll_stream(spark, sf_dir):
         bodies = _joined(rows, F.concat(F.lit("u"), F.col("user_id").cast("string")), F.col("event_id"), piece, '<rss version="2.0"><channel><title>T</title>', "</channel></rss>")
         polls = bodies.select(F.col("key").alias("feed_url"), F.lit("2024-01-01T00:00:00").alias("fetched_at"), "body", F.lit("").alias("error"))
         polls = polls.unionByName(polls.limit(1).select("feed_url", "fetched_at", F.lit("").alias("body"), F.lit("timeout").alias("error")))
-        polls.coalesce(1).write.mode("append").json(f"{base}/in")
-    stream.poll_batches(stream.read_polls(spark, f"{base}/in", 1), f"{base}/items", f"{base}/checkpoint").awaitTermination()
+        polls.write.mode("append").json(f"{base}/in")
+        stream.poll_batches(stream.read_polls(spark, f"{base}/in", _FILES), f"{base}/items", f"{base}/checkpoint").awaitTermination()
     return stream.stored_items(spark, f"{base}/items").select("feed_url", "guid", "published")
 
 
