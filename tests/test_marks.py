@@ -45,3 +45,65 @@ def test_time_to_live(run):
     time.sleep(4)
     again = run(2, [("f", "m", "read", 2), ("f", "a", "item", 2)], **options)
     assert [r[1:] for r in again] == [("a", "added", 1.0), ("m", "marked", 1.0), ("m", "marked", 2.0)]  # the mark was gone, the item was not
+
+
+class Held:
+    """A processor's handle over dicts: counts exchanges with the store and keeps the timers."""
+
+    def __init__(self):
+        self.calls, self.timers, self.values = 0, [], {}
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return Value(self, name)
+
+    getMapState = getValueState  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.append(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.remove(at)
+
+
+class Value:
+    def __init__(self, handle, name):
+        self.handle, self.name = handle, name
+
+    def get(self):
+        self.handle.calls += 1
+        return self.handle.values.get(self.name)
+
+    def update(self, value):
+        self.handle.calls += 1
+        self.handle.values[self.name] = value
+
+    def clear(self):
+        self.handle.calls += 1
+        del self.handle.values[self.name]
+
+
+class Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getExpiryTimeInMs(self):  # noqa: N802
+        return self.ms
+
+    getCurrentWatermarkInMs = getExpiryTimeInMs  # noqa: N815
+
+
+def test_exchanges_with_the_store():
+    """A feed's turn asks the store for as much as one mark does, however many rows it has, and one timer stands for all marks."""
+    held, state = Held(), marks.FeedState(3, 1, True)
+    state.init(held)
+    rows = [{"micros": k * 1000, "kind": kind, "guid": f"{kind}{k}"} for k in range(40) for kind in ("item", "read")]
+    out = [r.change for r in state.handleInputRows(("f",), rows, None)]
+    assert (out.count("added"), out.count("evicted"), out.count("marked")) == (40, 37, 40)
+    assert held.calls == 5 and held.timers == [86_400_000]
+    list(state.handleInputRows(("f",), [{"micros": 50_000, "kind": "unread", "guid": "read0"}], None))
+    assert held.timers == [86_400_001]
+    gone = [r.guid for r in state.handleExpiredTimer(("f",), Now(86_400_003), Now(86_400_001))]
+    assert sorted(gone) == ["read1", "read2", "read3"] and held.timers[-1] == 86_400_004
+    assert sorted(r.guid for r in state.handleExpiredTimer(("f",), Now(99_000_000), Now(86_400_004)))[0] == "read10" and "marks" not in held.values
