@@ -1,8 +1,11 @@
 """What a task holds of the pages that it parses, and reading stories in linear time."""
 
+import sys
+
 import pyarrow as pa
 from pyspark.sql import types as T
 
+from weftlake.functions import dom
 from weftlake.functions.dom import parse
 from weftlake.operators import content, search
 
@@ -36,3 +39,31 @@ def test_stories_do_not_list_all_rows(monkeypatch):
     nodes = parse("<table>" + "".join(row.format(k) for k in range(50)) + "</table>")
     monkeypatch.setattr(search, "children", lambda *_: (_ for _ in ()).throw(AssertionError("the rows of the whole table, for one story")))
     assert [(s["title"], s["points"], s["comments"]) for s in search.discussion_stories(nodes)] == [(f"T{k}", k, 1) for k in range(50)]
+
+
+def test_calls_of_a_story_page():
+    """Reading a page of stories makes a bounded number of calls for each: nodes are not looked at anew for each kind of root, nor equal attributes read twice."""
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    row = '<tr class="athing"><td><span class="rank">1.</span></td><td><span class="titleline"><a href="https://a.com/{0}">click</a></span></td></tr><tr><td><span class="score">{0} points</span> by <a class="hnuser">me</a> <a>3 comments</a></td></tr>'
+    page = "<table>" + "".join(row.format(k) for k in range(200)) + "</table>"
+    sys.setprofile(count)
+    try:
+        nodes = dom.parse(page)
+        got = content.content_nodes(nodes, content.content_root(nodes))
+    finally:
+        sys.setprofile(None)
+    assert len(got) == 400 and got[2]["text"] == "click (1 points, 3 comments)"
+    assert calls < 500 * 200  # 659 a story when each kind had its own look
+
+
+def test_roots_by_role_and_id():
+    """The order of kinds decides, not the order on the page."""
+    marked = ['<div id="main">a</div>', '<section id="main-content">b</section>', '<td id="content">c</td><div id="content">c</div>', '<span role="main">d</span>', "<article>e</article>"]
+    for k in range(len(marked)):
+        nodes = dom.parse("<body><p>x</p><p id='content'>y</p><table><tr>" + "".join(marked[: k + 1]) + "</table>")
+        assert dom.text_of(nodes, content.content_root(nodes)) == "abcde"[k]
