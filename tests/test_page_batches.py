@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from weftlake.functions import dom
 from weftlake.functions.dom import parse
 from weftlake.operators import content, search
+from weftlake.sources import feeds as sources
 
 
 class Frame:
@@ -67,3 +68,35 @@ def test_roots_by_role_and_id():
     for k in range(len(marked)):
         nodes = dom.parse("<body><p>x</p><p id='content'>y</p><table><tr>" + "".join(marked[: k + 1]) + "</table>")
         assert dom.text_of(nodes, content.content_root(nodes)) == "abcde"[k]
+
+
+def test_opml_is_handed_on(spark):
+    """A task reads one text at a time: what it hands on is bounded, in order, and a batch's bytes are bounded too."""
+
+    class Bodies:
+        schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("body", T.StringType())])
+        sparkSession = spark  # noqa: N815
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            self.run = run
+            return self
+
+    def text(n):
+        return '<opml><body><outline text="A">' + "".join(f'<outline title="t{k}" xmlUrl="u{k}"/>' for k in range(n)) + "</outline></body></opml>"
+
+    frame, sizes, read = Bodies(), [3, 0, 5000, 2048, 1, 2047], []
+    bodies = pa.RecordBatch.from_arrays([pa.array([f"p{k}" for k in range(8)]), pa.array([*map(text, sizes), None, "<bad"])], ["path", "body"])
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        sources.opml_feeds(frame)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+    for made in frame.run(iter([bodies, bodies])):
+        assert 0 < made.num_rows <= sources.ROWS
+        read += made.to_pylist()
+    want = [{"path": f"p{k}", "ord": j, "url": f"u{j}", "title": f"t{j}", "site_url": "", "category": "A"} for k, n in enumerate(sizes) for j in range(n)]
+    assert read == want + want

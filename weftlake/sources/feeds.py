@@ -20,6 +20,9 @@ RSS = f"channel struct<title:string,link:string,description:string,item:array<{_
 _ATOM_LINK = "array<struct<_href:string,_rel:string,_VALUE:string>>"
 ATOM = f"title string, subtitle string, link {_ATOM_LINK}, entry array<struct<id:string,title:string,link:{_ATOM_LINK},summary:string,content:struct<_VALUE:string,_type:string>,published:string,updated:string,author:struct<name:string>>>"
 RDF = "channel struct<title:string,link:string,description:string>, item array<struct<title:string,link:string,description:string,creator:string,date:string>>"
+_OPML = ("url", "title", "site_url", "category")
+#: Feeds of OPML texts that a task hands on at once.
+ROWS = 2048
 _OPTIONS = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "valueTag": "_VALUE", "attributePrefix": "_"}
 
 
@@ -107,22 +110,41 @@ def read_opml(source: str | bytes) -> list[dict]:
 
 
 def opml_feeds(bodies: DataFrame, key: str = "path", body: str = "body") -> DataFrame:
-    """(key, ord, url, title, site_url, category) of OPML texts; unreadable ones give no row."""
+    """(key, ord, url, title, site_url, category) of OPML texts; unreadable ones give no row.
 
-    kind = pa.list_(pa.struct([(c, pa.string()) for c in ("url", "title", "site_url", "category")]))
-
-    @F.arrow_udf("array<struct<url:string,title:string,site_url:string,category:string>>")
-    def read(texts: pa.Array) -> pa.Array:
-        def one(t):
-            try:
-                return read_opml(t) if t else []
-            except ValueError:
-                return []
-
-        return pa.array([one(t) for t in texts.to_pylist()], kind)
-
-    rows = bodies.select(F.col(key), F.posexplode(read(F.col(body))).alias("ord", "f"))
-    return rows.select(key, "ord", "f.*")
+    One text at a time is read, and its feeds are handed on in batches of at most ROWS, so a task holds no more than a text and its feeds. Lowers the session's bound on the bytes of an Arrow batch.
+    """
+    from weftlake.sources.state import bounded_batches
+
+    kept = bodies.select(key, F.col(body).cast("string"))
+    bounded_batches(bodies.sparkSession)
+    schema = T.StructType([kept.schema[0], T.StructField("ord", T.IntegerType()), *[T.StructField(c, T.StringType()) for c in _OPML]])
+
+    def run(batches):
+        for batch in batches:
+            at, ords, found = [], [], []
+
+            def out(batch=batch):
+                columns = [pa.array([f[c] for f in found], pa.string()) for c in _OPML]
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(ords, pa.int32()), *columns], names=schema.names)
+
+            for k, text in enumerate(batch.column(1)):
+                try:
+                    feeds = read_opml(text.as_py() or "")
+                except ValueError:
+                    continue
+                for first in range(0, len(feeds), ROWS):
+                    part = feeds[first : first + ROWS]
+                    if len(found) + len(part) > ROWS:
+                        yield out()
+                        at, ords, found = [], [], []
+                    at += [k] * len(part)
+                    ords += range(first, first + len(part))
+                    found += part
+            if found:
+                yield out()
+
+    return kept.mapInArrow(run, schema)
 
 
 def opml_groups(feeds: DataFrame) -> DataFrame:
