@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftlake.llm import edit_embedding, lang_id, license_scan, line_dedup, mixing, ngram_join, pieces
+from weftlake.llm import common, edit_embedding, lang_id, license_scan, line_dedup, mixing, ngram_join, pieces
 
 WORDS = [a + b for a in ("ba", "ke", "li", "mo", "nu", "ra", "te", "so") for b in ("n", "r", "lo", "mi", "st", "ve", "x")]
 
@@ -409,3 +410,35 @@ def test_pipeline(spark, tmp_path, documents):
             assert k == 0 or 600 not in ids
     final = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert final and all(r.n_tokens == len(r.ids) > 0 for r in final) and {r.doc_id for r in final} <= {r[0] for r in rows}
+
+
+def test_signing_in_few_calls():
+    """Bins that few shingles leave empty are settled at once: the calls do not grow with the probes it takes, and values come from the first filled bin in the bin's own order."""
+    rng = np.random.default_rng(3)
+    lines = ["".join(chr(97 + c) for c in rng.integers(0, 26, n)).encode() for n in [1, 4, 5, 6, 7, 9, 20, 60, 400] * 20]
+    data, ends = np.frombuffer(b"".join(lines), np.uint8), np.cumsum([len(x) for x in lines])
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "c_call"
+
+    starts = ends - [len(x) for x in lines]
+    line_dedup.signatures(data, starts, ends)  # what is loaded at first use does not count
+    sys.setprofile(count)
+    try:
+        keys = line_dedup.signatures(data, starts, ends)
+    finally:
+        sys.setprofile(None)
+    assert calls < 400  # 228, and 478 when each probe was a turn of the loop
+    for k, line in enumerate(lines[:9]):
+        own = line_dedup.signatures(np.frombuffer(line, np.uint8), np.array([0]), np.array([len(line)]))
+        assert (own[0] == keys[k]).all()
+    few = line_dedup._FIRST
+    assert all(few[b, s] == next((k for k, p in enumerate(line_dedup._PROBES) if p[b] == s), len(line_dedup._PROBES)) for b in range(0, 50, 7) for s in range(50))
+
+
+def test_shuffles_go(spark):
+    """Scratch tables are kept with the setting by which the files of their shuffles do not stay beside them."""
+    common.Scratch(spark, "shuffles")
+    assert spark.conf.get(common.SHUFFLES_GO) == "true"

@@ -20,6 +20,11 @@ STEP = 1 << 16
 _NONE = np.uint32(0xFFFFFFFF)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _PROBES = np.random.Generator(np.random.PCG64(7)).integers(0, BANDS * ROWS, (256, BANDS * ROWS))
+#: Of each bin, the first probe that comes to each other one; the loop takes this many, then all that are left are settled at once, some thousands together.
+_FIRST = np.full((BANDS * ROWS, BANDS * ROWS), len(_PROBES), np.uint16)
+for _k in range(len(_PROBES) - 1, -1, -1):
+    _FIRST[np.arange(BANDS * ROWS), _PROBES[_k]] = _k
+_LOOP, _TOGETHER = 3, 1 << 13
 _STEPS = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,15 +82,19 @@ def signatures(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         sig[i * bins] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes()) & 0x7FFFFFFF
     sig = sig.reshape(rows, bins)
     filled = sig != _NONE
+    least = sig.min(1)
     row, bin_ = np.nonzero(~filled)
-    for probe in _PROBES:
-        if not len(row):
-            break
+    for probe in _PROBES[:_LOOP]:
         source = probe[bin_]
         found = filled[row, source]
         sig[row[found], bin_[found]] = sig[row[found], source[found]]
         row, bin_ = row[~found], bin_[~found]
-    sig[row, bin_] = sig[row].min(1)
+    for k in range(0, len(row), _TOGETHER):
+        r, b = row[k : k + _TOGETHER], bin_[k : k + _TOGETHER]
+        turn = np.where(filled[r], _FIRST[b], np.uint16(len(_PROBES)))
+        source = turn.argmin(1)
+        met = turn[np.arange(len(r)), source] < len(_PROBES)
+        sig[r, b] = np.where(met, sig[r, source], least[r])
     keys = np.zeros((rows, BANDS), np.uint64)
     for r in range(ROWS):
         keys = mix(keys + sig.reshape(rows, BANDS, ROWS)[:, :, r])
